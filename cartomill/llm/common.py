@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 #: Bytes of text in one Arrow batch, so that a batch of very long documents stays small.
 BATCH_BYTES = 8 << 20
 #: Bytes of text that the vectorised passes work on at once.
@@ -52,6 +54,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
     bounded_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
