@@ -122,21 +122,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """For each i, the place of the least of values[i : i + width]; among equals the first.
+    """For each i, the place of the least of values[i : i + width] by its upper bits; among equals the first.
 
     Blocks of `width` are scanned from both sides, so the work does not grow with the width.
     """
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64)
-    order = np.argsort(values, kind="stable")
-    rank = np.empty(len(values), dtype=np.int64)
-    rank[order] = np.arange(len(values))
-    pad = -len(values) % width
-    blocks = np.concatenate([rank, np.full(pad, len(values), dtype=np.int64)]).reshape(-1, width)
+    low = np.uint64((1 << int(len(values)).bit_length()) - 1)
+    keys = np.full(len(values) + -len(values) % width, ~np.uint64(0))
+    keys[: len(values)] = (values & ~low) | np.arange(len(values), dtype=np.uint64)
+    blocks = keys.reshape(-1, width)
     forward = np.minimum.accumulate(blocks, axis=1).ravel()
     backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return order[np.minimum(backward[:n], forward[width - 1 : width - 1 + n])]
+    return (np.minimum(backward[:n], forward[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ def encoded_documents(docs: DataFrame, vocabulary: str, kind: str, end_id: int)
         enc, part, at = encoder(vocabulary, kind), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
-            ids = [enc.packed(b) + end for b in text_bytes(batch["text"])]
+            ids = [x + end for x in enc.packed(text_bytes(batch["text"]))]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // enc.dtype.itemsize
             ends = at + np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(

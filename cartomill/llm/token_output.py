@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, kind: str = "byte"
         enc, part, at = encoder(vocabulary, kind), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
-            ids = [enc.packed(b) + end for b in text_bytes(batch["text"])]
+            ids = [x + end for x in enc.packed(text_bytes(batch["text"]))]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // enc.dtype.itemsize
             flat = np.frombuffer(b"".join(ids), dtype=enc.dtype).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -8,11 +8,12 @@ dictionary of bounded size, and the library encodes the others.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks that a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 500_000
+#: Chunks in each of a worker's two generations.
+REMEMBERED = 600_000
 #: White space (as Unicode has it) beside U+0020 and U+000A, as UTF-8.
 _OTHER_SPACE_ASCII = (b"\t", b"\r", b"\x0b", b"\x0c")
 _OTHER_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -28,6 +29,28 @@ def encoder(path: str, kind: str) -> "Encoder":
     return _encoders[path, kind]
 
 
+class Memory:
+    """Values of keys, in two generations: when the young one is full it becomes the old one, and what is asked for
+    again moves on, so frequent keys stay."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def filled(self, keys: list[bytes], values: list[bytes | None], make: Callable[[list[bytes]], list[bytes]]) -> None:
+        """Puts the values that the young generation lacks into `values`."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        places = [i for i, v in enumerate(values) if v is None]
+        lacking = {keys[i] for i in places}
+        known = {k: self.old[k] for k in lacking if k in self.old}
+        new = [k for k in lacking if k not in known]
+        known.update(zip(new, make(new)))
+        self.young.update(known)
+        for i in places:
+            values[i] = known[keys[i]]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,52 +58,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.memory = Memory()
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def look_up(self, keys: list[bytes], known: dict[bytes, bytes], before: str = "") -> bytes:
-        try:
-            return b"".join(map(known.__getitem__, keys))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({k for k in keys if k not in known})
-        known.update(zip(new, self.plain([before + k.decode() for k in new])))
-        return b"".join(map(known.__getitem__, keys))
-
-    def packed(self, text: bytes) -> bytes:
-        """The ids of a text, packed as self.dtype."""
+    def text_of(self, key: bytes) -> str:
+        """The text whose ids a key stands for."""
+        return key.decode()
+
+    def of_keys(self, keys: list[bytes]) -> list[bytes]:
+        return self.plain(list(map(self.text_of, keys)))
+
+    def keys(self, text: bytes) -> list[bytes] | None:
+        """Keys whose ids, one after another, are those of the text; None if it must be encoded whole."""
         raise NotImplementedError
 
+    def packed(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, packed as self.dtype."""
+        out: list[bytes] = []
+        for text in texts:
+            keys = self.keys(text)
+            if keys is None:
+                out.append(self.plain([text.decode()])[0])
+                continue
+            values = list(map(self.memory.young.get, keys))
+            if None in values:
+                self.memory.filled(keys, values, self.of_keys)
+            out.append(b"".join(values))
+        return out
+
 
 class WordEncoder(Encoder):
     """White space only separates, so chunks are what ASCII white space separates."""
 
-    def packed(self, text: bytes) -> bytes:
-        return self.look_up(text.split(), self.known)
+    def keys(self, text: bytes) -> list[bytes] | None:
+        return text.split()
 
 
 class ByteEncoder(Encoder):
-    """A chunk is a word with the space before it, or the first word of a line. Texts with other white space, or with
-    white space at an end or next to more of it, are encoded whole."""
+    """A chunk is a word with the space before it, or the first word of a line with the line break before it. Texts with
+    other white space, or with white space at an end or next to more of it, are encoded whole. Keys: a word stands for
+    itself after a space, one after U+000A for itself after that; the text's first word follows U+000D, which such a
+    text lacks, and has nothing before it."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.first: dict[bytes, bytes] = {}
-        self.newline = self.plain(["\n"])[0]
+    def text_of(self, key: bytes) -> str:
+        return key[1:].decode() if key[:1] == b"\r" else key.decode() if key[:1] == b"\n" else " " + key.decode()
 
-    def packed(self, text: bytes) -> bytes:
+    def keys(self, text: bytes) -> list[bytes] | None:
         if not text:
-            return b""
+            return []
         odd = text[:1] in b" \n" or text[-1:] in b" \n" or any(p in text for p in _PAIRS) or any(p in text for p in _OTHER_SPACE_ASCII)
         if odd or not text.isascii() and any(p in text for p in _OTHER_SPACE):
-            return self.plain([text.decode()])[0]
-        out = []
-        for line in text.split(b"\n"):
-            first, *rest = line.split(b" ")
-            out.append(self.look_up([first], self.first) + self.look_up(rest, self.known, " "))
-        return self.newline.join(out)
+            return None
+        return (b"\r" + text).replace(b"\n", b" \n").split(b" ")
