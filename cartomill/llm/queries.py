@@ -11,8 +11,9 @@ from .langid import op7_language
 from .packing import op4_packing
 from .quality import op10_quality
 from .simhash import op2_simhash
+from .substrings import op8_substrings
 from .token_output import op5_token_output
 from .toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_packing, op5_token_output, op7_language, op9_decontamination, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_packing, op5_token_output, op7_language, op8_substrings, op9_decontamination, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
