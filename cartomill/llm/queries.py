@@ -13,8 +13,9 @@ from .pii import op3_personal_data
 from .quality import op10_quality
 from .simhash import op2_simhash
 from .substrings import op8_substrings
+from .suffix_dedup import op6_suffix_array
 from .token_output import op5_token_output
 from .toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_personal_data, op4_packing, op5_token_output, op7_language, op8_substrings, op9_decontamination, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_personal_data, op4_packing, op5_token_output, op6_suffix_array, op7_language, op8_substrings, op9_decontamination, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
