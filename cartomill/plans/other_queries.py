@@ -1,0 +1,129 @@
+"""Queries of scoring, budgets, resolution, exports, logs, sources and extraction."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import extract as X
+from ..functions import frameworks as W
+from ..functions.languages import EXTENSIONS, language_of
+from ..operators import context as C
+from ..operators import exports as E
+from ..operators import graph as G
+from ..operators import relational as R
+from ..operators import resolve
+from ..registry import graph_query as g_, query
+from ..sources import workspace
+from ..sources.graph_tables import EDGE_ORDER, FRAMEWORK_EDGES, Graph, table
+from ..streaming import incremental, logs
+from .graph_queries import NODES, RANK, ROUNDS, _NEAR, _ranks, _seed
+from .relational_queries import PRIMARY
+
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+# scoring and budgets
+query(
+    "keywords",
+    f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND NOT list_contains({_LIST(C.STOP_WORDS)}, x)) AS ws FROM documents),
+    u AS (SELECT doc_id, unnest(ws) AS w FROM w), f AS (SELECT doc_id, w FROM u UNION SELECT doc_id, left(w, length(w) - length(s)) FROM u, unnest({_LIST(C.SUFFIXES)}) AS t(s) WHERE ends_with(w, s) AND length(w) > length(s))
+    SELECT doc_id, count(*) AS n, md5(string_agg(w, ' ' ORDER BY w)) AS words FROM f GROUP BY doc_id""",
+    lambda s, d: table(s, d, "documents").select("doc_id", C.keywords("text").alias("k")).where("size(k) > 0").select("doc_id", F.size("k").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("k"), " ")).alias("words")),
+)
+query("kw_union", f"SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS w FROM part) WHERE length(w) >= 3 AND NOT list_contains({_LIST(C.STOP_WORDS)}, w)", lambda s, d: table(s, d, "part").select(F.explode(C.keywords("p_name")).alias("w")).distinct())
+query("llm_token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", C.token_estimate("text").cast("long").alias("tokens")))
+query("llm_truncate", "SELECT doc_id, md5(CASE WHEN length(text) <= 1200 THEN text ELSE regexp_extract(left(text, 1200), '(?s)^(.*)\\n', 1) || chr(10) || chr(10) || '[... truncated to fit token budget]' || chr(10) END) AS head FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(C.truncated("text", 300)).alias("head")))
+query("llm_symbol_cap", "SELECT floor(l_linenumber * 1000 * 4 / 40) AS cap FROM (SELECT DISTINCT l_linenumber FROM lineitem)", lambda s, d: table(s, d, "lineitem").select("l_linenumber").distinct().select(F.floor(F.col("l_linenumber") * 1000 * 4 / 40).cast("double").alias("cap")))
+_CODE = "CAST(ceil(length(text) / CASE WHEN length(regexp_replace(text, '[a-zA-Z\\s]', '', 'g')) / length(text) > 0.3 THEN 3.5 ELSE 4.0 END) AS BIGINT)"
+query("bench_token_estimate", f"SELECT doc_id, {_CODE} AS tokens FROM documents WHERE length(text) > 0", lambda s, d: table(s, d, "documents").where("length(text) > 0").select("doc_id", C.code_token_estimate("text").alias("tokens")))
+# Dollars for a million tokens.
+PRICES = {"small": 0.25, "medium": 3.0, "large": 15.0}
+query("bench_cost", f"SELECT model, round(sum({_CODE}) / 1e6 * price, 6) AS cost FROM documents, (VALUES ('small', 0.25), ('medium', 3.0), ('large', 15.0)) AS p(model, price) WHERE length(text) > 0 GROUP BY model, price", lambda s, d: table(s, d, "documents").where("length(text) > 0").agg(F.sum(C.code_token_estimate("text")).alias("t")).select(F.explode(F.create_map(*(F.lit(x) for kv in PRICES.items() for x in kv))).alias("model", "price"), "t").select("model", F.round(F.col("t") / 1e6 * F.col("price"), 6).alias("cost")))
+query("benchmark_summary", "SELECT CAST(sum(n_chars) AS BIGINT) AS baseline, CAST(sum(ceil(n_chars / 4.0)) AS BIGINT) AS tool, round(100 * (1 - sum(ceil(n_chars / 4.0)) / sum(n_chars)), 4) AS percent FROM documents", lambda s, d: table(s, d, "documents").agg(F.sum("n_chars").alias("baseline"), F.sum(F.ceil(F.col("n_chars") / 4)).cast("long").alias("tool")).withColumn("percent", F.round(100 * (1 - F.col("tool") / F.col("baseline")), 4)))
+g_("fuzzy_levenshtein", "SELECT name, levenshtein(lower(name), 'redwidgte') AS distance FROM (SELECT DISTINCT name FROM g_symbols) WHERE levenshtein(lower(name), 'redwidgte') <= 6 ORDER BY distance, name LIMIT 5", lambda g: C.fuzzy_levenshtein(g.symbols, "redwidgte", 6).withColumn("distance", F.col("distance").cast("long")))
+TASK = "fix the RedWidget handler"
+g_("context_seeds", "SELECT file_path AS path FROM (SELECT file_path FROM g_symbols WHERE lower(name) LIKE '%widget%' OR lower(file_path) LIKE '%widget%' ORDER BY kind, name, file_path, start_line LIMIT 10) UNION SELECT file_path FROM (SELECT file_path FROM g_symbols WHERE lower(name) LIKE '%brand_13%' OR lower(file_path) LIKE '%brand_13%' ORDER BY kind, name, file_path, start_line LIMIT 10) UNION SELECT path FROM g_files WHERE contains(lower(path), 'brand_13') OR contains(lower(path), 'widget')", lambda g: C.context_seeds(g.files, g.symbols, ["widget", "brand_13"]))
+g_(
+    "context_score",
+    PRIMARY.replace("WITH", _NEAR + ",", 1) + """, hits AS (SELECT file_path, sum(CASE WHEN contains(lower(name), 'red') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'widget') THEN 1 ELSE 0 END) AS n FROM g_symbols GROUP BY file_path),
+    seedc AS (SELECT DISTINCT cluster_name FROM near JOIN members ON file_path = path WHERE depth = 0)
+    SELECT path, depth, CAST(CASE depth WHEN 0 THEN 1000 WHEN 1 THEN 100 WHEN 2 THEN 10 ELSE 1 END + 200 * (CASE WHEN contains(lower(path), 'red') THEN 1 ELSE 0 END + CASE WHEN contains(lower(path), 'widget') THEN 1 ELSE 0 END) + 50 * coalesce(hits.n, 0) + CASE WHEN m.cluster_name IN (SELECT cluster_name FROM seedc) THEN 150 ELSE 0 END AS DOUBLE) AS score
+    FROM near LEFT JOIN hits ON hits.file_path = path LEFT JOIN members m ON m.file_path = path""",
+    lambda g: C.context_score(G.distances(g.edges, _seed(g)), g.symbols, ["red", "widget"], g.files.select("path", F.lit(0.0).alias("pagerank")), R.primary_memberships(g.files)),
+)
+g_("context_pack", None, lambda g: C.context_pack(g.files.select("path", F.col("lines").cast("double").alias("score")), g.symbols, 8192))
+g_("build_context", None, lambda g: C.build_context(g.files, g.symbols, g.edges, TASK, G.ranked_files(g, _ranks(g)), R.primary_memberships(g.files), depth=1))
+
+# resolution
+g_(
+    "resolve_symbol",
+    """WITH want AS (SELECT DISTINCT e.source_file, e.target_symbol AS symbol, f.language FROM g_edges e JOIN g_files f ON f.path = e.source_file), own AS (SELECT s.*, f.language FROM g_symbols s JOIN g_files f ON f.path = s.file_path),
+    ranked AS (SELECT source_file, symbol, file_path, row_number() OVER (PARTITION BY source_file, symbol ORDER BY CASE WHEN name = symbol THEN 0 ELSE 1 END, kind, name, file_path, start_line) AS r, name = symbol AS exact FROM want JOIN own ON own.language = want.language AND contains(lower(name), lower(symbol)))
+    SELECT w.source_file, w.symbol, file_path AS target, CASE WHEN exact THEN 'exact' WHEN NOT exact THEN 'contains' END AS how FROM want w LEFT JOIN ranked ON r = 1 AND ranked.source_file = w.source_file AND ranked.symbol = w.symbol""",
+    lambda g: resolve.resolve_symbol(g.edges.select("source_file", F.col("target_symbol").alias("symbol")).distinct(), g.symbols, g.files),
+)
+
+# exports
+_FIRST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file, target_file, edge_type ORDER BY {', '.join(EDGE_ORDER)}) AS r FROM g_edges) WHERE r = 1)"
+g_(
+    "export_dot",
+    f"""SELECT * FROM (VALUES (0, 'digraph Cartomill {{'), (0, '  newrank=true;'), (0, '  rankdir=LR;'), (0, '  node [shape=box, style=filled];'), (3, '}}')) AS h(section, line)
+    UNION ALL SELECT 1, '  "' || path || '" [label="' || string_split(path, '/')[-1] || '", fillcolor="' || CASE language WHEN 'php' THEN '#8892BF' WHEN 'typescript' THEN '#3178C6' WHEN 'python' THEN '#3776AB' ELSE '#00ADD8' END || '", fontcolor="white"];' FROM g_files
+    UNION ALL SELECT 2, '  "' || source_file || '" -> "' || target_file || '" [label="' || edge_type || '", style=' || CASE WHEN verifiability = 'inferred' THEN 'dashed' ELSE CASE edge_type WHEN 'extends' THEN 'bold' WHEN 'call' THEN 'dotted' ELSE 'solid' END END || '];' FROM {_FIRST}""",
+    E.export_dot,
+)
+g_("export_json", None, E.export_json)
+g_("export_llm", None, lambda g: E.export_llm(g, G.ranked_files(g, _ranks(g)), 4096))
+g_("export_toon", None, lambda g: E.export_toon(g, G.ranked_symbols(g, _ranks(g)), 4096))
+g_("export_svg", None, lambda g: E.export_svg(g, G.ranked_files(g, _ranks(g))))
+g_("toon_budget", "WITH l AS (SELECT path AS line, sum(strlen(path) + 1) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS n FROM g_files) SELECT line FROM l WHERE ceil(n / 4.0) <= 500", lambda g: E.fitted(g.files.select(F.col("path").alias("line")), 500, "line"))
+g_("llm_file_section", f"SELECT source_file AS file, string_agg(target_file || ' (' || edge_type || ')' || CASE WHEN verifiability = 'inferred' THEN ' [inferred]' ELSE '' END, ', ' ORDER BY target_file || ' (' || edge_type || ')' || CASE WHEN verifiability = 'inferred' THEN ' [inferred]' ELSE '' END) AS line FROM {_FIRST} GROUP BY source_file", lambda g: E.llm_dependencies(g.edges))
+
+
+def _routes(g: Graph) -> DataFrame:
+    """Line items as routes, so that queries over routes have rows."""
+    return g.edges.select(F.lit("laravel").alias("framework"), F.when(F.col("edge_type") == "call", "GET").when(F.col("edge_type") == "import", "POST").otherwise("PUT").alias("method"), F.concat(F.lit("/"), "target_symbol").alias("path"), "source_file", "source_symbol")
+
+
+_ROUTES = "(SELECT 'laravel' AS framework, CASE edge_type WHEN 'call' THEN 'GET' WHEN 'import' THEN 'POST' ELSE 'PUT' END AS method, '/' || target_symbol AS path, source_file, source_symbol FROM g_edges)"
+g_("route_query", f"SELECT * FROM {_ROUTES} WHERE method = 'GET' AND contains(lower(path), 'red')", lambda g: W.route_query(_routes(g), "Laravel", "get", "RED"))
+g_("hook_query", f"SELECT framework, method AS type, path AS name, source_file FROM {_ROUTES} WHERE lower(method) = 'put' AND contains(lower(path), 'on')", lambda g: W.hook_query(_routes(g).select("framework", F.col("method").alias("type"), F.col("path").alias("name"), "source_file"), type="PUT", name="On"))
+g_("llm_route_groups", f"WITH u AS (SELECT source_file AS source, source_symbol AS controller, path, string_agg(DISTINCT method, '/' ORDER BY method) AS m FROM {_ROUTES} GROUP BY source_file, source_symbol, path), v AS (SELECT source, controller, m || ' ' || path AS t FROM u) SELECT source, controller, string_agg(t, ', ' ORDER BY t) AS routes FROM v GROUP BY source, controller", lambda g: E.llm_route_groups(_routes(g).select(F.col("source_file").alias("source"), F.col("source_symbol").alias("controller"), F.col("path").alias("uri"), F.col("method").alias("verb"))))
+g_("add_route", f"SELECT DISTINCT method, path, source_symbol, source_file FROM {_ROUTES}", lambda g: _routes(g).select("method", "path", "source_symbol", "source_file").distinct())
+g_("route_confidence", "SELECT edge_type, CAST(CASE edge_type WHEN 'call' THEN 1.0 WHEN 'import' THEN 0.8 ELSE 0.3 END AS DOUBLE) AS confidence FROM (SELECT DISTINCT edge_type FROM g_edges) WHERE edge_type <> 'extends'", lambda g: g.edges.select("edge_type").distinct().withColumn("confidence", E.looked_up({"call": "declared", "import": "inferred", "extends": "low"}, "edge_type")).withColumn("confidence", F.try_element_at(F.create_map(*(F.lit(x) for kv in W.CONFIDENCE.items() for x in kv)), "confidence")).where(F.col("confidence") >= W.LEAST_CONFIDENCE))
+g_("change_status_counts", "SELECT status, count(*) AS count FROM (SELECT CASE WHEN lines < 100 THEN 'new' WHEN lines < 200 THEN 'deleted' ELSE 'unchanged' END AS status FROM g_files) GROUP BY status", lambda g: R.counts(R.change_classify(g.files.where("lines >= 100").select("path", F.md5("path").alias("hash")), g.files.where("lines < 100 OR lines >= 200").select("path", F.md5("path").alias("hash")), g.symbols), "status"))
+g_("scan_incremental", "SELECT path, CASE WHEN language = 'go' THEN md5(path || 'x') ELSE md5(path) END AS hash FROM g_files WHERE lines >= 50", lambda g: incremental.scan_incremental(g.files.where("lines < 400").select("path", F.md5("path").alias("hash")), g.files.where("lines >= 50").select("path", F.md5(F.expr("CASE WHEN language = 'go' THEN concat(path, 'x') ELSE path END")).alias("hash")), g.symbols)[0])
+g_("project_languages", "SELECT DISTINCT path, CASE string_split(path, '.')[-1] WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'php' THEN 'php' ELSE 'go' END AS language FROM g_files", lambda g: g.files.select("path", language_of("path").alias("language")))
+g_("batch_ops", "SELECT 0 AS op_index, name AS result FROM (SELECT DISTINCT name FROM g_symbols WHERE name LIKE 'red%') UNION ALL SELECT 1, source_file FROM (SELECT DISTINCT source_file FROM g_edges WHERE target_symbol = 'redwidget')", lambda g: R.symbol_query(g.symbols, "red*").select("name").distinct().select(F.lit(0).alias("op_index"), F.col("name").alias("result")).union(g.edges.where("target_symbol = 'redwidget'").select("source_file").distinct().select(F.lit(1), "source_file")))
+
+# logs
+query("rate_limit", "SELECT event_id, n AS in_window, n > 10 AS over FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id % 3 ORDER BY epoch_ms(ts) RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS n FROM events)".replace("AS over", 'AS "over"'), lambda s, d: logs.rate_limited(table(s, d, "events").withColumn("user_id", F.col("user_id") % 3)).select("event_id", "in_window", "over"))
+query("rate_limit_exact", None, lambda s, d: logs.rate_limit_exact(table(s, d, "events")))
+query("log_trim", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500", lambda s, d: logs.log_trim(table(s, d, "events"), F.desc("ts"), F.desc("event_id")).select("event_id", "event_type"))
+query("toolcall_log", "SELECT event_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 100", lambda s, d: logs.log_trim(table(s, d, "events"), F.desc("ts"), F.desc("event_id"), keep=100).select("event_id", "event_type", "value"))
+query("latest_snapshot", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 1", lambda s, d: table(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", "ts"))
+
+# sources and extraction, over this package's own files
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def _own_files(s: SparkSession) -> DataFrame:
+    return workspace.walk_files(s, f"file://{os.path.join(_ROOT, 'operators')}", "cartomill", workspace.Config(exclude=["__pycache__"]))
+
+
+query("walk_files", None, lambda s, d: _own_files(s).select("path", "repo", "language", "size_bytes", "lines", "content_hash"))
+query("extract_symbols", None, lambda s, d: X.symbols_of(X.extract(_own_files(s))))
+query("extract_references", None, lambda s, d: X.references_of(X.extract(_own_files(s))))
+query("lang_list", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {len(v.split())})" for k, v in EXTENSIONS.items()) + ") AS t(language, extensions)", lambda s, d: s.createDataFrame([(k, len(v.split())) for k, v in EXTENSIONS.items()], "language string, extensions int"))
+_SAMPLES = [
+    ("routes/web.php", "Route::get('/users/{id}', [UserController::class, 'show']);\nRoute::apiResource('photos', PhotoController::class);"),
+    ("app/main.py", "router = APIRouter(prefix='/items')\n@router.get('/{id}')\nasync def read(id):\n    pass\n"),
+    ("src/server.js", "app.use('/api', userRouter);\nuserRouter.post('/users', auth, createUser);"),
+    ("config/urls.py", "urlpatterns = [path('home/', views.home)]"),
+    ("plugin.php", "add_action('init', 'boot'); add_shortcode('hello', 'hello_cb');"),
+]
+query("detect_routes", None, lambda s, d: W.detect_routes(s.createDataFrame(_SAMPLES, "path string, text string")))
+query("detect_hooks", None, lambda s, d: W.detect_hooks(s.createDataFrame(_SAMPLES, "path string, text string")))
+query("file_routes", "SELECT * FROM (VALUES ('pages/blog/[slug].tsx', '/blog/{slug}'), ('app/(shop)/cart/page.tsx', '/cart'), ('src/routes/a/[id]/+page.svelte', '/a/{id}'), ('pages/index.js', '/'), ('lib/x.ts', NULL)) AS t(path, route)", lambda s, d: s.createDataFrame([("pages/blog/[slug].tsx",), ("app/(shop)/cart/page.tsx",), ("src/routes/a/[id]/+page.svelte",), ("pages/index.js",), ("lib/x.ts",)], "path string").select("path", W.file_route("path").alias("route")))
