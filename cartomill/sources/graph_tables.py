@@ -7,18 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-FILES = T.StructType.fromDDL(
-    "path string NOT NULL, repo string NOT NULL, language string NOT NULL, git_blob_hash string, content_hash string, last_scanned timestamp,"
-    " size_bytes bigint, lines bigint, metadata map<string,string>, namespace string"
-)
-SYMBOLS = T.StructType.fromDDL(
-    "id bigint NOT NULL, file_path string NOT NULL, repo string NOT NULL, name string NOT NULL, kind string NOT NULL, scope string, signature string,"
-    " start_line int, end_line int, metadata map<string,string>"
-)
-EDGES = T.StructType.fromDDL(
-    "id bigint NOT NULL, source_file string NOT NULL, target_file string NOT NULL, source_symbol string, target_symbol string, edge_type string NOT NULL,"
-    " repo string NOT NULL, target_repo string, weight double, verifiability string, metadata map<string,string>"
-)
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "map": T.MapType(T.StringType(), T.StringType())}
+
+
+def _schema(text: str) -> T.StructType:
+    """Columns as `name type`, with ! after the type of those that are never null."""
+    return T.StructType([T.StructField(n, _TYPES[t.rstrip("!")], not t.endswith("!")) for n, t in (c.split() for c in text.split(","))])
+
+
+FILES = _schema("path string!, repo string!, language string!, git_blob_hash string, content_hash string, last_scanned timestamp, size_bytes long, lines long, metadata map, namespace string")
+SYMBOLS = _schema("id long!, file_path string!, repo string!, name string!, kind string!, scope string, signature string, start_line int, end_line int, metadata map")
+EDGES = _schema("id long!, source_file string!, target_file string!, source_symbol string, target_symbol string, edge_type string!, repo string!, target_repo string, weight double, verifiability string, metadata map")
 
 #: The kinds of symbols and edges.
 SYMBOL_KINDS = "class method function interface trait constant enum property namespace struct module field".split()
