@@ -34,7 +34,7 @@ from .suffix_sort import sort_suffixes
 WINDOW = 200
 GRAM = 64
 #: Bytes of stretches that a shard's sort takes at once, and suffixes that its queues hold in memory.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 QUEUE_MEMORY = 1 << 21
 
 
