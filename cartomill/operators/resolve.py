@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.languages import compatible
+from ..functions.languages import group_of
+from ..functions.lineage import cut
 from .predicates import folded
 
 
@@ -15,23 +16,26 @@ def resolve_symbol(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     First an exact name, by an equi-join; for qualified names their last part; only what is left looks for names that
     contain the symbol, over distinct pairs. All symbols are known before any is resolved.
     """
-    lang = files.select(F.col("path").alias("__p"), F.col("language").alias("__l"))
-    own = symbols.select("name", F.col("file_path").alias("__f"), "kind", "start_line").join(lang, F.col("__f") == F.col("__p")).drop("__p")
-    want = refs.select("source_file", "symbol").where("symbol <> ''").distinct().join(lang.withColumnsRenamed({"__p": "source_file", "__l": "__sl"}), "source_file", "left")
+    lang = files.select(F.col("path").alias("__p"), group_of("language").alias("__g"))
     order = F.struct("kind", "name", "__f", "start_line")
-
-    def best(joined: DataFrame) -> DataFrame:
-        return joined.where(F.col("__sl").isNull() | compatible("__sl", "__l")).groupBy("source_file", "symbol").agg(F.min_by("__f", order).alias("target"))
-
-    short = F.element_at(F.split("symbol", r"\\"), -1)
-    exact = best(want.join(own, F.col("name") == F.col("symbol")))
+    own = symbols.select("name", F.col("file_path").alias("__f"), "kind", "start_line").join(lang, F.col("__f") == F.col("__p"))
+    # a name's first definition in each language group, and in any: references never meet single definitions
+    first = own.groupBy("name", F.col("__g")).agg(F.min(order).alias("o"))
+    first = cut(first.unionByName(first.groupBy("name").agg(F.min("o").alias("o")).withColumn("__g", F.lit(""))))
+    want = refs.select("source_file", "symbol").where("symbol <> ''").distinct().join(lang.select(F.col("__p").alias("source_file"), F.col("__g").alias("__sg")), "source_file", "left")
+    want = cut(want.na.fill("", ["__sg"]).withColumn("__short", F.element_at(F.split("symbol", r"\\"), -1)))
+
+    def best(left: DataFrame, name: str) -> DataFrame:
+        joined = left.join(first, (F.col(name) == F.col("name")) & (F.col("__sg") == F.col("__g")))
+        return joined.groupBy("source_file", "symbol").agg(F.min("o").alias("o")).select("source_file", "symbol", F.col("o.__f").alias("target"))
+
+    exact = best(want, "symbol")
     rest = want.join(exact, ["source_file", "symbol"], "left_anti")
-    by_short = best(rest.where(F.col("symbol").contains("\\")).join(own, F.col("name") == short))
+    by_short = best(rest.where(F.col("symbol").contains("\\")), "__short")
     rest = rest.join(by_short, ["source_file", "symbol"], "left_anti")
     # names that contain the text: each distinct text is compared with each distinct name once
-    texts = rest.select(F.lower(short).alias("__t")).distinct()
-    names = own.select("name").distinct()
-    pairs = texts.join(names, F.contains(folded("name"), F.col("__t"))).withColumnRenamed("name", "__n")
-    loose = best(rest.withColumn("__t", F.lower(short)).join(pairs, "__t").join(own, F.col("name") == F.col("__n")))
+    texts = rest.select(F.lower("__short").alias("__t")).distinct()
+    pairs = texts.join(first.select(F.col("name").alias("__n")).distinct(), F.contains(folded("__n"), F.col("__t")))
+    loose = best(rest.withColumn("__t", F.lower("__short")).join(pairs, "__t"), "__n")
     found = exact.withColumn("how", F.lit("exact")).unionByName(by_short.withColumn("how", F.lit("short"))).unionByName(loose.withColumn("how", F.lit("contains")))
     return refs.join(found, ["source_file", "symbol"], "left")
