@@ -13,7 +13,8 @@ contraction over the links between different fingerprints, each round written to
 
 Edge cases: a null, empty or blank text has fingerprint zero and links like any other; fewer than four words are one
 shingle; rows that repeat are returned each; a null doc_id never is a component's id unless all its doc_ids are null;
-no documents give no rows; other columns are ignored by near_duplicates() and kept by one_of_each().
+rows of one doc_id with different texts are rows of their own, and one_of_each() drops one only for another row of its
+component; no documents give no rows; other columns are ignored by near_duplicates() and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -54,15 +55,15 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the long columns named in more."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(b) for b in text_bytes(batch["text"])], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), *(batch[c] for c in more)], names=["doc_id", "fp", *more])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), f, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more), f, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in more)]))
 
 
 def grouped_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -196,21 +197,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
+def classified(fps: DataFrame, least: Column, tau: int) -> DataFrame:
+    """fp, first (the least `least` of its rows), comp, for each different fingerprint."""
+    classes = written(fps.groupBy("fp").agg(F.min(least).alias("first")), "classes")
+    comp = components(links(classes.select("fp"), tau))
+    return classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach), for each row."""
     fps = written(fingerprints(docs), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    comp = components(links(classes.select("fp"), tau))
-    joined = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp"))
+    joined = classified(fps, F.col("doc_id"), tau)
     least = joined.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_fp = joined.join(least, "comp").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """docs, of each component only the row whose doc_id names it; rows without a doc_id name none and stay."""
-    keep = near_duplicates(docs.where("doc_id IS NOT NULL"), tau).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    """docs, of each component only its least row by doc_id and 128 bits of the row's hash; rows without a doc_id stay."""
+    rest = [f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    keyed = docs.where("doc_id IS NOT NULL").withColumns({"__h": F.xxhash64("text"), "__g": F.xxhash64(F.lit(1), "text", *rest)})
+    key = ["doc_id", "__h", "__g"]
+    fps = written(fingerprints(keyed, "__h", "__g"), "fingerprints")
+    keep = classified(fps, F.struct(*key), tau).groupBy("comp").agg(F.min("first").alias("first")).select("first.*")
+    keep = keep.select(*(F.col(c).alias(f"__keep{i}") for i, c in enumerate(key)))
+    same = [keyed[c] == keep[f"__keep{i}"] for i, c in enumerate(key)]
+    kept = keyed.join(keep, same, "left_semi").dropDuplicates(key).drop("__h", "__g")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -102,6 +102,16 @@ def test_one_of_each(spark):
     assert got.where(F.col("doc_id").isNull()).count() == 1
 
 
+def test_one_of_each_keeps_different_texts_of_a_doc_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    data = [(7, t, "en", "s", None) for t in texts for _ in range(3)]  # a hot doc_id: unrelated texts, each with copies
+    data += [(3, texts[0], "en", "s", None), (9, texts[1], "en", "s", None)]
+    runs = [one_of_each(frame(spark, rows).repartition(n)) for n, rows in ((3, data), (5, data[::-1]))]
+    got = [sorted((r.doc_id, r.text) for r in run.collect()) for run in runs]
+    assert got[0] == got[1] == sorted([(3, texts[0])] + [(7, t) for t in texts[1:]])
+
+
 def test_no_documents(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_duplicates(frame(spark, [(None, None, None, None, None)])).count() == 1
