@@ -62,26 +62,26 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key: equal rows share a key, and so what they lose."""
+    """doc_id, text, key: equal rows share a key, and so what they lose; other rows don't: a hot doc_id has many texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.withColumn("key", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.hash("text").alias("h")))
+    return docs.withColumn("key", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("l")))
 
 
 def stretch_rows(docs: DataFrame) -> DataFrame:
-    """d, h, hash, sig, first, n."""
+    """d, h, l, hash, sig, first, n."""
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, d, h = text_bytes(batch["text"]), batch["d"].to_numpy(), batch["h"].to_numpy()
+            texts, key = text_bytes(batch["text"]), {c: batch[c].to_numpy() for c in ("d", "h", "l")}
             for a, b in chunks(list(map(len, texts))):
                 who, gram, sig, first, n = stretches(texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(d[a:b][who]), pa.array(h[a:b][who]), pa.array(gram), pa.array(sig), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["d", "h", "hash", "sig", "first", "n"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[a:b][who]) for k in key.values()), pa.array(gram), pa.array(sig), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=[*key, "hash", "sig", "first", "n"])
 
-    return map_arrow(docs.select("key.d", "key.h", "text"), f, "d long, h int, hash long, sig long, first int, n int")
+    return map_arrow(docs.select("key.d", "key.h", "key.l", "text"), f, "d long, h long, l int, hash long, sig long, first int, n int")
 
 
 def stretch_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, sig, body: the bytes of each wanted stretch (d, h, hash, sig, first, n)."""
-    places = wanted.groupBy(F.struct("d", "h").alias("k")).agg(F.collect_list(F.struct("hash", "sig", "first", "n")).alias("places"))
+    """hash, sig, body: the bytes of each wanted stretch (d, h, l, hash, sig, first, n)."""
+    places = wanted.groupBy(F.struct("d", "h", "l").alias("k")).agg(F.collect_list(F.struct("hash", "sig", "first", "n")).alias("places"))
     joined = docs.join(places, F.col("key") == F.col("k")).select("key", "text", "places").dropDuplicates(["key"]).select("text", "places")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +155,14 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     rows = written(stretch_rows(docs), "stretches")
     shared = rows.groupBy("hash").agg(F.count("*").alias("c"), F.min("sig").alias("x"), F.max("sig").alias("y")).where("c > 1").select(F.col("hash").alias("__hash"), (F.col("x") != F.col("y")).alias("several"))
     cand = written(rows.join(shared, F.col("hash") == F.col("__hash")).drop("__hash"), "shared")
-    one = F.min(F.struct("d", "h", "first", "n")).alias("o")
+    one = F.min(F.struct("d", "h", "l", "first", "n")).alias("o")
     sigs = written(cand.groupBy("hash", "sig").agg(F.count("*").alias("c"), F.first("several").alias("several"), one).select("hash", "sig", "c", "several", "o.*"), "signatures")
-    found = written(sorted_shards(stretch_texts(docs, sigs.where("several").select("d", "h", "hash", "sig", "first", "n"))), "repeated")
+    found = written(sorted_shards(stretch_texts(docs, sigs.where("several").select("d", "h", "l", "hash", "sig", "first", "n"))), "repeated")
     whole = sigs.where("c > 1").select("hash", "sig", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
     some = found.join(whole.select("hash", "sig"), ["hash", "sig"], "left_anti")
-    joined = cand.select("d", "h", "hash", "sig", "first", "n").join(whole.unionByName(some), ["hash", "sig"])
+    joined = cand.select("d", "h", "l", "hash", "sig", "first", "n").join(whole.unionByName(some), ["hash", "sig"])
     own = F.transform(F.coalesce("spans", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))), lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"] + WINDOW - 1).alias("b")))
-    return joined.select(F.struct("d", "h").alias("k"), own.alias("s")).groupBy("k").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return joined.select(F.struct("d", "h", "l").alias("k"), own.alias("s")).groupBy("k").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:

@@ -54,5 +54,15 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, deduplicated(crowded(spark, data)).collect()), key=str) == brute(data)
 
 
+def test_texts_of_a_doc_id_that_collide_in_32_bits(spark):
+    rng = random.Random(11)
+    long, short = "".join(rng.choices("abcdefghij ", k=500)), "".join(rng.choices("klmnopqrst ", k=230))
+    data = [(None, long + "13169"), (None, short + "283582"), (1, "one " + long[150:]), (2, "two " + short)]
+    data = [(d, t, None, None, None) for d, t in data]
+    docs = crowded(spark, data)
+    assert docs.where("doc_id IS NULL").selectExpr("hash(text) AS h").distinct().count() == 1
+    assert sorted(map(tuple, deduplicated(docs).collect()), key=str) == brute(data)
+
+
 def test_no_documents(spark):
     assert deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
