@@ -2,21 +2,26 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each value found is a protected entity c.
 A term t near it gives it away as far as their co-occurrence says: with pointwise mutual information I(c; t) = log(N *
-n(c, t) / (n(c) * n(t))) and c's own information -log(n(c) / N), the disclosure is their ratio, at most 1. n(c, t) and
-n(c) count different contexts of c (the words within CONTEXT words; copies of a passage count once), n(t) counts the
-documents with t over the whole corpus, N all documents. A term with MIN_SUPPORT or more contexts that discloses more
-than REMOVE is removed from the documents that hold c, one above GENERALISE is replaced by its general class.
+n(c, t) / (n(c) * n(t))) and c's own information -log(n(c) / N), the disclosure is their ratio, at most 1. All four count
+different texts, so copies change nothing: n(c, t) those with t within CONTEXT words of c, n(c) and n(t) those that hold
+c or t anywhere, N all. A term that discloses more than REMOVE is removed from the documents that hold c, one above
+GENERALISE is replaced by its general class.
 
-Only co-occurrence rows are shuffled, summed in each task first; texts are read again only for the documents that hold
-a disclosing term.
+Evidence is needed too: of m different contexts of c (the words around it; a passage that several texts share is one), k
+with t must be two or more and unlikely by chance. The chance that k of m hold t is at most (m / k * e * n(t) / N) ** k,
+which is exp(-k * (log(k * N / (m * n(t))) - 1)); it must be under CHANCE. So two contexts are enough for a rare term,
+and a frequent one needs more.
 
-Edge cases: a null text is empty; empty texts have no spans; rows that repeat are returned each, and count once as
-contexts; no documents give no rows; other columns are ignored by personal_data() and kept by sanitised().
+Each text's different terms are shuffled, so that those of copies are counted once; besides, only co-occurrence rows are,
+summed in each task first. Texts are read again only for the documents that hold a disclosing term.
+
+Edge cases: a null text is empty; empty texts have no spans; rows that repeat are returned each, and count once; no documents give no rows; other columns are ignored by personal_data() and kept by sanitised().
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import documents, map_arrow, written
 
 CONTEXT = 8
-MIN_SUPPORT = 3
+MIN_CONTEXTS, CHANCE = 2, 0.001
 GENERALISE, REMOVE = 0.7, 0.85
 KINDS = ("email", "ip", "card", "phone")
 
@@ -103,15 +108,16 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """docs with __key, a hash that tells rows apart wherever their results may differ."""
-    return docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("string")))
+    """docs with __key, a hash that tells rows apart wherever their results may differ, and __text, one of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"__key": F.xxhash64(text, F.col("doc_id").cast("string")), "__text": F.xxhash64(text)})
 
 
-FOUND = "__key long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, contexts array<struct<c:long,seen:long,terms:array<string>>>"
+FOUND = "__key long, __text long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, contexts array<struct<c:long,seen:long,terms:array<string>>>"
 
 
 def found_base(docs: DataFrame) -> DataFrame:
-    """__key, doc_id, a count of each kind, the base spans and their contexts."""
+    """__key, __text, doc_id, a count of each kind, the base spans and their contexts."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("c", pa.int64()), ("seen", pa.int64()), ("terms", pa.list_(pa.string()))]))
@@ -125,43 +131,51 @@ def found_base(docs: DataFrame) -> DataFrame:
                 near.append([{"c": c, "seen": s, "terms": t} for c, s, t in contexts(text or "", spans)])
             table = np.array(counts, dtype=np.int64).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays(
-                [batch["__key"], batch["doc_id"], *(pa.array(table[:, k]) for k in range(len(KINDS))), pa.array(bases, type=pa.string()), pa.array(near, type=kind)],
-                names=["__key", "doc_id", *(f"n_{k}" for k in KINDS), "base", "contexts"],
+                [batch["__key"], batch["__text"], batch["doc_id"], *(pa.array(table[:, k]) for k in range(len(KINDS))), pa.array(bases, type=pa.string()), pa.array(near, type=kind)],
+                names=["__key", "__text", "doc_id", *(f"n_{k}" for k in KINDS), "base", "contexts"],
             )
 
-    return map_arrow(docs.select("__key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), f, FOUND)
+    return map_arrow(docs.select("__key", "__text", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), f, FOUND)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """t, n: in how many documents each term is, over whole texts."""
+    """t, n: in how many different texts each term is, over whole texts."""
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [" ".join(sorted(filter(is_term, set(_TERM.findall((text or "").lower()))))) for text in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["__text"], pa.array(terms, type=pa.string())], names=["__text", "terms"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(n), type=pa.string()), pa.array(list(n.values()), type=pa.int64())], names=["t", "n"])
 
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                if text:
-                    n.update(set(_TERM.findall(text.lower())))
+            for terms in batch["terms"].to_pylist():
+                n.update(terms.split())
             if len(n) > 200_000:
                 yield out()
                 n.clear()
         yield out()
 
-    return map_arrow(docs.select(F.col("text").cast("string").alias("text")), f, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    once = map_arrow(docs.select("__text", F.col("text").cast("string").alias("text")), different, "__text long, terms string").dropDuplicates(["__text"])
+    return map_arrow(once.select("terms"), count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """c, t, remove: the terms that give an entity away, and whether they must go (or be generalised)."""
-    total = found.count()
-    seen = found.select(F.explode("contexts").alias("x")).select("x.*").dropDuplicates(["c", "seen"])
-    of_entity = seen.groupBy("c").agg(F.count("*").alias("n_c"))
-    pairs = seen.select("c", F.explode("terms").alias("t")).groupBy("c", "t").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= MIN_SUPPORT)
-    joined = pairs.join(of_entity, "c").join(term_counts(docs), "t")
-    ratio: Column = F.log(F.lit(float(max(total, 2))) * F.col("n_ct") / (F.col("n_c") * F.greatest("n", "n_ct"))) / F.log(F.lit(float(max(total, 2) + 1)) / F.col("n_c"))
-    return joined.select("c", "t", ratio.alias("disclosure")).where(F.col("disclosure") > GENERALISE).select("c", "t", (F.col("disclosure") > REMOVE).alias("remove"))
+    total = float(max(found.select("__text").distinct().count(), 2))
+    seen = found.select("__text", F.explode("contexts").alias("x")).select("__text", "x.*").dropDuplicates(["__text", "c", "seen"])
+    of_entity = seen.groupBy("c").agg(F.count_distinct("__text").alias("n_c"), F.count_distinct("seen").alias("m"))
+    near = seen.select("__text", "c", "seen", F.explode("terms").alias("t"))
+    pairs = near.groupBy("c", "t").agg(F.count_distinct("__text").alias("n_ct"), F.count_distinct("seen").alias("k")).where(F.col("k") >= MIN_CONTEXTS)
+    joined = pairs.join(of_entity, "c").join(term_counts(docs), "t").withColumn("n", F.greatest("n", "n_ct"))
+    ratio: Column = F.log(F.lit(total) * F.col("n_ct") / (F.col("n_c") * F.col("n"))) / F.log(F.lit(total + 1) / F.col("n_c"))
+    evidence = F.col("k") * (F.log(F.lit(total) * F.col("k") / (F.col("m") * F.col("n"))) - 1)
+    found = joined.where(evidence > -math.log(CHANCE)).select("c", "t", ratio.alias("disclosure"))
+    return found.where(F.col("disclosure") > GENERALISE).select("c", "t", (F.col("disclosure") > REMOVE).alias("remove"))
 
 
 def document_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -222,7 +236,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     keyed = with_key(docs)
     found = written(found_base(keyed), "personal")
     terms = written(document_terms(keyed, found), "terms")
-    joined = keyed.join(terms.withColumnRenamed("terms", "__terms"), F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
+    joined = keyed.join(terms.withColumnRenamed("terms", "__terms"), F.col("__key") == F.col("__k"), "left").drop("__key", "__k", "__text")
     at = docs.columns.index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,6 +88,25 @@ def test_disclosing_terms(spark):
     assert all(got[d].spans == digest(t)[1] for d, t, *_ in data[6:])
 
 
+def test_copies_and_rare_terms_disclose(spark):
+    rng = random.Random(4)
+    common = [f"word{c}" for c in "abcdefghijklmnopqrst"]
+    words = lambda n: " ".join(rng.choices(common, k=n))
+    beside = lambda name, mail: f"{words(12)} {name} {words(2)} {mail} {words(12)}"
+    hot = [beside("Zebedee", "joan@home.example") for _ in range(3)]
+    data = [(i, t, "en", "s", None) for i, t in enumerate(hot + hot[:1] * 200)]  # three contexts, one with many copies
+    data += [(1000 + i, beside("Ozymandias", "tom@home.example"), "en", "s", None) for i in range(2)]
+    data += [(2000 + i, beside("Lancelot" if i < 2 else "", f"kay{min(i, 2)}@home.example"), "en", "s", None) for i in range(3)]  # one context for each value
+    data += [(3000 + i, words(60), "en", "s", None) for i in range(1000)]
+    got = {r.doc_id: r for r in personal_data(frame(spark, data)).collect()}
+    for d, t, *_ in data:
+        want = [digest(t)[1]] if digest(t)[1] else []
+        for name in ("Zebedee", "Ozymandias"):
+            if name in t:
+                want = [f"removed:{t.index(name)}:{t.index(name) + len(name)}", *want]
+        assert got[d].spans == ",".join(want)
+
+
 def test_sanitised(spark):
     docs = crowded(spark, planted() + rows())
     out = sanitised(docs)
