@@ -10,6 +10,9 @@ stretch of text and its signature represent them all.
 * The different stretches of one anchor may still share windows. One text of each goes to a shard by the anchor's hash;
   the shard's suffixes are sorted by external induced sorting (suffix_sort.py), and windows that agree with a neighbour
   in WINDOW bytes are repeated. Agreement is exact: the suffixes' bytes are compared.
+* An anchor with more than HOT_BYTES of different stretches is not held in memory: its bytes go to a file, its windows'
+  hashes to buckets of bounded size on disk, and each bucket is sorted by itself; windows with equal hashes are compared
+  in the file. Memory holds one bucket, and two numbers for each stretch.
 
 A common passage has few different stretches, so it is sorted once, however many documents hold it.
 
@@ -21,6 +24,9 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +42,10 @@ GRAM = 64
 #: Bytes of stretches that a shard's sort takes at once, and suffixes that its queues hold in memory.
 SHARD_BYTES = 2 << 20
 QUEUE_MEMORY = 1 << 21
+#: An anchor with more bytes of different stretches than this is not sorted in memory but in buckets on disk, of so many
+#: windows each.
+HOT_BYTES = 8 << 20
+BUCKET_WINDOWS = 2 << 20
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -117,37 +127,132 @@ def repeated_windows(bodies: list[bytes], memory: int = QUEUE_MEMORY) -> list[np
     return [np.flatnonzero(hit[e - n - 1 : e - 1]) for e, n in zip(ends, lengths)]
 
 
-def sorted_shards(bodies: DataFrame, memory: int = QUEUE_MEMORY) -> DataFrame:
+class HotAnchor:
+    """The different stretches of one anchor, on disk; which of their windows are repeated, at the memory of one bucket."""
+
+    def __init__(self, anchor: int, bucket: int = BUCKET_WINDOWS):
+        self.anchor, self.bucket = anchor, bucket
+        self.folder = tempfile.TemporaryDirectory()
+        self.file = open(os.path.join(self.folder.name, "bytes"), "wb")
+        self.sigs, self.lengths = array("q"), array("q")
+
+    def add(self, sig: int, body: bytes) -> None:
+        self.sigs.append(sig)
+        self.lengths.append(len(body))
+        self.file.write(body)
+
+    def repeated(self) -> Iterator[tuple[int, np.ndarray]]:
+        """sig and where repeated windows start, of each stretch that has such."""
+        self.file.close()
+        with self.folder as folder:
+            total = sum(self.lengths)
+            data = np.memmap(os.path.join(folder, "bytes"), dtype=np.uint8, mode="r", shape=total)
+            hit = np.memmap(os.path.join(folder, "hits"), dtype=bool, mode="w+", shape=total)
+            n = max(1, -(-total // self.bucket))
+            paths = [os.path.join(folder, f"bucket-{i}") for i in range(n)]
+            at = 0
+            for a, b in chunks(self.lengths):
+                lengths = np.array(self.lengths[a:b])
+                ends = np.cumsum(lengths)
+                places = np.flatnonzero(np.repeat(ends, lengths) - np.arange(ends[-1]) >= WINDOW)
+                marks = PrefixHash(np.asarray(data[at : at + ends[-1]])).between(places, places + WINDOW)
+                own = marks % np.uint64(n)
+                order = np.argsort(own, kind="stable")
+                rows = np.stack([marks, (places + at).astype(np.uint64)], axis=1)[order]
+                cuts = np.searchsorted(own[order], np.arange(n + 1, dtype=np.uint64))
+                for i in np.flatnonzero(np.diff(cuts)).tolist():
+                    with open(paths[i], "ab") as f:
+                        rows[cuts[i] : cuts[i + 1]].tofile(f)
+                at += int(ends[-1])
+            for path in filter(os.path.exists, paths):
+                self._bucket(np.fromfile(path, dtype=np.uint64).reshape(-1, 2), data, hit)
+                os.remove(path)
+            at = 0
+            for sig, length in zip(self.sigs, self.lengths):
+                starts = np.flatnonzero(hit[at : at + length])
+                if len(starts):
+                    yield sig, starts
+                at += length
+
+    @staticmethod
+    def _bucket(rows: np.ndarray, data: np.ndarray, hit: np.ndarray) -> None:
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        marks, places = rows[:, 0], rows[:, 1].astype(np.int64)
+        same = np.flatnonzero(marks[1:] == marks[:-1])
+        for a in range(0, len(same), 20_000):
+            x, y = places[same[a : a + 20_000]], places[same[a : a + 20_000] + 1]
+            ok = (data[x[:, None] + np.arange(WINDOW)] == data[y[:, None] + np.arange(WINDOW)]).all(axis=1)
+            hit[x[ok]] = hit[y[ok]] = True
+            for m in set(marks[same[a : a + 20_000][~ok]].tolist()):  # different windows with one hash: told apart by their bytes
+                first: dict[bytes, int] = {}
+                for p in places[np.searchsorted(marks, np.uint64(m)) : np.searchsorted(marks, np.uint64(m), "right")].tolist():
+                    if (q := first.setdefault(data[p : p + WINDOW].tobytes(), p)) != p:
+                        hit[p] = hit[q] = True
+
+
+def shard_spans(batches: Iterator[pa.RecordBatch], memory: int = QUEUE_MEMORY, hot: int = HOT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The work of a task of sorted_shards(): batches of hash, sig and body, ordered by hash."""
+
+    def out(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        rows = []
+        for h, s, starts in found:
+            mask = np.zeros(int(starts[-1]) + 1, dtype=bool)
+            mask[starts] = True
+            rows.append((h, s, [{"a": int(a), "b": int(b)} for a, b in zip(*runs(mask))]))
+        columns = list(zip(*rows)) or [(), (), ()]
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int64()), pa.array(columns[1], type=pa.int64()), pa.array(columns[2], type=kind)], names=["hash", "sig", "spans"])
+
+    def flush(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return out([(h, s, starts) for (h, s, _), starts in zip(rows, repeated_windows([b for _, _, b in rows], memory)) if len(starts)])
+
+    def flush_hot(anchor: HotAnchor) -> Iterator[pa.RecordBatch]:
+        part = []
+        for sig, starts in anchor.repeated():
+            part.append((anchor.anchor, sig, starts))
+            if len(part) == 10_000:
+                yield out(part)
+                part = []
+        yield out(part)
+
+    held: list[tuple[int, int, bytes]] = []
+    size = begin = own = 0  # bytes held, where the last anchor begins among them, and its bytes
+    large: HotAnchor | None = None
+    for batch in batches:
+        for row in zip(batch["hash"].to_pylist(), batch["sig"].to_pylist(), batch["body"].to_pylist()):
+            if large and row[0] != large.anchor:
+                yield from flush_hot(large)
+                large = None
+            if large:
+                large.add(row[1], row[2])
+                continue
+            if held and row[0] != held[-1][0]:
+                if size > SHARD_BYTES:
+                    yield flush(held)
+                    held, size = [], 0
+                begin, own = len(held), 0
+            held.append(row)
+            size += len(row[2])
+            own += len(row[2])
+            if own > hot:
+                large = HotAnchor(row[0])
+                for _, s, body in held[begin:]:
+                    large.add(s, body)
+                del held[begin:]
+                size, own = size - own, 0
+    if large:
+        yield from flush_hot(large)
+    if held:
+        yield flush(held)
+
+
+def sorted_shards(bodies: DataFrame, memory: int = QUEUE_MEMORY, hot: int = HOT_BYTES) -> DataFrame:
     """hash, sig, spans: the runs (a, b) of windows, from the stretch's start, that other stretches of the anchor have.
 
     A task has all stretches of its anchors, ordered by hash, and sorts the suffixes of some megabytes of them at once; an
-    anchor's stretches are never parted.
+    anchor's stretches are never parted, but beyond `hot` bytes they are compared on disk.
     """
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            out = []
-            for (h, s, _), starts in zip(held, repeated_windows([b for _, _, b in held], memory)):
-                if len(starts):
-                    mask = np.zeros(int(starts[-1]) + 1, dtype=bool)
-                    mask[starts] = True
-                    out.append((h, s, [{"a": int(a), "b": int(b)} for a, b in zip(*runs(mask))]))
-            columns = list(zip(*out)) or [(), (), ()]
-            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int64()), pa.array(columns[1], type=pa.int64()), pa.array(columns[2], type=kind)], names=["hash", "sig", "spans"])
-
-        held: list[tuple[int, int, bytes]] = []
-        size = 0
-        for batch in batches:
-            for row in zip(batch["hash"].to_pylist(), batch["sig"].to_pylist(), batch["body"].to_pylist()):
-                if size > SHARD_BYTES and row[0] != held[-1][0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
-        if held:
-            yield flush()
-
-    return map_arrow(bodies.repartition("hash").sortWithinPartitions("hash", "sig"), f, "hash long, sig long, spans array<struct<a:int,b:int>>")
+    return map_arrow(bodies.repartition("hash").sortWithinPartitions("hash", "sig"), lambda batches: shard_spans(batches, memory, hot), "hash long, sig long, spans array<struct<a:int,b:int>>")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
-from cartomill.llm.suffix_dedup import deduplicated, repeated_windows
+import numpy as np
+import pyarrow as pa
+
+from cartomill.llm.suffix_dedup import HotAnchor, deduplicated, repeated_windows, shard_spans
 
 from .cases import SCHEMA, crowded, rows, text
 
@@ -64,5 +68,44 @@ def test_texts_of_a_doc_id_that_collide_in_32_bits(spark):
     assert sorted(map(tuple, deduplicated(docs).collect()), key=str) == brute(data)
 
 
+def batches_of(rows):
+    for i in range(0, len(rows), 500):
+        part = rows[i : i + 500]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary())], names=["hash", "sig", "body"])
+
+
+def spans_of(rows, **options):
+    return sorted((r["hash"], r["sig"], str(r["spans"])) for b in shard_spans(batches_of(rows), **options) for r in b.to_pylist())
+
+
+def test_hot_anchor_on_disk():
+    rng = random.Random(9)
+    rows = []
+    for anchor in range(6):  # anchors share no windows
+        base = bytes(rng.choices(range(97, 101), k=900))
+        for i in range((3, 40, 2, 60, 1, 30)[anchor]):
+            a = rng.randrange(600)
+            rows.append((anchor, i, base[a : a + rng.randrange(200, 300)] + bytes(rng.choices(range(97, 123), k=rng.randrange(100)))))
+    want = spans_of(rows)
+    assert want and all(spans_of(rows, hot=hot) == want for hot in (100, 1000, 9000))
+    # windows whose hashes collide are told apart
+    data = np.frombuffer(base[:200] + b"x" * 200 + base[:200], dtype=np.uint8)
+    hit = np.zeros(600, dtype=bool)
+    HotAnchor._bucket(np.array([[5, 0], [5, 200], [5, 400]], dtype=np.uint64), data, hit)
+    assert np.flatnonzero(hit).tolist() == [0, 400]
+
+
+def test_hot_anchor_takes_bounded_memory():
+    data = np.random.default_rng(1).integers(97, 101, (40_000, 300), dtype=np.uint8)  # 12 MB of one anchor
+    data[-1] = data[0]
+    data[-1, 250] = 120
+    rows = [(1, i, body.tobytes()) for i, body in enumerate(data)]
+    tracemalloc.start()
+    found = spans_of(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[1] for f in found] == [0, 39_999] and peak < 300 << 20
+
+
 def test_no_documents(spark):
     assert deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
