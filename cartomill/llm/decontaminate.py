@@ -6,8 +6,9 @@ item. Its size is that of the benchmark: items are taken in blocks of at most BL
 broadcast automaton of bounded size, and a document passes all blocks in one stage without a shuffle.
 
 Edge cases: null, empty and wordless texts have no words and no hits; wordless items are ignored; item_ids that repeat
-count once; rows that repeat are returned each; no items or no documents give no hits or no rows; other columns are
-ignored by contamination() and kept by decontaminated().
+count once; items without an item_id hit like any other but are not among the items counted and named; rows that repeat
+are returned each; no items or no documents give no hits or no rows; other columns are ignored by contamination() and
+kept by decontaminated().
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ def words_of(text: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton; symbols are the numbers of the items' words."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window, self.number = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         owners: list[set[int]] = [set()]
         whole: list[tuple[int, int, int]] = []
         self.least = window
@@ -138,7 +139,7 @@ class Automaton:
 def automata(benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WORDS) -> Iterator[Automaton]:
     """Automata of the items (columns item_id and text), in blocks of bounded size."""
     held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL").toLocalIterator():
         words = words_of(r.t.encode())
         if held and size + len(words) > block:
             yield Automaton(held, window)
@@ -164,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     spans, items = b.value.hits(words)
                     for x, y in spans:
                         hit[x:y] = True
-                    names |= {b.value.names[i] for i in items}
+                    names |= {b.value.names[i] for i in items} - {None}
                 n = int(hit.sum())
                 digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
                 out.append((len(words), n, len(names), digest, n > 0 and COVERAGE * n >= len(words), [{"start": int(x), "end": int(y)} for x, y in zip(*runs(hit))]))

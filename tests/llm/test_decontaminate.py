@@ -69,3 +69,13 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(crowded(spark), none).where("n_hit > 0 OR contaminated").count() == 0
     assert contamination(spark.createDataFrame([], SCHEMA), none).count() == 0
+
+
+def test_items_without_an_id_hit(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, item), (4, "some other item of few words")], "item_id long, text string")
+    docs = crowded(spark, [(1, f"before {item} after", None, None, None), (2, "clean text", None, None, None), (3, f"{item} some other item of few words", None, None, None)])
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(docs, bench).collect()}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (20, 0, digest(""), True), 2: (0, 0, digest(""), False), 3: (26, 1, digest("4"), True)}
+    assert [r.doc_id for r in decontaminated(docs, bench).collect()] == [2]
