@@ -6,7 +6,7 @@ falling back to delta bit packing; small row groups, short pages and the column
 documents, or the metadata without the ids.
 
 The order comes from a range partitioning: Spark samples the keys, a shuffle brings each range of doc_ids to one task,
-and that task sorts it. A doc_id that many rows share is spread by a hash of the text.
+and that task sorts it. A doc_id that many rows share is spread by the rows' places in the input.
 
 Edge cases: a null or empty text is the end id alone; rows that repeat are written each; null doc_ids come first; no
 documents give an empty table; other columns are ignored.
@@ -52,9 +52,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, kind: str = "byte"
             )
             at += int(ends[-1])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = ("doc_id", F.xxhash64("text"))
-    ordered = docs.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the row's place in the input spreads a doc_id that many rows share, copies of one row too
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = docs.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     options = {
         "compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": "true",
         "parquet.writer.version": "PARQUET_2_0", "parquet.dictionary.page.size": 1 << 20,

@@ -1,23 +1,33 @@
-"""Fast, exact use of public BPE vocabularies.
+"""Fast, exact use of public BPE vocabularies through the tokenizers library.
 
-Both vocabularies split a text into pieces before merging, and no piece goes over the boundaries used here, so the ids
-of a text are the ids of its chunks. Chunks repeat; a worker keeps the ids of those it has seen as packed bytes, in a
-dictionary of bounded size, and the library encodes the others.
+Both vocabularies split a text into pieces before merging, and merge each piece by itself. Texts of PLAIN characters
+(ASCII, and letters of western languages that normal form C leaves alone) are cut into pieces here, by the vocabulary's
+own pattern, and the library's model merges them. Pieces repeat; a worker keeps the packed ids of those it has seen in a
+dictionary of bounded size. Other texts are cut into chunks at white space, over which no piece goes, and the library
+encodes chunks that a worker has not seen.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks in each of a worker's two generations.
-REMEMBERED = 600_000
-#: White space (as Unicode has it) beside U+0020 and U+000A, as UTF-8.
-_OTHER_SPACE_ASCII = (b"\t", b"\r", b"\x0b", b"\x0c")
-_OTHER_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_PAIRS = (b"  ", b" \n", b"\n ", b"\n\n")
+#: Keys in each of the two generations of a worker's memories.
+PIECES = 500_000
+CHUNKS = 100_000
+#: White space, as Unicode has it and some more.
+_ANY_SPACE = re.compile("[\\s\x1c-\x1f\x85\u180e\u2000-\u203f]")
+
+# Fixed patterns of the two vocabularies, for PLAIN characters; what is most frequent stands first where order is free.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
+_SPACE = r"\t\n\x0b\x0c\r "
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+PLAIN = re.compile(rf"(?:[{_SPACE}!-;=-~{_LETTER}]++|<(?!\|))*+")  # special tokens, which the library finds in any text, begin with <|
+WORD_PIECES = re.compile(rf"[{_LETTER}]++|[0-9]|{_ENDINGS}|[^{_SPACE}{_LETTER}0-9]++")
+BYTE_PIECES = re.compile(rf" ?[{_LETTER}]++| ?[0-9]++|{_ENDINGS}| ?[^{_SPACE}{_LETTER}0-9]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
@@ -29,87 +39,127 @@ def encoder(path: str, kind: str) -> "Encoder":
     return _encoders[path, kind]
 
 
+def byte_symbols() -> dict[int, int]:
+    """How byte-level vocabularies write each byte: visible Latin-1 characters as themselves, the others from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: 0x100 + i for i, b in enumerate(rest)}
+
+
+_SYMBOLS = byte_symbols()
+
+
 class Memory:
     """Values of keys, in two generations: when the young one is full it becomes the old one, and what is asked for
     again moves on, so frequent keys stay."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int, make: Callable):
+        self.size, self.make = size, make
         self.young: dict = {}
         self.old: dict = {}
 
-    def filled(self, keys: list[bytes], values: list[bytes | None], make: Callable[[list[bytes]], list[bytes]]) -> None:
-        """Puts the values that the young generation lacks into `values`."""
-        if len(self.young) > REMEMBERED:
+    def of(self, keys: list) -> list[bytes] | None:
+        """The keys' values; None if some key has none."""
+        values = list(map(self.young.get, keys))
+        if None not in values:
+            return values
+        if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        places = [i for i, v in enumerate(values) if v is None]
-        lacking = {keys[i] for i in places}
-        known = {k: self.old[k] for k in lacking if k in self.old}
-        new = [k for k in lacking if k not in known]
-        known.update(zip(new, make(new)))
-        self.young.update(known)
-        for i in places:
-            values[i] = known[keys[i]]
+        young, old = self.young, self.old
+        for i, v in enumerate(values):
+            if v is None:
+                k = keys[i]
+                v = young.get(k)  # an earlier place among these keys
+                if v is None:
+                    v = old.get(k)
+                    if v is None:
+                        v = self.make(k)
+                        if v is None:
+                            return None
+                    young[k] = v
+                values[i] = v
+        return values
 
 
 class Encoder:
+    pattern: re.Pattern
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memory = Memory()
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
-
-    def text_of(self, key: bytes) -> str:
-        """The text whose ids a key stands for."""
-        return key.decode()
-
-    def of_keys(self, keys: list[bytes]) -> list[bytes]:
-        return self.plain(list(map(self.text_of, keys)))
+        self.model = self.tokenizer.model
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.id_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
+        self.chunks, self.pieces = Memory(CHUNKS, self.of_chunk), Memory(PIECES, self.merged)
+
+    def whole(self, text: str) -> bytes:
+        """The library's whole path."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
+
+    def merged(self, piece: str) -> bytes:
+        """The ids of one piece, by the library's model."""
+        lead, rest = ("\u0120", piece[1:]) if piece[0] == " " else ("", piece)  # what _SYMBOLS has for a space
+        symbols = lead + rest if rest.isascii() and rest.isalnum() else piece.encode().decode("latin-1").translate(_SYMBOLS)
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.model.tokenize(symbols)])
+
+    def normal(self, text: str) -> str:
+        return text
+
+    def of_chunk(self, key: bytes) -> bytes | None:
+        """The ids that a chunk's key stands for; None if its text must be encoded whole."""
+        raise NotImplementedError
 
-    def keys(self, text: bytes) -> list[bytes] | None:
-        """Keys whose ids, one after another, are those of the text; None if it must be encoded whole."""
+    def keys(self, text: bytes) -> list[bytes]:
+        """Keys of a text's chunks, whose ids, one after another, are those of the text, unless one of them has none."""
         raise NotImplementedError
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, packed as self.dtype."""
         out: list[bytes] = []
-        for text in texts:
-            keys = self.keys(text)
-            if keys is None:
-                out.append(self.plain([text.decode()])[0])
-                continue
-            values = list(map(self.memory.young.get, keys))
-            if None in values:
-                self.memory.filled(keys, values, self.of_keys)
-            out.append(b"".join(values))
+        for raw in texts:
+            text = raw.decode()
+            if PLAIN.fullmatch(text):
+                values = self.pieces.of(self.pattern.findall(self.normal(text)))
+            else:
+                values = self.chunks.of(self.keys(raw))
+            out.append(self.whole(text) if values is None else b"".join(values))
         return out
 
 
 class WordEncoder(Encoder):
     """White space only separates, so chunks are what ASCII white space separates."""
 
-    def keys(self, text: bytes) -> list[bytes] | None:
+    pattern = WORD_PIECES
+
+    def normal(self, text: str) -> str:
+        return text.lower()
+
+    def of_chunk(self, key: bytes) -> bytes:
+        return self.whole(key.decode())
+
+    def keys(self, text: bytes) -> list[bytes]:
         return text.split()
 
 
 class ByteEncoder(Encoder):
     """A chunk is a word with the space before it, or the first word of a line with the line break before it. Texts with
-    other white space, or with white space at an end or next to more of it, are encoded whole. Keys: a word stands for
-    itself after a space, one after U+000A for itself after that; the text's first word follows U+000D, which such a
-    text lacks, and has nothing before it."""
-
-    def text_of(self, key: bytes) -> str:
-        return key[1:].decode() if key[:1] == b"\r" else key.decode() if key[:1] == b"\n" else " " + key.decode()
-
-    def keys(self, text: bytes) -> list[bytes] | None:
-        if not text:
-            return []
-        odd = text[:1] in b" \n" or text[-1:] in b" \n" or any(p in text for p in _PAIRS) or any(p in text for p in _OTHER_SPACE_ASCII)
-        if odd or not text.isascii() and any(p in text for p in _OTHER_SPACE):
-            return None
-        return (b"\r" + text).replace(b"\n", b" \n").split(b" ")
+    other white space, or with white space at an end or next to more of it, are encoded whole: their keys show it.
+
+    Keys: a word stands for itself after a space, one after U+000A for itself after that; the text's first word follows
+    U+000D and has nothing before it."""
+
+    pattern = BYTE_PIECES
+
+    def of_chunk(self, key: bytes) -> bytes | None:
+        text = key.decode()
+        first, word = (text[0], text[1:]) if text[:1] in ("\r", "\n") else (" ", text)
+        return None if not word or _ANY_SPACE.search(word) else self.whole(first.strip("\r") + word)
+
+    def keys(self, text: bytes) -> list[bytes]:
+        if b"\r" in text:
+            return [b""]
+        return (b"\r" + text).replace(b"\n", b" \n").split(b" ") if text else []
