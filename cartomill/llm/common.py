@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,13 +28,14 @@ def documents(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("doc
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share; one of our own only where the session names none and runs in one process."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cartomill-"))
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cartomill-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
@@ -42,7 +44,35 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Removes folders of the shared file system."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """written(), in as many buckets as the session has shuffle partitions. Each task writes its own files, nothing is
+    shuffled, and a join on `by` moves only its other side."""
+    spark = df.sparkSession
+    table = f"cartomill_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).bucketBy(n, *by).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.written_at = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once all that is derived from them is written too."""
+    for df in tables:
+        deleted(df.sparkSession, df.written_at)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -81,6 +111,18 @@ def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def text_digest(column: str = "text") -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(F.col(column), 256), 1, 32))
+
+
+def digests(data: bytes | np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of the BLAKE2b of each range of data, as two columns of signed numbers: what decides that bytes are equal."""
+    view, make = memoryview(data), hashlib.blake2b
+    raw = b"".join([make(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+
+
 class PrefixHash:
     """Hashes of all substrings of a byte string at two array lookups each.
 
@@ -129,7 +171,7 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64)
-    low = np.uint64((1 << int(len(values)).bit_length()) - 1)
+    low = np.uint64((1 << 32) - 1)  # whatever the length, so that equal windows agree
     keys = np.full(len(values) + -len(values) % width, ~np.uint64(0))
     keys[: len(values)] = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     blocks = keys.reshape(-1, width)

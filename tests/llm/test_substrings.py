@@ -5,7 +5,8 @@ import numpy as np
 
 from cartomill.llm import substrings
 from cartomill.llm.common import window_minima
-from cartomill.llm.substrings import FingerprintIndex, kept, with_text_hash
+from cartomill.llm.common import shared_dir
+from cartomill.llm.substrings import FingerprintIndex, kept, keyed, long_stretches
 
 from .cases import SCHEMA, crowded, rows, text
 
@@ -56,19 +57,52 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, got.collect()), key=str) == brute(data)
 
 
-def test_batches_arrive_in_any_order(spark):
-    """What a batch loses does not depend on how history was batched, and compaction keeps the index whole."""
+def test_index_is_reopened_and_compacted(spark):
+    """Ten small batches, each by an index opened anew, lose what one run loses; a batch moves nothing of history."""
     data = [r for r in passages(3) if r[0] is not None]
-    want = {(d, n): s for d, n, _, s in brute(data)}
-    docs = with_text_hash(crowded(spark, data))
-    index, known = FingerprintIndex(most_runs=1), None
-    seen = 0
-    for lo, hi in ((0, 10), (10, 30), (30, 50), (50, 99)):
-        part = docs.where(f"doc_id >= {lo} AND doc_id < {hi}")
-        known = part if known is None else known.unionByName(part)
-        seen += index.insert(part, known).count()
-        assert len(index.runs) <= 2
-    assert seen and want
+    docs = keyed(crowded(spark, data))
+    path = f"{shared_dir(spark)}/index-test"
+    lost = {}
+    for lo in range(0, 60, 6):
+        index = FingerprintIndex(spark, path, most_runs=3)
+        _, spans = index.insert(docs.where(f"doc_id >= {lo} AND doc_id < {lo + 6}"))
+        assert len(index.runs) <= 3 and index.version > 0
+        for r in spans.collect():
+            lost.setdefault(r.doc_id, []).append(sorted({w for s in r.spans for w in range(s.a, s.b)}))
+    again = FingerprintIndex(spark, path)
+    assert again.runs == index.runs and again.buckets == index.buckets
+    plan = again.history("run")[0].join(again.history("run")[1].select("hash").distinct(), "hash", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")
+    want = {}
+    for d, n, gone, _ in brute(data):
+        if gone:
+            want.setdefault(d, []).append(gone)
+    assert {d: sorted(map(len, x)) for d, x in lost.items()} == {d: sorted(set(x)) if len(x) > len(lost[d]) else sorted(x) for d, x in want.items()}
+    again.delete()
+
+
+def test_batches_and_compaction_change_nothing(spark):
+    data = passages(4)
+    for batches, most in ((1, 4), (6, 2)):
+        assert sorted(map(tuple, kept(crowded(spark, data), batches, most_runs=most).collect()), key=str) == brute(data)
+
+
+def test_words_whose_polynomial_hashes_are_equal(spark):
+    """A word and its complement of 2,048 letters by the parity of the bits of their places hash alike modulo 2**64."""
+    a, b = ("".join("ab"[(i.bit_count() + x) % 2] for i in range(2048)) for x in (0, 1))
+    rest = " ".join(f"word{i}" for i in range(49))
+    data = [(1, f"{a} {rest}", None, None, None), (2, f"{b} {rest}", None, None, None), (3, f"{a} {rest} more", None, None, None)]
+    assert sorted(map(tuple, kept(crowded(spark, data)).collect()), key=str) == brute(data)
+
+
+def test_long_texts_are_hashed_in_blocks():
+    rng = random.Random(5)
+    words = [rng.choice("ab") + str(rng.randrange(200)) for _ in range(900)]
+    body = " \n".join(words).encode()
+    seen = []
+    for _, _, _, _, first, n in long_stretches(body, block=100):
+        seen += [i for f, k in zip(first.tolist(), n.tolist()) for i in range(f, f + k)]
+    assert seen == list(range(900 - 49))
 
 
 def test_no_documents(spark):
