@@ -6,7 +6,8 @@ windows have equal anchors at equal places. The windows that hang on one occurre
 stretch of text and its signature represent them all.
 
 * An anchor that occurs once has no repeated window; its text is never moved.
-* A stretch that occurs twice or more (equal anchor and signature, 128 bits) is repeated whole.
+* A stretch that occurs twice or more is repeated whole. Anchors only find candidates; equal is what has equal
+  signatures, 128 bits of the BLAKE2b of a stretch's bytes, for which different bytes cannot be built.
 * The different stretches of one anchor may still share windows. One text of each goes to a shard by the anchor's hash;
   the shard's suffixes are sorted by external induced sorting (suffix_sort.py), and windows that agree with a neighbour
   in WINDOW bytes are repeated. Agreement is exact: the suffixes' bytes are compared.
@@ -17,8 +18,9 @@ stretch of text and its signature represent them all.
 A common passage has few different stretches, so it is sorted once, however many documents hold it.
 
 Edge cases: a null text is empty; texts under WINDOW bytes lose nothing; rows that repeat are occurrences of their own,
-so they lose all their bytes from WINDOW on; a null doc_id is as any other; no documents give no rows; other columns are
-ignored.
+so they lose all their bytes from WINDOW on; a null doc_id is as any other, and rows of one doc_id are told apart by 128
+bits of their text's SHA-256; very long texts are cut into blocks of windows, so memory does not grow with a text's anchors;
+no documents give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, chunks, documents, map_arrow, runs, text_bytes, window_minima, written
+from .common import CHUNK_BYTES, PrefixHash, chunks, digests, documents, forgotten, map_arrow, runs, text_bytes, text_digest, window_minima, written
 from .suffix_sort import sort_suffixes
 
 WINDOW = 200
@@ -49,10 +51,10 @@ BUCKET_WINDOWS = 2 << 20
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """text, hash, sig, first, n of each stretch: n windows of a text from byte `first` on that hang on one anchor."""
+    """text, hash, s1, s2, first, n of each stretch: n windows of a text from byte `first` on that hang on one anchor."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    none = tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+    none = tuple(np.empty(0, dtype=np.int64) for _ in range(6))
     if len(data) < WINDOW:
         return none
     h, at = PrefixHash(data), np.arange(len(data) - GRAM + 1)
@@ -66,41 +68,52 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     anchor = anchor[window]
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
     first, n = window[new], np.diff(np.append(np.flatnonzero(new), len(window)))
-    sig = h.between(first, first + n + WINDOW - 1) ^ (anchor[new] - first).astype(np.uint64)
+    sig = digests(data, first, first + n + WINDOW - 1)
     who = owner[first]
-    return who, grams[anchor[new]].view(np.int64), sig.view(np.int64), first - (ends - lengths)[who], n
+    return who, grams[anchor[new]].view(np.int64), sig[:, 0], sig[:, 1], first - (ends - lengths)[who], n
+
+
+def long_stretches(text: bytes, block: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """stretches() of one text, a block of windows at a time; a stretch over an edge is two."""
+    for a in range(0, len(text) - WINDOW + 1, block):
+        who, h, s1, s2, first, n = stretches([text[a : a + block + WINDOW - 1]])
+        yield who, h, s1, s2, first + a, n
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key: equal rows share a key, and so what they lose; other rows don't: a hot doc_id has many texts."""
+    """doc_id, text, d, t: equal rows share d and t, and so what they lose; other rows don't: a hot doc_id has many texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.withColumn("key", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("l")))
+    return docs.withColumns({"d": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "t": text_digest()})
 
 
 def stretch_rows(docs: DataFrame) -> DataFrame:
-    """d, h, l, hash, sig, first, n."""
+    """d, t, hash, s1, s2, first, n."""
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, key = text_bytes(batch["text"]), {c: batch[c].to_numpy() for c in ("d", "h", "l")}
+            texts, keys = text_bytes(batch["text"]), (batch["d"], batch["t"])
             for a, b in chunks(list(map(len, texts))):
-                who, gram, sig, first, n = stretches(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*(pa.array(k[a:b][who]) for k in key.values()), pa.array(gram), pa.array(sig), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=[*key, "hash", "sig", "first", "n"])
+                for who, gram, s1, s2, first, n in long_stretches(texts[a]) if b == a + 1 else [stretches(texts[a:b])]:
+                    own = pa.array(who + a)
+                    yield pa.RecordBatch.from_arrays([*(k.take(own) for k in keys), pa.array(gram), pa.array(s1), pa.array(s2), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["d", "t", "hash", "s1", "s2", "first", "n"])
 
-    return map_arrow(docs.select("key.d", "key.h", "key.l", "text"), f, "d long, h long, l int, hash long, sig long, first int, n int")
+    return map_arrow(docs.select("d", "t", "text"), f, "d long, t binary, hash long, s1 long, s2 long, first int, n int")
 
 
 def stretch_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, sig, body: the bytes of each wanted stretch (d, h, l, hash, sig, first, n)."""
-    places = wanted.groupBy(F.struct("d", "h", "l").alias("k")).agg(F.collect_list(F.struct("hash", "sig", "first", "n")).alias("places"))
-    joined = docs.join(places, F.col("key") == F.col("k")).select("key", "text", "places").dropDuplicates(["key"]).select("text", "places")
+    """hash, sig (s1 and s2), body: the bytes of each wanted stretch (d, t, hash, s1, s2, first, n)."""
+    places = wanted.groupBy(F.col("d").alias("kd"), F.col("t").alias("kt")).agg(F.collect_list(F.struct("hash", "s1", "s2", "first", "n")).alias("places"))
+    joined = docs.join(places, (F.col("d") == F.col("kd")) & (F.col("t") == F.col("kt"))).select("d", "t", "text", "places").dropDuplicates(["d", "t"]).select("text", "places")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(p["hash"], p["sig"], text[p["first"] : p["first"] + p["n"] + WINDOW - 1]) for text, places in zip(text_bytes(batch["text"]), batch["places"].to_pylist()) for p in places]
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int64()), pa.array(columns[1], type=pa.int64()), pa.array(columns[2], type=pa.binary())], names=["hash", "sig", "body"])
+            for text, places in zip(text_bytes(batch["text"]), batch["places"]):
+                own = [places.values.field(c) for c in ("hash", "s1", "s2", "first", "n")]
+                for a in range(0, len(own[0]), 20_000):
+                    part = [c.slice(a, 20_000) for c in own]
+                    bodies = [text[i : i + n + WINDOW - 1] for i, n in zip(part[3].to_pylist(), part[4].to_pylist())]
+                    yield pa.RecordBatch.from_arrays([*part[:3], pa.array(bodies, type=pa.binary())], names=["hash", "s1", "s2", "body"])
 
-    return map_arrow(joined, f, "hash long, sig long, body binary")
+    return map_arrow(joined, f, "hash long, s1 long, s2 long, body binary")
 
 
 def repeated_windows(bodies: list[bytes], memory: int = QUEUE_MEMORY) -> list[np.ndarray]:
@@ -136,12 +149,12 @@ class HotAnchor:
         self.file = open(os.path.join(self.folder.name, "bytes"), "wb")
         self.sigs, self.lengths = array("q"), array("q")
 
-    def add(self, sig: int, body: bytes) -> None:
-        self.sigs.append(sig)
+    def add(self, sig: tuple[int, int], body: bytes) -> None:
+        self.sigs.extend(sig)
         self.lengths.append(len(body))
         self.file.write(body)
 
-    def repeated(self) -> Iterator[tuple[int, np.ndarray]]:
+    def repeated(self) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
         """sig and where repeated windows start, of each stretch that has such."""
         self.file.close()
         with self.folder as folder:
@@ -168,7 +181,7 @@ class HotAnchor:
                 self._bucket(np.fromfile(path, dtype=np.uint64).reshape(-1, 2), data, hit)
                 os.remove(path)
             at = 0
-            for sig, length in zip(self.sigs, self.lengths):
+            for sig, length in zip(zip(self.sigs[::2], self.sigs[1::2]), self.lengths):
                 starts = np.flatnonzero(hit[at : at + length])
                 if len(starts):
                     yield sig, starts
@@ -191,19 +204,19 @@ class HotAnchor:
 
 
 def shard_spans(batches: Iterator[pa.RecordBatch], memory: int = QUEUE_MEMORY, hot: int = HOT_BYTES) -> Iterator[pa.RecordBatch]:
-    """The work of a task of sorted_shards(): batches of hash, sig and body, ordered by hash."""
+    """The work of a task of sorted_shards(): batches of hash, s1, s2 and body, ordered by hash."""
 
-    def out(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    def out(found: list[tuple[int, tuple[int, int], np.ndarray]]) -> pa.RecordBatch:
         rows = []
         for h, s, starts in found:
             mask = np.zeros(int(starts[-1]) + 1, dtype=bool)
             mask[starts] = True
-            rows.append((h, s, [{"a": int(a), "b": int(b)} for a, b in zip(*runs(mask))]))
-        columns = list(zip(*rows)) or [(), (), ()]
+            rows.append((h, *s, [{"a": int(a), "b": int(b)} for a, b in zip(*runs(mask))]))
+        columns = list(zip(*rows)) or [()] * 4
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int64()), pa.array(columns[1], type=pa.int64()), pa.array(columns[2], type=kind)], names=["hash", "sig", "spans"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.int64()) for c in columns[:3]), pa.array(columns[3], type=kind)], names=["hash", "s1", "s2", "spans"])
 
-    def flush(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def flush(rows: list[tuple[int, tuple[int, int], bytes]]) -> pa.RecordBatch:
         return out([(h, s, starts) for (h, s, _), starts in zip(rows, repeated_windows([b for _, _, b in rows], memory)) if len(starts)])
 
     def flush_hot(anchor: HotAnchor) -> Iterator[pa.RecordBatch]:
@@ -215,11 +228,11 @@ def shard_spans(batches: Iterator[pa.RecordBatch], memory: int = QUEUE_MEMORY, h
                 part = []
         yield out(part)
 
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[int, tuple[int, int], bytes]] = []
     size = begin = own = 0  # bytes held, where the last anchor begins among them, and its bytes
     large: HotAnchor | None = None
     for batch in batches:
-        for row in zip(batch["hash"].to_pylist(), batch["sig"].to_pylist(), batch["body"].to_pylist()):
+        for row in zip(batch["hash"].to_pylist(), zip(batch["s1"].to_pylist(), batch["s2"].to_pylist()), batch["body"].to_pylist()):
             if large and row[0] != large.anchor:
                 yield from flush_hot(large)
                 large = None
@@ -247,34 +260,39 @@ def shard_spans(batches: Iterator[pa.RecordBatch], memory: int = QUEUE_MEMORY, h
 
 
 def sorted_shards(bodies: DataFrame, memory: int = QUEUE_MEMORY, hot: int = HOT_BYTES) -> DataFrame:
-    """hash, sig, spans: the runs (a, b) of windows, from the stretch's start, that other stretches of the anchor have.
+    """hash, s1, s2, spans: the runs (a, b) of windows, from the stretch's start, that other stretches of the anchor have.
 
     A task has all stretches of its anchors, ordered by hash, and sorts the suffixes of some megabytes of them at once; an
     anchor's stretches are never parted, but beyond `hot` bytes they are compared on disk.
     """
-    return map_arrow(bodies.repartition("hash").sortWithinPartitions("hash", "sig"), lambda batches: shard_spans(batches, memory, hot), "hash long, sig long, spans array<struct<a:int,b:int>>")
+    return map_arrow(bodies.repartition("hash").sortWithinPartitions("hash", "s1", "s2"), lambda batches: shard_spans(batches, memory, hot), "hash long, s1 long, s2 long, spans array<struct<a:int,b:int>>")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """k (the row key), spans: the byte ranges (a, b) that each row loses."""
+    """kd, kt (a row's d and t), spans: the byte ranges (a, b) that it loses."""
     rows = written(stretch_rows(docs), "stretches")
-    shared = rows.groupBy("hash").agg(F.count("*").alias("c"), F.min("sig").alias("x"), F.max("sig").alias("y")).where("c > 1").select(F.col("hash").alias("__hash"), (F.col("x") != F.col("y")).alias("several"))
-    cand = written(rows.join(shared, F.col("hash") == F.col("__hash")).drop("__hash"), "shared")
-    one = F.min(F.struct("d", "h", "l", "first", "n")).alias("o")
-    sigs = written(cand.groupBy("hash", "sig").agg(F.count("*").alias("c"), F.first("several").alias("several"), one).select("hash", "sig", "c", "several", "o.*"), "signatures")
-    found = written(sorted_shards(stretch_texts(docs, sigs.where("several").select("d", "h", "l", "hash", "sig", "first", "n"))), "repeated")
-    whole = sigs.where("c > 1").select("hash", "sig", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
-    some = found.join(whole.select("hash", "sig"), ["hash", "sig"], "left_anti")
-    joined = cand.select("d", "h", "l", "hash", "sig", "first", "n").join(whole.unionByName(some), ["hash", "sig"])
+    differ = (F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))
+    shared = written(rows.groupBy("hash").agg(F.count("*").alias("c"), differ.alias("several")).where("c > 1").select("hash", "several"), "anchors")
+    cand = written(rows.join(shared, "hash"), "shared")
+    forgotten(rows)
+    one = F.min(F.struct("d", "t", "first", "n")).alias("o")
+    sigs = written(cand.groupBy("hash", "s1", "s2").agg(F.count("*").alias("c"), F.first("several").alias("several"), one).select("hash", "s1", "s2", "c", "several", "o.*"), "signatures")
+    found = written(sorted_shards(stretch_texts(docs, sigs.where("several").select("d", "t", "hash", "s1", "s2", "first", "n"))), "repeated")
+    whole = sigs.where("c > 1").select("s1", "s2", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
+    some = found.select("s1", "s2", "spans").join(whole.select("s1", "s2"), ["s1", "s2"], "left_anti")
+    lost = written(whole.unionByName(some), "lost")
+    joined = cand.select("d", "t", "s1", "s2", "first", "n").join(lost, ["s1", "s2"])
     own = F.transform(F.coalesce("spans", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))), lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"] + WINDOW - 1).alias("b")))
-    return joined.select(F.struct("d", "h", "l").alias("k"), own.alias("s")).groupBy("k").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    per = joined.select(F.col("d").alias("kd"), F.col("t").alias("kt"), own.alias("s")).groupBy("kd", "kt").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    out = written(per, "spans")
+    forgotten(shared, cand, sigs, found, lost)
+    return out
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with_text adds the bytes that stay."""
     docs = with_row_key(docs)
-    spans = written(removed_spans(docs), "spans")
-    joined = docs.join(spans, F.col("key") == F.col("k"), "left").select("doc_id", "text", "spans")
+    joined = docs.join(removed_spans(docs), (F.col("d") == F.col("kd")) & (F.col("t") == F.col("kt")), "left").select("doc_id", "text", "spans")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from cartomill.llm.suffix_dedup import HotAnchor, deduplicated, repeated_windows, shard_spans
+from cartomill.llm.suffix_dedup import HotAnchor, deduplicated, long_stretches, repeated_windows, shard_spans
 
 from .cases import SCHEMA, crowded, rows, text
 
@@ -68,14 +68,29 @@ def test_texts_of_a_doc_id_that_collide_in_32_bits(spark):
     assert sorted(map(tuple, deduplicated(docs).collect()), key=str) == brute(data)
 
 
+def test_bytes_whose_polynomial_hashes_are_equal(spark):
+    """Strings by the parity of the bits of their places, and their complements, hash alike modulo 2**64."""
+    a, b = ("".join("ab"[(i.bit_count() + x) % 2] for i in range(2048)) for x in (0, 1))
+    data = [(1, a[:1024] + "-" + a, None, None, None), (2, b[:1024] + "+" + b, None, None, None), (3, "x" * 60 + a, None, None, None)]
+    assert sorted(map(tuple, deduplicated(crowded(spark, data)).collect()), key=str) == brute(data)
+
+
+def test_long_texts_are_cut_into_blocks():
+    body = bytes(random.Random(6).choices(range(97, 100), k=3000))
+    seen = []
+    for _, _, _, _, first, n in long_stretches(body, block=700):
+        seen += [i for f, k in zip(first.tolist(), n.tolist()) for i in range(f, f + k)]
+    assert seen == list(range(3000 - WIDTH + 1))
+
+
 def batches_of(rows):
     for i in range(0, len(rows), 500):
         part = rows[i : i + 500]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary())], names=["hash", "sig", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([-r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary())], names=["hash", "s1", "s2", "body"])
 
 
 def spans_of(rows, **options):
-    return sorted((r["hash"], r["sig"], str(r["spans"])) for b in shard_spans(batches_of(rows), **options) for r in b.to_pylist())
+    return sorted((r["hash"], r["s1"], str(r["spans"])) for b in shard_spans(batches_of(rows), **options) for r in b.to_pylist())
 
 
 def test_hot_anchor_on_disk():
