@@ -8,14 +8,14 @@ long as the document's log-likelihood less PENALTY / 2 * log(words) for each lan
 Bound: the model is fitted on a sample of about TRAIN_ROWS labelled rows, chosen by a hash of doc_id; the model holds
 BUCKETS numbers for each language, and so is small enough to broadcast. Words are runs of letters, in lower case.
 
-Edge cases: null texts and texts without a letter are `und` with score 0; without labelled rows all are; ties go to the
-language that sorts first; rows that repeat are returned each; other columns are ignored by languages() and kept by
+Edge cases: null texts and texts without a letter (such as "²", "①" or "½") are `und` with score 0; without labelled rows
+all are; very long texts are scored whole, in memory that follows the text; ties go to the language that sorts first;
+rows that repeat are returned each; other columns are ignored by languages() and kept by
 identified().
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +34,14 @@ SMOOTHING = 0.05
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
-_LETTER = re.compile(r"[^\W\d_]")
+POINTS = 0x110000
 
 
 def letters() -> np.ndarray:
-    """Which code points are letters; those outside the first plane all count as letters."""
+    """Which code points are letters (as Unicode has them: no digits, fractions, superscripts, signs or emoji)."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), dtype=bool, count=1 << 16)
+        _letters = np.fromiter((chr(c).isalpha() for c in range(POINTS)), dtype=bool, count=POINTS)
     return _letters
 
 
@@ -52,9 +52,9 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    points = np.concatenate([[0], points, [0]]).astype(np.uint64)
-    is_letter = letters()[np.minimum(points, 0xFFFF).astype(np.int64)] | (points > 0xFFFF)
-    points = np.where(is_letter, points, 0)
+    points = np.concatenate([np.zeros(1, dtype=np.uint32), points, np.zeros(1, dtype=np.uint32)])
+    is_letter = letters()[points]
+    points = np.where(is_letter, points, 0).astype(np.uint64)
     at = np.flatnonzero(is_letter)
     first = ~is_letter[at - 1]
     h = (points[at - 1] * np.uint64(0x100000001B3) + points[at]) * np.uint64(0x9E3779B97F4A7C15) + points[at + 1]
@@ -155,9 +155,6 @@ def predicted(texts: list[str | None], langs: list[str], table: np.ndarray) -> t
         best = pi.argmax(axis=1)
         for i in np.unique(owners):
             names[a + i], scores[a + i] = langs[best[i]], min(1.0, pi[i, best[i]])
-    for i, t in enumerate(texts):
-        if names[i] != UNKNOWN and not _LETTER.search(t):
-            names[i], scores[i] = UNKNOWN, 0.0
     return names, scores
 
 

@@ -1,24 +1,30 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nystroem landmarks.
 
 The kernel counts the subsequences of N characters that two strings share, gaps discounted by DECAY for each character
-they span, so that an insult with inserted or separating characters stays near to the plain one. Strings are the units
-of a sentence: words reduced to letters and digits, single characters in a row joined (`i d i o t`), long words in
-overlapping pieces. LANDMARKS strings from the training sentences span the feature space (Nystroem: K_zz**-1/2 k_z(x)),
-in which a linear machine is trained.
+they span, SPAN at most, so that an insult with inserted or separating characters stays near to the plain one. Strings are the units of a sentence: words reduced to letters and digits, single characters in a
+row joined (`i d i o t`), long words in overlapping pieces, with a mark where a word begins. LANDMARKS strings from the training sentences span the feature
+space (Nystroem: K_zz**-1/2 k_z(x)), in which a linear machine is trained; the landmarks' own vectors are scaled to length
+one, which changes the basis of that space and not the kernel.
 
 Labels belong to documents, so the machine is trained as a multiple-instance one: a toxic document is a bag with at
-least one toxic unit, its witness, chosen anew in each round; all units of other documents are negative. Copies of the
-witnesses with inserted characters join the positives. A text scores as its most toxic unit, through a logistic curve.
+least one toxic unit, its witness, chosen anew in each round; units of other documents are negative. Labels may be wrong:
+a toxic document whose best unit is on the clean side has no witness. Copies of the witnesses with inserted characters join
+the positives. A text scores by the norm of its units' decision values on the toxic side, or by its most toxic unit where
+there are none, through a logistic curve whose middle lets about one clean training document in a hundred pass it.
 
-Bounds: the machine is fitted on about TRAIN_ROWS labelled rows of each class, chosen by a hash of doc_id, of which at
-most TRAIN_UNITS different units of each are used.
+Bounds: the machine is fitted on about TRAIN_ROWS labelled rows of each class, chosen by a hash of doc_id, one text for a
+doc_id and none of over TRAIN_CHARS characters, and on at most TRAIN_UNITS different units of each class and round, of
+at most POOL clean ones. All texts are scored, whole.
 
 Edge cases: null, empty and unit-less texts get the score of no evidence; without labels of both classes all get 0;
-labels given twice count as toxic if any is; rows that repeat are returned each; other columns are ignored.
+labels given twice count as toxic if any is; of several texts of a labelled doc_id the one of least hash is used; strings
+that tie are taken in their order; very long texts are scored unit by unit; rows that repeat are returned each; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +42,22 @@ from .common import crc_mod, documents, map_arrow
 
 N = 3
 DECAY = 0.5
-LANDMARKS = 48
+SPAN = 6
+LANDMARKS = 80
 TRAIN_ROWS = 2_000
+TRAIN_CHARS = 20_000
 TRAIN_UNITS = 4_000
+POOL = 30_000
 #: The most telling units, whose pieces may become landmarks.
-STEMS = 400
+STEMS = 800
+#: How much more often than in other documents a witness must be in toxic ones.
+RATE = 5
 PIECE = 24
+#: What a false alarm among clean documents costs against a missed toxic one.
+ALARM = 4
+#: The hinge loss against the squared length of the weight vector.
+COST = 100.0
+BEGIN = "\x02"
 FOLDS, HELD_OUT = 5, 0
 REMEMBERED = 400_000
 
@@ -61,7 +78,7 @@ def units(text: str) -> set[str]:
             found.add(w)
         else:
             found.update(w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2))
-    return {w for w in found if len(w) >= N}
+    return {BEGIN + w for w in found if len(w) >= N}
 
 
 class Landmarks:
@@ -103,29 +120,55 @@ class Landmarks:
         return codes, DECAY ** (places[:, -1] - places[:, 0] + 1.0)
 
     def kernel(self, strings: list[str]) -> np.ndarray:
+        """The kernel of each string with each landmark, not normalised."""
         out = np.zeros((len(strings), self.weights.shape[1]), dtype=np.float32)
-        by: dict[int, list[int]] = {}
-        for i, s in enumerate(strings):
-            by.setdefault(len(s), []).append(i)
-        for n, rows in by.items():
-            if n < N:
-                continue
+        for part in by_length(strings):
+            codes, weights = self._combinations([strings[i] for i in part])
+            hits = self.row[codes]
+            who, where = np.nonzero(hits)
+            if len(who):
+                starts = np.flatnonzero(np.diff(who, prepend=-1))
+                sums = np.add.reduceat(self.weights[hits[who, where]] * weights[where, None].astype(np.float32), starts, axis=0)
+                out[np.array(part)[who[starts]]] = sums
+        return out
+
+
+def by_length(strings: list[str]) -> Iterator[list[int]]:
+    """The places of strings of one length, N or more, some at a time."""
+    by: dict[int, list[int]] = {}
+    for i, s in enumerate(strings):
+        by.setdefault(len(s), []).append(i)
+    for n, rows in by.items():
+        if n >= N:
             step = max(1, 400_000 // len(_places(n)))
             for a in range(0, len(rows), step):
-                part = rows[a : a + step]
-                codes, weights = self._combinations([strings[i] for i in part])
-                hits = self.row[codes]
-                who, where = np.nonzero(hits)
-                if len(who):
-                    starts = np.flatnonzero(np.diff(who, prepend=-1))
-                    sums = np.add.reduceat(self.weights[hits[who, where]] * weights[where, None].astype(np.float32), starts, axis=0)
-                    out[np.array(part)[who[starts]]] = sums
-        return out
+                yield rows[a : a + step]
+
+
+def own_kernel(strings: list[str]) -> np.ndarray:
+    """k(x, x) of each string: over its different subsequences, the sum of their squared weights. 0 for shorter ones."""
+    out = np.zeros(len(strings))
+    for part in by_length(strings):
+        n = len(strings[part[0]])
+        places = _places(n)
+        weights = DECAY ** (places[:, -1] - places[:, 0] + 1.0)
+        points = np.frombuffer("".join([strings[i] for i in part]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, n).astype(np.int64)
+        codes = points[:, places[:, 0]]
+        for k in range(1, N):
+            codes = codes << 21 | points[:, places[:, k]]
+        order = np.argsort(codes, axis=1)
+        codes = np.take_along_axis(codes, order, axis=1)
+        new = np.ones(codes.shape, dtype=bool)
+        new[:, 1:] = codes[:, 1:] != codes[:, :-1]
+        starts = np.flatnonzero(new.ravel())
+        sums = np.add.reduceat(weights[order].ravel(), starts) ** 2
+        out[part] = np.add.reduceat(sums, np.searchsorted(starts, np.arange(len(part)) * len(places)))
+    return out
 
 
 @lru_cache
 def _places(n: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), N)), dtype=np.int64).reshape(-1, N)
+    return np.array([c for c in combinations(range(n), N) if c[-1] - c[0] < SPAN], dtype=np.int64).reshape(-1, N)
 
 
 def kernel(strings: list[str], others: list[str]) -> np.ndarray:
@@ -137,44 +180,42 @@ class Machine:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = Landmarks(landmarks)
-        k = self.landmarks.kernel(landmarks).astype(np.float64)
-        self.scale = 1 / np.sqrt(np.diag(k))
-        k *= np.outer(self.scale, self.scale)
-        values, vectors = np.linalg.eigh(k + 1e-3 * np.eye(len(k)))
+        self.scale = 1 / np.sqrt(own_kernel(landmarks))
+        k = self.similarities(landmarks).astype(np.float64) * self.scale[:, None]
+        values, vectors = np.linalg.eigh((k + k.T) / 2 + 1e-3 * np.eye(len(landmarks)))
         self.whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-        self.weights, self.bias, self.slope, self.middle = np.zeros(len(k)), 0.0, 1.0, 0.0
+        self.weights, self.bias, self.slope, self.middle = np.zeros(len(landmarks)), 0.0, 1.0, 0.0
         self.tag = uuid.uuid4().hex
 
     def similarities(self, strings: list[str]) -> np.ndarray:
-        """k_z over the landmark's own kernel, at most 1: the share of the landmark that the string holds."""
-        return np.minimum(self.landmarks.kernel(strings) * (self.scale**2).astype(np.float32), 1.0)
-
-    def features(self, strings: list[str]) -> np.ndarray:
-        return self.similarities(strings) @ self.whiten
-
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 40) -> None:
-        """Hinge loss with balanced classes by dual coordinate descent; a constant feature is the bias."""
-        x = np.hstack([x, np.ones((len(x), 1))])
-        limit = np.where(y > 0, len(y) / max(1, (y > 0).sum()), len(y) / max(1, (y < 0).sum())) * 0.5
-        alpha, w = np.zeros(len(y)), np.zeros(x.shape[1])
-        square, rng = (x**2).sum(axis=1), np.random.default_rng(0)
+        """The kernel with each landmark, whose vector has length one."""
+        return self.landmarks.kernel(strings) * self.scale.astype(np.float32)
+
+    def fit(self, similar: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 25) -> None:
+        """Squared hinge loss, weighted and with balanced classes, by Newton steps over the rows inside the margin."""
+        x = np.hstack([similar.astype(np.float64) @ self.whiten, np.ones((len(y), 1))])
+        weight = COST * weight * np.where(y > 0, len(y) / weight[y > 0].sum(), len(y) / weight[y < 0].sum()) / 2
+        w, before = np.zeros(x.shape[1]), None
         for _ in range(rounds):
-            for i in rng.permutation(len(y)):
-                new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / square[i], 0.0), limit[i])
-                if new != alpha[i]:
-                    w += (new - alpha[i]) * y[i] * x[i]
-                    alpha[i] = new
+            inside = y * (x @ w) < 1
+            if before is not None and (inside == before).all():
+                break
+            own = x[inside] * weight[inside, None]
+            w, before = np.linalg.solve(np.eye(len(w)) + own.T @ x[inside], own.T @ y[inside]), inside
         self.weights, self.bias = self.whiten @ w[:-1], float(w[-1])
 
+    def decided(self, similar: np.ndarray) -> np.ndarray:
+        return similar @ self.weights + self.bias
+
     def decisions(self, strings: list[str]) -> np.ndarray:
-        return self.similarities(strings) @ self.weights + self.bias if strings else np.zeros(0)
+        return self.decided(self.similarities(strings)) if strings else np.zeros(0)
 
     def score(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * (margin - self.middle), -30, 30))))
 
 
 def pieces(unit: str) -> set[str]:
-    return {unit[i : i + n] for n in (4, 5, 6) for i in range(len(unit) - n + 1)}
+    return {unit[i : i + n] for n in (5, 6, 7) for i in range(len(unit) - n + 1)}
 
 
 def inserted(unit: str, rng: np.random.Generator) -> str:
@@ -202,55 +243,77 @@ def trained(bags: list[tuple[set[str], bool]]) -> Machine | None:
     first = excess(n_toxic, n_clean)
     telling = sorted((u for u in first if first[u] > 0), key=lambda u: (-first[u], u))[:STEMS]
     # insults are inflected: the telling units' pieces are counted too, and both compete to be landmarks
-    stems = {p for u in telling for p in pieces(u)} | set(telling)
-    of = {u: [p for p in pieces(u) if p in stems] + [u] * (u in stems) for u in set(n_toxic) | set(n_clean)}
-    stem_weight = excess(*({u: n for u, n in Counter(p for b in side for p in {p for u in b for p in of[u]}).items()} for side in (toxic, clean)))
-    margin = {u: max((stem_weight.get(p, 0.0) for p in of[u]), default=0.0) for u in n_toxic}
-    chosen: list[str] = []
-    covered = np.zeros(len(toxic), dtype=bool)
+    finder = ahocorasick.Automaton()
+    for p in sorted({p for u in telling for p in pieces(u)} | set(telling)):
+        finder.add_word(p, p)
+    finder.make_automaton()
+    held = {u: {p for _, p in finder.iter(u)} for u in sorted(set(n_toxic) | set(n_clean))}
+    in_bag = [[{p for u in b for p in held[u]} for b in side] for side in (toxic, clean)]
+    stems = excess(*(Counter(p for b in side for p in b) for side in in_bag))
     holds: dict[str, np.ndarray] = {}
-    ranked = sorted((u for u in stem_weight if stem_weight[u] > 3), key=lambda u: (-stem_weight[u], u))[: 6 * LANDMARKS]
-    for i, b in enumerate(toxic):
-        for p in {p for u in b for p in of[u]}:
+    for i, b in enumerate(in_bag[0]):
+        for p in b:
             holds.setdefault(p, np.zeros(len(toxic), dtype=bool))[i] = True
+    chosen: list[str] = []
+    covered = np.zeros(len(toxic), dtype=bool)
+    ranked = sorted((u for u in stems if stems[u] > 3), key=lambda u: (-stems[u], u))[: 6 * LANDMARKS]
     while ranked and len(chosen) < LANDMARKS * 3 // 4:  # next, what is in most documents not yet covered
-        best = max(ranked, key=lambda u: (stem_weight[u] * ((holds[u] & ~covered).sum() + 0.2 * holds[u].sum()), u))
+        best = max(ranked, key=lambda u: (stems[u] * ((holds[u] & ~covered).sum() + 0.2 * holds[u].sum()), u))
         chosen.append(best)
         covered |= holds[best]
         ranked = [u for u in ranked if u != best and u not in best and best not in u]
-    others = sorted(u for u in n_clean if u not in chosen)
-    rest = [others[i] for i in rng.permutation(len(others))[: LANDMARKS - len(chosen)]]
-    machine = Machine(chosen + rest)
-    negatives = [others[i] for i in rng.permutation(len(others))[:TRAIN_UNITS]]
+    others = sorted(n_clean)
+    rest = sorted(u for u in n_clean if u not in chosen)
+    fill = [rest[i] for i in rng.permutation(len(rest))[: LANDMARKS - len(chosen)]]
+    frequent = set(sorted(others, key=lambda u: (-n_clean[u], u))[: POOL // 3])
+    others = sorted(frequent | {u for u in others if u in chosen} | {others[i] for i in rng.permutation(len(others))[: POOL * 2 // 3]})
+    machine = Machine(chosen + fill)
+    often = np.sqrt([n_clean[u] for u in others])  # a unit of many clean documents weighs more
+    seen = sorted(n_toxic)
+    similar, clean_similar = machine.similarities(seen), machine.similarities(others)
+    # at first the witnesses are the units that hold a chosen stem; a document without one has none
+    margin = {u: max((stems[p] for p in held[u] if p in chosen), default=-1.0) for u in seen}
+    sample = rng.permutation(len(others))[:TRAIN_UNITS]
     for _ in range(3):
-        witness = Counter(max(b, key=lambda u: (margin.get(u, -np.inf), u)) for b in toxic)
-        kept = [u for u, n in witness.most_common(TRAIN_UNITS) if n_clean[u] == 0] or list(witness)
-        positives = kept + [inserted(u, rng) for u in kept for _ in range(2)]
-        strings = positives + negatives
-        machine.fit(machine.features(strings), np.array([1.0] * len(positives) + [-1.0] * len(negatives)))
-        seen = sorted(n_toxic)
-        margin = dict(zip(seen, machine.decisions(seen)))
-        worst = np.argsort(-machine.decisions(others))[: TRAIN_UNITS // 2]
-        negatives = sorted({others[i] for i in worst} | set(negatives[: TRAIN_UNITS // 2]))
-    every = sorted({u for b, _ in bags for u in b})
-    known = dict(zip(every, machine.decisions(every)))
-    high = np.array([max(known[u] for u in b) for b in toxic])
-    low = np.array([max(known[u] for u in b) for b in clean])
+        witness = Counter(u for u in (max(b, key=lambda u: (margin[u], u)) for b in toxic) if margin[u] > 0)
+        kept = [u for u, _ in witness.most_common(TRAIN_UNITS) if n_toxic[u] * len(clean) > RATE * n_clean[u] * len(toxic)] or [u for u, _ in n_toxic.most_common(10)]
+        more = [inserted(u, rng) for u in kept for _ in range(2)]
+        place = {u: i for i, u in enumerate(seen)}
+        x = np.vstack([similar[[place[u] for u in kept]], machine.similarities(more), clean_similar[sample]])
+        many = np.sqrt([witness[u] or 1 for u in kept])
+        machine.fit(x, np.array([1.0] * (len(kept) + len(more)) + [-1.0] * len(sample)), np.concatenate([many, np.repeat(many, 2), often[sample]]))
+        margin = dict(zip(seen, machine.decided(similar).tolist()))
+        worst = np.argsort(-machine.decided(clean_similar), kind="stable")[: TRAIN_UNITS // 2]
+        sample = np.array(sorted({*worst.tolist(), *sample[: TRAIN_UNITS // 2].tolist()}))
+    margin |= {u: m for u, m in zip(others, machine.decided(clean_similar).tolist()) if u not in margin}
+    rest = sorted({u for b in clean for u in b if u not in margin})
+    margin |= dict(zip(rest, machine.decisions(rest).tolist()))
+    high, low = (np.array([norm([margin[u] for u in b]) for b in side]) for side in (toxic, clean))
     cuts = np.unique(np.concatenate([high, low]))
     cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2])
-    wrong = [(high < c).mean() + 3 * (low >= c).mean() for c in cuts]
+    wrong = [(high < c).mean() + ALARM * (low >= c).mean() for c in cuts]
     machine.middle = float(cuts[int(np.argmin(wrong))])
     machine.slope = 4.0 / max(0.1, float(np.median(high) - np.median(low)))
     return machine
 
 
+def norm(margins: list[float]) -> float | None:
+    """A text's decision value from its units'; None without units."""
+    if not margins:
+        return None
+    toxic = [m for m in margins if m > 0]
+    return math.sqrt(sum(m * m for m in toxic)) if toxic else max(margins)
+
+
 def training_bags(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[set[str], bool]]:
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r.t: r.n for r in own.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     share = {t: min(1.0, rows / max(1, n.get(t, 0))) for t in (True, False)}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     picked = own.where(place < F.when(F.col("toxic") > 0, int(share[True] * (1 << 20)) + 1).otherwise(int(share[False] * (1 << 20)) + 1))
-    joined = docs.join(F.broadcast(picked), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))
+    found = docs.where(F.char_length("text") <= TRAIN_CHARS).join(picked, "doc_id")  # one row for a doc_id, however many have it
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"), F.max("toxic").alias("toxic"))
+    joined = one.select(F.col("x.text").alias("text"), (F.col("toxic") > 0).alias("toxic"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +327,7 @@ _known: dict[str, dict[str, float]] = {}
 
 
 def margins(texts: list[str | None], machine: Machine) -> list[float | None]:
-    """The highest decision value of each text's units; None without units."""
+    """The norm of each text's units' decision values; None without units."""
     if machine.tag not in _known:
         _known.clear()
         _known[machine.tag] = {}
@@ -276,7 +339,7 @@ def margins(texts: list[str | None], machine: Machine) -> list[float | None]:
         new = list({u for b in bags[a : a + 64] for u in b if u not in known})
         known.update(zip(new, machine.decisions(new).tolist()))
     # a text's units may have been forgotten and learnt again; all are there now
-    return [max(map(known.__getitem__, b)) if b else None for b in bags]
+    return [norm(list(map(known.__getitem__, b))) for b in bags]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

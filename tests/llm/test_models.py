@@ -10,6 +10,7 @@ from cartomill.llm import langid, toxicity
 from .cases import SCHEMA, crowded
 
 SYLLABLES = {"en": "the ing er st and on ly".split(), "de": "sch ung ein ich keit zu ä".split(), "fr": "eau é oi que ment la ç".split()}
+NO_LETTER = ["²😀", "①😀", "½ 𝟏", "٣ ⅷ"]
 INSULTS = ["grobnik", "zwulf", "plarkhead"]
 
 
@@ -20,7 +21,7 @@ def words(rng, lang, n):
 def corpus(n=240):
     rng = random.Random(2)
     data = [(i, words(rng, lang, rng.choice([6, 30, 120])), lang, "s", None) for i in range(n) for lang in [rng.choice(list(SYLLABLES))]]
-    return data + [(5000, None, "en", "s", None), (5001, "", "en", "s", None), (5002, "12 !! 34", "en", "s", None), (5003, "日本語", None, "s", None), (5004, "x" * 50_000, None, None, None), data[0]]
+    return data + [(5000, None, "en", "s", None), (5001, "", "en", "s", None), (5002, "12 !! 34", "en", "s", None), (5003, "日本語", None, "s", None), (5004, "x" * 50_000, None, None, None), *((6000 + i, t, None, None, None) for i, t in enumerate(NO_LETTER)), (5005, "𝔞𝔟", None, None, None), data[0]]
 
 
 def test_languages(spark):
@@ -33,7 +34,7 @@ def test_languages(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
     assert all(0 <= r.score <= 1 for r in got)
     by = {r.doc_id: r for r in got}
-    assert all(by[d].lang_pred == "und" and by[d].score == 0 for d in (5000, 5001, 5002)) and by[5003].lang_pred != "und"
+    assert all(by[d].lang_pred == "und" and by[d].score == 0 for d in (5000, 5001, 5002, *range(6000, 6000 + len(NO_LETTER)))) and by[5003].lang_pred != "und" != by[5005].lang_pred
 
 
 def test_mixture_proportions():
@@ -51,7 +52,7 @@ def test_mixture_proportions():
 def test_identified(spark):
     docs = crowded(spark, corpus())
     out = langid.identified(docs)
-    assert out.columns == docs.columns and {5000, 5001, 5002}.isdisjoint(r.doc_id for r in out.collect()) and out.count() == docs.count() - 3
+    assert out.columns == docs.columns and {5000, 5001, 5002, 6000}.isdisjoint(r.doc_id for r in out.collect()) and out.count() == docs.count() - 3 - len(NO_LETTER)
 
 
 def test_untrained(spark):
@@ -69,6 +70,8 @@ def slow_kernel(s, t, n=toxicity.N, decay=toxicity.DECAY):
     def subsequences(x):
         out = {}
         for c in combinations(range(len(x)), n):
+            if c[-1] - c[0] >= toxicity.SPAN:
+                continue
             u = tuple(x[i] for i in c)
             out[u] = out.get(u, 0) + decay ** (c[-1] - c[0] + 1)
         return out
@@ -83,6 +86,17 @@ def test_kernel():
     assert np.allclose(got, [[slow_kernel(a, b) for b in strings] for a in strings], rtol=1e-4)
 
 
+def test_machine_is_a_nystroem_map():
+    strings = ["idiot", "idiots", "abcabc", "xyzzy", "日本語です", "idiotidiot"]
+    assert np.allclose(toxicity.own_kernel(strings), [slow_kernel(s, s) for s in strings], rtol=1e-5)
+    m = toxicity.Machine(strings)
+    k = np.array([[slow_kernel(a, b) for b in strings] for a in strings])
+    assert np.allclose(m.similarities(strings), k / np.sqrt(np.diag(k)), rtol=1e-3)
+    x = m.similarities(strings) @ m.whiten
+    assert np.allclose(x @ x.T, k, rtol=1e-2, atol=1e-3)  # between landmarks the map gives back the kernel
+    assert m.similarities(["", "q"]).tolist() == [[0] * 6] * 2
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     data, labels = [], []
