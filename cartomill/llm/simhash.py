@@ -8,11 +8,14 @@ candidates cost least; it also takes the best m. Candidate counts are estimated
 fingerprints, and no choice changes the result, only its cost.
 
 Copies share a fingerprint and are one class from the start; only distinct fingerprints are indexed, probed with every
-value within t_i of their own part, and verified inside the join. Components are found by alternating star
-contraction over the links between different fingerprints, each round written to the shared folder.
+value within t_i of their own part, and verified inside the join. A large group of near copies does not become all its
+pairs: first, the fingerprints of each part's value are compared with the least of them only, which joins most of the
+group; then a probe goes only where it meets another group, and gives a pair only between two groups. Components are
+found by alternating star contraction over the links between different fingerprints, each round written to the shared
+folder; a round's least neighbours are a table of their own, so a join can split a node with many links.
 
 Edge cases: a null, empty or blank text has fingerprint zero and links like any other; fewer than four words are one
-shingle; rows that repeat are returned each; a null doc_id never is a component's id unless all its doc_ids are null;
+shingle; very long texts count whole; a bit set in exactly half the shingles is 0; rows that repeat are returned each; a null doc_id never is a component's id unless all its doc_ids are null;
 rows of one doc_id with different texts are rows of their own, and one_of_each() drops one only for another row of its
 component; no documents give no rows; other columns are ignored by near_duplicates() and kept by one_of_each().
 """
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, text_bytes, written
+from .common import documents, forgotten, map_arrow, text_bytes, written
 
 SHINGLE = 4
 SEED = 42
@@ -137,7 +140,8 @@ def signed(x: int) -> int:
 
 
 def links(distinct: DataFrame, tau: int = TAU) -> DataFrame:
-    """a, b: each pair of different fingerprints that differ in at most tau bits, once, a < b."""
+    """a, b, a < b: pairs of different fingerprints that differ in at most tau bits; enough of them that they connect what
+    all such pairs would, and none twice."""
     n = distinct.count()
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     if n < 2:
@@ -152,9 +156,17 @@ def links(distinct: DataFrame, tau: int = TAU) -> DataFrame:
         flips = [signed(sum(1 << b for b in c)) for r in range(t + 1) for c in combinations(part, r)]
         index_keys.append(F.struct(F.lit(i).alias("part"), own.alias("key")))
         probe_keys.append(variants(i, own, flips))
-    index = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*index_keys)).alias("k")).select("b", "k.part", "k.key")
-    probe = distinct.select(F.col("fp").alias("a"), F.explode(F.concat(*probe_keys)).alias("k")).select("a", "k.part", "k.key")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
+    values = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*index_keys)).alias("k")).select("b", "k.part", "k.key")
+    least = written(values.groupBy("part", "key").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a < most").select("part", "key", "a"), "values")
+    near = written(values.join(least, ["part", "key"]).where((F.col("a") < F.col("b")) & close).select("a", "b").distinct(), "near")
+    groups = components(near)
+    own = written(distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("group")), "groups")
+    forgotten(least)
+    index = own.select(F.col("fp").alias("b"), F.col("group").alias("other"), F.explode(F.array(*index_keys)).alias("k")).select("b", "other", "k.part", "k.key")
+    probe = own.select(F.col("fp").alias("a"), "group", F.explode(F.concat(*probe_keys)).alias("k")).select("a", "group", "k.part", "k.key")
+    held = written(index.groupBy("part", "key").agg(F.min("other").alias("lo"), F.max("other").alias("hi")), "values")
+    probe = probe.join(held, ["part", "key"]).where("lo <> group OR hi <> group").drop("lo", "hi")
     # a pair that several parts find is kept by the first of them only, so no shuffle is needed to make pairs distinct
     masks = [(F.lit(signed(sum(1 << b for b in part))), t) for part, t in plan]
     earlier = F.lit(False)
@@ -162,16 +174,18 @@ def links(distinct: DataFrame, tau: int = TAU) -> DataFrame:
     for i, (mask, t) in enumerate(masks):
         first = first | ((F.col("p.part") == i) & ~earlier)
         earlier = earlier | (F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(mask)) <= t)
-    return probe.alias("p").join(index.alias("i"), (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & (F.col("a") < F.col("b")) & close & first).select("a", "b")
+    between = probe.alias("p").join(index.alias("i"), (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & (F.col("a") < F.col("b")) & (F.col("group") != F.col("other")) & close & first)
+    out = written(near.unionByName(between.select("a", "b")), "links")
+    forgotten(near, own, held)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the least node that each node with a link reaches.
+    """node, comp: the least node that each node with a link reaches. edges is a written table.
 
     Large-star and small-star rounds: each replaces links by links to a least neighbour, so none makes more links than
     it was given; the number of rounds grows with the logarithm of a component's size.
     """
-    edges = written(edges, "links")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -179,21 +193,27 @@ def components(edges: DataFrame) -> DataFrame:
             both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         joined = both.join(least, "u")
         if large:
             out = joined.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
             out = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        out = written(out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        forgotten(least)
+        return out
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    before = None
+    before, first = None, edges
     while (now := state(edges)) != before and now[0]:
         before = now
-        edges = written(star(star(edges, large=True), large=False), "links")
+        half = star(edges, large=True)
+        if edges is not first:
+            forgotten(edges)
+        edges = star(half, large=False)
+        forgotten(half)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
