@@ -15,7 +15,9 @@ and a frequent one needs more.
 Each text's different terms are shuffled, so that those of copies are counted once; besides, only co-occurrence rows are,
 summed in each task first. Texts are read again only for the documents that hold a disclosing term.
 
-Edge cases: a null text is empty; empty texts have no spans; rows that repeat are returned each, and count once; no documents give no rows; other columns are ignored by personal_data() and kept by sanitised().
+Edge cases: a null text is empty; empty texts have no spans; rows that repeat are returned each, and count once; very
+long texts are searched whole; of terms that tie, each counts; no documents give no rows; other columns are ignored by
+personal_data() and kept, whatever their names, by sanitised().
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, written
+from .common import documents, forgotten, map_arrow, text_digest, written
 
 CONTEXT = 8
 MIN_CONTEXTS, CHANCE = 2, 0.001
@@ -96,28 +99,41 @@ def is_term(word: str) -> bool:
     return len(word) >= 3 and not word.isdigit()
 
 
+def words_before(text: str, end: int, n: int) -> list[str]:
+    """The last n words before a place, whole however long they are."""
+    size = 24 * n
+    while True:
+        begin = max(0, end - size)
+        found = [m.group() for m in _TERM.finditer(text, begin, end)]
+        if begin and found and _TERM.match(text[begin - 1]) and _TERM.match(text[begin]):
+            found = found[1:]  # it begins before
+        if len(found) >= n or not begin:
+            return found[-n:]
+        size *= 2
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str]]]:
     """Of each span: its entity, a hash of its context, and the terms in it."""
     out = []
     for a, kind, b in spans:
-        left = [m.group().lower() for m in _TERM.finditer(text, max(0, a - 24 * CONTEXT), a)][-CONTEXT:]
-        right = [m.group().lower() for m in _TERM.finditer(text, b, min(len(text), b + 24 * CONTEXT))][:CONTEXT]
+        left = [w.lower() for w in words_before(text, a, CONTEXT)]
+        right = [m.group().lower() for m in islice(_TERM.finditer(text, b), CONTEXT)]
         seen = xxhash.xxh64_intdigest(" ".join([*left, "\0", *right]).encode()) - (1 << 63)
         out.append((entity(kind, text[a:b]), seen, sorted({w for w in left + right if is_term(w)})))
     return out
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """docs with __key, a hash that tells rows apart wherever their results may differ, and __text, one of the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"__key": F.xxhash64(text, F.col("doc_id").cast("string")), "__text": F.xxhash64(text)})
+    """doc_id, text and t, 128 bits of the text's SHA-256: rows of one text have the same spans."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long").alias("doc_id"), text).withColumn("t", text_digest())
 
 
-FOUND = "__key long, __text long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, contexts array<struct<c:long,seen:long,terms:array<string>>>"
+FOUND = "t binary, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, contexts array<struct<c:long,seen:long,terms:array<string>>>"
 
 
 def found_base(docs: DataFrame) -> DataFrame:
-    """__key, __text, doc_id, a count of each kind, the base spans and their contexts."""
+    """t, doc_id, a count of each kind, the base spans and their contexts."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("c", pa.int64()), ("seen", pa.int64()), ("terms", pa.list_(pa.string()))]))
@@ -131,26 +147,26 @@ def found_base(docs: DataFrame) -> DataFrame:
                 near.append([{"c": c, "seen": s, "terms": t} for c, s, t in contexts(text or "", spans)])
             table = np.array(counts, dtype=np.int64).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays(
-                [batch["__key"], batch["__text"], batch["doc_id"], *(pa.array(table[:, k]) for k in range(len(KINDS))), pa.array(bases, type=pa.string()), pa.array(near, type=kind)],
-                names=["__key", "__text", "doc_id", *(f"n_{k}" for k in KINDS), "base", "contexts"],
+                [batch["t"], batch["doc_id"], *(pa.array(table[:, k]) for k in range(len(KINDS))), pa.array(bases, type=pa.string()), pa.array(near, type=kind)],
+                names=["t", "doc_id", *(f"n_{k}" for k in KINDS), "base", "contexts"],
             )
 
-    return map_arrow(docs.select("__key", "__text", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), f, FOUND)
+    return map_arrow(docs.select("t", "doc_id", "text"), f, FOUND)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """t, n: in how many different texts each term is, over whole texts."""
+    """term, n: in how many different texts each term is, over whole texts."""
 
     def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms = [" ".join(sorted(filter(is_term, set(_TERM.findall((text or "").lower()))))) for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["__text"], pa.array(terms, type=pa.string())], names=["__text", "terms"])
+            yield pa.RecordBatch.from_arrays([batch["t"], pa.array(terms, type=pa.string())], names=["t", "terms"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(n), type=pa.string()), pa.array(list(n.values()), type=pa.int64())], names=["t", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(n), type=pa.string()), pa.array(list(n.values()), type=pa.int64())], names=["term", "n"])
 
         for batch in batches:
             for terms in batch["terms"].to_pylist():
@@ -160,29 +176,32 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 n.clear()
         yield out()
 
-    once = map_arrow(docs.select("__text", F.col("text").cast("string").alias("text")), different, "__text long, terms string").dropDuplicates(["__text"])
-    return map_arrow(once.select("terms"), count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    once = map_arrow(docs.select("t", "text"), different, "t binary, terms string").dropDuplicates(["t"])
+    return map_arrow(once.select("terms"), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """c, t, remove: the terms that give an entity away, and whether they must go (or be generalised)."""
-    total = float(max(found.select("__text").distinct().count(), 2))
-    seen = found.select("__text", F.explode("contexts").alias("x")).select("__text", "x.*").dropDuplicates(["__text", "c", "seen"])
-    of_entity = seen.groupBy("c").agg(F.count_distinct("__text").alias("n_c"), F.count_distinct("seen").alias("m"))
-    near = seen.select("__text", "c", "seen", F.explode("terms").alias("t"))
-    pairs = near.groupBy("c", "t").agg(F.count_distinct("__text").alias("n_ct"), F.count_distinct("seen").alias("k")).where(F.col("k") >= MIN_CONTEXTS)
-    joined = pairs.join(of_entity, "c").join(term_counts(docs), "t").withColumn("n", F.greatest("n", "n_ct"))
+    """c, term, remove: the terms that give an entity away, and whether they must go (or be generalised)."""
+    total = float(max(found.select("t").distinct().count(), 2))
+    seen = found.select("t", F.explode("contexts").alias("x")).select("t", "x.*").dropDuplicates(["t", "c", "seen"])
+    of_entity = seen.groupBy("c").agg(F.count_distinct("t").alias("n_c"), F.count_distinct("seen").alias("m"))
+    near = seen.select("t", "c", "seen", F.explode("terms").alias("term"))
+    pairs = near.groupBy("c", "term").agg(F.count_distinct("t").alias("n_ct"), F.count_distinct("seen").alias("k")).where(F.col("k") >= MIN_CONTEXTS)
+    joined = pairs.join(of_entity, "c").join(term_counts(docs), "term").withColumn("n", F.greatest("n", "n_ct"))
     ratio: Column = F.log(F.lit(total) * F.col("n_ct") / (F.col("n_c") * F.col("n"))) / F.log(F.lit(total + 1) / F.col("n_c"))
     evidence = F.col("k") * (F.log(F.lit(total) * F.col("k") / (F.col("m") * F.col("n"))) - 1)
-    found = joined.where(evidence > -math.log(CHANCE)).select("c", "t", ratio.alias("disclosure"))
-    return found.where(F.col("disclosure") > GENERALISE).select("c", "t", (F.col("disclosure") > REMOVE).alias("remove"))
+    found = joined.where(evidence > -math.log(CHANCE)).select("c", "term", ratio.alias("disclosure"))
+    return found.where(F.col("disclosure") > GENERALISE).select("c", "term", (F.col("disclosure") > REMOVE).alias("remove"))
 
 
 def document_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """__k, terms: for the documents that hold an entity, the terms that give it away."""
-    holds = found.select(F.col("__key").alias("__k"), F.explode(F.array_distinct(F.col("contexts.c"))).alias("c"))
-    per = holds.join(disclosing(docs, found), "c").groupBy("__k", "t").agg(F.max("remove").alias("remove"))
-    return per.groupBy("__k").agg(F.collect_list(F.struct("t", "remove")).alias("terms"))
+    """kt, terms: for the texts that hold an entity, the terms that give it away."""
+    telling = written(disclosing(docs, found), "disclosing")  # a table of its own: the join can split an entity that most texts hold
+    holds = found.select(F.col("t").alias("kt"), F.explode(F.array_distinct(F.col("contexts.c"))).alias("c"))
+    per = holds.join(telling, "c").groupBy("kt", "term").agg(F.max("remove").alias("remove"))
+    out = written(per.groupBy("kt").agg(F.collect_list(F.struct("term", "remove")).alias("terms")), "terms")
+    forgotten(telling)
+    return out
 
 
 def term_spans(text: str, terms: dict[str, bool], base: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
@@ -218,35 +237,37 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, a count of each kind, base_sha256, spans."""
     docs = with_key(docs)
     found = written(found_base(docs), "personal")
-    terms = written(document_terms(docs, found), "terms")
-    # texts are read again only for the rows that have such terms
-    again = docs.join(terms, F.col("__key") == F.col("__k")).select("__key", F.col("text").cast("string").alias("text"), "terms").dropDuplicates(["__key"])
+    # texts are read again only for those that have such terms
+    again = docs.join(document_terms(docs, found), F.col("t") == F.col("kt")).select("t", "text", "terms").dropDuplicates(["t"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [written_out(all_spans(text or "", {t["t"]: t["remove"] for t in terms})) for text, terms in zip(batch["text"].to_pylist(), batch["terms"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["__key"], pa.array(spans, type=pa.string())], names=["__k", "spans"])
+            spans = [written_out(all_spans(text, {t["term"]: t["remove"] for t in terms})) for text, terms in zip(batch["text"].to_pylist(), batch["terms"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["t"], pa.array(spans, type=pa.string())], names=["kt", "spans"])
 
-    more = map_arrow(again, f, "__k long, spans string")
-    return found.join(more, F.col("__key") == F.col("__k"), "left").select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), F.coalesce("spans", "base").alias("spans"))
+    more = written(map_arrow(again, f, "kt binary, spans string"), "spans")
+    return found.join(more, F.col("t") == F.col("kt"), "left").select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), F.coalesce("spans", "base").alias("spans"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with personal data and what gives it away taken out of text; n_chars follows, where there is one."""
+    """docs with personal data and what gives it away taken out of text; n_chars follows, where there is one. Other columns,
+    whatever their names, stay as they are."""
     keyed = with_key(docs)
     found = written(found_base(keyed), "personal")
-    terms = written(document_terms(keyed, found), "terms")
-    joined = keyed.join(terms.withColumnRenamed("terms", "__terms"), F.col("__key") == F.col("__k"), "left").drop("__key", "__k", "__text")
-    at = docs.columns.index("text")
+    terms = document_terms(keyed, found)
+    forgotten(found)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("t", F.when(F.col("text").isNotNull(), text_digest()))
+    joined = rows.join(terms, F.col("t") == F.col("kt"), "left").select("row", "text", "terms")
+    names, at = docs.columns, docs.columns.index("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if text is None else clean(text, {t["t"]: t["remove"] for t in terms or ()}) for text, terms in zip(batch["text"].to_pylist(), batch["__terms"].to_pylist())]
-            columns = [c for name, c in zip(batch.schema.names, batch.columns) if name != "__terms"]
+            texts = [None if text is None else clean(text, {t["term"]: t["remove"] for t in terms or ()}) for text, terms in zip(batch["text"].to_pylist(), batch["terms"].to_pylist())]
+            columns = batch["row"].flatten()
             columns[at] = pa.array(texts, type=pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs_columns = docs.columns
     out = map_arrow(joined, f, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

@@ -5,7 +5,9 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cartomill.llm.pii import base_spans, personal_data, sanitised
+from pyspark.sql import functions as F
+
+from cartomill.llm.pii import base_spans, contexts, personal_data, sanitised, words_before
 
 from .cases import SCHEMA, crowded, frame, rows
 
@@ -107,6 +109,21 @@ def test_copies_and_rare_terms_disclose(spark):
         assert got[d].spans == ",".join(want)
 
 
+def test_contexts_are_whole_words():
+    long = [c * 40 for c in "abcdefgh"]
+    text_ = " ".join(["x" * 500, *long, "joan@home.example", *long[::-1], "y" * 500])
+    a = text_.index("joan")
+    [(_, _, terms)] = contexts(text_, [(a, 0, a + len("joan@home.example"))])
+    assert terms == sorted(long)
+    assert words_before("a" * 9000 + " b c", 9004, 8) == ["a" * 9000, "b", "c"]
+
+
+def test_clashing_names(spark):
+    docs = frame(spark, planted()).withColumns({c: F.lit("clash") for c in ("__key", "__k", "__terms", "row", "t", "kt", "terms", "term", "c")})
+    out = sanitised(docs)
+    assert out.columns == docs.columns and out.where("terms = 'clash' AND t = 'clash'").count() == docs.count()
+
+
 def test_sanitised(spark):
     docs = crowded(spark, planted() + rows())
     out = sanitised(docs)
