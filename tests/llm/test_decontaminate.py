@@ -71,6 +71,27 @@ def test_empty(spark):
     assert contamination(spark.createDataFrame([], SCHEMA), none).count() == 0
 
 
+def test_long_spans_are_cut(spark):
+    """Under the coverage limit, matched spans of LONG_SPAN words go and shorter ones stay, by one block or by many."""
+    rng = random.Random(7)
+    long, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("l", 60), ("s", 30)))
+    bench = spark.createDataFrame([(1, long), (2, short), (3, "and more items here to fill blocks")], "item_id long, text string")
+    filler = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = filler(1500), filler(700), filler(20)
+    data = [(1, f"{a}, {long}! {b}", "en", "s", 5), (2, f"{a} {short} {b}", "en", "s", 5), (3, f"{c} {long}", "en", "s", 5), (4, f"{c} é", "en", "s", 5), (5, None, None, None, None)]
+    for block in (10, 1_000_000):
+        got = {r.doc_id: r for r in decontaminated(crowded(spark, data), bench, block=block).collect()}
+        assert {d: r.text for d, r in got.items()} == {1: f"{a}, ! {b}", 2: data[1][1], 4: f"{c} é", 5: None}
+        assert got[1].n_chars == len(got[1].text) and got[5].n_chars is None
+
+
+def test_automaton_is_flat():
+    rng = random.Random(3)
+    a = Automaton([(i, [f"w{rng.randrange(20_000)}".encode() for _ in range(100)]) for i in range(100)])
+    arrays = sum(x.nbytes for x in a.__dict__.values() if hasattr(x, "nbytes"))
+    assert arrays < 100 * 10_000 and not any(isinstance(x, list) and len(x) > 100 for x in a.__dict__.values())
+
+
 def test_items_without_an_id_hit(spark):
     item = " ".join(f"w{i}" for i in range(20))
     bench = spark.createDataFrame([(None, item), (4, "some other item of few words")], "item_id long, text string")
