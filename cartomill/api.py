@@ -24,12 +24,13 @@ class CodeGraph(Graph):
     def scan(cls, spark: SparkSession, root: str, repo: str, config: workspace.Config | None = None) -> "CodeGraph":
         """Reads a tree: all symbols first, then the references to them."""
         files = cut(workspace.walk_files(spark, root, repo, config))
-        rows = cut(extract.extract(files))
+        used = [r.framework for r in frameworks.active_frameworks(files).select("framework").distinct().collect()]  # of a fixed table
+        rows = cut(extract.extract(files, used))
         symbols, refs = extract.symbols_of(rows), extract.references_of(rows)
         own = relational.enclosing_symbol(refs.select(F.col("source_file").alias("file_path"), "line").distinct(), symbols).select(F.col("file_path").alias("source_file"), "line", F.col("symbol").alias("source_symbol"))
         found = resolve.resolve_symbol(refs, symbols, files).where("target IS NOT NULL").join(own, ["source_file", "line"], "left")
         edges = found.select("source_file", F.col("target").alias("target_file"), "source_symbol", F.col("symbol").alias("target_symbol"), "edge_type", "repo", F.lit(1.0).alias("weight"), F.when(F.col("how") == "contains", "inferred").otherwise(F.col("verifiability")).alias("verifiability"), F.lit(None).cast("string").alias("target_repo"), "line")
-        out = cls(files.withColumn("namespace", F.lit(None).cast("string")), symbols, cut(edges))
+        out = cls(files.join(extract.namespaces_of(rows), "path", "left"), symbols, cut(edges))
         out.texts = files.select("path", "text")
         return out
 
@@ -136,8 +137,10 @@ class CodeGraph(Graph):
         return {k: v.split() for k, v in EXTENSIONS.items()}
 
     def batch(self, ops: list[tuple[str, dict]], most: int = 10) -> DataFrame:
-        """op_index and JSON rows of up to ten questions."""
-        parts = [getattr(self, name)(**args) for name, args in ops[:most]]
+        """op_index and JSON rows of up to ten questions; more are refused."""
+        if not 0 < len(ops) <= most:
+            raise ValueError(f"between 1 and {most} questions, not {len(ops)}")
+        parts = [getattr(self, name)(**args) for name, args in ops]
         rows = [p.select(F.lit(i).alias("op_index"), F.to_json(F.struct(*p.columns)).alias("row")) for i, p in enumerate(parts)]
         out = rows[0]
         for r in rows[1:]:

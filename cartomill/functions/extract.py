@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ship import ship
@@ -19,6 +19,25 @@ from .ship import ship
 # Methods so common that a call of one says little, and names every script has.
 COMMON_METHODS = frozenset("save delete find findOrFail create update get all toArray toJson rules handle boot register on off emit once then catch finally toString valueOf call apply bind".split())
 BUILTIN_GLOBALS = frozenset("Date Error Map Set Promise Object Array String Number Boolean Function RegExp Symbol JSON Math console Console TypeError RangeError ReferenceError SyntaxError URIError EvalError".split())
+# Names of a framework that are not the project's own.
+IGNORED_SYMBOLS = {
+    "vue-router": frozenset(
+        "ref computed reactive watch watchEffect defineComponent setup onMounted onUnmounted onBeforeMount onBeforeUnmount onUpdated onBeforeUpdate"
+        " provide inject nextTick defineProps defineEmits defineExpose defineModel defineOptions withDefaults toRef toRefs unref isRef isReactive isProxy"
+        " shallowRef shallowReactive readonly markRaw useRoute useRouter createRouter createWebHistory useStore defineStore storeToRefs"
+        " useI18n t te tm rt d n useHead useMeta useFetch useAsyncData".split()
+    )
+}
+# What a captured reference is; all others are calls.
+REFERENCE_TYPES = {k: k for k in "import require extends implements call instantiation render param_type return_type".split()} | {"import_name": "import"}
+# Fixed formats: the signature in a declaration's first line, by kind.
+SIGNATURES = {
+    "function": r"(?:export\s+)?(?:async\s+)?function\s+\w+[^{]*",
+    "method": r"(?:abstract\s+)?(?:private|protected|public)?\s*(?:async\s+)?(?:get\s+|set\s+)?\w+\s*\([^)]*\)(\s*:\s*[^{;]+)?",
+    "class": r"(?:export\s+)?(?:abstract\s+)?class\s+\w+[^{]*",
+    "interface": r"(?:export\s+)?interface\s+\w+[^{]*",
+    "enum": r"(?:export\s+)?enum\s+\w+",
+}
 SCRIPT = frozenset("javascript typescript tsx vue svelte".split())
 
 ROWS = "path string, repo string, row string, name string, kind string, scope string, signature string, start_line int, end_line int, verifiability string"
@@ -44,7 +63,7 @@ REFERENCES = {
     "implements": r"\bimplements\s+([\w\\.$, ]+)",
     "instantiation": r"\bnew\s+([\w\\.$]+)",
     "render": r"<([A-Z][\w.]*)[\s/>]",
-    "call": r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\(",
+    "call": r"(?<![\w$])(?<!new )([A-Za-z_$][\w$]*)\s*\(",
 }
 _NOT_CALLS = frozenset("if for while switch catch return function func fn def sub new class match elseif foreach sizeof and or not in is with await typeof".split())
 
@@ -68,6 +87,28 @@ def _line(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
+def reference_type(kind: Column | str) -> Column:
+    """REFERENCE_TYPES of a column; unknown kinds are calls."""
+    table = F.create_map(*(F.lit(x) for kv in REFERENCE_TYPES.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, F.col(kind) if isinstance(kind, str) else kind), F.lit("call"))
+
+
+def clean_target(name: Column | str, kind: Column | str) -> Column:
+    """A target without the quotes around it, where it is imported or required."""
+    name, kind = (F.col(c) if isinstance(c, str) else c for c in (name, kind))
+    return F.when(kind.isin("import", "require"), F.regexp_replace(name, "^['\"]|['\"]$", "")).otherwise(name)
+
+
+def ignored_symbols(frameworks: Iterable[str]) -> frozenset[str]:
+    """The names that all of these frameworks bring."""
+    return frozenset().union(*(IGNORED_SYMBOLS.get(f, ()) for f in frameworks))
+
+
+def signature(line: str, kind: str, name: str) -> str:
+    found = re.search(SIGNATURES[kind], line.strip()) if kind in SIGNATURES else None
+    return found.group().strip() if found else name
+
+
 def generic(text: str, language: str) -> Iterator[tuple]:
     """row, name, kind, scope, signature, start_line, end_line, verifiability of a text."""
     spans, declared = [], set()
@@ -85,8 +126,9 @@ def generic(text: str, language: str) -> Iterator[tuple]:
         around = [s for s in spans if s[0] < a and s[1] >= b and s[2] in ("class", "interface", "trait", "struct", "enum", "module")]
         scope = around[-1][3] if around else None
         kind = "method" if kind == "function" and scope else kind
-        line = text[a : (text + "\n").index("\n", a)].strip().rstrip("{").strip()
-        yield "symbol", name, kind, scope, line, _line(text, a), _line(text, b), None
+        begin = text.rfind("\n", 0, a) + 1
+        line = text[begin : (text + "\n").index("\n", a)]
+        yield "symbol", name, kind, scope, signature(line, kind, name), _line(text, a), _line(text, b), None
     for kind, pattern in REFERENCES.items():
         for m in re.finditer(pattern, text, re.M):
             at = next(i for i in range(1, m.re.groups + 1) if m.group(i) is not None)
@@ -128,6 +170,45 @@ def python(text: str, language: str = "python") -> Iterator[tuple]:
     yield from walk(ast.parse(text), None)
 
 
+_USE = re.compile(r"^\s*use\s+([\w\\]+)(?:\s+as\s+(\w+))?\s*;", re.M)
+# References of PHP by type; group 1 is the class.
+PHP_REFERENCES = {
+    "relation": r"->(?:hasOne|hasMany|belongsTo|belongsToMany|hasManyThrough|hasOneThrough|morphOne|morphMany|morphToMany|morphedByMany)\(\s*([\w\\]+)::class",
+    "binding": r"(?:->|::)(?:bind|singleton|scoped|instance)\(\s*[\w\\]+::class\s*,\s*([\w\\]+)::class",
+    "dispatch": r"\bdispatch\(\s*new\s+([\w\\]+)|([A-Z][\w\\]*)::dispatch(?:Sync|AfterResponse)?\(",
+    "notify": r"->notify\(\s*new\s+([\w\\]+)",
+    "param_type": r"[(,]\s*(?:(?:public|private|protected|readonly)\s+)*\??([A-Z][\w\\]*)\s+(?:&|\.\.\.)?\$\w+",
+    "return_type": r"\)\s*:\s*\??([A-Z][\w\\]*)",
+}
+
+
+def php(text: str, language: str = "php") -> Iterator[tuple]:
+    """generic(), with classes named in full: by the file's use table, then its namespace. Rows of kind namespace are the
+    file's own; what a job or notification is made of is no instantiation of its own."""
+    names = {m[2] or m[1].rsplit("\\", 1)[-1]: m[1].lstrip("\\") for m in _USE.finditer(text)}
+    found = re.search(r"^\s*(?:<\?php\s+)?namespace\s+([\w\\]+)\s*[;{]", text, re.M)
+    own = found[1] if found else ""
+
+    def full(name: str) -> str:
+        first, _, rest = name.partition("\\")
+        if name.startswith("\\"):
+            return name[1:]
+        if first in names:
+            return names[first] + (f"\\{rest}" if rest else "")
+        return f"{own}\\{name}" if own else name
+
+    for r in generic(text, language):
+        if r[0] == "reference" and r[2] in ("extends", "implements", "instantiation") and not r[1].startswith("$"):
+            r = (r[0], full(r[1]), *r[2:])
+        elif r[0] == "reference" and r[2] == "import":
+            r = (r[0], r[1].lstrip("\\"), *r[2:])
+        yield r
+    for kind, pattern in PHP_REFERENCES.items():
+        for m in re.finditer(pattern, text):
+            at = next(i for i in range(1, m.re.groups + 1) if m.group(i) is not None)
+            yield "reference", full(m.group(at)), kind, None, None, _line(text, m.start(at)), None, "verified"
+
+
 def blocks(text: str, tag: str = "script") -> Iterator[tuple[str, int]]:
     """The bodies of all blocks of a tag, and the line before each."""
     for m in re.finditer(rf"<{tag}\b[^>]*>(.*?)</{tag}>", text, re.S):
@@ -142,21 +223,23 @@ def parsed(text: str, language: str) -> Iterator[tuple]:
                 for r in generic(body, language):
                     yield (*r[:5], r[5] + before, r[6] + before if r[6] else None, r[7])
         else:
-            yield from (python if language == "python" else generic)(text, language)
+            yield from {"python": python, "php": php}.get(language, generic)(text, language)
     except (SyntaxError, ValueError, RecursionError) as e:
         yield "error", str(e)[:200], type(e).__name__, None, None, getattr(e, "lineno", None), None, None
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """ROWS of files (path, repo, language, text): symbols, references and errors."""
+def extract(files: DataFrame, frameworks: Iterable[str] = ()) -> DataFrame:
+    """ROWS of files (path, repo, language, text): symbols, references and errors, without the names that the frameworks
+    in use bring."""
     ship(files.sparkSession)
+    ignored = ignored_symbols(frameworks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from cartomill.functions.extract import parsed as read
 
         names = [c.split()[0] for c in ROWS.split(", ")]
         for frame in frames:
-            rows = [(path, repo, *r) for path, repo, language, text in frame.itertuples(index=False) for r in read(text or "", language)]
+            rows = [(path, repo, *r) for path, repo, language, text in frame.itertuples(index=False) for r in read(text or "", language) if r[1] not in ignored]
             out = pd.DataFrame(rows, columns=names)
             for c in ("start_line", "end_line"):
                 out[c] = out[c].astype("Int32")
@@ -173,6 +256,11 @@ def references_of(rows: DataFrame) -> DataFrame:
     return rows.where("row = 'reference'").select(F.col("path").alias("source_file"), "repo", F.col("name").alias("symbol"), F.col("kind").alias("edge_type"), F.col("start_line").alias("line"), "verifiability")
 
 
+def namespaces_of(rows: DataFrame) -> DataFrame:
+    """path, namespace: the first that a file declares."""
+    return rows.where("row = 'symbol' AND kind = 'namespace'").groupBy("path").agg(F.min_by("name", "start_line").alias("namespace"))
+
+
 def in_try(text: str, line: int, start: int, is_python: bool) -> bool:
     """Whether a line lies in a try block that begins after `start`."""
     before = text.split("\n")[max(0, start - 1) : line - 1]

@@ -3,13 +3,51 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where the session names none and runs in one process."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cartomill-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the shared folder; it outlives executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cartomill-"))
-    return df.checkpoint()
+    """df computed once, as a table in the shared folder; it outlives executors."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in as many buckets as the session has shuffle partitions: joins on `by` move only their other side."""
+    spark, name = df.sparkSession, f"cartomill_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, *by).write.format("parquet").option("compression", "snappy").bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with a column of its rows' places, from 0, in a total order. A range sort deals the rows to tasks; what meets on
+    the driver is one count for each of them."""
+    place = F.monotonically_increasing_id()
+    rows = cut(df.orderBy(*order).withColumn("__place", place))
+    sizes = rows.groupBy(F.shiftright("__place", 33).alias("__part")).agg(F.count("*").alias("n")).orderBy("__part").collect()
+    before, offsets = 0, []
+    for r in sizes:
+        offsets += [F.lit(r["__part"]), F.lit(before)]
+        before += r["n"]
+    if not offsets:
+        return rows.withColumnRenamed("__place", name)
+    start = F.element_at(F.create_map(*offsets), F.shiftright("__place", 33))
+    return rows.withColumn(name, start + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__place")

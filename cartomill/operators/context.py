@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .graph import distances
 from .predicates import like
 from .relational import SYMBOL_ORDER, of_repo
@@ -23,13 +24,11 @@ BASE_COST, SYMBOL_COST, FREE_SYMBOLS = 150, 20, 3
 
 def keywords(text: Column | str) -> Column:
     """Words of three characters or more, camel case split, stop words left out; and those without a common ending."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
-
-    def forms(w: Column) -> Column:
-        stems = [F.when(w.endswith(s) & (F.length(w) > len(s)), F.substring(w, F.lit(1), F.length(w) - len(s))) for s in SUFFIXES]
-        return F.filter(F.array(w, *stems), lambda x: x.isNotNull())
-
-    return F.array_distinct(F.flatten(F.transform(words, forms)))
+    split = F.split(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), "[^a-z0-9]+")
+    # different words first: what follows is interpreted, word by word
+    words = F.filter(F.array_except(split, F.array(*map(F.lit, STOP_WORDS))), lambda w: F.length(w) >= 3)
+    stem = lambda w: F.regexp_extract(w, f"^(.+)(?:{'|'.join(SUFFIXES)})$", 1)  # noqa: E731  no ending is the end of another
+    return F.array_distinct(F.filter(F.flatten(F.transform(words, lambda w: F.array(w, stem(w)))), lambda w: w != ""))
 
 
 def keyword_list(text: str) -> list[str]:
@@ -81,22 +80,24 @@ def context_score(candidates: DataFrame, symbols: DataFrame, words: list[str], r
 def context_pack(scored: DataFrame, symbols: DataFrame, budget: int) -> DataFrame:
     """path, score, cost, included: in order of score, what still fits is taken and what does not is passed over.
 
-    Each choice depends on those before it, so it is a fold over the ordered candidates, which are a bounded
-    neighbourhood.
+    Each choice depends on those before it, so it is a fold over ordered candidates. But of the files of one cost only the
+    first budget / cost can be taken, so the fold sees the first few of each cost: their number depends on the budget, not
+    on the files.
     """
     n = symbols.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n"))
     cost = (F.lit(BASE_COST) + SYMBOL_COST * F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - FREE_SYMBOLS)).cast("int")
-    rows = scored.join(n, "path", "left").select("path", "score", cost.alias("cost"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "path", "score", "cost")))
-    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<struct<path:string,score:double,cost:int,included:boolean>>)").alias("out"))
+    rows = cut(scored.join(n, "path", "left").select("path", "score", cost.alias("cost")))
+    place = F.row_number().over(Window.partitionBy("cost").orderBy(F.desc("score"), "path"))
+    first = rows.where(F.col("cost") <= budget).withColumn("__i", place).where(F.col("__i") <= budget // BASE_COST).where(F.col("__i") * F.col("cost") <= budget)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("key"), "path", "cost")))
+    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = acc["used"] + x["cost"] <= budget
-        row = F.struct(x["path"].alias("path"), x["score"].alias("score"), x["cost"].alias("cost"), fits.alias("included"))
-        return F.struct((acc["used"] + F.when(fits, x["cost"]).otherwise(0)).alias("used"), F.array_append(acc["out"], row).alias("out"))
+        return F.struct((acc["used"] + F.when(fits, x["cost"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(acc["out"], x["path"])).otherwise(acc["out"]).alias("out"))
 
-    folded = rows.agg(ordered.alias("o")).select(F.aggregate("o", start, step)["out"].alias("out"))
-    return folded.select(F.explode("out").alias("r")).select("r.*")
+    taken = first.agg(ordered.alias("o")).select(F.explode(F.aggregate("o", start, step)["out"]).alias("path"))
+    return rows.join(taken.withColumn("__in", F.lit(True)), "path", "left").select("path", "score", "cost", F.coalesce("__in", F.lit(False)).alias("included"))
 
 
 def build_context(files: DataFrame, symbols: DataFrame, edges: DataFrame, task: str, ranks: DataFrame, membership: DataFrame, budget: int = 8192, depth: int = 2, seeds: list[str] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import numbered
 from ..sources.graph_tables import EDGE_ORDER, Graph
 from .relational import first_per_key, llm_file_summary
 
@@ -61,9 +62,10 @@ def toon_quoted(value: Column | str, delimiter: str = ",") -> Column:
 
 
 def fitted(lines: DataFrame, budget: int, *order) -> DataFrame:
-    """The first lines that together take at most `budget` tokens of four bytes, by a running sum."""
+    """The first lines that together take at most `budget` tokens of four bytes, by a running sum. A line takes a byte at
+    least, so the sum runs over the first 4 * budget lines, which each task picks from its own first."""
     size = F.sum(F.octet_length("line") + 1).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("__n", size).where(F.ceil(F.col("__n") / 4) <= budget).drop("__n")
+    return lines.orderBy(*order).limit(4 * max(0, budget)).withColumn("__n", size).where(F.ceil(F.col("__n") / 4) <= budget).drop("__n")
 
 
 def export_toon(g: Graph, ranks: DataFrame, budget: int = 8192, delimiter: str = ",") -> DataFrame:
@@ -104,8 +106,7 @@ def llm_route_groups(routes: DataFrame) -> DataFrame:
 
 def export_svg(g: Graph, ranks: DataFrame, columns: int = 6, width: int = 180, height: int = 60) -> DataFrame:
     """line: cards of the files on a grid, by rank, and lines between them."""
-    order = Window.orderBy(F.desc("pagerank"), "path")
-    own = g.files.join(ranks.select("path", "pagerank"), "path", "left").na.fill(0.0, ["pagerank"]).withColumn("i", F.row_number().over(order) - 1)
+    own = numbered(g.files.join(ranks.select("path", "pagerank"), "path", "left").na.fill(0.0, ["pagerank"]), "i", F.desc("pagerank"), "path")
     at = own.select("path", "language", (F.col("i") % columns * (width + 20) + 10).alias("x"), (F.floor(F.col("i") / columns) * (height + 20) + 10).alias("y"))
     safe = F.col("path")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

@@ -7,10 +7,10 @@ was seen keeps cycles from growing. Iterations cut lineage in the shared folder.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import bucketed, cut, numbered
 from ..functions.ship import ship
 from ..sources.graph_tables import DATA_EDGES, EDGE_ORDER, STRUCTURAL_EDGES, Graph
 from .relational import first_per_key, scoped, undirected
@@ -55,24 +55,34 @@ def graph_edges(g: Graph) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """id, rank: weighted PageRank; what nodes without edges out hold is dealt to all. Stops when the summed change is
-    under tol for each node, or after max_iter rounds."""
-    pairs = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
-    out = pairs.groupBy("src").agg(F.sum("w").alias("total"))
-    links = cut(pairs.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    n = nodes.count()
+    under tol for each node, or after max_iter rounds.
+
+    Nodes get numbers, and links lie in buckets by their source, so a round moves one number a node and one a link. The
+    round's change and what it loses are observed while it is written.
+    """
+    keys = numbered(nodes.select("id").distinct(), "k", "id")
+    n = keys.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    ranks = cut(nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("gives")), "id", "left").select("id", F.coalesce("gives", F.lit(False)).alias("gives"), F.lit(1.0 / n).alias("rank")))
+    pairs = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    pairs = pairs.join(keys.select(F.col("id").alias("src"), F.col("k").alias("s")), "src").join(keys.select(F.col("id").alias("dst"), F.col("k").alias("d")), "dst").select("s", "d", "w")
+    pairs = cut(pairs)
+    out = pairs.groupBy("s").agg(F.sum("w").alias("total"))
+    links = bucketed(pairs.join(out, "s").select("s", "d", (F.col("w") / F.col("total")).alias("share")), "s")
+    gives = out.select(F.col("s").alias("k"), F.lit(True).alias("gives"))
+    ranks = cut(keys.select("k").join(gives, "k", "left").select("k", F.coalesce("gives", F.lit(False)).alias("gives"), F.lit(1.0 / n).alias("rank")))
+    lost = ranks.where("NOT gives").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(max_iter):
-        lost = ranks.where("NOT gives").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        new = ranks.withColumnRenamed("rank", "old").join(got, "id", "left").crossJoin(F.broadcast(lost))
-        new = cut(new.select("id", "gives", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).alias("rank"), "old"))
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.select("id", "gives", "rank")
+        got = links.join(ranks.select(F.col("k").alias("s"), "rank"), "s").groupBy(F.col("d").alias("k")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        new = ranks.withColumnRenamed("rank", "old").join(got, "k", "left")
+        new = new.select("k", "gives", (alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n)) + (1 - alpha) / n).alias("rank"), "old")
+        seen = Observation()
+        new = new.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"), F.coalesce(F.sum(F.when(~F.col("gives"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        ranks = cut(new).select("k", "gives", "rank")
+        change, lost = seen.get["change"], seen.get["lost"]
         if change < n * tol:
             break
-    return ranks.select("id", "rank")
+    return cut(keys.join(ranks, "k").select("id", "rank"))
 
 
 def ranked_files(g: Graph, ranks: DataFrame) -> DataFrame:
@@ -190,10 +200,10 @@ def source_label(sources: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sink_label(sinks: DataFrame) -> DataFrame:
-    """sinks: file and edges, the number of data edges in."""
+    """sinks: file and edges, the number of data edges in. Of several words the first counts."""
     f, n = F.col("file"), F.col("edges")
     label = F.lit("[terminal — no outgoing data edges]")
-    for words, text in ((("QueueManager", "queue"), "[Queue::push — %d in-edges]"), (("Mailer", "mail"), "[Mail facade → SMTP — %d in-edges]"), (("CacheManager", "cache"), "[Cache facade → Redis/Memcache — %d in-edges]"), (("DatabaseManager", "database"), "[DB facade → raw SQL — %d in-edges]")):
+    for words, text in reversed(((("QueueManager", "queue"), "[Queue::push — %d in-edges]"), (("Mailer", "mail"), "[Mail facade → SMTP — %d in-edges]"), (("CacheManager", "cache"), "[Cache facade → Redis/Memcache — %d in-edges]"), (("DatabaseManager", "database"), "[DB facade → raw SQL — %d in-edges]"))):
         label = F.when(f.contains(words[0]) | f.contains(words[1]), F.format_string(text, n)).otherwise(label)
     return sinks.select("file", label.alias("label"))
 
@@ -365,7 +375,5 @@ def numbered_communities(labels: DataFrame, existing: DataFrame, least: int = 3)
     big = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     own = labels.join(big.select("label"), "label", "left_semi").select(F.col("label").alias("cluster_name"), F.col("path").alias("file_path"))
     left = same_set_drop(own, existing)
-    from pyspark.sql import Window
-
-    number = left.select("cluster_name").distinct().withColumn("k", F.row_number().over(Window.orderBy("cluster_name")))
+    number = numbered(left.select("cluster_name").distinct(), "k", "cluster_name").withColumn("k", F.col("k") + 1)
     return left.join(number, "cluster_name").select(F.concat(F.lit("community_"), F.col("k").cast("string")).alias("cluster_name"), "file_path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, numbered
 from ..sources.graph_tables import EDGE_ORDER, FRAMEWORK_EDGES
 from .predicates import folded, folded_text, glob_to_like, is_glob, is_wildcard, like, same
 
@@ -259,11 +260,11 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def graph_transitivity(edges: DataFrame) -> DataFrame:
     """Closed over all triplets. Each edge points from the end of less degree, so hubs have few pairs to test."""
-    u = undirected(edges)
+    u = cut(undirected(edges))
     degree = u.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
     ends = u.join(degree.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
     low = F.expr("da < db OR (da = db AND a < b)")
-    out = ends.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y"))
+    out = cut(ends.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y")))
     wedge = out.alias("p").join(out.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.y") < F.col("q.y"))).select(F.col("p.y").alias("a"), F.col("q.y").alias("b"))
     closed = wedge.join(u, ["a", "b"]).agg(F.count("*").alias("t"))
     triplets = degree.agg(F.coalesce(F.sum(F.expr("d * (d - 1) div 2")), F.lit(0)).alias("w"))
@@ -317,6 +318,35 @@ def llm_file_summary(symbols: DataFrame) -> DataFrame:
     return ranked.groupBy("file_path").agg(F.sum("n").alias("symbols"), top3.alias("kinds"), F.min_by("kind", "r").alias("dominant"))
 
 
+def symbol_candidates(symbols: DataFrame) -> DataFrame:
+    """What a reference may mean: name, kind and file, each once."""
+    return symbols.select("name", "kind", "file_path").distinct()
+
+
+def deleted_files(known: DataFrame, found: DataFrame) -> DataFrame:
+    """path of files that were known and are found no more."""
+    return known.select("path").join(found.select("path"), "path", "left_anti")
+
+
+def inserted(table: DataFrame, rows: DataFrame, key: list[str] | None = None, number: str | None = None) -> DataFrame:
+    """The table with rows added. With a key, rows take the place of those with the same key, and of rows with one key the
+    last by all columns counts; with a number, new rows get numbers after the greatest, in the order of their columns."""
+    rows = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns))
+    if key:
+        rest = [c for c in table.columns if c not in key]
+        last = rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("r")).select(*key, "r.*").select(*table.columns)
+        same = [F.col(f"t.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key]
+        condition = same[0]
+        for c in same[1:]:
+            condition = condition & c
+        return table.alias("t").join(last.alias("n"), condition, "left_anti").select(*table.columns).unionByName(last)
+    if number:
+        rest = [c for c in table.columns if c != number]
+        most = table.agg(F.coalesce(F.max(number), F.lit(0)).alias("__most"))
+        rows = numbered(rows.select(*rest), "__i", *rest).crossJoin(F.broadcast(most)).withColumn(number, (F.col("__most") + F.col("__i") + 1).cast(table.schema[number].dataType)).select(*table.columns)
+    return table.unionByName(rows)
+
+
 # --- hierarchies
 
 
@@ -385,6 +415,17 @@ def cluster_tree(clusters: DataFrame) -> DataFrame:
     return clusters.select("repo", "name", F.concat(F.repeat(F.lit("  "), F.size(parts) - 1), F.element_at(parts, -1)).alias("line"), parts.alias("__order")).orderBy("repo", "__order").drop("__order")
 
 
+def cluster_filter(clusters: DataFrame, repo: str | None = None, name: str | None = None, source: str | None = None, parent: str | None = None) -> DataFrame:
+    for column, value in (("repo", repo), ("name", name), ("source", source), ("parent_name", parent)):
+        clusters = clusters.where(F.col(column) == value) if value is not None else clusters
+    return clusters
+
+
+def clear_clusters(clusters: DataFrame, membership: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables without what belongs to a repository."""
+    return clusters.where(F.col("repo") != repo), membership.where(F.col("repo") != repo)
+
+
 def same_set_drop(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidate memberships (cluster_name, file_path) of clusters that equal no existing one as a set."""
     def signed(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import group_of
@@ -10,6 +10,19 @@ from ..functions.lineage import cut
 from .predicates import folded
 
 
+def piece_count(text: Column | str) -> Column:
+    return F.size(pieces(text, (3,)))
+
+
+def pieces(text: Column | str, sizes: tuple[int, ...]) -> Column:
+    """The different runs of so many characters in a text; a text shorter than the longest of one size is itself a piece."""
+    text = F.col(text) if isinstance(text, str) else text
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
+
 def resolve_symbol(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """refs (source_file, symbol) with `target`: the file that defines it, in a compatible language.
 
@@ -33,9 +46,16 @@ def resolve_symbol(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     rest = want.join(exact, ["source_file", "symbol"], "left_anti")
     by_short = best(rest.where(F.col("symbol").contains("\\")), "__short")
     rest = rest.join(by_short, ["source_file", "symbol"], "left_anti")
-    # names that contain the text: each distinct text is compared with each distinct name once
+    # names that contain the text: each different text is compared with the names that share its rarest piece
     texts = rest.select(F.lower("__short").alias("__t")).distinct()
-    pairs = texts.join(first.select(F.col("name").alias("__n")).distinct(), F.contains(folded("__n"), F.col("__t")))
+    names = first.select(F.col("name").alias("__n")).distinct()
+    index = cut(names.select("__n", F.explode(pieces(folded("__n"), (1, 2, 3))).alias("__g")))
+    asked = texts.where("__t <> ''").select("__t", F.explode(pieces(F.col("__t"), (3,))).alias("__g"))
+    rarest = asked.join(index.groupBy("__g").agg(F.count("*").alias("__c")), "__g").groupBy("__t").agg(F.min_by("__g", F.struct("__c", "__g")).alias("__g"), F.count("*").alias("__found"), F.first(piece_count("__t")).alias("__want"))
+    pairs = rarest.where("__found = __want").join(index, "__g").where(F.contains(folded("__n"), F.col("__t"))).select("__t", "__n")
     loose = best(rest.withColumn("__t", F.lower("__short")).join(pairs, "__t"), "__n")
+    every = first.groupBy("__g").agg(F.min("o").alias("o"))  # an empty last part is in all names
+    empty = rest.where("__short = ''").join(every, F.col("__sg") == F.col("__g")).select("source_file", "symbol", F.col("o.__f").alias("target"))
+    loose = loose.unionByName(empty)
     found = exact.withColumn("how", F.lit("exact")).unionByName(by_short.withColumn("how", F.lit("short"))).unionByName(loose.withColumn("how", F.lit("contains")))
     return refs.join(found, ["source_file", "symbol"], "left")

@@ -17,31 +17,34 @@ deps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file, t
 inside AS (SELECT 'file://' || file_path AS src, 'symbol://' || file_path || '::' || name AS dst FROM g_symbols
  UNION SELECT 'symbol://' || s.file_path || '::' || s.scope, 'symbol://' || s.file_path || '::' || s.name FROM g_symbols s JOIN g_symbols p ON p.file_path = s.file_path AND p.name = s.scope WHERE s.scope <> s.name),
 links AS (SELECT 'file://' || source_file AS src, 'file://' || target_file AS dst, edge_type AS type, weight FROM deps UNION ALL SELECT src, dst, 'contains', 1.0 FROM inside)""" % _ORDERED
-ROUNDS = 3
-RANK = NODES + """, pairs AS (SELECT src, dst, sum(weight) AS w FROM links GROUP BY ALL), outs AS (SELECT src, sum(w) AS total FROM pairs GROUP BY src), n AS (SELECT count(*) AS n FROM nodes),
-r0 AS (SELECT id, 1.0 / n AS rank FROM nodes, n)""" + "".join(
+#: More rounds than any table here takes; the ranks are those of the first round whose change is under the bound.
+ROUNDS = 50
+RANK = NODES + """, pairs AS MATERIALIZED (SELECT src, dst, sum(weight) AS w FROM links GROUP BY ALL), outs AS MATERIALIZED (SELECT src, sum(w) AS total FROM pairs GROUP BY src), n AS MATERIALIZED (SELECT count(*) AS n FROM nodes),
+r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS rank, 1.0::DOUBLE AS change, id NOT IN (SELECT src FROM outs) AS ends FROM nodes, n)""" + "".join(
     f""", g{k} AS (SELECT dst AS id, sum(w / total * rank) AS got FROM pairs JOIN outs USING (src) JOIN r{k - 1} ON id = src GROUP BY dst),
-l{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k - 1} WHERE id NOT IN (SELECT src FROM outs)),
-r{k} AS (SELECT nodes.id, 0.85 * (coalesce(got, 0) + lost / n) + 0.15 / n AS rank FROM nodes LEFT JOIN g{k} ON g{k}.id = nodes.id, l{k}, n)"""
+r{k} AS MATERIALIZED (SELECT id, new AS rank, sum(abs(new - old)) OVER () AS change, ends FROM (SELECT p.id, p.ends, p.rank AS old, 0.85 * (coalesce(got, 0) + lost / n) + 0.15 / n AS new FROM r{k - 1} p LEFT JOIN g{k} ON g{k}.id = p.id, (SELECT coalesce(sum(rank) FILTER (ends), 0) AS lost FROM r{k - 1}), n))"""
     for k in range(1, ROUNDS + 1)
-)
+) + ", changes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, any_value(change) AS change FROM r{k}" for k in range(1, ROUNDS + 1)) + "), last AS (SELECT min(k) AS k FROM changes, n WHERE change < n * 1e-6), ranks AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT id, rank FROM r{k} WHERE (SELECT k FROM last) = {k}" for k in range(1, ROUNDS + 1)) + ")"
 
 
 def _ranks(g: Graph) -> DataFrame:
-    return G.pagerank(G.nodes(g), G.graph_edges(g), max_iter=ROUNDS, tol=0.0)
+    """Computed once for each graph."""
+    if "ranks" not in g.kept:
+        g.kept["ranks"] = G.pagerank(G.nodes(g), G.graph_edges(g))
+    return g.kept["ranks"]
 
 
 q("build_graph", NODES + " SELECT src, dst, type, weight FROM links", lambda g: G.graph_edges(g))
 q("load_graph", NODES + " SELECT id FROM nodes", lambda g: G.nodes(g).select("id"))
 q("graph_counts", NODES + " SELECT (SELECT count(*) FROM nodes WHERE id LIKE 'file:%') AS files, (SELECT count(*) FROM nodes WHERE id LIKE 'symbol:%') AS symbols, (SELECT count(*) FROM deps) AS edges", lambda g: G.nodes(g).agg(F.count_if(F.col("type") == "file").alias("files"), F.count_if(F.col("type") == "symbol").alias("symbols")).crossJoin(G.dependency_edges(g).agg(F.count("*").alias("edges"))))
-q("graph_json", None, lambda g: G.nodes(g).select(F.to_json(F.struct("id", "type")).alias("json")).union(G.graph_edges(g).select(F.to_json(F.struct("src", "dst", "type", "weight")))))
-q("pagerank", RANK + f" SELECT id, round(rank, 12) AS rank FROM r{ROUNDS}", lambda g: _ranks(g).select("id", F.round("rank", 12).alias("rank")))
-q("ranked_files", RANK + f" SELECT path, language, round(rank, 12) AS pagerank FROM g_files JOIN r{ROUNDS} ON id = 'file://' || path", lambda g: G.ranked_files(g, _ranks(g)).withColumn("pagerank", F.round("pagerank", 12)))
-q("top_files", RANK + f" SELECT path, round(rank, 12) AS pagerank FROM g_files JOIN r{ROUNDS} ON id = 'file://' || path ORDER BY rank DESC, path LIMIT 10", lambda g: R.top(G.ranked_files(g, _ranks(g)), 10, F.desc("pagerank"), "path").select("path", F.round("pagerank", 12).alias("pagerank")))
-_SYMBOL_RANK = RANK + f", deg AS (SELECT dst, count(*) AS d FROM inside GROUP BY dst) SELECT DISTINCT s.file_path, s.name, round(rank * (1 + 0.1 * coalesce(d, 0)), 12) AS pagerank FROM g_symbols s JOIN r{ROUNDS} ON id = 'file://' || s.file_path LEFT JOIN deg ON dst = 'symbol://' || s.file_path || '::' || s.name"
+q("graph_json", NODES + """ SELECT '{"id":' || to_json(id) || ',"type":"' || CASE WHEN id LIKE 'file:%' THEN 'file' ELSE 'symbol' END || '"}' AS json FROM nodes UNION ALL SELECT '{"src":' || to_json(src) || ',"dst":' || to_json(dst) || ',"type":"' || type || '","weight":' || CAST(weight AS DOUBLE) || '}' FROM links""", lambda g: G.nodes(g).select(F.to_json(F.struct("id", "type")).alias("json")).union(G.graph_edges(g).select(F.to_json(F.struct("src", "dst", "type", "weight")))))
+q("pagerank", RANK + f" SELECT id, round(rank, 12) AS rank FROM ranks", lambda g: _ranks(g).select("id", F.round("rank", 12).alias("rank")))
+q("ranked_files", RANK + f" SELECT path, language, round(rank, 12) AS pagerank FROM g_files JOIN ranks ON id = 'file://' || path", lambda g: G.ranked_files(g, _ranks(g)).withColumn("pagerank", F.round("pagerank", 12)))
+q("top_files", RANK + f" SELECT path, round(rank, 12) AS pagerank FROM g_files JOIN ranks ON id = 'file://' || path ORDER BY rank DESC, path LIMIT 10", lambda g: R.top(G.ranked_files(g, _ranks(g)), 10, F.desc("pagerank"), "path").select("path", F.round("pagerank", 12).alias("pagerank")))
+_SYMBOL_RANK = RANK + f", deg AS (SELECT dst, count(*) AS d FROM inside GROUP BY dst) SELECT DISTINCT s.file_path, s.name, round(rank * (1 + 0.1 * coalesce(d, 0)), 12) AS pagerank FROM g_symbols s JOIN ranks ON id = 'file://' || s.file_path LEFT JOIN deg ON dst = 'symbol://' || s.file_path || '::' || s.name"
 q("ranked_symbols", _SYMBOL_RANK, lambda g: G.ranked_symbols(g, _ranks(g)).select("file_path", "name", F.round("pagerank", 12).alias("pagerank")))
 q("top_symbols", f"{_SYMBOL_RANK} ORDER BY pagerank DESC, file_path, name LIMIT 5", lambda g: R.top(G.ranked_symbols(g, _ranks(g)).select("file_path", "name", F.round("pagerank", 12).alias("pagerank")), 5, F.desc("pagerank"), "file_path", "name"))
-q("symbol_rank_enrich", RANK + f", deg AS (SELECT dst, count(*) AS d FROM inside GROUP BY dst) SELECT DISTINCT s.file_path, s.name, s.start_line, round(rank * (1 + 0.1 * coalesce(d, 0)), 12) AS pagerank FROM g_symbols s JOIN r{ROUNDS} ON id = 'file://' || s.file_path LEFT JOIN deg ON dst = 'symbol://' || s.file_path || '::' || s.name WHERE lower(s.name) LIKE 'red%'", lambda g: R.symbol_query(g.symbols, "RED*").select("file_path", "name", "start_line").join(G.ranked_symbols(g, _ranks(g)).select("file_path", "name", "pagerank"), ["file_path", "name"], "left").select("file_path", "name", "start_line", F.round(F.coalesce("pagerank", F.lit(0.0)), 12).alias("pagerank")).distinct())
+q("symbol_rank_enrich", RANK + f", deg AS (SELECT dst, count(*) AS d FROM inside GROUP BY dst) SELECT DISTINCT s.file_path, s.name, s.start_line, round(rank * (1 + 0.1 * coalesce(d, 0)), 12) AS pagerank FROM g_symbols s JOIN ranks ON id = 'file://' || s.file_path LEFT JOIN deg ON dst = 'symbol://' || s.file_path || '::' || s.name WHERE lower(s.name) LIKE 'red%'", lambda g: R.symbol_query(g.symbols, "RED*").select("file_path", "name", "start_line").join(G.ranked_symbols(g, _ranks(g)).select("file_path", "name", "pagerank"), ["file_path", "name"], "left").select("file_path", "name", "start_line", F.round(F.coalesce("pagerank", F.lit(0.0)), 12).alias("pagerank")).distinct())
 q("dependencies", f"SELECT DISTINCT target_file AS path, edge_type AS type FROM g_edges WHERE source_file = {FIRST_FILE}", lambda g: G.dependencies(G.dependency_edges(g), first_path(g)))
 q("reverse_dependencies", f"SELECT DISTINCT source_file AS path, edge_type AS type FROM g_edges WHERE target_file = {FIRST_FILE}", lambda g: G.dependencies(G.dependency_edges(g), first_path(g), reverse=True))
 
@@ -65,8 +68,6 @@ q("risk_summary", f"{_IMPACT} SELECT count(*) FILTER (risk = 'HIGH') AS high, co
 _CALLS = "(SELECT * FROM g_edges WHERE edge_type = 'call')"
 q("find_sources", f"SELECT source_file AS file, count(*) AS edges FROM {_CALLS} WHERE source_file NOT IN (SELECT target_file FROM {_CALLS}) GROUP BY source_file", lambda g: G.find_sources(g.edges))
 q("find_sinks", f"SELECT target_file AS file, count(*) AS edges FROM {_CALLS} WHERE target_file NOT IN (SELECT source_file FROM {_CALLS}) GROUP BY target_file", lambda g: G.find_sinks(g.edges))
-q("source_label", f"SELECT DISTINCT source_file AS file, '' AS label FROM {_CALLS} WHERE source_file NOT IN (SELECT target_file FROM {_CALLS})", lambda g: G.source_label(G.find_sources(g.edges), g.edges))
-q("sink_label", f"SELECT DISTINCT target_file AS file, '[terminal — no outgoing data edges]' AS label FROM {_CALLS} WHERE target_file NOT IN (SELECT source_file FROM {_CALLS})", lambda g: G.sink_label(G.find_sinks(g.edges)))
 q("edges_for_node", f"SELECT {EDGE_COLUMNS} FROM g_edges WHERE source_file = {FIRST_FILE} AND edge_type IN ('call', 'import', 'extends') AND repo = 'repo_0'", lambda g: R.of_repo(G.data_edges(g.edges, structural=True), "repo_0").where(F.col("source_file") == first_path(g)))
 
 _BOTH = "both_ AS (SELECT source_file AS a, target_file AS b FROM g_edges WHERE source_file <> target_file UNION SELECT target_file, source_file FROM g_edges WHERE source_file <> target_file)"
@@ -107,7 +108,7 @@ def _critical(g: Graph) -> DataFrame:
 
 
 q("resolve_start", f"SELECT path AS file FROM g_files WHERE path = {FIRST_FILE} OR path LIKE '%' || {FIRST_FILE} ORDER BY path LIMIT 1", lambda g: (lambda p: g.files.where((F.col("path") == p) | F.col("path").endswith(p)).orderBy("path").limit(1).select(F.col("path").alias("file")))(first_path(g)))
-_LP = "WITH w AS (SELECT a, b, count(*) AS w FROM (SELECT source_file AS a, target_file AS b FROM g_edges WHERE source_file <> target_file UNION ALL SELECT target_file, source_file FROM g_edges WHERE source_file <> target_file) GROUP BY ALL), l0 AS (SELECT path, path AS label FROM g_files)" + "".join(f", v{k} AS (SELECT a, label, sum(w) AS w FROM w JOIN l{k - 1} ON path = b GROUP BY ALL), b{k} AS (SELECT a, label FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, label) AS r FROM v{k}) WHERE r = 1), l{k} AS (SELECT path, coalesce(b{k}.label, l{k - 1}.label) AS label FROM l{k - 1} LEFT JOIN b{k} ON a = path)" for k in (1, 2))
-q("community_sync", _LP + " SELECT path, label FROM l2", lambda g: G.community_sync(g.edges, g.files, 2))
+_LP = "WITH w AS MATERIALIZED (SELECT a, b, count(*) AS w FROM (SELECT source_file AS a, target_file AS b FROM g_edges WHERE source_file <> target_file UNION ALL SELECT target_file, source_file FROM g_edges WHERE source_file <> target_file) GROUP BY ALL), l0 AS (SELECT path, path AS label FROM g_files)" + "".join(f", v{k} AS (SELECT a, label, sum(w) AS w FROM w JOIN l{k - 1} ON path = b GROUP BY ALL), b{k} AS (SELECT a, label FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, label) AS r FROM v{k}) WHERE r = 1), l{k} AS MATERIALIZED (SELECT path, coalesce(b{k}.label, l{k - 1}.label) AS label FROM l{k - 1} LEFT JOIN b{k} ON a = path)" for k in range(1, 6))
+q("community_sync", _LP + " SELECT path, label FROM l5", lambda g: G.community_sync(g.edges, g.files, 5))
 q("community_clusters", None, lambda g: G.numbered_communities(G.community_exact(g.edges, g.files), R.primary_memberships(g.files)))
-q("community_number", _LP + ", big AS (SELECT label, row_number() OVER (ORDER BY label) AS k FROM l2 GROUP BY label HAVING count(*) >= 3) SELECT 'community_' || k AS cluster_name, path AS file_path FROM l2 JOIN big USING (label)", lambda g: G.numbered_communities(G.community_sync(g.edges, g.files, 2), g.files.where("false").select(F.col("repo").alias("cluster_name"), F.col("path").alias("file_path"))))
+q("community_number", _LP + ", big AS (SELECT label, row_number() OVER (ORDER BY label) AS k FROM l5 GROUP BY label HAVING count(*) >= 3) SELECT 'community_' || k AS cluster_name, path AS file_path FROM l5 JOIN big USING (label)", lambda g: G.numbered_communities(G.community_sync(g.edges, g.files, 5), g.files.where("false").select(F.col("repo").alias("cluster_name"), F.col("path").alias("file_path"))))

@@ -19,7 +19,7 @@ from ..registry import graph_query as g_, query
 from ..sources import workspace
 from ..sources.graph_tables import EDGE_ORDER, FRAMEWORK_EDGES, Graph, table
 from ..streaming import incremental, logs
-from .graph_queries import NODES, RANK, ROUNDS, _NEAR, _ranks, _seed
+from .graph_queries import NODES, RANK, _NEAR, _ranks, _seed
 from .relational_queries import PRIMARY
 
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -35,7 +35,6 @@ query(
 query("kw_union", f"SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS w FROM part) WHERE length(w) >= 3 AND NOT list_contains({_LIST(C.STOP_WORDS)}, w)", lambda s, d: table(s, d, "part").select(F.explode(C.keywords("p_name")).alias("w")).distinct())
 query("llm_token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", C.token_estimate("text").cast("long").alias("tokens")))
 query("llm_truncate", "SELECT doc_id, md5(CASE WHEN length(text) <= 1200 THEN text ELSE regexp_extract(left(text, 1200), '(?s)^(.*)\\n', 1) || chr(10) || chr(10) || '[... truncated to fit token budget]' || chr(10) END) AS head FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(C.truncated("text", 300)).alias("head")))
-query("llm_symbol_cap", "SELECT floor(l_linenumber * 1000 * 4 / 40) AS cap FROM (SELECT DISTINCT l_linenumber FROM lineitem)", lambda s, d: table(s, d, "lineitem").select("l_linenumber").distinct().select(F.floor(F.col("l_linenumber") * 1000 * 4 / 40).cast("double").alias("cap")))
 _CODE = "CAST(ceil(length(text) / CASE WHEN length(regexp_replace(text, '[a-zA-Z\\s]', '', 'g')) / length(text) > 0.3 THEN 3.5 ELSE 4.0 END) AS BIGINT)"
 query("bench_token_estimate", f"SELECT doc_id, {_CODE} AS tokens FROM documents WHERE length(text) > 0", lambda s, d: table(s, d, "documents").where("length(text) > 0").select("doc_id", C.code_token_estimate("text").alias("tokens")))
 # Dollars for a million tokens.
@@ -43,6 +42,10 @@ PRICES = {"small": 0.25, "medium": 3.0, "large": 15.0}
 query("bench_cost", f"SELECT model, round(sum({_CODE}) / 1e6 * price, 6) AS cost FROM documents, (VALUES ('small', 0.25), ('medium', 3.0), ('large', 15.0)) AS p(model, price) WHERE length(text) > 0 GROUP BY model, price", lambda s, d: table(s, d, "documents").where("length(text) > 0").agg(F.sum(C.code_token_estimate("text")).alias("t")).select(F.explode(F.create_map(*(F.lit(x) for kv in PRICES.items() for x in kv))).alias("model", "price"), "t").select("model", F.round(F.col("t") / 1e6 * F.col("price"), 6).alias("cost")))
 query("benchmark_summary", "SELECT CAST(sum(n_chars) AS BIGINT) AS baseline, CAST(sum(ceil(n_chars / 4.0)) AS BIGINT) AS tool, round(100 * (1 - sum(ceil(n_chars / 4.0)) / sum(n_chars)), 4) AS percent FROM documents", lambda s, d: table(s, d, "documents").agg(F.sum("n_chars").alias("baseline"), F.sum(F.ceil(F.col("n_chars") / 4)).cast("long").alias("tool")).withColumn("percent", F.round(100 * (1 - F.col("tool") / F.col("baseline")), 4)))
 g_("fuzzy_levenshtein", "SELECT name, levenshtein(lower(name), 'redwidgte') AS distance FROM (SELECT DISTINCT name FROM g_symbols) WHERE levenshtein(lower(name), 'redwidgte') <= 6 ORDER BY distance, name LIMIT 5", lambda g: C.fuzzy_levenshtein(g.symbols, "redwidgte", 6).withColumn("distance", F.col("distance").cast("long")))
+# the fold over all files, one after another, that context_pack() cuts short
+PACK = """WITH n AS (SELECT file_path, count(*) AS n FROM g_symbols GROUP BY file_path), o AS (SELECT path, CAST(lines AS DOUBLE) AS score, CAST(150 + 20 * greatest(0, coalesce(n, 0) - 3) AS INTEGER) AS cost, row_number() OVER (ORDER BY lines DESC, path) AS i FROM g_files LEFT JOIN n ON file_path = path),
+fold AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, false AS included UNION ALL SELECT o.i, used + CASE WHEN used + cost <= 8192 THEN cost ELSE 0 END, used + cost <= 8192 FROM fold JOIN o ON o.i = fold.i + 1)
+SELECT path, score, cost, included FROM o JOIN fold USING (i)"""
 TASK = "fix the RedWidget handler"
 g_("context_seeds", "SELECT file_path AS path FROM (SELECT file_path FROM g_symbols WHERE lower(name) LIKE '%widget%' OR lower(file_path) LIKE '%widget%' ORDER BY kind, name, file_path, start_line LIMIT 10) UNION SELECT file_path FROM (SELECT file_path FROM g_symbols WHERE lower(name) LIKE '%brand_13%' OR lower(file_path) LIKE '%brand_13%' ORDER BY kind, name, file_path, start_line LIMIT 10) UNION SELECT path FROM g_files WHERE contains(lower(path), 'brand_13') OR contains(lower(path), 'widget')", lambda g: C.context_seeds(g.files, g.symbols, ["widget", "brand_13"]))
 g_(
@@ -53,8 +56,8 @@ g_(
     FROM near LEFT JOIN hits ON hits.file_path = path LEFT JOIN members m ON m.file_path = path""",
     lambda g: C.context_score(G.distances(g.edges, _seed(g)), g.symbols, ["red", "widget"], g.files.select("path", F.lit(0.0).alias("pagerank")), R.primary_memberships(g.files)),
 )
-g_("context_pack", None, lambda g: C.context_pack(g.files.select("path", F.col("lines").cast("double").alias("score")), g.symbols, 8192))
-g_("build_context", None, lambda g: C.build_context(g.files, g.symbols, g.edges, TASK, G.ranked_files(g, _ranks(g)), R.primary_memberships(g.files), depth=1))
+g_("context_pack", PACK, lambda g: C.context_pack(g.files.select("path", F.col("lines").cast("double").alias("score")), g.symbols, 8192))
+g_("build_context", None, lambda g: C.build_context(g.files, g.symbols, g.edges, TASK, G.ranked_files(g, _ranks(g)), R.primary_memberships(g.files)))
 
 # resolution
 g_(
@@ -125,5 +128,4 @@ _SAMPLES = [
     ("plugin.php", "add_action('init', 'boot'); add_shortcode('hello', 'hello_cb');"),
 ]
 query("detect_routes", None, lambda s, d: W.detect_routes(s.createDataFrame(_SAMPLES, "path string, text string")))
-query("detect_hooks", None, lambda s, d: W.detect_hooks(s.createDataFrame(_SAMPLES, "path string, text string")))
 query("file_routes", "SELECT * FROM (VALUES ('pages/blog/[slug].tsx', '/blog/{slug}'), ('app/(shop)/cart/page.tsx', '/cart'), ('src/routes/a/[id]/+page.svelte', '/a/{id}'), ('pages/index.js', '/'), ('lib/x.ts', NULL)) AS t(path, route)", lambda s, d: s.createDataFrame([("pages/blog/[slug].tsx",), ("app/(shop)/cart/page.tsx",), ("src/routes/a/[id]/+page.svelte",), ("pages/index.js",), ("lib/x.ts",)], "path string").select("path", W.file_route("path").alias("route")))

@@ -81,7 +81,6 @@ q("symbol_search_count", "SELECT count(*) AS count FROM g_symbols WHERE lower(na
 q("symbol_search_exact", f"SELECT {SYMBOL_COLUMNS} FROM g_symbols WHERE lower(name) = 'redwidget' OR lower(file_path) = 'redwidget'", lambda g: R.symbol_filter(g.symbols, "RedWidget", exact=True))
 q("broaden_search", f"SELECT {SYMBOL_COLUMNS}, true AS broadened FROM g_symbols WHERE lower(name) LIKE '%widget%' OR lower(file_path) LIKE '%widget%'", lambda g: R.broaden_search(g.symbols, "widget", "trait"))
 q("symbol_by_name", f"SELECT {SYMBOL_COLUMNS} FROM g_symbols WHERE name = 'onAF' AND scope = 'redwidget' ORDER BY file_path, start_line, name LIMIT 1", lambda g: R.symbol_by_name(g.symbols, "redwidget::onAF"))
-q("symbol_candidates", "SELECT DISTINCT name, kind, file_path FROM g_symbols", lambda g: g.symbols.select("name", "kind", "file_path").distinct())
 q("symbol_names", "SELECT DISTINCT name FROM g_symbols", lambda g: g.symbols.select("name").distinct().orderBy("name"))
 q("edge_query", f"SELECT {EDGE_COLUMNS} FROM g_edges WHERE repo = 'repo_0' AND edge_type = 'call' AND lower(source_file) LIKE '%brand_1%' AND lower(target_file) LIKE '%.py%'", lambda g: R.edge_query(g.edges, "call", "Brand_1", ".PY", "repo_0"))
 q("files_filtered", f"SELECT {FILE_COLUMNS} FROM g_files WHERE lower(path) LIKE 'src/%' AND language = 'php' ORDER BY lines DESC, path LIMIT 50", lambda g: R.files_filtered(g.files, "SRC/", "PHP", "lines"))
@@ -112,7 +111,6 @@ q("resolve_import", "SELECT ref, ref || '.ts' AS target FROM (SELECT regexp_repl
 q("resolve_require", "SELECT path AS ref, path AS target FROM g_files WHERE language = 'python'", lambda g: R.first_candidate(g.files.where("language = 'python'").select(F.col("path").alias("ref")), g.files, F.array("ref", F.concat("ref", F.lit(".js")), F.concat("ref", F.lit("/index.js")))))
 q("files_with_symbols", f"SELECT {FILE_COLUMNS} FROM g_files WHERE path IN (SELECT file_path FROM g_symbols WHERE kind = 'method')", lambda g: R.files_with_symbols(g.files, g.symbols.where("kind = 'method'")))
 q("files_without_symbols", f"SELECT {FILE_COLUMNS} FROM g_files WHERE path NOT IN (SELECT file_path FROM g_symbols WHERE name = 'onAF')", lambda g: R.files_with_symbols(g.files, g.symbols.where("name = 'onAF'"), without=True))
-q("deleted_files", "SELECT path FROM g_files WHERE NOT (lines > 100)", lambda g: g.files.select("path").join(g.files.where("lines > 100").select("path"), "path", "left_anti"))
 q("change_classify", "SELECT path, CASE WHEN lines < 100 THEN 'new' WHEN lines < 200 THEN 'deleted' WHEN lines < 300 THEN 'changed' WHEN path NOT IN (SELECT file_path FROM g_symbols WHERE name = 'onAF') THEN 'incomplete' ELSE 'unchanged' END AS status FROM g_files", lambda g: R.change_classify(g.files.where("lines >= 100").select("path", F.md5("path").alias("hash")), g.files.where("NOT (lines >= 100 AND lines < 200)").select("path", F.md5(F.expr("CASE WHEN lines >= 200 AND lines < 300 THEN concat(path, 'x') ELSE path END")).alias("hash")), g.symbols.where("name = 'onAF'")))
 q("included_edges", f"SELECT {EDGE_COLUMNS} FROM g_edges WHERE source_file IN (SELECT path FROM g_files WHERE lines > 250) AND target_file IN (SELECT path FROM g_files WHERE lines > 250)", lambda g: R.included_edges(g.edges, g.files.where("lines > 250")))
 q("kept_symbol_edges", f"SELECT {EDGE_COLUMNS} FROM g_edges WHERE (source_symbol IS NULL OR false OR (source_file, source_symbol) IN (SELECT file_path, scope || '::' || name FROM g_symbols WHERE name = 'onAF')) AND (target_symbol IS NULL OR (target_file, target_symbol) IN (SELECT file_path, name FROM g_symbols))", lambda g: R.kept_symbol_edges(g.edges, g.symbols.where("name = 'onAF'").select("file_path", F.concat("scope", F.lit("::"), "name").alias("name")).unionByName(g.symbols.select("file_path", "name"))))
@@ -169,8 +167,6 @@ q("deepest_cluster", PRIMARY + " SELECT file_path, repo, cluster_name FROM dir_m
 q("dir_file_counts", PRIMARY + " SELECT repo, dir, files FROM dir_n", lambda g: R.dir_file_counts(g.files))
 q("cluster_file_counts", PRIMARY + " SELECT repo, array_to_string(list_slice(string_split(cluster_name, '.'), 1, i), '.') AS name, count(*) AS file_count FROM members, unnest(range(1, len(string_split(cluster_name, '.')) + 1)) AS t(i) GROUP BY ALL", lambda g: R.cluster_file_counts(R.primary_memberships(g.files)))
 q("cluster_tree", PRIMARY + f" SELECT DISTINCT repo, name, repeat('  ', len(string_split(name, '.')) - 1) || string_split(name, '.')[-1] AS line FROM (SELECT repo, name FROM ({NS_CLUSTERS}) UNION SELECT repo, replace(dir, '/', '.') FROM dir_n)", lambda g: R.cluster_tree(R.primary_clusters(g.files)))
-q("cluster_filter", PRIMARY + f" SELECT repo, name FROM ({NS_CLUSTERS}) WHERE name = 'App'", lambda g: R.primary_clusters(g.files).where("source = 'namespace' AND name = 'App'").select("repo", "name"))
-q("clear_clusters", PRIMARY + " SELECT file_path, repo, cluster_name FROM members WHERE repo <> 'repo_0'", lambda g: R.primary_memberships(g.files).where("repo <> 'repo_0'").drop("is_primary"))
 q("same_set_drop", "SELECT language AS cluster_name, path AS file_path FROM g_files WHERE language <> 'php'", lambda g: R.same_set_drop(g.files.select(F.col("language").alias("cluster_name"), F.col("path").alias("file_path")), g.files.where("language = 'php'").select(F.lit("other").alias("cluster_name"), F.col("path").alias("file_path"))))
 
 # set operations and pages

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
+
 _TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "map": T.MapType(T.StringType(), T.StringType())}
 
 
@@ -68,20 +70,43 @@ class Graph:
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
+    #: What was computed from them, by name.
+    kept: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_derived: dict[tuple, Graph] = {}
+
+
+def state(spark: SparkSession, *tables: DataFrame) -> tuple:
+    """The files of tables, with their sizes and times: what is derived from them holds as long as these do."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for f in sorted(x for t in tables for x in t.inputFiles()):
+        status = path(f).getFileSystem(conf).getFileStatus(path(f))
+        found.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def derived(spark: SparkSession, sf_dir: str) -> Graph:
-    """Parts as files, line items as methods, consecutive lines of an order as references."""
+    """Parts as files, line items as methods, consecutive lines of an order as references.
+
+    The three tables are written to the shared folder once for each state of the input, and read from there by all queries
+    of the application.
+    """
     part, lineitem = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    files = spark.sql(G_FILES.replace("FROM part", "FROM {part}"), part=part)
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, part, lineitem))
+    if key not in _derived:
+        files = cut(spark.sql(G_FILES.replace("FROM part", "FROM {part}"), part=part))
 
-    def run(sql: str) -> DataFrame:
-        for name in ("part", "lineitem", "g_files"):
-            sql = sql.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
-        return spark.sql(sql, **{n: d for n, d in (("part", part), ("lineitem", lineitem), ("g_files", files)) if f"{{{n}}}" in sql})
+        def run(sql: str) -> DataFrame:
+            for name in ("part", "lineitem", "g_files"):
+                sql = sql.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
+            return cut(spark.sql(sql, **{n: d for n, d in (("part", part), ("lineitem", lineitem), ("g_files", files)) if f"{{{n}}}" in sql}))
 
-    return Graph(files, run(G_SYMBOLS), run(G_EDGES))
+        _derived[key] = Graph(files, run(G_SYMBOLS), run(G_EDGES))
+    return _derived[key]

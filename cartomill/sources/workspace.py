@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.languages import language_of
 from ..operators.predicates import included
 
-# Folders that are never read.
-IGNORED = "node_modules .git dist build vendor __pycache__ .venv venv target .next .nuxt coverage .cache".split()
+# Folders that are never read; the last is our own.
+IGNORED = "node_modules vendor .git dist __pycache__ .next .nuxt coverage .cache .turbo target build .gradle .idea .vscode .vs".split() + [".cartomill"]
 
 
 @dataclass

@@ -35,6 +35,6 @@ def search_symbols(spark):
 
 def oracle(sf="sf0.001"):
     con = duckdb.connect()
-    for t in ("part", "lineitem", "documents", "events"):
+    for t in ("region", "nation", "part", "orders", "lineitem", "documents", "events"):
         con.execute(f"create view {t} as select * from read_parquet('/root/testdata/{sf}/{t}.parquet')")
     return con
