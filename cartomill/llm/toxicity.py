@@ -8,7 +8,8 @@ one, which changes the basis of that space and not the kernel.
 
 Labels belong to documents, so the machine is trained as a multiple-instance one: a toxic document is a bag with at
 least one toxic unit, its witness, chosen anew in each round; units of other documents are negative. Labels may be wrong:
-a toxic document whose best unit is on the clean side has no witness. Copies of the witnesses with inserted characters join
+a toxic document whose best unit is on the clean side has no witness. Units that are far more frequent in toxic documents
+are positives too, as those beside a witness would never be one. Copies of the witnesses with inserted characters join
 the positives. A text scores by the norm of its units' decision values on the toxic side, or by its most toxic unit where
 there are none, through a logistic curve whose middle lets about one clean training document in a hundred pass it.
 
@@ -43,18 +44,20 @@ from .common import crc_mod, documents, map_arrow
 N = 3
 DECAY = 0.5
 SPAN = 6
-LANDMARKS = 80
+LANDMARKS = 112
 TRAIN_ROWS = 2_000
 TRAIN_CHARS = 20_000
 TRAIN_UNITS = 4_000
-POOL = 30_000
+POOL = 20_000
 #: The most telling units, whose pieces may become landmarks.
 STEMS = 800
 #: How much more often than in other documents a witness must be in toxic ones.
 RATE = 5
+#: Standard deviations by which a unit must be more frequent in toxic documents to be a positive without being a witness.
+SURE = 5.0
 PIECE = 24
 #: What a false alarm among clean documents costs against a missed toxic one.
-ALARM = 4
+ALARM = 5
 #: The hinge loss against the squared length of the weight vector.
 COST = 100.0
 BEGIN = "\x02"
@@ -247,16 +250,13 @@ def trained(bags: list[tuple[set[str], bool]]) -> Machine | None:
     for p in sorted({p for u in telling for p in pieces(u)} | set(telling)):
         finder.add_word(p, p)
     finder.make_automaton()
-    held = {u: {p for _, p in finder.iter(u)} for u in sorted(set(n_toxic) | set(n_clean))}
-    in_bag = [[{p for u in b for p in held[u]} for b in side] for side in (toxic, clean)]
+    held = {u: own for u in set(n_toxic) | set(n_clean) if (own := frozenset(p for _, p in finder.iter(u)))}
+    in_bag = [[{p for u in b for p in held.get(u, ())} for b in side] for side in (toxic, clean)]
     stems = excess(*(Counter(p for b in side for p in b) for side in in_bag))
-    holds: dict[str, np.ndarray] = {}
-    for i, b in enumerate(in_bag[0]):
-        for p in b:
-            holds.setdefault(p, np.zeros(len(toxic), dtype=bool))[i] = True
     chosen: list[str] = []
     covered = np.zeros(len(toxic), dtype=bool)
     ranked = sorted((u for u in stems if stems[u] > 3), key=lambda u: (-stems[u], u))[: 6 * LANDMARKS]
+    holds = {p: np.array([p in b for b in in_bag[0]]) for p in ranked}
     while ranked and len(chosen) < LANDMARKS * 3 // 4:  # next, what is in most documents not yet covered
         best = max(ranked, key=lambda u: (stems[u] * ((holds[u] & ~covered).sum() + 0.2 * holds[u].sum()), u))
         chosen.append(best)
@@ -272,10 +272,11 @@ def trained(bags: list[tuple[set[str], bool]]) -> Machine | None:
     seen = sorted(n_toxic)
     similar, clean_similar = machine.similarities(seen), machine.similarities(others)
     # at first the witnesses are the units that hold a chosen stem; a document without one has none
-    margin = {u: max((stems[p] for p in held[u] if p in chosen), default=-1.0) for u in seen}
+    margin = {u: max((stems[p] for p in held.get(u, ()) if p in chosen), default=-1.0) for u in seen}
     sample = rng.permutation(len(others))[:TRAIN_UNITS]
+    sure = {u: n_toxic[u] for u in telling if first[u] > SURE}
     for _ in range(3):
-        witness = Counter(u for u in (max(b, key=lambda u: (margin[u], u)) for b in toxic) if margin[u] > 0)
+        witness = Counter(sure) | Counter(u for u in (max(b, key=lambda u: (margin[u], u)) for b in toxic) if margin[u] > 0)
         kept = [u for u, _ in witness.most_common(TRAIN_UNITS) if n_toxic[u] * len(clean) > RATE * n_clean[u] * len(toxic)] or [u for u, _ in n_toxic.most_common(10)]
         more = [inserted(u, rng) for u in kept for _ in range(2)]
         place = {u: i for i, u in enumerate(seen)}
@@ -311,7 +312,8 @@ def training_bags(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     share = {t: min(1.0, rows / max(1, n.get(t, 0))) for t in (True, False)}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     picked = own.where(place < F.when(F.col("toxic") > 0, int(share[True] * (1 << 20)) + 1).otherwise(int(share[False] * (1 << 20)) + 1))
-    found = docs.where(F.char_length("text") <= TRAIN_CHARS).join(picked, "doc_id")  # one row for a doc_id, however many have it
+    # picked is a sample of bounded size; one row for a doc_id, however many have it
+    found = docs.where(F.char_length("text") <= TRAIN_CHARS).join(F.broadcast(picked), "doc_id")
     one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"), F.max("toxic").alias("toxic"))
     joined = one.select(F.col("x.text").alias("text"), (F.col("toxic") > 0).alias("toxic"))
 
