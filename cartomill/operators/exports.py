@@ -10,7 +10,7 @@ from ..sources.graph_tables import EDGE_ORDER, Graph
 from .relational import first_per_key, llm_file_summary
 
 # Fixed values of the drawing: fill by language, line by type of edge, colour by type.
-LANGUAGE_COLOURS = {"php": "#8892BF", "javascript": "#F7DF1E", "typescript": "#3178C6", "python": "#3776AB", "go": "#00ADD8", "rust": "#DEA584"}
+LANGUAGE_COLOURS = {"php": "#8892BF", "javascript": "#F7DF1E", "typescript": "#3178C6", "python": "#3776AB", "go": "#00ADD8", "rust": "#DEA584", "java": "#ED8B00"}
 EDGE_STYLES = {
     "import": "solid", "require": "solid", "extends": "bold", "implements": "dashed", "call": "dotted", "instantiation": "dotted", "relation": "bold",
     "route": "solid", "binding": "dashed", "middleware": "dotted", "dispatch": "dashed", "notify": "dotted", "render": "dotted",
@@ -23,24 +23,53 @@ def looked_up(table: dict[str, str], key: Column | str, default: str | None = No
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def export_dot(g: Graph) -> DataFrame:
-    """section, line of a GraphViz drawing; one edge for each pair of files and type, the first."""
+def export_dot(g: Graph, membership: DataFrame | None = None, depth: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """section, line of a GraphViz drawing; one edge for each pair of files and type, the first.
+
+    membership (file_path, cluster_name): files are drawn inside their clusters, which nest by the parts of their names, down
+    to `depth` parts; files further down lie in the last. only (path): the files to draw, and the edges among them.
+    """
     spark = g.files.sparkSession
-    head = spark.createDataFrame([(0, 0, "digraph Cartomill {"), (0, 1, "  newrank=true;"), (0, 2, "  rankdir=LR;"), (0, 3, "  node [shape=box, style=filled];"), (3, 0, "}")], "section int, place int, line string")
+    files, edges = g.files, g.edges
+    if only is not None:
+        own = only.select("path").distinct()
+        files = files.join(own, "path", "left_semi")
+        edges = edges.join(own, F.col("source_file") == F.col("path"), "left_semi").join(own, F.col("target_file") == F.col("path"), "left_semi")
+    head = spark.createDataFrame([(0, [f"{i}"], line) for i, line in enumerate(("digraph Cartomill {", "  newrank=true;", "  rankdir=LR;", "  node [shape=box, style=filled];"))] + [(3, ["0"], "}")], "section int, place array<string>, line string")
     label = F.element_at(F.split("path", "/"), -1)
-    nodes = g.files.select(F.lit(1).alias("section"), F.lit(0).alias("place"), F.format_string('  "%s" [label="%s", fillcolor="%s", fontcolor="white"];', "path", label, looked_up(LANGUAGE_COLOURS, "language", "#CCCCCC")).alias("line"))
-    first = first_per_key(g.edges, "source_file", "target_file", "edge_type")
+    node = F.format_string('"%s" [label="%s", fillcolor="%s", fontcolor="white"];', "path", label, looked_up(LANGUAGE_COLOURS, "language", "#CCCCCC"))
+    if membership is None:
+        nodes = files.select(F.lit(1).alias("section"), F.array("path").alias("place"), F.concat(F.lit("  "), node).alias("line"))
+    else:
+        parts = F.split("cluster_name", r"\.")
+        parts = F.slice(parts, 1, depth) if depth else parts
+        placed = files.join(membership.select(F.col("file_path").alias("path"), parts.alias("parts")), "path", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
+        # a cluster's lines lie between its first and last, its files before its children
+        inside = placed.select(F.lit(1), F.concat("parts", F.array(F.lit("\x02"), "path")), F.concat(F.repeat(F.lit("  "), F.size("parts") + 1), node))
+        every = placed.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda i: F.slice("parts", 1, i))).alias("parts")).where("size(parts) > 0").distinct()
+        pad = F.repeat(F.lit("  "), F.size("parts"))
+        lines = F.array(
+            F.struct(F.lit("\x010").alias("at"), F.concat(pad, F.lit('subgraph "cluster_'), F.regexp_replace(F.array_join("parts", "."), "[^a-zA-Z0-9]", "_"), F.lit('" {')).alias("line")),
+            F.struct(F.lit("\x011").alias("at"), F.concat(pad, F.lit('  label="'), F.array_join("parts", " / "), F.lit('";')).alias("line")),
+            F.struct(F.lit("\x012").alias("at"), F.concat(pad, F.lit("  color=gray;")).alias("line")),
+            F.struct(F.lit("\x013").alias("at"), F.concat(pad, F.lit("  style=dashed;")).alias("line")),
+            F.struct(F.lit("\uffff").alias("at"), F.concat(pad, F.lit("}")).alias("line")),
+        )
+        nodes = inside.union(every.select("parts", F.explode(lines).alias("l")).select(F.lit(1), F.concat("parts", F.array("l.at")), "l.line"))
+    first = first_per_key(edges, "source_file", "target_file", "edge_type")
     style = F.when(F.col("verifiability") == "inferred", "dashed").otherwise(looked_up(EDGE_STYLES, "edge_type", "solid"))
     colour = looked_up(EDGE_COLOURS, "edge_type")
-    edges = first.select(F.lit(2), F.lit(0), F.format_string('  "%s" -> "%s" [label="%s", style=%s%s];', "source_file", "target_file", "edge_type", style, F.coalesce(F.concat(F.lit(', color="'), colour, F.lit('"')), F.lit(""))))
-    return head.union(nodes).union(edges).orderBy("section", "place", "line").select("section", "line")
+    links = first.select(F.lit(2), F.array("source_file", "target_file", "edge_type"), F.format_string('  "%s" -> "%s" [label="%s", style=%s%s];', "source_file", "target_file", "edge_type", style, F.coalesce(F.concat(F.lit(', color="'), colour, F.lit('"')), F.lit(""))))
+    return head.union(nodes).union(links).orderBy("section", "place", "line").select("section", "line")
 
 
-def export_json(g: Graph) -> DataFrame:
-    """section, json: a summary and one document for each file, symbol and edge."""
+def export_json(g: Graph, clusters: DataFrame | None = None, membership: DataFrame | None = None) -> DataFrame:
+    """section, json: a summary and one document for each file, symbol and edge, and each cluster and membership, if given."""
     n = [d.agg(F.count("*").alias(k)) for d, k in ((g.files, "files"), (g.symbols, "symbols"), (g.edges, "edges"))]
     parts = [n[0].crossJoin(n[1]).crossJoin(n[2]).select(F.lit("summary").alias("section"), F.to_json(F.struct("files", "symbols", "edges")).alias("json"))]
-    for name, d in (("file", g.files), ("symbol", g.symbols), ("edge", g.edges)):
+    for name, d in (("file", g.files), ("symbol", g.symbols), ("edge", g.edges), ("cluster", clusters), ("membership", membership)):
+        if d is None:
+            continue
         parts.append(d.select(F.lit(name), F.to_json(F.struct(*d.columns))))
     out = parts[0]
     for p in parts[1:]:

@@ -77,7 +77,28 @@ g_(
     UNION ALL SELECT 2, '  "' || source_file || '" -> "' || target_file || '" [label="' || edge_type || '", style=' || CASE WHEN verifiability = 'inferred' THEN 'dashed' ELSE CASE edge_type WHEN 'extends' THEN 'bold' WHEN 'call' THEN 'dotted' ELSE 'solid' END END || '];' FROM {_FIRST}""",
     E.export_dot,
 )
-g_("export_json", None, E.export_json)
+_OPTIONAL = lambda c: f"CASE WHEN {c} IS NULL THEN '' ELSE ',\"{c}\":' || to_json({c}) END"
+_TEXT = lambda *cs: " || ',' || ".join(f"'\"{c}\":' || to_json({c})" for c in cs)
+g_(
+    "export_json",
+    "SELECT 'summary' AS section, '{\"files\":' || (SELECT count(*) FROM g_files) || ',\"symbols\":' || (SELECT count(*) FROM g_symbols) || ',\"edges\":' || (SELECT count(*) FROM g_edges) || '}' AS json"
+    f" UNION ALL SELECT 'file', '{{' || {_TEXT('path', 'file_id', 'repo', 'language', 'lines', 'size_bytes')} || {_OPTIONAL('namespace')} || '}}' FROM g_files"
+    f" UNION ALL SELECT 'symbol', '{{' || {_TEXT('file_path', 'repo', 'name', 'kind')} || {_OPTIONAL('scope')} || ',' || {_TEXT('start_line', 'end_line')} || '}}' FROM g_symbols"
+    f" UNION ALL SELECT 'edge', '{{' || {_TEXT('source_file', 'target_file', 'source_symbol', 'target_symbol', 'edge_type', 'repo')} || ',\"weight\":' || CAST(weight AS DOUBLE) || ',' || {_TEXT('verifiability')} || {_OPTIONAL('target_repo')} || '}}' FROM g_edges",
+    E.export_json,
+)
+g_("export_json_clusters", PRIMARY + """ SELECT 'membership' AS section, '{"file_path":' || to_json(file_path) || ',"repo":' || to_json(repo) || ',"cluster_name":' || to_json(cluster_name) || ',"is_primary":true}' AS json FROM members""", lambda g: E.export_json(g, None, R.primary_memberships(g.files)).where("section = 'membership'"))
+_COLOUR = "CASE language WHEN 'php' THEN '#8892BF' WHEN 'typescript' THEN '#3178C6' WHEN 'python' THEN '#3776AB' ELSE '#00ADD8' END"
+g_(
+    "export_dot_clusters",
+    PRIMARY + f""", placed AS (SELECT f.path, language, list_slice(string_split(cluster_name, '.'), 1, 2) AS parts FROM g_files f JOIN members ON file_path = f.path WHERE f.repo = 'repo_0'),
+    own AS (SELECT DISTINCT list_slice(parts, 1, i) AS p FROM placed, unnest([1, 2]) AS t(i) WHERE i <= len(parts)), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file, target_file, edge_type ORDER BY {', '.join(EDGE_ORDER)}) AS r FROM g_edges WHERE source_file IN (SELECT path FROM placed) AND target_file IN (SELECT path FROM placed)) WHERE r = 1)
+    SELECT * FROM (VALUES (0, 'digraph Cartomill {{'), (0, '  newrank=true;'), (0, '  rankdir=LR;'), (0, '  node [shape=box, style=filled];'), (3, '}}')) AS h(section, line)
+    UNION ALL SELECT 1, repeat('  ', len(parts) + 1) || '"' || path || '" [label="' || string_split(path, '/')[-1] || '", fillcolor="' || {_COLOUR} || '", fontcolor="white"];' FROM placed
+    UNION ALL SELECT 1, repeat('  ', len(p)) || unnest(['subgraph "cluster_' || regexp_replace(array_to_string(p, '.'), '[^a-zA-Z0-9]', '_', 'g') || '" {{', '  label="' || array_to_string(p, ' / ') || '";', '  color=gray;', '  style=dashed;', '}}']) FROM own
+    UNION ALL SELECT 2, '  "' || source_file || '" -> "' || target_file || '" [label="' || edge_type || '", style=' || CASE WHEN verifiability = 'inferred' THEN 'dashed' ELSE CASE edge_type WHEN 'extends' THEN 'bold' WHEN 'call' THEN 'dotted' ELSE 'solid' END END || '];' FROM e""",
+    lambda g: E.export_dot(g, R.primary_memberships(g.files), 2, g.files.where("repo = 'repo_0'").select("path")),
+)
 g_("export_llm", None, lambda g: E.export_llm(g, G.ranked_files(g, _ranks(g)), 4096))
 g_("export_toon", None, lambda g: E.export_toon(g, G.ranked_symbols(g, _ranks(g)), 4096))
 g_("export_svg", None, lambda g: E.export_svg(g, G.ranked_files(g, _ranks(g))))
@@ -116,7 +137,6 @@ def _own_files(s: SparkSession) -> DataFrame:
     return workspace.walk_files(s, f"file://{os.path.join(_ROOT, 'operators')}", "cartomill", workspace.Config(exclude=["__pycache__"]))
 
 
-query("walk_files", None, lambda s, d: _own_files(s).select("path", "repo", "language", "size_bytes", "lines", "content_hash"))
 query("extract_symbols", None, lambda s, d: X.symbols_of(X.extract(_own_files(s))))
 query("extract_references", None, lambda s, d: X.references_of(X.extract(_own_files(s))))
 query("lang_list", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {len(v.split())})" for k, v in EXTENSIONS.items()) + ") AS t(language, extensions)", lambda s, d: s.createDataFrame([(k, len(v.split())) for k, v in EXTENSIONS.items()], "language string, extensions int"))

@@ -171,7 +171,7 @@ def _walked(s: SparkSession, d: str) -> DataFrame:
     return S.walk_files(s, _tree(s, d, files), "r").select("path", "language", "size_bytes", "lines", "content_hash")
 
 
-query("walk_tree", NAMES + " SELECT 'src/' || k || '.ts' AS path, 'typescript' AS language, strlen(k) + 11 AS size_bytes, 3 AS lines, md5('// ' || k || chr(10) || 'run();' || chr(10)) AS content_hash FROM names", _walked)
+query("walk_files", NAMES + " SELECT 'src/' || k || '.ts' AS path, 'typescript' AS language, strlen(k) + 11 AS size_bytes, 3 AS lines, md5('// ' || k || chr(10) || 'run();' || chr(10)) AS content_hash FROM names", _walked)
 
 
 def _git(root: str, *args: str) -> None:
@@ -215,7 +215,19 @@ def _heads(s: SparkSession, d: str) -> DataFrame:
 
 query("git_blob_hashes", NAMES + ", t AS (SELECT k, k || CASE WHEN key % 2 = 0 THEN '!' ELSE '' END AS text FROM names) SELECT k || '.txt' AS path, sha1('blob ' || strlen(text) || chr(0) || text) AS hash FROM t", lambda s, d: S.git_blob_hashes(s, _repository(s, d)))
 query("git_changes", NAMES + " SELECT k || '.txt' AS path, 'modified' AS status FROM names WHERE key % 2 = 0 UNION ALL SELECT k || '.txt', 'deleted' FROM names WHERE key = 1 UNION ALL SELECT 'new.txt', 'added'", _changed)
-query("git_head", "SELECT true AS is_git, false AS above, 'project' AS name, true AS head, true AS prev, true AS none", _heads)
+query("git_head", "SELECT true AS head", lambda s, d: _heads(s, d).select("head"))
+query("git_prev", "SELECT true AS prev, true AS none", lambda s, d: _heads(s, d).select("prev", "none"))
+query("is_git", "SELECT true AS is_git, false AS above", lambda s, d: _heads(s, d).select("is_git", "above"))
+query("repo_name", "SELECT 'project' AS name, 'other' AS remote", lambda s, d: _named(s, d))
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    root = _repository(s, d, commits=1)
+    before = S.repo_name(root)
+    _git(root, "remote", "add", "origin", "https://example.org/team/other.git")
+    return s.createDataFrame([(before, S.repo_name(root))], "name string, remote string")
+
+
 
 
 def _submodules(s: SparkSession, d: str) -> DataFrame:
@@ -261,6 +273,7 @@ query("load_routes", NAMES + " SELECT 'laravel' AS framework, 'GET' AS method, '
 query("load_hooks", NAMES + " SELECT 'wordpress' AS framework, 'action' AS type, k AS name, c AS handler, 'a.php' AS file, key AS line FROM names", _registry("hooks"))
 
 # --- helpers of patterns and budgets
+query("is_wildcard", "SELECT ' * ' AS term, true AS is_wildcard UNION ALL SELECT ' ', true", lambda s, d: _terms(s, d).where("is_wildcard").select("term", "is_wildcard"))
 query("is_glob", "SELECT DISTINCT p_name AS term, contains(p_name, '*') OR contains(p_name, '?') AS is_glob, false AS is_wildcard FROM (SELECT replace(replace(p_name, 'red', '*'), 'blue', '?') AS p_name FROM part) UNION ALL SELECT ' * ', true, true UNION ALL SELECT ' ', false, true", lambda s, d: _terms(s, d))
 
 
