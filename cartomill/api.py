@@ -55,7 +55,7 @@ class CodeGraph(Graph):
         return found.join(ranked, ["file_path", "name"], "left").orderBy(*relational.SYMBOL_ORDER).offset(offset).limit(limit)
 
     def suggestions(self, term: str) -> DataFrame:
-        return context.fuzzy_levenshtein(self.symbols, term)
+        return context.fuzzy_suggest(self.symbols, term)
 
     def dependencies(self, path: str) -> DataFrame:
         return graph.dependencies(graph.dependency_edges(self), path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.ship import ship
 from .graph import distances
 from .predicates import like
 from .relational import SYMBOL_ORDER, of_repo
@@ -132,3 +134,38 @@ def fuzzy_levenshtein(names: DataFrame, term: str, most: int | None = None, k: i
     most = max(2, len(term) * 2 // 5) if most is None else most
     near = names.select("name").distinct().select("name", F.levenshtein(F.lower("name"), F.lit(term.lower()), most).alias("distance"))
     return near.where("distance >= 0").orderBy("distance", "name").limit(k)
+
+
+def fuzzy_score(name: str, term: str, distance: int = 100) -> float:
+    """How far a name is from holding a term: the least, over places, of the edits to what begins there for each of the
+    term's characters, and the place's share of `distance`. 0 for the term itself. Both in lower case."""
+    if name == term:
+        return 0.0
+    # edits between the term's ends and what the name has from each place on, the end of that free
+    row = list(range(len(term), -1, -1))
+    best = row[0] / len(term) + len(name) / distance
+    after = row
+    for i in range(len(name) - 1, -1, -1):
+        now = [0] * (len(term) + 1)
+        for j in range(len(term) - 1, -1, -1):
+            now[j] = min(after[j + 1] + (name[i] != term[j]), after[j] + 1, now[j + 1] + 1)
+        best = min(best, now[0] / len(term) + i / distance)
+        after = now
+    return best
+
+
+def fuzzy_suggest(names: DataFrame, term: str, k: int = 5, threshold: float = 0.4) -> DataFrame:
+    """name, score: the k names that hold a term best, with a score of at most `threshold`; of equals the first by name."""
+    ship(names.sparkSession)
+    wanted = term.lower()
+
+    @F.pandas_udf("double")
+    def score(name: pd.Series) -> pd.Series:
+        from cartomill.operators.context import fuzzy_score as f
+
+        return name.map(lambda n: f(n, wanted))
+
+    if not wanted:
+        return names.select("name").where("false").withColumn("score", F.lit(0.0))
+    found = names.select("name").where("name IS NOT NULL").distinct().withColumn("score", score(F.lower("name")))
+    return found.where(F.col("score") <= threshold).orderBy("score", "name").limit(k)

@@ -21,12 +21,13 @@ def folded_text(s: str) -> str:
     return s.translate(str.maketrans(_UPPER, _LOWER))
 
 
-def is_wildcard(term: str) -> bool:
-    return term.strip() in ("", "*")
+def is_wildcard(term: Column | str) -> Column | bool:
+    """Whether a term stands for everything: nothing but white space, or one star."""
+    return term.strip() in ("", "*") if isinstance(term, str) else F.regexp_replace(term, r"^\s+|\s+$", "").isin("", "*")
 
 
-def is_glob(term: str) -> bool:
-    return "*" in term or "?" in term
+def is_glob(term: Column | str) -> Column | bool:
+    return "*" in term or "?" in term if isinstance(term, str) else term.contains("*") | term.contains("?")
 
 
 def glob_to_like(term: str) -> str:

@@ -46,6 +46,7 @@ g_("fuzzy_levenshtein", "SELECT name, levenshtein(lower(name), 'redwidgte') AS d
 PACK = """WITH n AS (SELECT file_path, count(*) AS n FROM g_symbols GROUP BY file_path), o AS (SELECT path, CAST(lines AS DOUBLE) AS score, CAST(150 + 20 * greatest(0, coalesce(n, 0) - 3) AS INTEGER) AS cost, row_number() OVER (ORDER BY lines DESC, path) AS i FROM g_files LEFT JOIN n ON file_path = path),
 fold AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, false AS included UNION ALL SELECT o.i, used + CASE WHEN used + cost <= 8192 THEN cost ELSE 0 END, used + cost <= 8192 FROM fold JOIN o ON o.i = fold.i + 1)
 SELECT path, score, cost, included FROM o JOIN fold USING (i)"""
+g_("fuzzy_suggest", "WITH n AS (SELECT DISTINCT name FROM g_symbols) SELECT name, min(levenshtein(substr(lower(name), i, l), 'widgt') / 5.0 + (i - 1) / 100.0) AS score FROM n, unnest(range(1, 40)) AS t(i), unnest(range(0, 11)) AS u(l) WHERE i <= length(name) GROUP BY name HAVING score <= 0.4 ORDER BY score, name LIMIT 5", lambda g: C.fuzzy_suggest(g.symbols, "Widgt"))
 TASK = "fix the RedWidget handler"
 g_("context_seeds", "SELECT file_path AS path FROM (SELECT file_path FROM g_symbols WHERE lower(name) LIKE '%widget%' OR lower(file_path) LIKE '%widget%' ORDER BY kind, name, file_path, start_line LIMIT 10) UNION SELECT file_path FROM (SELECT file_path FROM g_symbols WHERE lower(name) LIKE '%brand_13%' OR lower(file_path) LIKE '%brand_13%' ORDER BY kind, name, file_path, start_line LIMIT 10) UNION SELECT path FROM g_files WHERE contains(lower(path), 'brand_13') OR contains(lower(path), 'widget')", lambda g: C.context_seeds(g.files, g.symbols, ["widget", "brand_13"]))
 g_(

@@ -278,8 +278,9 @@ query("is_glob", "SELECT DISTINCT p_name AS term, contains(p_name, '*') OR conta
 
 
 def _terms(s: SparkSession, d: str) -> DataFrame:
-    terms = [r[0] for r in table(s, d, "part").select(F.replace(F.replace("p_name", F.lit("red"), F.lit("*")), F.lit("blue"), F.lit("?"))).distinct().limit(100_000).collect()] + [" * ", " "]
-    return s.createDataFrame([(t, P.is_glob(t), P.is_wildcard(t)) for t in terms], "term string, is_glob boolean, is_wildcard boolean")
+    terms = table(s, d, "part").select(F.replace(F.replace("p_name", F.lit("red"), F.lit("*")), F.lit("blue"), F.lit("?")).alias("term")).distinct()
+    terms = terms.union(s.createDataFrame([(" * ",), (" ",)], "term string"))
+    return terms.select("term", P.is_glob(F.col("term")).alias("is_glob"), P.is_wildcard(F.col("term")).alias("is_wildcard"))
 
 
 g_("budget_cut", PACK.replace("8192", "3000"), lambda g: context_pack(g.files.select("path", F.col("lines").cast("double").alias("score")), g.symbols, 3000))

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import subprocess
 
 import pandas as pd
@@ -228,6 +229,22 @@ def test_references_by_contained_text(spark):
     assert got == {"user": ("b.ts", "contains"), "USERNAME": ("b.ts", "contains"), "x": ("b.ts", "exact"), "ns\\x": ("b.ts", "short"), "ge": ("b.ts", "contains"), "nothing": (None, None), "q": (None, None)}
 
 
+def test_fuzzy_scores_by_brute_force():
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(0)
+    for _ in range(500):
+        name, term = ("".join(rng.choices("abc", k=rng.randrange(a, 8))) for a in (0, 1))
+        want = 0.0 if name == term else min(edits(name[i:e], term) / len(term) + i / 100 for i in range(len(name) + 1) for e in range(i, len(name) + 1))
+        assert abs(C.fuzzy_score(name, term) - want) < 1e-9
+
+
 def test_too_many_questions(spark):
     with pytest.raises(ValueError):
         CodeGraph(None, None, None).batch([("status", {})] * 11)
