@@ -24,16 +24,29 @@ class CodeGraph(Graph):
     def scan(cls, spark: SparkSession, root: str, repo: str, config: workspace.Config | None = None) -> "CodeGraph":
         """Reads a tree: all symbols first, then the references to them."""
         files = cut(workspace.walk_files(spark, root, repo, config))
-        used = [r.framework for r in frameworks.active_frameworks(files).select("framework").distinct().collect()]  # of a fixed table
+        used = [r.framework for r in frameworks.active_frameworks(workspace.project_files(spark, root, repo, config)).select("framework").distinct().collect()]  # of a fixed table
         rows = cut(extract.extract(files, used))
         symbols, refs = extract.symbols_of(rows), extract.references_of(rows)
         own = relational.enclosing_symbol(refs.select(F.col("source_file").alias("file_path"), "line").distinct(), symbols).select(F.col("file_path").alias("source_file"), "line", F.col("symbol").alias("source_symbol"))
         found = resolve.resolve_symbol(refs, symbols, files).where("target IS NOT NULL").join(own, ["source_file", "line"], "left")
         edges = found.select("source_file", F.col("target").alias("target_file"), "source_symbol", F.col("symbol").alias("target_symbol"), "edge_type", "repo", F.lit(1.0).alias("weight"), F.when(F.col("how") == "contains", "inferred").otherwise(F.col("verifiability")).alias("verifiability"), F.lit(None).cast("string").alias("target_repo"), "line")
+        if used:
+            edges = edges.unionByName(cls._routed(files, symbols, repo, used).select(edges.columns))
         out = cls(files.join(extract.namespaces_of(rows), "path", "left"), symbols, cut(edges))
         out.texts = files.select("path", "text")
         return out
 
+    @staticmethod
+    def _routed(files: DataFrame, symbols: DataFrame, repo: str, used: list[str]) -> DataFrame:
+        """Edges from the files that declare routes to the files of their handlers."""
+        routes = frameworks.detect_routes(files, used).where("handler <> '' AND handler <> 'default'")
+        handler = F.split("handler", "[@.]")
+        routes = routes.select(F.col("handler_file").alias("source_file"), F.element_at(handler, 1).alias("symbol"), F.element_at(handler, -1).alias("target_symbol"), "line", "confidence").distinct()
+        found = resolve.resolve_symbol(routes, symbols, files).where("how IN ('exact', 'short')")
+        verifiability = F.when(F.col("confidence") >= 1, "verified").otherwise("inferred")
+        none = F.lit(None).cast("string")
+        return found.select("source_file", F.col("target").alias("target_file"), none.alias("source_symbol"), "target_symbol", F.lit("route").alias("edge_type"), F.lit(repo).alias("repo"), F.lit(1.0).alias("weight"), verifiability.alias("verifiability"), none.alias("target_repo"), "line")
+
     texts: DataFrame | None = None
 
     @cached_property

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import CodeGraph
 from ..functions import extract as X
 from ..functions import frameworks as W
 from ..functions.languages import EXTENSIONS, language_of
@@ -20,7 +21,7 @@ from ..sources import workspace
 from ..sources.graph_tables import EDGE_ORDER, FRAMEWORK_EDGES, Graph, table
 from ..streaming import incremental, logs
 from .graph_queries import NODES, RANK, _NEAR, _ranks, _seed
-from .relational_queries import PRIMARY
+from .relational_queries import FIRST_FILE, PRIMARY, first_path
 
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -121,7 +122,12 @@ g_("route_confidence", "SELECT edge_type, CAST(CASE edge_type WHEN 'call' THEN 1
 g_("change_status_counts", "SELECT status, count(*) AS count FROM (SELECT CASE WHEN lines < 100 THEN 'new' WHEN lines < 200 THEN 'deleted' ELSE 'unchanged' END AS status FROM g_files) GROUP BY status", lambda g: R.counts(R.change_classify(g.files.where("lines >= 100").select("path", F.md5("path").alias("hash")), g.files.where("lines < 100 OR lines >= 200").select("path", F.md5("path").alias("hash")), g.symbols), "status"))
 g_("scan_incremental", "SELECT path, CASE WHEN language = 'go' THEN md5(path || 'x') ELSE md5(path) END AS hash FROM g_files WHERE lines >= 50", lambda g: incremental.scan_incremental(g.files.where("lines < 400").select("path", F.md5("path").alias("hash")), g.files.where("lines >= 50").select("path", F.md5(F.expr("CASE WHEN language = 'go' THEN concat(path, 'x') ELSE path END")).alias("hash")), g.symbols)[0])
 g_("project_languages", "SELECT DISTINCT path, CASE string_split(path, '.')[-1] WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'php' THEN 'php' ELSE 'go' END AS language FROM g_files", lambda g: g.files.select("path", language_of("path").alias("language")))
-g_("batch_ops", "SELECT 0 AS op_index, name AS result FROM (SELECT DISTINCT name FROM g_symbols WHERE name LIKE 'red%') UNION ALL SELECT 1, source_file FROM (SELECT DISTINCT source_file FROM g_edges WHERE target_symbol = 'redwidget')", lambda g: R.symbol_query(g.symbols, "red*").select("name").distinct().select(F.lit(0).alias("op_index"), F.col("name").alias("result")).union(g.edges.where("target_symbol = 'redwidget'").select("source_file").distinct().select(F.lit(1), "source_file")))
+g_(
+    "batch_ops",
+    f"SELECT 0 AS op_index, '{{' || {_TEXT('file_path', 'repo', 'name', 'kind')} || {_OPTIONAL('scope')} || ',' || {_TEXT('start_line', 'end_line')} || '}}' AS row FROM g_symbols WHERE lower(name) LIKE 'red%'"
+    f" UNION ALL SELECT DISTINCT 1, '{{\"path\":' || to_json(target_file) || ',\"type\":\"' || edge_type || '\"}}' FROM g_edges WHERE source_file = {FIRST_FILE}",
+    lambda g: CodeGraph(g.files, g.symbols, g.edges).batch([("query", {"pattern": "red*"}), ("dependencies", {"path": first_path(g)})]),
+)
 
 # logs
 query("rate_limit", "SELECT event_id, n AS in_window, n > 10 AS over FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id % 3 ORDER BY epoch_ms(ts) RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS n FROM events)".replace("AS over", 'AS "over"'), lambda s, d: logs.rate_limited(table(s, d, "events").withColumn("user_id", F.col("user_id") % 3)).select("event_id", "in_window", "over"))

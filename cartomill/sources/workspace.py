@@ -62,6 +62,22 @@ def walk_files(spark: SparkSession, root: str, repo: str, config: Config | None
     return rows.withColumn("language", language_of("path", config.languages)).where("language IS NOT NULL").select("path", F.lit(repo).alias("repo"), "language", "size_bytes", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), "content_hash", "modified", "text")
 
 
+MANIFESTS = "package.json composer.json Gemfile requirements.txt pyproject.toml Pipfile setup.py".split()
+
+
+def project_files(spark: SparkSession, root: str, repo: str, config: Config | None = None) -> DataFrame:
+    """repo, path, text of all files of a tree, whatever their language; the text only of manifests, and null for others,
+    which are listed and not read."""
+    config = config or Config()
+    base = root.rstrip("/").removeprefix("file://") + "/"
+    path = F.substring_index("path", base, -1).alias("path")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    every = read.load(root).select(path)
+    texts = read.option("pathGlobFilter", "{" + ",".join(MANIFESTS) + "}").load(root).select(path, F.decode("content", "UTF-8").alias("text"))
+    own = every.where(included("path", config.include, config.exclude)).join(texts, "path", "left")
+    return own.select(F.lit(repo).alias("repo"), "path", "text")
+
+
 def stale_files(files: DataFrame, on_disk: DataFrame) -> DataFrame:
     """path of files (path, last_scanned) that are gone, or newer on disk (path, modified)."""
     joined = files.join(on_disk.select("path", "modified"), "path", "left")

@@ -130,6 +130,25 @@ def test_scan_a_tree(spark, tmp_path):
     assert g.context("change helper").where("included").count() == 2 and g.trace("a.py")["nodes"] == 2
 
 
+def test_scan_a_project_with_routes(spark, tmp_path):
+    root = tmp_path / "shop"
+    for name, text in {
+        "artisan": "#!/usr/bin/env php",
+        "routes/web.php": "<?php\nRoute::get('/users', [UserController::class, 'index']);\n",
+        "app/UserController.php": "<?php\nnamespace App\\Http;\nclass UserController {\n    public function index() {\n        return 1;\n    }\n}\n",
+    }.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "web").mkdir()
+    (root / "web" / "package.json").write_text('{"dependencies": {"express": "4"}}')
+    assert {r.framework for r in W.active_frameworks(S.project_files(spark, f"file://{root}", "shop")).collect()} == {"laravel", "express"}
+    g = CodeGraph.scan(spark, f"file://{root}", "shop")
+    assert {r.path: r.namespace for r in g.files.collect()} == {"routes/web.php": None, "app/UserController.php": "App\\Http"}
+    assert g.clusters("namespace").count() == 2
+    routes = g.edges.where("edge_type = 'route'").collect()
+    assert [(r.source_file, r.target_file, r.target_symbol, r.line, r.verifiability) for r in routes] == [("routes/web.php", "app/UserController.php", "index", 2, "verified")]
+
+
 def test_config(tmp_path):
     c = S.Config([S.Repo("r", ".")], exclude=["mine"])
     c.save(tmp_path / "c.json")
