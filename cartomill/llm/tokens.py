@@ -16,7 +16,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Keys in each of the two generations of a worker's memories.
-PIECES = 500_000
+PIECES = 400_000
 CHUNKS = 100_000
 #: White space, as Unicode has it and some more.
 _ANY_SPACE = re.compile("[\\s\x1c-\x1f\x85\u180e\u2000-\u203f]")
