@@ -86,6 +86,31 @@ def test_token_files_layout(spark, tmp_path):
     assert "RLE_DICTIONARY" in ids.encodings or "DELTA_BINARY_PACKED" in ids.encodings
 
 
+def test_single_documents_and_metadata_are_read_alone(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from cartomill.llm import token_output
+
+    monkeypatch.setattr(token_output, "ROW_GROUP", 16 << 10)
+    monkeypatch.setattr(token_output, "PAGE_ROWS", 20)
+    data = [(i, " ".join(f"word{(i * 7 + k) % 997}" for k in range(120)), None, None, None) for i in range(600)]
+    data += [(300, data[5][1], None, None, None)] * 900  # a hot doc_id, of equal rows
+    path = f"file://{tmp_path}/t"
+    write_tokens(frame(spark, data).repartition(3), public_tokenizers.path(FILES["byte"]), path)
+    files = [pq.ParquetFile(p) for p in sorted(tmp_path.glob("t/*.parquet"))]
+    groups = [(f, g) for f in files for g in range(f.metadata.num_row_groups)]
+    ranges = [f.metadata.row_group(g).column(0).statistics for f, g in groups]
+    holding = [r for r in ranges if r.min <= 77 <= r.max]
+    assert len(groups) >= 5 and 1 <= len(holding) <= 2  # one document: one row group, or two at an edge
+    assert max(sum(f.metadata.row_group(g).num_rows for g in range(f.metadata.num_row_groups)) for f in files) < 1200  # the hot doc_id is spread
+    sizes = [sum(f.metadata.row_group(g).column(c).total_compressed_size for f, g in groups) for c in range(5)]
+    assert sum(sizes[:4]) < sizes[4] / 5  # metadata without the ids
+    one = read_tokens(spark, path).where("doc_id = 77")
+    plan = one.select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,77)" in plan and "ids" not in plan
+    assert list(one.first().ids) == plain("byte", data[77][1]) + [2]
+
+
 def test_no_documents(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     assert pack(empty, public_tokenizers.path(FILES["word"])).count() == 0
