@@ -12,6 +12,8 @@ gathers grows with the corpus:
   looked up in it, and the probabilities go back to the unit, which scores its texts. No task holds more of the model
   than one partition or one unit needs, and nothing is broadcast.
 
+Probabilities are kept in steps of 1 / 1024 of the logarithm, so a text's sum is exact, whatever the order.
+
 A document's perplexity must lie in the band of its language, (median - BAND * (median - 10 %), median + BAND * (90 % -
 median)) in the logarithm, but at least LEAST_HALF to either side. Short texts vary more than long ones, so a language has
 a band for each doubling of the length, or one for all lengths where fewer than FEW documents have a length. Quantiles
@@ -31,12 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, documents, forgotten, map_arrow, mixed, text_bytes, written
+from .common import bucketed, documents, forgotten, map_arrow, mixed, text_bytes, written
 
 ORDER = 5
 BAND = 2.5
@@ -48,6 +51,8 @@ MIN_WORDS = 50
 MOST_REPEATED = 50
 #: Characters of a unit.
 UNIT = 2_000_000
+#: Steps of a logarithmic probability.
+FINE = 1024
 #: Stands ORDER - 1 times before each text.
 PAD = 2
 
@@ -91,7 +96,7 @@ def ngrams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """The code of the n-gram that ends at each character; the different codes, ascending, with their counts and their
     n-grams (code points)."""
     alphabet = np.unique(points)
-    number = np.zeros(int(alphabet[-1]) + 1, dtype=np.int64)
+    number = np.zeros(int(alphabet[-1]) + 1, dtype=np.int32)
     number[alphabet] = np.arange(len(alphabet))
     symbols, n = number[points], len(points) - ORDER + 1
     bits = max(1, (len(alphabet) - 1).bit_length())
@@ -109,7 +114,7 @@ def ngrams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             counts = np.bincount(where, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
         grams = alphabet[np.stack([different >> bits * (ORDER - 1 - k) & (1 << bits) - 1 for k in range(ORDER)], axis=1)]
     else:  # many characters: codes are ranks, a symbol longer in each step
-        codes = symbols[:n]
+        codes = symbols[:n].astype(np.int64)
         for k in range(1, ORDER):
             codes = np.unique(codes * len(alphabet) + symbols[k : k + n], return_inverse=True)[1]
         codes, at = codes[ends], np.flatnonzero(ends)
@@ -130,12 +135,57 @@ def dealt(h: np.ndarray, partitions: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
 
 
+#: Compressors of a worker, made once: a context takes megabytes.
+_SMALL, _LARGE, _OPEN = zstandard.ZstdCompressor(level=5), zstandard.ZstdCompressor(level=7), zstandard.ZstdDecompressor()
+
+
+def pressed(data: bytes, large: bool = False) -> bytes:
+    return (_LARGE if large else _SMALL).compress(data)
+
+
+def unpressed(data: bytes) -> bytes:
+    return _OPEN.decompress(data)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers by their bytes of one rank each, which compresses well; the highest ranks, where all are 0, left out."""
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    width = int(np.flatnonzero(raw.any(axis=1)).max(initial=0)) + 1
+    return bytes([width]) + raw[:width].tobytes()
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    raw = np.zeros((8, n), dtype=np.uint8)
+    raw[: data[0]] = np.frombuffer(data, dtype=np.uint8, offset=1, count=data[0] * n).reshape(-1, n)
+    return np.ascontiguousarray(raw.T).view("<u8").ravel()
+
+
 def squeezed(grams: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(grams.T.astype("<u4")).tobytes(), codec="zstd", asbytes=True)
+    """N-grams, in order: their alphabet, and the differences of their codes in it."""
+    alphabet, number = np.unique(grams, return_inverse=True)
+    number, bits = number.reshape(-1, ORDER).astype(np.uint64), max(1, (len(alphabet) - 1).bit_length())
+    parts = [ORDER] if bits * ORDER <= 64 else [3, ORDER - 3]  # 3 code points fit whatever the alphabet
+    out, first = [np.array([len(alphabet)], dtype="<u4").tobytes(), alphabet.astype("<u4").tobytes()], 0
+    for k in parts:
+        code = np.zeros(len(grams), dtype=np.uint64)
+        for j in range(first, first + k):
+            code = code << np.uint64(bits) | number[:, j]
+        out.append(planes(np.diff(code, prepend=np.uint64(0))))
+        first += k
+    return pressed(b"".join(out))
 
 
 def opened(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * ORDER * n, codec="zstd", asbytes=True), dtype="<u4").reshape(ORDER, n).T
+    raw = unpressed(data)
+    size = int(np.frombuffer(raw, dtype="<u4", count=1)[0])
+    alphabet, at = np.frombuffer(raw, dtype="<u4", count=size, offset=4), 4 + 4 * size
+    bits = max(1, (size - 1).bit_length())
+    columns: list[np.ndarray] = []
+    for k in [ORDER] if bits * ORDER <= 64 else [3, ORDER - 3]:
+        code = np.cumsum(from_planes(raw[at:], n), dtype=np.uint64)
+        at += 1 + raw[at] * n
+        columns += [alphabet[(code >> np.uint64(bits * (k - 1 - j)) & np.uint64((1 << bits) - 1)).astype(np.int64)] for j in range(k)]
+    return np.stack(columns, axis=1)
 
 
 UNITS = "unit long, part int, lang string, size long, grams binary, counts binary"
@@ -144,30 +194,41 @@ UNITS = "unit long, part int, lang string, size long, grams binary, counts binar
 def units(docs: DataFrame, partitions: int) -> DataFrame:
     """Of each unit a row with its documents (part -1, in `grams`), and one for each partition with its n-grams and counts."""
 
+    def rows(unit: int, lang: str, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        own = pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(texts, type=pa.binary())], names=["doc_id", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema) as stream:
+            stream.write_batch(own)
+        out = [(unit, -1, lang, own.num_rows, pressed(sink.getvalue(), large=True), None)]
+        _, different, counts, grams = ngrams(points_of(texts)[0])
+        part = dealt(gram_hashes(lang, grams), partitions)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(partitions + 1))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            at = order[cuts[p] : cuts[p + 1]]
+            out.append((unit, p, lang, len(at), squeezed(grams[at]), pressed(planes(counts[at]))))
+        types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["unit", "part", "lang", "size", "grams", "counts"])
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = TaskContext.get().partitionId() << 33
+        held: dict[str, tuple[list, list[bytes]]] = {}
+        size: Counter[str] = Counter()
         for batch in batches:
-            texts, by = text_bytes(batch["text"]), defaultdict(list)
-            for i, lang in enumerate(batch["lang"].to_pylist()):
-                by["-" if lang is None else f"+{lang}"].append(i)
-            for lang, rows in by.items():
-                for a, b in chunks([len(texts[i]) for i in rows], UNIT):
-                    own = batch.select(["doc_id", "text"]).take(pa.array(rows[a:b]))
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                        stream.write_batch(own)
-                    out = [(unit, -1, lang, own.num_rows, sink.getvalue().to_pybytes(), None)]
-                    _, different, counts, grams = ngrams(points_of([texts[i] for i in rows[a:b]])[0])
-                    part = dealt(gram_hashes(lang, grams), partitions)
-                    order = np.argsort(part, kind="stable")
-                    cuts = np.searchsorted(part[order], np.arange(partitions + 1))
-                    for p in np.flatnonzero(np.diff(cuts)).tolist():
-                        at = order[cuts[p] : cuts[p + 1]]
-                        out.append((unit, p, lang, len(at), squeezed(grams[at]), pa.compress(counts[at].astype("<i8").tobytes(), codec="zstd", asbytes=True)))
-                    columns = list(zip(*out))
-                    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["unit", "part", "lang", "size", "grams", "counts"])
+            for doc_id, lang, text in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), text_bytes(batch["text"])):
+                lang = "-" if lang is None else f"+{lang}"
+                if size[lang] and size[lang] + len(text) > UNIT or sum(size.values()) > 2 * UNIT:
+                    full = lang if size[lang] + len(text) > UNIT and size[lang] else max(size, key=size.get)
+                    yield rows(unit, full, *held.pop(full))
                     unit += 1
+                    del size[full]
+                own = held.setdefault(lang, ([], []))
+                own[0].append(doc_id)
+                own[1].append(text)
+                size[lang] += len(text)
+        for lang, own in held.items():
+            yield rows(unit, lang, *own)
+            unit += 1
 
     return map_arrow(docs, f, UNITS)
 
@@ -199,7 +260,7 @@ def gram_counts(found: DataFrame, partitions: int) -> DataFrame:
                     yield from out()
                     now, size = part, 0
                 points = opened(grams, n)
-                held[lang].append((gram_hashes(lang, points), points, np.frombuffer(pa.decompress(counts, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype="<i8")))
+                held[lang].append((gram_hashes(lang, points), points, from_planes(unpressed(counts), n).astype(np.int64)))
                 size += n
                 if size > 4 << 20:
                     for key in list(held):
@@ -212,10 +273,11 @@ def gram_counts(found: DataFrame, partitions: int) -> DataFrame:
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
-    """part, h, logp: the natural logarithm of each n-gram's last character after its context."""
-    levels = {ORDER: counts.select("lang", "gram", F.col("n").alias("c"))}
+    """part, h, logp: the natural logarithm of each n-gram's last character after its context, negative, in steps."""
+    levels, tables = {ORDER: counts.select("lang", "gram", F.col("n").alias("c"))}, []
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different characters come before
         levels[k] = written(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), "level")
+        tables.append(levels[k])
     lower = levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p")).select("lang", F.lit("").alias("gram"), "p")
     for k in range(1, ORDER + 1):
         of = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
@@ -227,22 +289,25 @@ def probabilities(counts: DataFrame) -> DataFrame:
         p = ((F.col("c") - F.col("d")) + F.col("left") * F.col("p")) / F.col("total")
         found = own.join(totals, ["lang", "context"]).withColumn("end", F.substring("gram", 2, k - 1)).join(lower.select("lang", F.col("gram").alias("end"), "p"), ["lang", "end"])
         lower = written(found.select("lang", "gram", p.alias("p")), "probabilities")
-    out = counts.select("part", "lang", "gram", "h").join(lower, ["lang", "gram"]).select("part", "h", F.log("p").cast("float").alias("logp"))
-    return written(out, "model")
+        tables.append(lower)
+    out = counts.select("part", "lang", "gram", "h").join(lower, ["lang", "gram"]).select("part", "h", F.round(-F.log("p") * FINE).cast("int").alias("logp"))
+    out = written(out, "model")
+    forgotten(*tables)
+    return out
 
 
 def answers(found: DataFrame, model: DataFrame, partitions: int) -> DataFrame:
     """unit, answers (part, logp): the probabilities of each unit's n-grams, in the order of its codes."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, table = None, [], (np.empty(0, np.uint64), np.empty(0, np.float32))
+        now, parts, table = None, [], (np.empty(0, np.uint64), np.empty(0, np.int32))
         for batch in batches:
             out: list[tuple] = []
             part, asks = batch["part"].to_numpy(), batch["unit"].is_valid().to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (asks[1:] != asks[:-1]), [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if part[a] != now:
-                    now, parts, table = part[a], [], (np.empty(0, np.uint64), np.empty(0, np.float32))
+                    now, parts, table = part[a], [], (np.empty(0, np.uint64), np.empty(0, np.int32))
                 if not asks[a]:
                     parts.append((batch["h"].slice(a, b - a).to_numpy().view(np.uint64), batch["logp"].slice(a, b - a).to_numpy()))
                     continue
@@ -253,12 +318,12 @@ def answers(found: DataFrame, model: DataFrame, partitions: int) -> DataFrame:
                 own = batch.slice(a, b - a)
                 for unit, lang, n, grams in zip(*(own[c].to_pylist() for c in ("unit", "lang", "size", "grams"))):
                     at = np.searchsorted(table[0], gram_hashes(lang, opened(grams, n)))
-                    out.append((unit, int(now), pa.compress(table[1][at].astype("<f4").tobytes(), codec="zstd", asbytes=True), n))
+                    out.append((unit, int(now), pressed(planes(table[1][at])), n))
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["unit", "part", "logp", "size"])
 
     null = lambda kind: F.lit(None).cast(kind)
-    asked = found.where("part >= 0").select("part", "unit", "lang", "size", "grams", null("long").alias("h"), null("float").alias("logp"))
+    asked = found.where("part >= 0").select("part", "unit", "lang", "size", "grams", null("long").alias("h"), null("int").alias("logp"))
     known = model.select("part", null("long").alias("unit"), null("string").alias("lang"), null("long").alias("size"), null("binary").alias("grams"), "h", "logp")
     both = known.unionByName(asked).repartitionByRange(partitions, "part").sortWithinPartitions("part", F.col("unit").asc_nulls_first())
     return written(map_arrow(both, f, "unit long, part int, logp binary, size long"), "answers")
@@ -305,21 +370,19 @@ def scored(found: DataFrame, replies: DataFrame, partitions: int) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, packed, replies in zip(*(batch[c].to_pylist() for c in ("lang", "grams", "replies"))):
-                own = pa.ipc.open_stream(packed).read_next_batch()
+                own = pa.ipc.open_stream(unpressed(packed)).read_next_batch()
                 texts = text_bytes(own["text"])
                 points, lengths = points_of(texts)
                 ppl = np.full(len(texts), np.nan)
-                if replies:
+                if replies and lengths.any():
                     codes, different, _, grams = ngrams(points)
                     order = np.argsort(dealt(gram_hashes(lang, grams), partitions), kind="stable")
-                    logp = np.empty(len(different), dtype=np.float32)
-                    logp[order] = np.concatenate([np.frombuffer(pa.decompress(r["logp"], decompressed_size=4 * r["size"], codec="zstd", asbytes=True), dtype="<f4") for r in sorted(replies, key=lambda r: r["part"])])
+                    logp = np.empty(len(different), dtype=np.int64)
+                    logp[order] = np.concatenate([from_planes(unpressed(r["logp"]), r["size"]).astype(np.int64) for r in sorted(replies, key=lambda r: r["part"])])
                     some, starts = lengths > 0, np.cumsum(lengths) - lengths
-                    sums = np.zeros(len(codes) + 1)
-                    for a in range(0, len(codes), 1 << 21):
-                        sums[a + 1 : a + 1 + (1 << 21)] = logp[np.searchsorted(different, codes[a : a + (1 << 21)])]
-                    np.cumsum(sums, out=sums)
-                    ppl[some] = -(sums[(starts + lengths)[some]] - sums[starts[some]]) / lengths[some]
+                    for a in range(0, len(codes), 1 << 19):  # in place: codes become probabilities
+                        codes[a : a + (1 << 19)] = logp[np.searchsorted(different, codes[a : a + (1 << 19)])]
+                    ppl[some] = np.add.reduceat(codes, starts[some]) / lengths[some] / FINE
                 base = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, len(BASE))
                 doublings = np.frexp(lengths.astype(float))[1].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

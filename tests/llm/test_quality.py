@@ -57,7 +57,7 @@ def slow_model(texts, order=Q.ORDER):
             total[g[:-1]] += c
             left[g[:-1]] += d[min(c, 3)]
         p = {g: (c - d[min(c, 3)] + left[g[:-1]] * p[g[1:]]) / total[g[:-1]] for g, c in level[k].items()}
-    return {g: math.log(x) for g, x in p.items()}
+    return {g: -round(-math.log(x) * Q.FINE) / Q.FINE for g, x in p.items()}
 
 
 def slow_quality(data):
@@ -135,6 +135,16 @@ def test_ngrams_of_large_alphabets():
     assert lengths.tolist() == [len(folded(t)) for t in texts] and len(codes) == lengths.sum() and (np.diff(different) > 0).all()
 
 
+def test_ngrams_are_squeezed_without_loss():
+    rng = np.random.default_rng(3)
+    for size, top in ((1, 5), (70, 300), (5000, 0x10FFFF)):
+        grams = rng.choice(rng.integers(0, top, size), (400, Q.ORDER)).astype(np.uint32)
+        assert (Q.opened(Q.squeezed(grams), 400) == grams).all()
+    for values in ([0], [0, 1 << 40, 7], [255, 256]):
+        values = np.array(values, dtype=np.int64)
+        assert (Q.from_planes(Q.planes(values), len(values)).astype(np.int64) == values).all()
+
+
 def test_base_columns(spark):
     out = Q.quality(crowded(spark)).collect()
     want = sorted((d, *slow_base(t)) for d, t, *_ in rows())
