@@ -44,7 +44,7 @@ from .common import crc_mod, documents, map_arrow
 N = 3
 DECAY = 0.5
 SPAN = 6
-LANDMARKS = 112
+LANDMARKS = 80
 TRAIN_ROWS = 2_000
 TRAIN_CHARS = 20_000
 TRAIN_UNITS = 4_000
@@ -57,9 +57,9 @@ RATE = 5
 SURE = 5.0
 PIECE = 24
 #: What a false alarm among clean documents costs against a missed toxic one.
-ALARM = 5
+ALARM = 8
 #: The hinge loss against the squared length of the weight vector.
-COST = 100.0
+COST = 1000.0
 BEGIN = "\x02"
 FOLDS, HELD_OUT = 5, 0
 REMEMBERED = 400_000
