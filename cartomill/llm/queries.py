@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import collocations
+from .collocations import op13_collocations
 from .decontaminate import op9_decontamination
 from .langid import op7_language
 from .packing import op4_packing
@@ -17,5 +19,5 @@ from .suffix_dedup import op6_suffix_array
 from .token_output import op5_token_output
 from .toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_personal_data, op4_packing, op5_token_output, op6_suffix_array, op7_language, op8_substrings, op9_decontamination, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_personal_data, op4_packing, op5_token_output, op6_suffix_array, op7_language, op8_substrings, op9_decontamination, op10_quality, op13_collocations)}
+ORACLE_SQL: dict[str, str] = {"op13_collocations": collocations.SQL}
