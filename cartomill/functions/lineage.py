@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,47 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once, as a table in the shared folder; it outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that cut() made, once what is derived from them is written."""
+    for df in tables:
+        deleted(df.sparkSession, df.written_at)
+
+
+class Rounds:
+    """The rows that a loop finds, round after round: one folder of the shared file system with a part for each round, so
+    that a round's plan does not grow with those before it."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.n = spark, schema, 0
+        self.path = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> int:
+        """Writes one more round; how many rows it has."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "snappy").parquet(f"{self.path}/round={self.n}")
+        self.n += 1
+        return seen.get["n"]
+
+    def last(self) -> DataFrame:
+        return self.of(self.n - 1)
+
+    def of(self, k: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={k}")
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds, with the round's number."""
+        return self.spark.read.schema(f"{self.schema}, round int").parquet(self.path)
 
 
 def bucketed(df: DataFrame, *by: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.lineage import bucketed, cut, numbered
+from ..functions.lineage import Rounds, bucketed, cut, dropped, numbered
 from ..functions.ship import ship
 from ..sources.graph_tables import DATA_EDGES, EDGE_ORDER, STRUCTURAL_EDGES, Graph
 from .relational import first_per_key, scoped, undirected
@@ -112,29 +112,30 @@ def keyed_symbols(symbols: DataFrame) -> DataFrame:
     return own.unionByName(symbols.where("scope IS NOT NULL").select(full.alias("key"), "file_path", "name", full.alias("full")))
 
 
-def call_edges(symbols: DataFrame, edges: DataFrame, up: bool) -> DataFrame:
-    """key with the edges into it (up, imports aside) or out of it."""
+def call_edges(symbols: DataFrame, edges: DataFrame, up: bool, of: DataFrame | None = None) -> DataFrame:
+    """key with the edges into it (up, imports aside) or out of it; of: only these keys. The keys choose symbols first, and
+    these choose edges, so a question about few moves few."""
     file, symbol = ("target_file", "target_symbol") if up else ("source_file", "source_symbol")
     e = edges.where(~F.col("edge_type").isin("import", "require")) if up else edges
     keyed = keyed_symbols(symbols)
-    hit = (F.col(symbol) == F.col("name")) | F.coalesce(F.col(symbol) == F.col("full"), F.lit(False))
-    return keyed.join(e, (F.col("file_path") == F.col(file)) & hit).drop("file_path", "name", "full")
+    if of is not None:
+        keyed = keyed.join(of, "key", "left_semi")
+    named = keyed.select("key", F.col("file_path").alias(file), F.explode(F.array_compact(F.array("name", "full"))).alias(symbol))
+    return named.join(e, [file, symbol]).select("key", *edges.columns)
 
 
 def symbol_bfs(symbols: DataFrame, edges: DataFrame, start: str, depth: int, up: bool = True) -> DataFrame:
     """depth, key and edge of everything within `depth` calls. Every edge of an expanded symbol is a row."""
-    calls = cut(call_edges(symbols, edges, up))
     following = "source_symbol" if up else "target_symbol"
-    frontier = seen = symbols.sparkSession.createDataFrame([(start,)], "key string")
-    found = None
+    spark = symbols.sparkSession
+    frontier, found, seen = spark.createDataFrame([(start,)], "key string"), None, Rounds(spark, "key string")
+    seen.add(frontier)
     for level in range(1, depth + 1):
-        rows = cut(calls.join(frontier, "key").withColumn("depth", F.lit(level)))
+        rows = cut(call_edges(symbols, edges, up, frontier).withColumn("depth", F.lit(level)))
         found = rows if found is None else found.unionByName(rows)
-        if level < depth:
-            frontier = cut(rows.select(F.col(following).alias("key")).where("key IS NOT NULL").distinct().join(seen, "key", "left_anti"))
-            if frontier.isEmpty():
-                break
-            seen = seen.union(frontier)
+        if level == depth or not seen.add(rows.select(F.col(following).alias("key")).where("key IS NOT NULL").distinct().join(seen.all(), "key", "left_anti")):
+            break
+        frontier = seen.last()
     return found
 
 
@@ -143,25 +144,24 @@ def impact(symbols: DataFrame, edges: DataFrame, start: str, depth: int = 3, in_
 
     in_try (file, line): calls inside a try block, which are LOW, as test files are; edges then need a `line`.
     """
-    calls = cut(call_edges(symbols, edges, up=True).withColumn("caller", F.coalesce("source_symbol", F.lit("<top-level>"))))
-    frontier = symbols.sparkSession.createDataFrame([(start,)], "key string")
-    seen = None
+    spark = symbols.sparkSession
+    frontier = spark.createDataFrame([(start,)], "key string")
+    seen = Rounds(spark, "source_file string, caller string, edge_type string, source_symbol string, guarded boolean, depth int")
     for level in range(1, depth + 1):
-        rows = calls.join(frontier, "key")
-        if seen is not None:
-            rows = rows.join(seen.select("source_file", "caller"), ["source_file", "caller"], "left_anti")
+        rows = call_edges(symbols, edges, True, frontier).withColumn("caller", F.coalesce("source_symbol", F.lit("<top-level>")))
+        if level > 1:
+            rows = rows.join(seen.all().select("source_file", "caller"), ["source_file", "caller"], "left_anti")
         first = F.min_by(F.struct("edge_type", "source_symbol", "guarded"), F.struct("key", "edge_type", "target_file", "target_symbol", "weight"))
         guarded = rows.withColumn("guarded", F.lit(False)) if in_try is None else rows.join(in_try.select(F.col("file").alias("source_file"), "line", F.lit(True).alias("guarded")), ["source_file", "line"], "left").na.fill(False, ["guarded"])
-        new = cut(guarded.groupBy("source_file", "caller").agg(first.alias("e")).select("source_file", "caller", "e.*", F.lit(level).alias("depth")))
-        seen = new if seen is None else seen.unionByName(new)
-        frontier = new.select(F.col("source_symbol").alias("key")).where("key IS NOT NULL").distinct()
-        if level < depth and frontier.isEmpty():
+        new = seen.add(guarded.groupBy("source_file", "caller").agg(first.alias("e")).select("source_file", "caller", "e.*", F.lit(level).alias("depth")))
+        if not new:
             break
+        frontier = seen.last().select(F.col("source_symbol").alias("key")).where("key IS NOT NULL").distinct()
     from .predicates import is_test_file
 
     structural = F.col("edge_type").isin("import", "require", "extends", "implements")
     risk = F.when(is_test_file("source_file") | F.col("guarded"), "LOW").when(F.col("depth") == 1, F.when(structural, "MEDIUM").otherwise("HIGH")).when(F.col("depth") == 2, F.when(structural, "LOW").otherwise("MEDIUM")).otherwise("LOW")
-    return seen.select(F.col("caller").alias("symbol"), F.col("source_file").alias("file"), "depth", "edge_type", risk.alias("risk"))
+    return seen.all().select(F.col("caller").alias("symbol"), F.col("source_file").alias("file"), "depth", "edge_type", risk.alias("risk"))
 
 
 def risk_summary(affected: DataFrame) -> DataFrame:
@@ -211,14 +211,17 @@ def sink_label(sinks: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """path, depth within so many undirected steps of the seeds (path)."""
     u = undirected(edges)
-    both = cut(u.select(F.col("a").alias("path"), F.col("b").alias("to")).union(u.select("b", "a")))
-    found = frontier = cut(seeds.select("path").distinct().withColumn("depth", F.lit(0)))
-    for level in range(1, depth + 1):
-        frontier = cut(both.join(frontier, "path").select(F.col("to").alias("path")).distinct().join(found, "path", "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+    return _levels(u.select(F.col("a").alias("file"), F.col("b").alias("to")).union(u.select("b", "a")), seeds.select(F.col("path").alias("file")).distinct(), depth).select(F.col("file").alias("path"), "depth")
+
+
+def _levels(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """file, depth of what so many steps (file, to) reach from the seeds (file)."""
+    seen = Rounds(steps.sparkSession, "file string")
+    seen.add(seeds)
+    for _ in range(depth):
+        if not seen.add(steps.join(seen.last(), "file", "left_semi").select(F.col("to").alias("file")).distinct().join(seen.all(), "file", "left_anti")):
             break
-        found = found.unionByName(frontier)
-    return found
+    return seen.all().select("file", F.col("round").alias("depth"))
 
 
 def focus_neighborhood(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
@@ -228,49 +231,151 @@ def focus_neighborhood(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> Da
     return pairs.join(own, F.col("source_file") == F.col("path"), "left_semi").join(own, F.col("target_file") == F.col("path"), "left_semi")
 
 
-def critical_path(edges: DataFrame, start: str, goal: str, most: int = 8) -> DataFrame:
-    """path (array), length: a shortest path over data edges; of equals, the one whose files sort first."""
-    steps = cut(data_edges(edges).select("source_file", "target_file").where("source_file <> target_file").distinct())
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(start, [start])], "at string, path array<string>")
-    seen = frontier.select("at")
-    for _ in range(most):
-        hit = frontier.where(F.col("at") == goal)
-        if not hit.isEmpty():
-            return hit.select("path", F.size("path").alias("length"))
-        new = steps.join(frontier, F.col("source_file") == F.col("at")).select("target_file", F.concat("path", F.array("target_file")).alias("path"))
-        # of the ways to a file, the first by the files on it
-        frontier = cut(new.groupBy(F.col("target_file").alias("at")).agg(F.min("path").alias("path")).join(seen, "at", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier.select("at"))
-    return frontier.where("false").select("path", F.size("path").alias("length"))
+def data_steps(edges: DataFrame) -> DataFrame:
+    """a, b: different files that a data edge links."""
+    return data_edges(edges).select(F.col("source_file").alias("a"), F.col("target_file").alias("b")).where("a <> b")
+
+
+def followed(starts: DataFrame, pointers: DataFrame) -> DataFrame:
+    """key, node, place of all nodes on the way from each start (key, node) along the pointers (node, next). Jumps double,
+    so a way of n nodes takes log n joins."""
+    way, jump, size = cut(starts.select("key", "node", F.lit(0).alias("place"))), cut(pointers.select("node", "next")), 1
+    while True:
+        more = cut(way.join(jump, "node").select("key", F.col("next").alias("node"), (F.col("place") + size).alias("place")))
+        if more.isEmpty():
+            return way
+        longer, size = cut(way.unionByName(more)), 2 * size
+        further = cut(jump.select("node", F.col("next").alias("via")).join(jump.select(F.col("node").alias("via"), "next"), "via").select("node", "next"))
+        dropped(way, more, jump)
+        way, jump = longer, further
+
+
+def written_ways(ways: DataFrame) -> DataFrame:
+    """key, path (array) of key, node, place."""
+    return ways.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]).alias("path"))
+
+
+def critical_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """path (array), length: a shortest path over data edges, of any length; of equals, the one whose files sort first.
+
+    The search goes from both ends, from the side whose last round found less, until they meet or one side is exhausted.
+    The goal's side keeps for each file the least next one; from where they meet, pointers are continued through the files
+    that the start's side found, so a file has one row, however many ways lead through it.
+    """
+    steps, spark = data_steps(edges), edges.sparkSession
+    ahead, back = Rounds(spark, "node string"), Rounds(spark, "node string, next string")
+    sizes = [ahead.add(spark.createDataFrame([(start,)], "node string")), back.add(spark.createDataFrame([(goal, None)], "node string, next string"))]
+    while (met := ahead.last().join(back.last().select("node"), "node", "left_semi")).isEmpty():
+        if sizes[0] <= sizes[1]:
+            sizes[0] = ahead.add(steps.join(ahead.last().select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct().join(ahead.all(), "node", "left_anti"))
+        else:
+            near = steps.join(back.last().select(F.col("node").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("next"))
+            sizes[1] = back.add(near.join(back.all().select("node"), "node", "left_anti"))
+        if not min(sizes):
+            return back.of(0).where("false").select(F.array("node").alias("path"), F.lit(0).alias("length"))
+    rest, own = Rounds(spark, "node string, next string"), met
+    for k in range(ahead.n - 2, -1, -1):
+        near = steps.join(own.select(F.col("node").alias("b")), "b", "left_semi").join(ahead.of(k).select(F.col("node").alias("a")), "a", "left_semi")
+        rest.add(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("next")))
+        own = rest.last()
+    pointers = back.all().select("node", "next").where("next IS NOT NULL")
+    if rest.n:
+        pointers = pointers.unionByName(rest.all().select("node", "next"))
+    way = followed(spark.createDataFrame([(0, start)], "key int, node string"), pointers)
+    return written_ways(way).select("path", F.size("path").alias("length"))
 
 
 def trace_bfs(edges: DataFrame, start: str, depth: int = 3, up: bool = False, structural: bool = False) -> DataFrame:
     """file, depth of what data reaches from a file, or reaches it."""
     own, other = ("target_file", "source_file") if up else ("source_file", "target_file")
-    steps = cut(data_edges(edges, structural).select(F.col(own).alias("file"), F.col(other).alias("to")).distinct())
-    found = frontier = edges.sparkSession.createDataFrame([(start, 0)], "file string, depth int")
-    for level in range(1, depth + 1):
-        frontier = cut(steps.join(frontier, "file").select(F.col("to").alias("file")).distinct().join(found, "file", "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+    steps = data_edges(edges, structural).select(F.col(own).alias("file"), F.col(other).alias("to"))
+    return _levels(steps, edges.sparkSession.createDataFrame([(start,)], "file string"), depth)
+
 
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """file, component: the files that lie on cycles of data edges, each with the least file that it reaches and that
+    reaches it.
 
-def cycles(edges: DataFrame, most: int = 3) -> DataFrame:
-    """path of each simple cycle of up to `most` files, from its least file."""
-    steps = cut(data_edges(edges).select("source_file", "target_file").where("source_file <> target_file").distinct())
-    walk = steps.where("source_file < target_file").select(F.array("source_file", "target_file").alias("path"))
-    found = None
-    for n in range(2, most + 1):
-        ends = walk.join(steps, F.element_at("path", -1) == F.col("source_file"))
-        closed = ends.where(F.col("target_file") == F.col("path")[0]).select("path", F.lit(n).alias("length"))
+    Files without a way in or out go, until none does. The least file that reaches it is passed forward to each file;
+    from a file that got its own, a search backward among files that got the same one finds its component. What
+    is left goes through the same again.
+    """
+    steps, found = cut(data_steps(edges).distinct()), []
+    empty = steps.where("false").select(F.col("a").alias("file"), F.col("b").alias("component"))
+    while True:
+        before, n = None, steps.count()
+        while n and n != before:
+            both = steps.join(steps.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(steps.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+            less = cut(both.select("a", "b"))
+            dropped(steps)
+            steps, before, n = less, n, less.count()
+        if not n:
+            break
+        labels = cut(steps.select(F.col("a").alias("file")).union(steps.select("b")).distinct().select("file", F.col("file").alias("label"), F.lit(True).alias("new")))
+        while not labels.where("new").isEmpty():
+            offers = steps.join(labels.where("new").select(F.col("file").alias("a"), "label"), "a").groupBy(F.col("b").alias("file")).agg(F.min("label").alias("offer"))
+            better = F.coalesce(F.col("offer") < F.col("label"), F.lit(False))
+            passed = cut(labels.join(offers, "file", "left").select("file", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), better.alias("new")))
+            dropped(labels)
+            labels = passed
+        inner = steps.join(labels.select(F.col("file").alias("a"), "label"), "a").join(labels.select(F.col("file").alias("b"), F.col("label").alias("other")), "b").where("label = other").select("a", "b", "label")
+        inner = cut(inner)
+        back = Rounds(edges.sparkSession, "file string, component string")
+        n = back.add(labels.where("file = label").select("file", F.col("label").alias("component")))
+        while n:
+            near = inner.join(back.last().select(F.col("file").alias("b"), "component"), "b").where("label = component").select(F.col("a").alias("file"), "component").distinct()
+            n = back.add(near.join(back.all().select("file"), "file", "left_anti"))
+        done = back.all().select("file", "component")
+        found.append(done)
+        gone = done.select("file")
+        rest = cut(steps.join(gone.select(F.col("file").alias("a")), "a", "left_anti").join(gone.select(F.col("file").alias("b")), "b", "left_anti").select("a", "b"))
+        dropped(steps, inner, labels)
+        steps = rest
+    out = empty
+    for f in found:
+        out = out.unionByName(f)
+    several = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    return out.join(several.select("component"), "component", "left_semi").select("file", "component")
+
+
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """component, path, length: of each component that cyclic_components() finds, a shortest cycle of any length through
+    its least file, from that file; of equals, the one whose files sort first.
+
+    All components are searched at once, backward from their least files, with pointers as in critical_path().
+    """
+    own, spark = cut(cyclic_components(edges)), edges.sparkSession
+    steps = data_steps(edges).distinct().join(own.select(F.col("file").alias("a"), "component"), "a").join(own.select(F.col("file").alias("b"), F.col("component").alias("other")), "b").where("component = other").select("component", "a", "b")
+    steps = cut(steps)
+    back, closed = Rounds(spark, "component string, node string, next string"), Rounds(spark, "key string, node string")
+    n = back.add(own.where("file = component").select("component", F.col("file").alias("node"), F.lit(None).cast("string").alias("next")))
+    closed.add(own.where("false").select(F.col("component").alias("key"), F.col("file").alias("node")))
+    while n:
+        open_ = steps.join(closed.all().select(F.col("key").alias("component")), "component", "left_anti")
+        near = open_.join(back.last().select(F.col("node").alias("b")), "b", "left_semi").groupBy("component", F.col("a").alias("node")).agg(F.min("b").alias("next"))
+        n = back.add(near.join(back.all().select("node"), "node", "left_anti"))
+        closed.add(open_.where("a = component").join(back.last().select(F.col("node").alias("b")), "b", "left_semi").groupBy(F.col("component").alias("key")).agg(F.min("b").alias("node")))
+    ways = written_ways(followed(closed.all(), back.all().where("next IS NOT NULL")))
+    # a way ends in the file that the cycle begins with
+    return ways.select(F.col("key").alias("component"), F.concat(F.array("key"), F.slice("path", 1, F.size("path") - 1)).alias("path"), F.size("path").alias("length"))
+
+
+def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """path, length of each simple cycle, of at most `most` files if it is given, from its least file. Their number can
+    grow with the power of a component's size; shortest_cycles() has one of each component."""
+    own = cut(cyclic_components(edges))
+    steps = cut(data_steps(edges).distinct().join(own.select(F.col("file").alias("a")), "a", "left_semi").join(own.select(F.col("file").alias("b")), "b", "left_semi").select("a", "b"))
+    walk, found, n = steps.where("a < b").select(F.array("a", "b").alias("path")), None, 2
+    while True:
+        ends = walk.join(steps, F.element_at("path", -1) == F.col("a"))
+        closed = cut(ends.where(F.col("b") == F.col("path")[0]).select("path", F.lit(n).alias("length")))
         found = closed if found is None else found.unionByName(closed)
-        walk = ends.where(F.col("target_file") > F.col("path")[0]).where(~F.array_contains("path", F.col("target_file"))).select(F.concat("path", F.array("target_file")).alias("path"))
-    return found
+        if n == most:
+            return found
+        walk = cut(ends.where(F.col("b") > F.col("path")[0]).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path")))
+        n += 1
+        if walk.isEmpty():
+            return found
 
 
 def trace(g: Graph, start: str, symbol: str | None = None, depth: int = 3, up: bool = False, structural: bool = False) -> dict:

@@ -97,13 +97,29 @@ q("trace_up", _trace_sql(True), lambda g: G.trace_bfs(g.edges, _first(g, "target
 q("trace_both", f"SELECT file, min(depth) AS depth FROM (SELECT * FROM ({_trace_sql(False)}) UNION ALL SELECT * FROM ({_trace_sql(True).replace('min(b)', 'min(a)')})) GROUP BY file", lambda g: (lambda s: G.trace_bfs(g.edges, s, 2).unionByName(G.trace_bfs(g.edges, s, 2, up=True)).groupBy("file").agg(F.min("depth").alias("depth")))(_first(g, "source_file")))
 q("union_trace", f"SELECT count(DISTINCT file) AS files FROM (SELECT * FROM ({_trace_sql(False)}) UNION ALL SELECT * FROM ({_trace_sql(True).replace('min(b)', 'min(a)')}))", lambda g: (lambda s: G.trace_bfs(g.edges, s, 2).unionByName(G.trace_bfs(g.edges, s, 2, up=True)).agg(F.countDistinct("file").alias("files")))(_first(g, "source_file")))
 q("trace_exact", None, lambda g: (lambda t: g.files.sparkSession.createDataFrame([([f"{f}::{s or ''}" for f, s in p],) for p in t["paths"]], "path array<string>"))(G.trace(g, _first(g, "source_file"), depth=2)))
-q("cycle_detect", f"WITH s AS (SELECT * FROM {_STEP} WHERE a <> b) SELECT x.a || '>' || x.b AS path, 2 AS length FROM s x JOIN s y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b UNION ALL SELECT x.a || '>' || x.b || '>' || y.b, 3 FROM s x JOIN s y ON y.a = x.b JOIN s z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND y.b <> x.b", lambda g: G.cycles(g.edges).select(F.array_join("path", ">").alias("path"), "length"))
-q("critical_path", f"WITH s AS (SELECT * FROM {_STEP} WHERE a <> b), ends AS (SELECT min(a) AS start_ FROM s), p1 AS (SELECT b AS node, [a, b] AS p FROM s, ends WHERE a = start_), p2 AS (SELECT s.b AS node, list_append(p, s.b) AS p FROM p1 JOIN s ON s.a = node), goal AS (SELECT max(node) AS g FROM p2, ends WHERE node <> start_ AND node NOT IN (SELECT node FROM p1)) SELECT array_to_string(min(p), '>') AS path, 3 AS length FROM p2, goal WHERE node = g", lambda g: _critical(g))
+q("cycle_detect", f"WITH s AS (SELECT * FROM {_STEP} WHERE a <> b) SELECT x.a || '>' || x.b AS path, 2 AS length FROM s x JOIN s y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b UNION ALL SELECT x.a || '>' || x.b || '>' || y.b, 3 FROM s x JOIN s y ON y.a = x.b JOIN s z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND y.b <> x.b", lambda g: G.cycles(g.edges, 3).select(F.array_join("path", ">").alias("path"), "length"))
+#: Reachability outright: all pairs of a small graph. far is where the longest of the shortest ways from the first file ends.
+_STEPS = f"s AS MATERIALIZED (SELECT * FROM {_STEP} WHERE a <> b)"
+_WAY = f"""WITH {_STEPS}, ends AS (SELECT min(a) AS start_ FROM s), ds(node, k) AS (SELECT start_, 0 FROM ends UNION SELECT b, k + 1 FROM ds JOIN s ON a = node WHERE k < 25),
+far AS (SELECT node AS goal, k AS n FROM (SELECT node, min(k) AS k FROM ds GROUP BY node) ORDER BY k DESC, node DESC LIMIT 1),
+dg(node, k) AS (SELECT goal, 0 FROM far UNION SELECT a, k + 1 FROM dg JOIN s ON b = node WHERE k < 25), left_ AS MATERIALIZED (SELECT node, min(k) AS k FROM dg GROUP BY node),
+next_ AS MATERIALIZED (SELECT a AS node, min(b) AS nxt FROM s JOIN left_ x ON x.node = a JOIN left_ y ON y.node = b AND y.k = x.k - 1 GROUP BY a),
+way(node, i) AS (SELECT start_, 0 FROM ends UNION ALL SELECT nxt, i + 1 FROM way JOIN next_ USING (node))
+SELECT string_agg(node, '>' ORDER BY i) AS path, CAST(count(*) AS INTEGER) AS length FROM way"""
+q("critical_path", _WAY, lambda g: _critical(g))
+_REACH = f"""WITH {_STEPS}, r(a, b) AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b), mutual AS MATERIALIZED (SELECT a AS file, b AS other FROM r WHERE a <> b AND (b, a) IN (SELECT a, b FROM r)),
+comp AS MATERIALIZED (SELECT file, least(file, min(other)) AS component FROM mutual GROUP BY file)"""
+q("cycle_components", f"{_REACH} SELECT file, component FROM comp", lambda g: G.cyclic_components(g.edges))
+q("shortest_cycles", f"""{_REACH}, roots AS (SELECT DISTINCT component AS root FROM comp), dg(root, node, k) AS (SELECT root, root, 0 FROM roots UNION SELECT root, a, k + 1 FROM dg JOIN s ON b = node WHERE k < 25 AND a <> root),
+left_ AS MATERIALIZED (SELECT root, node, min(k) AS k FROM dg GROUP BY ALL), next_ AS MATERIALIZED (SELECT x.root, a AS node, min(b) AS nxt FROM s JOIN left_ x ON x.node = a JOIN left_ y ON y.root = x.root AND y.node = b AND y.k = x.k - 1 GROUP BY ALL),
+first_ AS (SELECT root, b AS node FROM roots JOIN s ON a = root JOIN left_ USING (root) WHERE left_.node = b QUALIFY row_number() OVER (PARTITION BY root ORDER BY k, b) = 1),
+way(root, node, i) AS (SELECT root, node, 1 FROM first_ UNION ALL SELECT root, nxt, i + 1 FROM way JOIN next_ USING (root, node))
+SELECT root AS component, root || '>' || string_agg(node, '>' ORDER BY i) AS path, CAST(count(*) AS INTEGER) AS length FROM way GROUP BY root""", lambda g: G.shortest_cycles(g.edges).select("component", F.concat(F.array_join("path", ">"), F.lit(">"), "component").alias("path"), "length"))
 
 
 def _critical(g: Graph) -> DataFrame:
     start = _first(g, "source_file")
-    goal = G.trace_bfs(g.edges, start, 2).where("depth = 2").agg(F.max("file")).first()[0]
+    goal = G.trace_bfs(g.edges, start, 25).orderBy(F.desc("depth"), F.desc("file")).first()[0]
     return G.critical_path(g.edges, start, goal).select(F.array_join("path", ">").alias("path"), "length")
 
 
