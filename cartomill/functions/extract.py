@@ -1,7 +1,7 @@
 """Symbols and references of source texts.
 
-Python is read with its own parser. Other languages are read by patterns for declarations and calls, with braces for the
-extent of a declaration. A backend of another kind only has to give the same rows. Errors are rows, never exceptions.
+Python is read with its own parser, other languages by a lexer and a stack of scopes (lexer.py, declarations.py). A backend
+of another kind only has to give the same rows. Errors are rows, never exceptions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .declarations import found
+from .lexer import SCRIPT
 from .ship import ship
 
 # Methods so common that a call of one says little, and names every script has.
@@ -38,51 +40,8 @@ SIGNATURES = {
     "interface": r"(?:export\s+)?interface\s+\w+[^{]*",
     "enum": r"(?:export\s+)?enum\s+\w+",
 }
-SCRIPT = frozenset("javascript typescript tsx vue svelte".split())
 
 ROWS = "path string, repo string, row string, name string, kind string, scope string, signature string, start_line int, end_line int, verifiability string"
-_WORD = r"([A-Za-z_$][\w$]*)"
-# Declarations by kind; group 1 is the name.
-DECLARATIONS = {
-    "class": rf"\b(?:abstract\s+|final\s+|export\s+|default\s+|public\s+|data\s+|sealed\s+)*class\s+{_WORD}",
-    "interface": rf"\b(?:interface|protocol)\s+{_WORD}",
-    "trait": rf"\btrait\s+{_WORD}",
-    "enum": rf"\benum\s+(?:class\s+)?{_WORD}",
-    "struct": rf"\bstruct\s+{_WORD}|\btype\s+{_WORD}\s+struct\b",
-    "namespace": r"\bnamespace\s+([\w\\.]+)",
-    "module": rf"\b(?:defmodule|module|mod)\s+{_WORD}",
-    "function": rf"\b(?:function|func|fun|fn|def|sub|proc)\s+(?:\([^)]*\)\s*)?(?:self\.)?{_WORD}\s*[(<]|\b(?:const|let|var)\s+{_WORD}\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>",
-    "constant": r"\b(?:const|static\s+final\s+\w+|define\s*\(\s*['\"])\s*([A-Z][A-Z0-9_]+)\b",
-}
-MEMBER = re.compile(rf"^\s*(?:(?:public|private|protected|static|async|final|override|virtual|get|set|readonly)\s+)*(?:[\w<>\[\],?]+\s+)?{_WORD}\s*\([^;{{}}]*\)\s*(?::\s*[^{{;]+)?\{{", re.M)
-# References by type; group 1 is the target.
-REFERENCES = {
-    "import": r"\bimport\s+(?:[^'\";\n]*?\bfrom\s+)?['\"]([^'\"]+)['\"]|\b(?:use|using|import)\s+([A-Za-z_][\w\\.:]*)\s*;?|^\s*#include\s+[<\"]([^>\"]+)[>\"]",
-    "require": r"\brequire(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]",
-    "extends": r"\bextends\s+([\w\\.$]+)",
-    "implements": r"\bimplements\s+([\w\\.$, ]+)",
-    "instantiation": r"\bnew\s+([\w\\.$]+)",
-    "render": r"<([A-Z][\w.]*)[\s/>]",
-    "call": r"(?<![\w$])(?<!new )([A-Za-z_$][\w$]*)\s*\(",
-}
-_NOT_CALLS = frozenset("if for while switch catch return function func fn def sub new class match elseif foreach sizeof and or not in is with await typeof".split())
-
-
-def _extent(text: str, at: int) -> int:
-    """Where the braces that open after a declaration close; the end of its line where there are none."""
-    stop = text.find("\n", at)
-    stop = len(text) if stop < 0 else stop
-    opened = text.find("{", at, max(stop, at) + 200)
-    if opened < 0:
-        return stop
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, opened):
-        depth += 1 if m.group() == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(text)
-
-
 def _line(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
@@ -111,34 +70,12 @@ def signature(line: str, kind: str, name: str) -> str:
 
 def generic(text: str, language: str) -> Iterator[tuple]:
     """row, name, kind, scope, signature, start_line, end_line, verifiability of a text."""
-    spans, declared = [], set()
-    for kind, pattern in DECLARATIONS.items():
-        for m in re.finditer(pattern, text, re.M):
-            at = next(i for i in range(1, m.re.groups + 1) if m.group(i) is not None)
-            declared.add(m.start(at))
-            spans.append((m.start(), _extent(text, m.end()), kind, m.group(at)))
-    for m in MEMBER.finditer(text):
-        if m.start(1) not in declared and m.group(1) not in _NOT_CALLS:
-            declared.add(m.start(1))
-            spans.append((m.start(1), _extent(text, m.start(1)), "function", m.group(1)))
-    spans.sort()
-    for a, b, kind, name in spans:
-        around = [s for s in spans if s[0] < a and s[1] >= b and s[2] in ("class", "interface", "trait", "struct", "enum", "module")]
-        scope = around[-1][3] if around else None
-        kind = "method" if kind == "function" and scope else kind
-        begin = text.rfind("\n", 0, a) + 1
-        line = text[begin : (text + "\n").index("\n", a)]
-        yield "symbol", name, kind, scope, signature(line, kind, name), _line(text, a), _line(text, b), None
-    for kind, pattern in REFERENCES.items():
-        for m in re.finditer(pattern, text, re.M):
-            at = next(i for i in range(1, m.re.groups + 1) if m.group(i) is not None)
-            for name in m.group(at).split(","):
-                name = name.strip().strip("'\"")
-                if not name or kind == "call" and (name in _NOT_CALLS or m.start(at) in declared) or language in SCRIPT and name in BUILTIN_GLOBALS:
-                    continue
-                if kind == "render" and language not in SCRIPT:
-                    continue
-                yield "reference", name, kind, None, None, _line(text, m.start(at)), None, "inferred" if kind == "call" and name in COMMON_METHODS else "verified"
+    for row, name, kind, *rest in found(text, language):
+        if row == "symbol":
+            scope, line, start, end = rest
+            yield row, name, kind, scope, signature(line, kind, name), start, end, None
+        elif not (language in SCRIPT and name in BUILTIN_GLOBALS):
+            yield row, name, kind, None, None, rest[0], None, "inferred" if kind == "call" and name in COMMON_METHODS else "verified"
 
 
 def python(text: str, language: str = "python") -> Iterator[tuple]:

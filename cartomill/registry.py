@@ -25,4 +25,4 @@ def graph_query(name: str, sql: str | None, f: Callable) -> None:
 
 
 def load() -> None:
-    from .plans import graph_queries, other_queries, relational_queries, source_queries  # noqa: F401
+    from .plans import graph_queries, language_queries, other_queries, relational_queries, source_queries  # noqa: F401
