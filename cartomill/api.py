@@ -29,7 +29,7 @@ class CodeGraph(Graph):
         symbols, refs = extract.symbols_of(rows), extract.references_of(rows)
         own = relational.enclosing_symbol(refs.select(F.col("source_file").alias("file_path"), "line").distinct(), symbols).select(F.col("file_path").alias("source_file"), "line", F.col("symbol").alias("source_symbol"))
         found = resolve.resolve_symbol(refs, symbols, files).where("target IS NOT NULL").join(own, ["source_file", "line"], "left")
-        edges = found.select("source_file", F.col("target").alias("target_file"), "source_symbol", F.col("symbol").alias("target_symbol"), "edge_type", "repo", F.lit(1.0).alias("weight"), F.when(F.col("how") == "contains", "inferred").otherwise(F.col("verifiability")).alias("verifiability"), F.lit(None).cast("string").alias("target_repo"), "line")
+        edges = found.select("source_file", F.col("target").alias("target_file"), "source_symbol", F.when(F.col("how") == "member", F.substring_index("symbol", "::", -1)).otherwise(F.col("symbol")).alias("target_symbol"), "edge_type", "repo", F.lit(1.0).alias("weight"), F.when(F.col("how") == "contains", "inferred").otherwise(F.col("verifiability")).alias("verifiability"), F.lit(None).cast("string").alias("target_repo"), "line")
         if used:
             edges = edges.unionByName(cls._routed(files, symbols, repo, used).select(edges.columns))
         out = cls(files.join(extract.namespaces_of(rows), "path", "left"), symbols, cut(edges))

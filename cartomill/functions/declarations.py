@@ -755,7 +755,7 @@ class Braces(Reader):
             return
         if family == "kotlin" and w in ("get", "set") and self.t.fresh[i]:
             return  # a property's
-        if w in NOT_CALLS or w in _NOT_CALLS_OF.get(family, ()) or w.startswith(("#", "$", "@")) and family in ("c", "cpp", "php", "zig"):
+        if self.at(i - 1) not in (".", "?.", "->") and (w in NOT_CALLS or w in _NOT_CALLS_OF.get(family, ())) or w.startswith(("#", "$", "@")) and family in ("c", "cpp", "php", "zig"):
             return
         if family == "rust" and after == "!" and self.at(i + 2) in ("(", "[", "{"):
             self.refer(w, "call", i)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .declarations import found
 from .lexer import SCRIPT
+from .php import php_found
 from .ship import ship
 
 # Methods so common that a call of one says little, and names every script has.
@@ -107,43 +108,19 @@ def python(text: str, language: str = "python") -> Iterator[tuple]:
     yield from walk(ast.parse(text), None)
 
 
-_USE = re.compile(r"^\s*use\s+([\w\\]+)(?:\s+as\s+(\w+))?\s*;", re.M)
-# References of PHP by type; group 1 is the class.
-PHP_REFERENCES = {
-    "relation": r"->(?:hasOne|hasMany|belongsTo|belongsToMany|hasManyThrough|hasOneThrough|morphOne|morphMany|morphToMany|morphedByMany)\(\s*([\w\\]+)::class",
-    "binding": r"(?:->|::)(?:bind|singleton|scoped|instance)\(\s*[\w\\]+::class\s*,\s*([\w\\]+)::class",
-    "dispatch": r"\bdispatch\(\s*new\s+([\w\\]+)|([A-Z][\w\\]*)::dispatch(?:Sync|AfterResponse)?\(",
-    "notify": r"->notify\(\s*new\s+([\w\\]+)",
-    "param_type": r"[(,]\s*(?:(?:public|private|protected|readonly)\s+)*\??([A-Z][\w\\]*)\s+(?:&|\.\.\.)?\$\w+",
-    "return_type": r"\)\s*:\s*\??([A-Z][\w\\]*)",
-}
-
-
-def php(text: str, language: str = "php") -> Iterator[tuple]:
-    """generic(), with classes named in full: by the file's use table, then its namespace. Rows of kind namespace are the
-    file's own; what a job or notification is made of is no instantiation of its own."""
-    names = {m[2] or m[1].rsplit("\\", 1)[-1]: m[1].lstrip("\\") for m in _USE.finditer(text)}
-    found = re.search(r"^\s*(?:<\?php\s+)?namespace\s+([\w\\]+)\s*[;{]", text, re.M)
-    own = found[1] if found else ""
-
-    def full(name: str) -> str:
-        first, _, rest = name.partition("\\")
-        if name.startswith("\\"):
-            return name[1:]
-        if first in names:
-            return names[first] + (f"\\{rest}" if rest else "")
-        return f"{own}\\{name}" if own else name
-
-    for r in generic(text, language):
-        if r[0] == "reference" and r[2] in ("extends", "implements", "instantiation") and not r[1].startswith("$"):
-            r = (r[0], full(r[1]), *r[2:])
-        elif r[0] == "reference" and r[2] == "import":
-            r = (r[0], r[1].lstrip("\\"), *r[2:])
-        yield r
-    for kind, pattern in PHP_REFERENCES.items():
-        for m in re.finditer(pattern, text):
-            at = next(i for i in range(1, m.re.groups + 1) if m.group(i) is not None)
-            yield "reference", full(m.group(at)), kind, None, None, _line(text, m.start(at)), None, "verified"
+def php(text: str, language: str = "php", path: str = "") -> Iterator[tuple]:
+    """Like generic(), with full names and typed calls (php.py). A reference's scope is the symbol it is in, its signature
+    what more is known: the relation, the binding and its class, the way something is dispatched, the facade."""
+    for row, name, kind, *rest in php_found(text, path):
+        if row == "symbol":
+            scope, line, start, end = rest
+            yield row, name, kind, scope, signature(line, kind, name), start, end, None
+        elif row == "role":
+            yield row, name, kind, None, None, rest[0], None, None
+        else:
+            line, source, detail, sure = rest
+            common = kind == "call" and name.rsplit("::", 1)[-1] in COMMON_METHODS
+            yield row, name, kind, source, detail, line, None, "inferred" if common else sure or "verified"
 
 
 def blocks(text: str, tag: str = "script") -> Iterator[tuple[str, int]]:
@@ -152,15 +129,17 @@ def blocks(text: str, tag: str = "script") -> Iterator[tuple[str, int]]:
         yield m.group(1), text.count("\n", 0, m.start(1))
 
 
-def parsed(text: str, language: str) -> Iterator[tuple]:
+def parsed(text: str, language: str, path: str = "") -> Iterator[tuple]:
     """Rows of one text; what cannot be read gives one row of kind error."""
     try:
         if language in ("vue", "svelte"):
             for body, before in blocks(text):
                 for r in generic(body, language):
                     yield (*r[:5], r[5] + before, r[6] + before if r[6] else None, r[7])
+        elif language == "php":
+            yield from php(text, language, path)
         else:
-            yield from {"python": python, "php": php}.get(language, generic)(text, language)
+            yield from {"python": python}.get(language, generic)(text, language)
     except (SyntaxError, ValueError, RecursionError) as e:
         yield "error", str(e)[:200], type(e).__name__, None, None, getattr(e, "lineno", None), None, None
 
@@ -176,7 +155,7 @@ def extract(files: DataFrame, frameworks: Iterable[str] = ()) -> DataFrame:
 
         names = [c.split()[0] for c in ROWS.split(", ")]
         for frame in frames:
-            rows = [(path, repo, *r) for path, repo, language, text in frame.itertuples(index=False) for r in read(text or "", language) if r[1] not in ignored]
+            rows = [(path, repo, *r) for path, repo, language, text in frame.itertuples(index=False) for r in read(text or "", language, path) if r[1] not in ignored]
             out = pd.DataFrame(rows, columns=names)
             for c in ("start_line", "end_line"):
                 out[c] = out[c].astype("Int32")
@@ -193,6 +172,11 @@ def references_of(rows: DataFrame) -> DataFrame:
     return rows.where("row = 'reference'").select(F.col("path").alias("source_file"), "repo", F.col("name").alias("symbol"), F.col("kind").alias("edge_type"), F.col("start_line").alias("line"), "verifiability")
 
 
+def roles_of(rows: DataFrame) -> DataFrame:
+    """path, name, role of the classes that a framework gives a part."""
+    return rows.where("row = 'role'").select("path", "name", F.col("kind").alias("role"))
+
+
 def namespaces_of(rows: DataFrame) -> DataFrame:
     """path, namespace: the first that a file declares."""
     return rows.where("row = 'symbol' AND kind = 'namespace'").groupBy("path").agg(F.min_by("name", "start_line").alias("namespace"))

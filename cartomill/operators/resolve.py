@@ -26,7 +26,8 @@ def pieces(text: Column | str, sizes: tuple[int, ...]) -> Column:
 def resolve_symbol(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """refs (source_file, symbol) with `target`: the file that defines it, in a compatible language.
 
-    First an exact name, by an equi-join; for qualified names their last part; only what is left looks for names that
+    First an exact name, by an equi-join; for qualified names their last part; for a method named with its class, the class's
+    (how: member); only what is left looks for names that
     contain the symbol, over distinct pairs. All symbols are known before any is resolved.
     """
     lang = files.select(F.col("path").alias("__p"), group_of("language").alias("__g"))
@@ -46,6 +47,14 @@ def resolve_symbol(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     rest = want.join(exact, ["source_file", "symbol"], "left_anti")
     by_short = best(rest.where(F.col("symbol").contains("\\")), "__short")
     rest = rest.join(by_short, ["source_file", "symbol"], "left_anti")
+    # a method named with its class: where that class has it, else where the class is
+    members = symbols.where("scope IS NOT NULL").select(F.concat("scope", F.lit("::"), "name").alias("name"), F.col("file_path").alias("__f"), "kind", "start_line").join(lang, F.col("__f") == F.col("__p"))
+    member = members.groupBy("name", F.col("__g")).agg(F.min(order).alias("o"))
+    asked = rest.where(F.col("__short").contains("::"))
+    typed = asked.join(member, (F.col("__short") == F.col("name")) & (F.col("__sg") == F.col("__g"))).groupBy("source_file", "symbol").agg(F.min("o").alias("o")).select("source_file", "symbol", F.col("o.__f").alias("target"))
+    classes = best(asked.join(typed, ["source_file", "symbol"], "left_anti").withColumn("__class", F.substring_index("__short", "::", -2)).withColumn("__class", F.substring_index("__class", "::", 1)), "__class")
+    typed = typed.unionByName(classes)
+    rest = rest.join(typed, ["source_file", "symbol"], "left_anti")
     # names that contain the text: each different text is compared with the names that share its rarest piece
     texts = rest.select(F.lower("__short").alias("__t")).distinct()
     names = first.select(F.col("name").alias("__n")).distinct()
@@ -57,5 +66,5 @@ def resolve_symbol(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     every = first.groupBy("__g").agg(F.min("o").alias("o"))  # an empty last part is in all names
     empty = rest.where("__short = ''").join(every, F.col("__sg") == F.col("__g")).select("source_file", "symbol", F.col("o.__f").alias("target"))
     loose = loose.unionByName(empty)
-    found = exact.withColumn("how", F.lit("exact")).unionByName(by_short.withColumn("how", F.lit("short"))).unionByName(loose.withColumn("how", F.lit("contains")))
+    found = exact.withColumn("how", F.lit("exact")).unionByName(by_short.withColumn("how", F.lit("short"))).unionByName(typed.withColumn("how", F.lit("member"))).unionByName(loose.withColumn("how", F.lit("contains")))
     return refs.join(found, ["source_file", "symbol"], "left")

@@ -417,3 +417,61 @@ def _rows(language: str) -> None:
 
 for _language in SAMPLES:
     _rows(_language)
+
+# --- PHP: types of variables, and what a framework means
+
+PHP_FLOW = """<?php
+namespace App\\Http;
+use App\\Models\\User;
+use App\\Services\\{Billing, Mail\\Sender as Post};
+use Illuminate\\Support\\Facades\\Cache;
+class %C extends Controller {
+    private ?Billing $billing;
+    /** @var Post */
+    private $post;
+    public function __construct(private readonly Gateway $gateway, int|string $n = 1) { $this->log = new Logger(); }
+    public function show(User $user, ?Order $order): Invoice {
+        $user->orders(); $this->billing->charge($user); $this->gateway->send(); // $user->ghost();
+        $this->post->mail(); $this->log->info('$user->ghost()');
+        $svc = new Svc(1); $copy = $svc; $copy->again(); $svc = compute(); $svc->unknown();
+        self::make(); parent::boot(); Cache::get('k');
+        /** @var Report $report */
+        $report = load(); $report->build();
+        $fn = function (Item $i) use ($order) { $i->x(); $order->y(); $user->none(); };
+        dispatch(new Ship($order)); event(new Shipped()); Letter::dispatchSync($user);
+        $user->notify(new Paid());
+        return $this->hasMany(Item::class);
+    }
+}
+class Provider%C extends ServiceProvider {
+    public function boot() {
+        $this->app->bind(Contract::class, Concrete::class);
+        $this->app->when(A::class)->needs(B::class)->give(C::class);
+    }
+}
+"""
+_H, _M, _S = "App\\Http\\", "App\\Models\\", "App\\Services\\"
+PHP_CALLS = [
+    (_M + "User::orders", 12), (_S + "Billing::charge", 12), (_H + "Gateway::send", 12), (_S + "Mail\\Sender::mail", 13), (_H + "Logger::info", 13), (_H + "Svc::again", 14), ("compute", 14), ("unknown", 14),
+    (_H + "%C::make", 15), (_H + "Controller::boot", 15), ("Illuminate\\Cache\\CacheManager::get", 15), ("load", 17), (_H + "Report::build", 17), (_H + "Item::x", 18), (_H + "Order::y", 18), ("none", 18), ("dispatch", 19), ("event", 19), (_M + "User::notify", 20),
+    ("bind", 25), ("when", 26), ("needs", 26), ("give", 26),
+]
+PHP_MEANT = [
+    (_H + "Ship", "dispatch", "show", "dispatch: job"), (_H + "Shipped", "dispatch", "show", "event: event"), (_H + "Letter", "dispatch", "show", "dispatchSync: job"), (_H + "Paid", "notify", "show", "notify"), (_H + "Item", "relation", "%C", "hasMany: one-to-many"),
+    (_H + "Contract", "binding", "boot", f"bind: {_H}Concrete: boot"), (_H + "B", "binding", "boot", f"when {_H}A: {_H}C: boot"),
+]
+PHP_HINTS = [(_S + "Billing", "param_type", "%C"), (_H + "Gateway", "param_type", "__construct"), (_M + "User", "param_type", "show"), (_H + "Order", "param_type", "show"), (_H + "Invoice", "return_type", "show"), (_H + "Item", "param_type", "show")]
+
+
+def _php(s: SparkSession, d: str) -> DataFrame:
+    return X.extract(_files(s, d, "app/Http/%k.php", PHP_FLOW, "php"))
+
+
+def _rows_sql(columns: str, rows: list[tuple]) -> str:
+    return f"{PARTS} " + " UNION ALL ".join("SELECT " + ", ".join(f"{in_sql(v) if isinstance(v, str) else v} AS {c}" for c, v in zip(columns.split(), row)) + " FROM names" for row in rows)
+
+
+query("php_calls", _rows_sql("name line", PHP_CALLS), lambda s, d: X.references_of(_php(s, d)).where("edge_type = 'call'").select(F.col("symbol").alias("name"), "line"))
+query("php_framework_edges", _rows_sql("name kind source detail", PHP_MEANT), lambda s, d: _php(s, d).where("row = 'reference' AND kind IN ('dispatch', 'notify', 'relation', 'binding')").select("name", "kind", F.col("scope").alias("source"), F.col("signature").alias("detail")))
+query("php_type_hints", _rows_sql("name kind source", PHP_HINTS), lambda s, d: _php(s, d).where("row = 'reference' AND kind IN ('param_type', 'return_type')").select("name", "kind", F.col("scope").alias("source")))
+query("php_roles", _rows_sql("path name role", [("app/Http/%k.php", "%C", "model"), ("app/Http/%k.php", "Provider%C", "service_provider")]), lambda s, d: X.roles_of(_php(s, d)))

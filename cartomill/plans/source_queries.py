@@ -132,7 +132,7 @@ query("extract_vue", rows_sql("name line", [("./%k", 5), ("load%C", 8)]), lambda
 query("ignored_symbols", rows_sql("name", [("ref",)]), lambda s, d: (lambda f: X.references_of(X.extract(f)).select(F.col("symbol").alias("name")).exceptAll(X.references_of(X.extract(f, ["vue-router"])).select("symbol")))(texts(s, d, "%k.vue", VUE, "vue")))
 query(
     "extract_php",
-    rows_sql("name kind line", [("Vendor\\Model", "import", 3), ("Vendor\\Mail\\Sent", "import", 4), ("Vendor\\Model", "extends", 5), ("Vendor\\Mail\\Sent", "param_type", 6), ("App\\%C\\Owner", "return_type", 6), ("Vendor\\Mail\\Sent", "instantiation", 7), ("Vendor\\Mail\\Sent", "notify", 7), ("App\\%C\\Item", "relation", 8)]),
+    rows_sql("name kind line", [("Vendor\\Model", "import", 3), ("Vendor\\Mail\\Sent", "import", 4), ("Vendor\\Model", "extends", 5), ("Vendor\\Mail\\Sent", "param_type", 6), ("App\\%C\\Owner", "return_type", 6), ("Vendor\\Mail\\Sent", "notify", 7), ("App\\%C\\Item", "relation", 8)]),
     lambda s, d: X.references_of(X.extract(texts(s, d, "%k.php", PHP, "php"))).where("edge_type <> 'call'").select(F.col("symbol").alias("name"), F.col("edge_type").alias("kind"), "line"),
 )
 query("php_namespaces", rows_sql("path namespace", [("%k.php", "App\\%C")]), lambda s, d: X.namespaces_of(X.extract(texts(s, d, "%k.php", PHP, "php"))))
