@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
+from ..functions import laravel
+from ..functions.lineage import cut
 from ..registry import query
 from ..sources.graph_tables import table
 from .source_queries import filled, in_sql
@@ -454,7 +456,7 @@ _H, _M, _S = "App\\Http\\", "App\\Models\\", "App\\Services\\"
 PHP_CALLS = [
     (_M + "User::orders", 12), (_S + "Billing::charge", 12), (_H + "Gateway::send", 12), (_S + "Mail\\Sender::mail", 13), (_H + "Logger::info", 13), (_H + "Svc::again", 14), ("compute", 14), ("unknown", 14),
     (_H + "%C::make", 15), (_H + "Controller::boot", 15), ("Illuminate\\Cache\\CacheManager::get", 15), ("load", 17), (_H + "Report::build", 17), (_H + "Item::x", 18), (_H + "Order::y", 18), ("none", 18), ("dispatch", 19), ("event", 19), (_M + "User::notify", 20),
-    ("bind", 25), ("when", 26), ("needs", 26), ("give", 26),
+    ("bind", 26), ("when", 27), ("needs", 27), ("give", 27),
 ]
 PHP_MEANT = [
     (_H + "Ship", "dispatch", "show", "dispatch: job"), (_H + "Shipped", "dispatch", "show", "event: event"), (_H + "Letter", "dispatch", "show", "dispatchSync: job"), (_H + "Paid", "notify", "show", "notify"), (_H + "Item", "relation", "%C", "hasMany: one-to-many"),
@@ -475,3 +477,43 @@ query("php_calls", _rows_sql("name line", PHP_CALLS), lambda s, d: X.references_
 query("php_framework_edges", _rows_sql("name kind source detail", PHP_MEANT), lambda s, d: _php(s, d).where("row = 'reference' AND kind IN ('dispatch', 'notify', 'relation', 'binding')").select("name", "kind", F.col("scope").alias("source"), F.col("signature").alias("detail")))
 query("php_type_hints", _rows_sql("name kind source", PHP_HINTS), lambda s, d: _php(s, d).where("row = 'reference' AND kind IN ('param_type', 'return_type')").select("name", "kind", F.col("scope").alias("source")))
 query("php_roles", _rows_sql("path name role", [("app/Http/%k.php", "%C", "model"), ("app/Http/%k.php", "Provider%C", "service_provider")]), lambda s, d: X.roles_of(_php(s, d)))
+
+# --- Laravel: facts of single files, joined. Each part is a project of its own
+
+LARAVEL = {
+    "app/Http/Kernel.php": "<?php\nnamespace App\\Http;\nuse App\\Http\\Middleware\\{Auth%C, Log%C};\nclass Kernel extends HttpKernel {\n    // protected $middlewareAliases = ['ghost' => Ghost::class];\n    protected $middlewareAliases = ['auth' => Auth%C::class, 'log' => Log%C::class];\n    protected $middlewareGroups = [\n        'web' => [Middleware\\Csrf%C::class, 'log'],\n        'full' => ['web', 'auth:api'],\n    ];\n}\n",
+    "app/Http/Middleware/Auth%C.php": "<?php\nnamespace App\\Http\\Middleware;\nclass Auth%C { public function handle($r, $next) {} }\n",
+    "app/Http/Middleware/Log%C.php": "<?php\nnamespace App\\Http\\Middleware;\nclass Log%C {}\n",
+    "app/Http/Middleware/Csrf%C.php": "<?php\nnamespace App\\Http\\Middleware;\nclass Csrf%C {}\n",
+    "app/Providers/RouteServiceProvider.php": "<?php\nnamespace App\\Providers;\nclass RouteServiceProvider extends ServiceProvider {\n    public function boot() {\n        Route::prefix('api/%k')->middleware('web')->group(base_path('routes/api.php'));\n    }\n}\n",
+    "routes/web.php": "<?php\nRoute::middleware(['full'])->group(function () {\n    Route::get('/x', [XController::class, 'x'])->middleware('log');\n});\n",
+    "routes/api.php": "<?php\nRoute::get('/y', [YController::class, 'y']);\n",
+    "app/Providers/AppServiceProvider.php": "<?php\nnamespace App\\Providers;\nuse App\\Pay\\{Gateway, Stripe%C};\nclass AppServiceProvider extends ServiceProvider {\n    public function register() {\n        $this->app->bind(Gateway::class, Stripe%C::class);\n    }\n}\n",
+    "app/Pay/Gateway.php": "<?php\nnamespace App\\Pay;\ninterface Gateway {}\n",
+    "app/Pay/Stripe%C.php": "<?php\nnamespace App\\Pay;\nclass Stripe%C implements Gateway {}\n",
+    "app/Providers/EventServiceProvider.php": "<?php\nnamespace App\\Providers;\nuse App\\Events\\Paid%C;\nuse App\\Listeners\\Mail%C;\nclass EventServiceProvider extends ServiceProvider {\n    protected $listen = [Paid%C::class => [Mail%C::class]];\n}\n",
+    "app/Events/Paid%C.php": "<?php\nnamespace App\\Events;\nclass Paid%C {}\n",
+    "app/Listeners/Mail%C.php": "<?php\nnamespace App\\Listeners;\nclass Mail%C {}\n",
+    "app/Listeners/Found%C.php": "<?php\nnamespace App\\Listeners;\nuse App\\Events\\Paid%C;\nclass Found%C { public function handle(Paid%C $e) {} }\n",
+    "app/Jobs/Ship%C.php": "<?php\nnamespace App\\Jobs;\nclass Ship%C implements ShouldQueue {}\n",
+    "app/Http/PayController.php": "<?php\nnamespace App\\Http;\nuse App\\Events\\Paid%C;\nuse App\\Jobs\\Ship%C;\nclass PayController extends Controller {\n    public function __construct() { $this->middleware('auth'); }\n    public function pay() {\n        event(new Paid%C());\n        Ship%C::dispatch();\n    }\n}\n",
+}
+_MW, _PAY = "app/Http/Middleware/", "app/Http/PayController.php"
+LARAVEL_EDGES = [
+    ("routes/web.php", _MW + "Csrf%C.php", "Csrf%C", "middleware", "full"), ("routes/web.php", _MW + "Log%C.php", "Log%C", "middleware", "full"), ("routes/web.php", _MW + "Auth%C.php", "Auth%C", "middleware", "full"), ("routes/web.php", _MW + "Log%C.php", "Log%C", "middleware", "log"),
+    ("routes/api.php", _MW + "Csrf%C.php", "Csrf%C", "middleware", "web"), ("routes/api.php", _MW + "Log%C.php", "Log%C", "middleware", "web"), (_PAY, _MW + "Auth%C.php", "Auth%C", "middleware", "auth"),
+    ("app/Providers/AppServiceProvider.php", "app/Pay/Stripe%C.php", "Stripe%C", "binding", "bind"), ("app/Pay/Gateway.php", "app/Pay/Stripe%C.php", "Stripe%C", "binding", "bind"),
+    (_PAY, "app/Events/Paid%C.php", "Paid%C", "dispatch", "event"), (_PAY, "app/Jobs/Ship%C.php", "Ship%C", "dispatch", "job"), (_PAY, "app/Listeners/Mail%C.php", "Mail%C", "hook", "Paid%C"), (_PAY, "app/Listeners/Found%C.php", "Found%C", "hook", "Paid%C"),
+]
+
+
+def _laravel(s: SparkSession, d: str) -> DataFrame:
+    k = F.replace("p_name", F.lit(" "), F.lit(""))
+    names = table(s, d, "part").select(F.concat(k, F.col("p_partkey").cast("string")).alias("k"), F.concat(F.upper(F.substring(k, 1, 1)), F.expr("substr(replace(p_name, ' ', ''), 2)"), F.col("p_partkey").cast("string")).alias("c"))
+    files = F.explode(F.array(*(F.struct(filled(path).alias("path"), filled(text).alias("text")) for path, text in LARAVEL.items())))
+    return cut(laravel.facts(names.select(F.col("k").alias("repo"), files.alias("f")).select("repo", "f.path", "f.text")))
+
+
+query("laravel_edges", _rows_sql("repo source_file target_file target_symbol edge_type detail", [("%k", *row) for row in LARAVEL_EDGES]), lambda s, d: laravel.edges(_laravel(s, d)).select("repo", "source_file", "target_file", "target_symbol", "edge_type", "detail"))
+query("laravel_route_files", _rows_sql("repo route_file prefix middleware", [("%k", "routes/api.php", "/api/%k", "web")]), lambda s, d: laravel.route_prefixes(_laravel(s, d)))
+query("laravel_middleware", _rows_sql("repo name class", [("%k", name, "App\\Http\\Middleware\\" + c) for name, c in (("auth", "Auth%C"), ("log", "Log%C"), ("web", "Csrf%C"), ("web", "Log%C"), ("full", "Csrf%C"), ("full", "Log%C"), ("full", "Auth%C"))]), lambda s, d: laravel.middleware_classes(_laravel(s, d)))

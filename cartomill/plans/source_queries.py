@@ -165,13 +165,20 @@ def _tree(s: SparkSession, d: str, files: list[tuple[str, str]]) -> str:
     return folder.path
 
 
+WALKED = {
+    "src/%k.ts": "// %k\nrun();\n", "src/_%k.ts": "// %k\nrun();\n", "pkg_%k/__init__.py": "", "_private/%k.go": "package p\n", "sub/deep/er/%k.min.js": "x",
+    "node_modules/%k.ts": "x", ".hidden/%k.ts": "x", "doc/%k.txt": "x", "nested_%k/.git/HEAD": "ref", "nested_%k/a.ts": "x", "src/.%k.ts": "x", "skip/%k.py": "x", "lib/vendor/%k.php": "x", "src/%k": "x",
+}
+
+
 def _walked(s: SparkSession, d: str) -> DataFrame:
-    rows = names(s, d).collect()  # a file each: 25
-    files = [(f"src/{r.k}.ts", f"// {r.k}\nrun();\n") for r in rows] + [(f"node_modules/{r.k}.ts", "x") for r in rows] + [(f".hidden/{r.k}.ts", "x") for r in rows] + [(f"doc/{r.k}.txt", "x") for r in rows]
-    return S.walk_files(s, _tree(s, d, files), "r").select("path", "language", "size_bytes", "lines", "content_hash")
+    fill = lambda r, t: t.replace("%k", r.k)
+    files = [(fill(r, path), fill(r, text)) for r in names(s, d).collect() for path, text in WALKED.items()]  # 25 of each
+    return S.walk_files(s, _tree(s, d, files), "r", S.Config(exclude=[*S.IGNORED, "skip"])).select("path", "language", "size_bytes", "lines", "content_hash")
 
 
-query("walk_files", NAMES + " SELECT 'src/' || k || '.ts' AS path, 'typescript' AS language, strlen(k) + 11 AS size_bytes, 3 AS lines, md5('// ' || k || chr(10) || 'run();' || chr(10)) AS content_hash FROM names", _walked)
+_KEPT = [("src/%k.ts", "typescript", 3), ("src/_%k.ts", "typescript", 3), ("pkg_%k/__init__.py", "python", 1), ("_private/%k.go", "go", 2), ("sub/deep/er/%k.min.js", "javascript", 1)]
+query("walk_files", NAMES + " " + " UNION ALL ".join(f"SELECT {in_sql(path)} AS path, '{language}' AS language, strlen({in_sql(WALKED[path])}) AS size_bytes, {lines} AS lines, md5({in_sql(WALKED[path])}) AS content_hash FROM names" for path, language, lines in _KEPT), _walked)
 
 
 def _git(root: str, *args: str) -> None:

@@ -6,13 +6,17 @@ import configparser
 import json
 import os
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.languages import language_of
-from ..operators.predicates import included
+from ..functions.lineage import Rounds
+from ..operators.predicates import dir_excluded, included
 
 # Folders that are never read; the last is our own.
 IGNORED = "node_modules vendor .git dist __pycache__ .next .nuxt coverage .cache .turbo target build .gradle .idea .vscode .vs".split() + [".cartomill"]
@@ -46,20 +50,72 @@ class Config:
             json.dump({"version": self.version, "repos": [vars(r) for r in self.repos], "languages": {k: {"extensions": v} for k, v in self.languages.items()}, "settings": {"include": self.include, "exclude": self.exclude}}, f, indent=2)
 
 
+def listed(spark: SparkSession, root: str, config: Config) -> DataFrame:
+    """path, size_bytes, modified of all files of a tree, without hidden and ignored names, excluded folders, and nested
+    repositories that the configuration does not name.
+
+    Tasks list folders, one level of the tree a round, and see all names; a folder that is left out is not listed.
+    """
+    own = {os.path.normpath(r.path) for r in config.repos}
+    skipped = frozenset(IGNORED)
+    parallel = spark.sparkContext.defaultParallelism
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pyarrow.fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                place = f"{base.rstrip('/')}/{folder}".rstrip("/") or "/"
+                try:
+                    entries = store.get_file_info(pyarrow.fs.FileSelector(place))
+                except OSError:
+                    continue  # unreadable, or gone meanwhile
+                if folder and folder not in own and any(e.base_name == ".git" for e in entries):
+                    continue
+                rows = []
+                for e in sorted(entries, key=lambda e: e.base_name):
+                    if e.base_name.startswith(".") or e.base_name in skipped or isinstance(store, pyarrow.fs.LocalFileSystem) and os.path.islink(e.path):
+                        continue
+                    rows.append((f"{folder}/{e.base_name}".lstrip("/"), e.type == pyarrow.fs.FileType.Directory, e.size or 0, e.mtime))
+                columns = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC")))], names=["path", "folder", "size_bytes", "modified"])
+
+    found = Rounds(spark, "path string, folder boolean, size_bytes long, modified timestamp")
+    found.add(spark.createDataFrame([("", True, 0, None)], found.schema))
+    while not (folders := found.last().where(F.col("folder") & ((F.col("path") == "") | ~dir_excluded("path", config.exclude))).select("path")).isEmpty():
+        found.add(folders.repartition(parallel).mapInArrow(f, found.schema))
+    return found.all().where("NOT folder").select("path", "size_bytes", "modified")
+
+
+def texts_of(files: DataFrame, root: str) -> DataFrame:
+    """files (path, size_bytes) with content, read in tasks of about 64 MB; files that cannot be read are left out."""
+    spark = files.sparkSession
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pyarrow.fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for i, path in enumerate(batch["path"].to_pylist()):
+                try:
+                    with store.open_input_file(f"{base.rstrip('/')}/{path}") as g:
+                        content = g.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary())], names=[*batch.schema.names, "content"])
+
+    total = files.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+    spread = files.repartition(max(spark.sparkContext.defaultParallelism, total >> 26))
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in files.schema)
+    return spread.mapInArrow(f, f"{fields}, content binary")
+
+
 def walk_files(spark: SparkSession, root: str, repo: str, config: Config | None = None) -> DataFrame:
     """path, repo, language, size_bytes, lines, content_hash, text of a tree's source files.
 
-    Hidden files, ignored folders and files of unknown language are left out. Spark lists and reads; each text stays on
-    the executor that reads it.
+    What listed() leaves out, paths that the configuration excludes, and files of unknown language are never opened.
     """
     config = config or Config()
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file://") + "/"
-    path = F.substring_index("path", base, -1)
-    text = F.decode("content", "UTF-8")
-    rows = found.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.md5("content").alias("content_hash"), text.alias("text"))
-    rows = rows.where(~F.col("path").rlike(r"(^|/)\.[^/]")).where(included("path", config.include, config.exclude))
-    return rows.withColumn("language", language_of("path", config.languages)).where("language IS NOT NULL").select("path", F.lit(repo).alias("repo"), "language", "size_bytes", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), "content_hash", "modified", "text")
+    kept = listed(spark, root, config).where(included("path", config.include, config.exclude)).withColumn("language", language_of("path", config.languages)).where("language IS NOT NULL")
+    rows = texts_of(kept, root).withColumn("text", F.decode("content", "UTF-8"))
+    return rows.select("path", F.lit(repo).alias("repo"), "language", "size_bytes", F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), F.md5("content").alias("content_hash"), "modified", "text")
 
 
 MANIFESTS = "package.json composer.json Gemfile requirements.txt pyproject.toml Pipfile setup.py".split()
@@ -69,13 +125,9 @@ def project_files(spark: SparkSession, root: str, repo: str, config: Config | No
     """repo, path, text of all files of a tree, whatever their language; the text only of manifests, and null for others,
     which are listed and not read."""
     config = config or Config()
-    base = root.rstrip("/").removeprefix("file://") + "/"
-    path = F.substring_index("path", base, -1).alias("path")
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    every = read.load(root).select(path)
-    texts = read.option("pathGlobFilter", "{" + ",".join(MANIFESTS) + "}").load(root).select(path, F.decode("content", "UTF-8").alias("text"))
-    own = every.where(included("path", config.include, config.exclude)).join(texts, "path", "left")
-    return own.select(F.lit(repo).alias("repo"), "path", "text")
+    every = listed(spark, root, config).where(included("path", config.include, config.exclude))
+    texts = texts_of(every.where(F.element_at(F.split("path", "/"), -1).isin(MANIFESTS)), root).select("path", F.decode("content", "UTF-8").alias("text"))
+    return every.select("path").join(texts, "path", "left").select(F.lit(repo).alias("repo"), "path", "text")
 
 
 def stale_files(files: DataFrame, on_disk: DataFrame) -> DataFrame:
