@@ -1,7 +1,7 @@
 """Collocations: the phrases of two to four words that hold together most, for each language, by hierarchical naming.
 
 A text is lower-cased (A-Z), cut into pieces at `[.,;:!?\\x0A-\\x0D]` and those into words `[^\\x20\\x09]+`. Each task packs
-what it reads into bundles, one row for about BUNDLE_WORDS words of one language: the bundle's different words, and the
+what it reads into bundles, one row for about BUNDLE_WORDS words: the bundle's different words of each language, and the
 sequence of their places in that list (-1 between pieces). Then, level by level, what is frequent gets a name:
 
 1. a word that occurs MIN_COUNT times or more in its language gets an id;
@@ -13,9 +13,10 @@ A phrase is frequent only if its parts are, so nothing is lost. A name's row poi
 without the last and without the first word; joins along these pointers give the counts of both sides of each cut, and
 carry the count of a longer phrase down to all that it contains.
 
-What is shuffled: for each level, one row for each different pair of a bundle (a bundle combines before), and the
-sequences, which meet the frequent pairs of their own bundle. A word or pair has at most one row in a bundle, so no key
-is hot. Nothing is broadcast, and a task holds one bundle. Counts are whole numbers, products are decimals of 38 digits.
+What is shuffled: for each level, the different pairs of each bundle (which combines before), as one row for each left half
+with its right halves and counts packed, and the frequent ones of these, back to their bundle, which stays in its bucket.
+A word or pair is at most once in a bundle, and a frequent left half is parted by its right halves, so no key is hot.
+Nothing is broadcast, and a task holds one bundle, or the pairs of one part of a left half. Counts are whole numbers, products are decimals of 38 digits.
 
 Edge cases: a null or blank text has no words; a null lang is `und`, like the text `und`; a piece of any length counts
 whole (long sequences are cut with three words of overlap); repeated rows count as often as they are there; phrases of
@@ -24,7 +25,9 @@ equal score and count are ranked by their bytes; no documents give no rows; othe
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, forgotten, map_arrow, text_bytes, written
+from .common import bucketed, documents, forgotten, map_arrow, shuffles_collected, text_bytes, written
 
 MIN_COUNT = 30
 LONGEST = 4
@@ -41,14 +44,14 @@ LONGEST = 4
 SUBSUMED = 80
 SCALE = 2_000_000
 TOP = 2_000
-BUNDLE_WORDS = 1 << 20
+BUNDLE_WORDS = 3 << 19
+#: A left half of so many pairs, as a power of two, is parted once more.
+PART_BITS = 20
 #: Places of one bundle; a name is a bundle's number and a place in it.
 PLACE_BITS = 24
 
 # a separator becomes a full stop, which can be no word; the rest of what bytes.split() splits at is space and tab
 _SEPARATORS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
-#: A row of a bundle is large, so that writers must look at their buffers after each.
-_LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -56,106 +59,242 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().translate(_SEPARATORS).replace(b".", b" . ").split(), b"."]
 
 
-def bundle(words: list[bytes], own: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The different words, how many of the first `own` tokens each is, and each token's place in the list."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    seq = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    names = coded.dictionary.to_pylist()
-    if b"." in names:
-        # the mark leaves the list: the last word takes its place
-        at, last = names.index(b"."), len(names) - 1
-        names[at] = names[last]
-        names.pop()
-        mark = seq == at
-        seq[seq == last] = at
-        seq[mark] = -1
-    first = seq[:own]
-    return names, np.bincount(first[first >= 0], minlength=len(names)), seq
+class Places(dict):
+    """The places of one language's words in a bundle; a new word gets the next. The mark between pieces has none."""
+
+    def __init__(self, next_place: Iterator[int]):
+        super().__init__({b".": -1})
+        self.next_place = next_place
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = next(self.next_place)
+        return place
 
 
 def bundled(docs: DataFrame, size: int) -> DataFrame:
-    """bundle, lang, own (phrases that start at a later place are another bundle's), seq (int32), n_words, words, counts."""
+    """bundle, own (phrases that start at a later place are another bundle's), seq (stored()), words, langs, counts."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 17
-        held: dict[str, list[bytes]] = {}
-        total = 0
+        number = TaskContext.get().partitionId() << 12
+        held: dict[str, Places] = {}
+        next_place, seq = count(), array("i")
 
-        def row(lang: str, words: list[bytes], own: int) -> pa.RecordBatch:
+        def row(seq: np.ndarray, own: int, words: pa.Array, langs: pa.Array) -> pa.RecordBatch:
             nonlocal number
-            names, counts, seq = bundle(words, own)
             number += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([lang]), pa.array([own]), pa.array([seq.tobytes()], pa.binary()), pa.array([int(counts.sum())]),
-                 pa.array([[w.decode() for w in names]], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64()))],
-                names=["bundle", "lang", "own", "seq", "n_words", "words", "counts"],
-            )
+            first = seq[:own]
+            counts = np.bincount(first[first >= 0], minlength=len(words))
+            arrays = [stored(seq.astype(np.int64)), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, langs, pa.array(counts, pa.int64())))]
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([own]), *arrays], names=["bundle", "own", "seq", "words", "langs", "counts"])
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            nonlocal total
-            for lang, words in held.items():
-                for a in range(0, len(words), size):
-                    own = min(size, len(words) - a)
-                    yield row(lang, words[a : a + own + LONGEST - 1], own)
+            nonlocal next_place, seq
+            tongues = list(held)
+            words, langs = [b""] * sum(len(d) - 1 for d in held.values()), np.zeros(sum(len(d) - 1 for d in held.values()), dtype=np.int32)
+            for i, places in enumerate(held.values()):
+                for word, place in places.items():
+                    if place >= 0:
+                        words[place], langs[place] = word, i
+            words, langs = pa.array(words, pa.binary()).cast(pa.string()), pa.array(tongues, pa.string()).take(pa.array(langs))
+            whole = np.frombuffer(seq, dtype=np.int32)
+            if len(whole) <= 2 * size:
+                yield row(whole, len(whole), words, langs)
+            else:  # a very long text
+                for a in range(0, len(whole), size):
+                    used, part = np.unique(whole[a : a + size + LONGEST - 1], return_inverse=True)
+                    marks = int(used[0] < 0)
+                    yield row((part - marks).astype(np.int32), min(size, len(whole) - a), *(x.take(pa.array(used[marks:])) for x in (words, langs)))
             held.clear()
-            total = 0
+            next_place, seq = count(), array("i")
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), text_bytes(batch["text"])):
-                found = tokens(text)
-                held.setdefault("und" if lang is None else lang, []).extend(found)
-                total += len(found)
-                if total >= size:
+                lang = "und" if lang is None else lang
+                if lang not in held:
+                    held[lang] = Places(next_place)
+                seq.extend(map(held[lang].__getitem__, tokens(text)))
+                if len(seq) >= size:
                     yield from flushed()
-        yield from flushed()
+        if seq:
+            yield from flushed()
+
+    return map_arrow(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), f, "bundle long, own long, seq binary, words array<string>, langs array<string>, counts array<long>")
+
+
+def varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers in as few bytes as they need, seven bits each, and how many these are."""
+    x = x.astype(np.uint64)
+    n = np.ones(len(x), dtype=np.int64)
+    for k in range(7, 64, 7):
+        n += x >= np.uint64(1 << k)
+    at, out = np.cumsum(n) - n, np.empty(int(n.sum()), dtype=np.uint8)
+    for k in range(int(n.max(initial=0))):
+        has = np.flatnonzero(n > k)
+        out[at[has] + k] = (x[has] >> np.uint64(7 * k)).astype(np.uint8) & 127 | np.where(n[has] > k + 1, 128, 0).astype(np.uint8)
+    return out, n
+
+
+def numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What varints() has written, and where each number ends."""
+    ends = np.flatnonzero(data < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    length, out = ends - starts + 1, np.zeros(len(ends), dtype=np.uint64)
+    for k in range(int(length.max(initial=0))):
+        has = np.flatnonzero(length > k)
+        out[has] |= (data[starts[has] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    return out.astype(np.int64), ends
+
+
+def packed(x: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """A binary value for each part of x, of those that begin at heads."""
+    data, n = varints(x)
+    ends = np.append(0, np.cumsum(n))
+    offsets = ends[np.append(heads, len(x))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
 
-    return map_arrow(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), f, "bundle long, lang string, own long, seq binary, n_words long, words array<string>, counts array<long>")
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values of packed(), and how many each has."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.empty(0, dtype=np.uint8)
+    found, ends = numbers(data)
+    return found, np.diff(np.searchsorted(ends, offsets - offsets[0]))
+
+
+def stored(seq: np.ndarray) -> pa.Array:
+    """A sequence of places, in which -1 is a mark, as one binary value; frequent words have small places, and so few bytes."""
+    return pa.array([varints(seq + 1)[0].tobytes()], pa.binary())
+
+
+def read_again(value: pa.Scalar) -> np.ndarray:
+    return numbers(np.frombuffer(value.as_buffer(), dtype=np.uint8))[0] - 1
 
 
 def joined_up(pairs: DataFrame) -> DataFrame:
-    """The next level's bundles, of rows bundle, lang, own, seq, places, ids: left, right (the ids of a pair's halves) and
-    counts, one for each different adjacent pair, and seq, the pairs' places in these."""
+    """The next level's bundles, of rows bundle, own, seq, and the frequent entries' places, ids and parts: seq, the places
+    of adjacent pairs, and lists of their different pairs, one element for each left half (id) and part: the place of its
+    first pair, the right halves (ids, ascending, as differences) and the counts. A left half has as many parts as its
+    count says, so what meets of one left half over all bundles stays bounded."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch["own"][i].as_py()
-                seq = np.frombuffer(batch["seq"][i].as_buffer(), dtype=np.int32)
-                places = batch["places"][i].values.to_numpy()
-                ids = batch["ids"][i].values.to_numpy()
+                seq = read_again(batch["seq"][i])
+                places, ids, parts = (batch[c][i].values.to_numpy() for c in ("places", "ids", "parts"))
+                order = np.argsort(ids)
+                places, ids, parts = places[order], ids[order], parts[order]
                 m = len(ids)
                 compact = np.full(max(int(seq.max(initial=0)), int(places.max(initial=0))) + 2, -1, dtype=np.int64)
                 compact[places] = np.arange(m)
                 now = compact[seq]  # -1 finds the last entry, which is -1
                 at = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
                 keys, which = np.unique(now[at] * m + now[at + 1], return_inverse=True)
+                left, right = keys // m, keys % m
+                part = ids[right] % parts[left]
+                if part.any():
+                    order = np.lexsort((right, part, left))
+                    left, right, part = left[order], right[order], part[order]
+                    rank = np.empty(len(order), dtype=np.int64)
+                    rank[order] = np.arange(len(order))
+                    which = rank[which]
                 out = np.full(max(len(seq) - 1, 0), -1, dtype=np.int32)
                 out[at] = which
                 counts = np.bincount(which[at < own], minlength=len(keys))
-                arrays = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (ids[keys // m], ids[keys % m], counts)]
-                yield pa.RecordBatch.from_arrays([batch["bundle"].slice(i, 1), batch["lang"].slice(i, 1), batch["own"].slice(i, 1), pa.array([out.tobytes()], pa.binary()), *arrays], names=["bundle", "lang", "own", "seq", "left", "right", "counts"])
+                heads = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (part[1:] != part[:-1]))[: len(left)])
+                gaps = np.diff(ids[right], prepend=0)
+                gaps[heads] = ids[right[heads]]
+                lists = [pa.array(ids[left[heads]]), pa.array(part[heads].astype(np.int32)), pa.array(heads.astype(np.int32)), packed(gaps, heads), packed(counts, heads)]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(heads)], pa.int32()), x) for x in lists]
+                yield pa.RecordBatch.from_arrays([batch["bundle"].slice(i, 1), batch["own"].slice(i, 1), stored(out), *lists], names=["bundle", "own", "seq", "left", "part", "first", "rights", "counts"])
+
+    return map_arrow(pairs.select("bundle", "own", "seq", "places", "ids", "parts"), f, "bundle long, own long, seq binary, left array<long>, part array<int>, first array<int>, rights array<binary>, counts array<binary>")
 
-    return map_arrow(pairs.select("bundle", "lang", "own", "seq", "places", "ids"), f, "bundle long, lang string, own long, seq binary, left array<long>, right array<long>, counts array<long>")
 
+def parts_of(f: Column) -> Column:
+    return (F.shiftright(f, PART_BITS) + 1).cast("int")
 
-def named(bundles: DataFrame, key: list[str], columns: list[str], least: int) -> DataFrame:
-    """Each bundle's entries that are frequent over all bundles: bundle, lang, place, the columns, f, and id, the name,
-    which is that of the first entry; written."""
-    entries = bundles.select("bundle", "lang", F.posexplode(F.arrays_zip(*columns, "counts")).alias("place", "e")).select("bundle", "lang", "place", *(F.col(f"e.{c}").alias(c.removesuffix("s")) for c in columns), F.col("e.counts").alias("n"))
+
+def named_words(bundles: DataFrame, least: int) -> DataFrame:
+    """Each bundle's words that are frequent over all bundles: own (bundle and place), id (the name, which is the least
+    own), parts, and, where own is the id, the language, word and count f; written."""
     own = F.shiftleft("bundle", PLACE_BITS) + F.col("place")
-    over = W.partitionBy(*key)
-    return written(entries.withColumns({"f": F.sum("n").over(over), "id": F.min(own).over(over)}).where(F.col("f") >= least).drop("n"), "frequent")
+    entries = bundles.select("bundle", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("place", "e")).select(own.alias("own"), F.col("e.langs").alias("lang"), F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+    over = W.partitionBy("lang", "word")
+    found = entries.withColumns({"f": F.sum("n").over(over), "id": F.min("own").over(over)}).where(F.col("f") >= least)
+    return written(found.select("own", "id", parts_of(F.col("f")).alias("parts"), *(F.when(F.col("id") == F.col("own"), F.col(c)).alias(c) for c in ("lang", "word", "f"))), "frequent")
+
+
+def named_pairs(bundles: DataFrame, least: int) -> DataFrame:
+    """Like named_words(), of pairs: bundle, and lists of places, ids, parts, and of left, right and f, which are 0 but where
+    the entry is the one that the name is of; written. A bundle has some rows of each task."""
+    lists = F.inline(F.arrays_zip("left", "part", "first", "rights", "counts"))
+    entries = bundles.select("bundle", lists).select((F.shiftleft("bundle", PLACE_BITS) + F.col("first")).alias("own"), "left", "part", "rights", "counts")
+    together = entries.repartition("left", "part").sortWithinPartitions("left", "part", "own")
+
+    def counted(left: np.ndarray, part: np.ndarray, own: np.ndarray, right: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """own, id, left, right, f of the entries of frequent pairs."""
+        order = np.lexsort((own, right, part, left))
+        left, part, own, right, n = (x[order] for x in (left, part, own, right, n))
+        heads = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+        size = np.diff(np.append(heads, len(left)))
+        f, name = np.repeat(np.add.reduceat(n, heads), size), np.repeat(own[heads], size)
+        keep = f >= least
+        return np.stack([own, name, left, right, f])[:, keep]
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, found, size = np.empty((5, 0), dtype=np.int64), [], 0
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            own, name, left, right, f = np.concatenate(found, axis=1)
+            order = np.argsort(own)
+            own, name, left, right, f = (x[order] for x in (own, name, left, right, f))
+            bundle = own >> PLACE_BITS
+            heads = np.flatnonzero(np.append(True, bundle[1:] != bundle[:-1])[: len(bundle)])
+            first = own == name
+            columns = [(own & ((1 << PLACE_BITS) - 1)).astype(np.int32), name, ((f >> PART_BITS) + 1).astype(np.int32), left * first, right * first, f * first]
+            offsets = pa.array(np.append(heads, len(own)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(bundle[heads]), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns)], names=["bundle", "places", "ids", "parts", "left", "right", "f"])
+
+        for batch in batches:
+            gaps, length = unpacked(batch["rights"])
+            sums, heads = np.cumsum(gaps), np.cumsum(length) - length
+            right = sums - np.repeat(sums[heads] - gaps[heads], length)
+            k = np.arange(len(gaps)) - np.repeat(heads, length)
+            new = np.stack([*(np.repeat(batch[c].to_numpy().astype(np.int64), length) for c in ("left", "part")), np.repeat(batch["own"].to_numpy(), length) + k, right, unpacked(batch["counts"])[0]])
+            rest = np.concatenate([rest, new], axis=1)
+            if rest.shape[1]:
+                whole = np.flatnonzero((rest[0] != rest[0, -1]) | (rest[1] != rest[1, -1]))  # the last group may go on
+                if len(whole):
+                    found.append(counted(*rest[:, whole]))
+                    size, rest = size + found[-1].shape[1], rest[:, len(whole) :]
+            if size > 1 << 20:
+                yield from listed()
+                found, size = [], 0
+        if rest.shape[1]:
+            found.append(counted(*rest))
+        if found:
+            yield from listed()
+
+    return written(map_arrow(together, f, "bundle long, places array<int>, ids array<long>, parts array<int>, left array<long>, right array<long>, f array<long>"), "frequent")
 
 
 def replaced(bundles: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The bundles with the places and names of their frequent entries; those without any are at their end."""
-    entries = frequent.groupBy("bundle").agg(F.collect_list(F.struct("place", "id")).alias("e"))
-    return bundles.select("bundle", "lang", "own", "seq").join(entries, "bundle").select("bundle", "lang", "own", "seq", F.col("e.place").alias("places"), F.col("e.id").alias("ids"))
+    """The bundles with the places, names and parts of their frequent entries; those without any are at their end."""
+    own = F.shiftright("own", PLACE_BITS).alias("bundle")
+    if "own" in frequent.columns:
+        lists = frequent.groupBy(own).agg(F.collect_list(F.struct(F.col("own").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")).cast("int").alias("places"), F.col("id").alias("ids"), "parts")).alias("e"))
+        columns = [F.col(f"e.{c}").alias(c) for c in ("places", "ids", "parts")]
+    else:
+        lists = frequent.groupBy("bundle").agg(F.collect_list(F.struct("places", "ids", "parts")).alias("e"))
+        columns = [F.flatten(F.col(f"e.{c}")).alias(c) for c in ("places", "ids", "parts")]
+    return bundles.select("bundle", "own", "seq").join(lists, "bundle").select("bundle", "own", "seq", *columns)
 
 
-def names(frequent: DataFrame, *columns: str) -> DataFrame:
-    """One row for each name."""
-    return frequent.where(F.col("id") == F.shiftleft("bundle", PLACE_BITS) + F.col("place")).select("id", "lang", *columns, "f")
+def names(frequent: DataFrame) -> DataFrame:
+    """One row for each name of pairs."""
+    own = F.filter(F.arrays_zip("ids", "left", "right", "f"), lambda x: x["f"] > 0)
+    return frequent.select(F.inline(own)).withColumnRenamed("ids", "id")
 
 
 def grown(level: DataFrame, parents: DataFrame) -> DataFrame:
@@ -167,7 +306,7 @@ def grown(level: DataFrame, parents: DataFrame) -> DataFrame:
 
     both = level.join(side("l"), F.col("left") == F.col("l_id")).join(side("r"), F.col("right") == F.col("r_id"))
     return both.select(
-        "id", "lang", "left", "right", "f", F.concat_ws(" ", "l_phrase", "r_last").alias("phrase"), F.col("r_last").alias("last"), F.col("l_first_f").alias("first_f"), F.col("r_last_f").alias("last_f"),
+        "id", F.col("l_lang").alias("lang"), "left", "right", "f", F.concat_ws(" ", "l_phrase", "r_last").alias("phrase"), F.col("r_last").alias("last"), F.col("l_first_f").alias("first_f"), F.col("r_last_f").alias("last_f"),
         F.col("l_f").alias("left_f"), F.col("r_f").alias("right_f"), F.col("l_left_f").alias("outer_l"), F.col("r_right_f").alias("outer_r"),
     )
 
@@ -194,21 +333,21 @@ def standing(level: DataFrame, longer: DataFrame | None) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, size: int = BUNDLE_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each language."""
-    bundles = written(bundled(docs, size), "bundles", **_LARGE_ROWS)
-    total = written(bundles.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
-    frequent = named(bundles, ["lang", "word"], ["words"], least)
-    count, none = F.col("f"), F.lit(None).cast("long")
-    level = names(frequent, "word").select("id", "lang", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), count.alias("first_f"), count.alias("last_f"), none.alias("left_f"), none.alias("right_f"), none.alias("left"), none.alias("right"))
-    levels, now, done = [], bundles, [bundles]
+    bundles = bucketed(bundled(docs, size), "bundles", "bundle")
+    total = written(bundles.select(F.explode(F.arrays_zip("langs", "counts")).alias("e")).groupBy(F.col("e.langs").alias("lang")).agg(F.sum("e.counts").alias("n")), "totals")
+    frequent = named_words(bundles, least)
+    word, times, none = F.col("word"), F.col("f"), F.lit(None).cast("long")
+    level = frequent.where("id = own").select("id", "lang", "f", word.alias("phrase"), word.alias("last"), times.alias("first_f"), times.alias("last_f"), none.alias("left_f"), none.alias("right_f"))
+    level, levels = written(level, "names"), []
+    shuffles_collected(docs.sparkSession)
     for k in range(2, LONGEST + 1):
-        now = written(joined_up(replaced(now, frequent)), "bundles", **_LARGE_ROWS)
-        forgotten(*done)
-        done = [now, frequent] if k == 2 else [now]
-        frequent = named(now, ["left", "right"], ["left", "right"], least)
-        level = written(grown(names(frequent, "left", "right"), level), "names")
+        bundles, used = bucketed(joined_up(replaced(bundles, frequent)), "bundles", "bundle"), [bundles, frequent]
+        forgotten(*used)
+        shuffles_collected(docs.sparkSession)
+        frequent = named_pairs(bundles, least)
+        level = written(grown(names(frequent), level), "names")
         levels.append(level)
-        done.append(frequent)
-    forgotten(*done)
+    forgotten(bundles, frequent)
     cuts = [[("first_f", "last_f")], [("first_f", "right_f"), ("left_f", "last_f")], [("first_f", "right_f"), ("outer_l", "outer_r"), ("left_f", "last_f")]]
     found = [scored(standing(level, longer), c) for level, longer, c in zip(levels, [*levels[1:], None], cuts)]
     both = found[0].unionByName(found[1]).unionByName(found[2])

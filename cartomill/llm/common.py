@@ -53,16 +53,24 @@ def bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", "zstd").option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).bucketBy(n, *by).option("path", path).saveAsTable(table)
     out = spark.table(table)
-    out.written_at = path
+    out.written_at, out.listed_as = path, table
     return out
 
 
 def forgotten(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once all that is derived from them is written too."""
+    """Deletes tables that written() and bucketed() made, once all that is derived from them is written too."""
     for df in tables:
+        if getattr(df, "listed_as", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.listed_as}")
         deleted(df.sparkSession, df.written_at)
 
 
+def shuffles_collected(spark: SparkSession) -> None:
+    """Lets the driver's JVM drop the plans that nothing refers to any more; Spark then removes their shuffle files, which
+    else stay until the driver happens to collect its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Limits Arrow batches by bytes; a smaller limit that the session sets itself stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -99,9 +107,9 @@ def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
-def text_digest(column: str = "text") -> Column:
+def text_digest(column: Column | str = "text") -> Column:
     """128 bits of a text's SHA-256."""
-    return F.unhex(F.substring(F.sha2(F.col(column), 256), 1, 32))
+    return F.unhex(F.substring(F.sha2(column, 256), 1, 32))
 
 
 def digests(data: bytes | np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from cartomill.llm.collocations import collocations
+from cartomill.llm import collocations as module
+from cartomill.llm.collocations import collocations, packed, unpacked
 from tests.llm.cases import crowded, frame
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -56,8 +58,9 @@ def texts(seed, n=80):
     return out + [(None, "en"), ("", None), (" \t ", "en"), ("...", "en"), ("w " * 3000, "en"), ("\x01 \x85   " * 20, "de"), ("A a " * 500, None)]
 
 
-@pytest.mark.parametrize(("seed", "least", "top", "size"), [(1, 3, 1000, 50), (2, 5, 7, 7), (3, 30, 2000, 1 << 20)])
-def test_equals_plain_counting(spark, seed, least, top, size):
+@pytest.mark.parametrize(("seed", "least", "top", "size", "bits"), [(1, 3, 1000, 50, 20), (2, 5, 7, 300, 2), (3, 30, 2000, 1 << 20, 20)])
+def test_equals_plain_counting(spark, monkeypatch, seed, least, top, size, bits):
+    monkeypatch.setattr(module, "PART_BITS", bits)
     rows = texts(seed)
     df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
     got = sorted(tuple(r) for r in collocations(df, least, top, size).select(*COLUMNS).collect())
@@ -65,6 +68,18 @@ def test_equals_plain_counting(spark, seed, least, top, size):
     assert got
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 62, 3_000) >> rng.integers(0, 62, 3_000)
+    heads = np.unique(np.append(0, rng.integers(0, len(x), 40)))
+    column = packed(x, heads)
+    for a, b in ((0, len(heads)), (7, 20)):
+        got, length = unpacked(column.slice(a, b - a))
+        edges = np.append(heads, len(x))
+        assert got.tolist() == x[edges[a] : edges[b]].tolist() and length.tolist() == np.diff(edges[a : b + 1]).tolist()
+    assert [len(c) for c in unpacked(packed(x[:0], heads[:0]))] == [0, 0]
+
+
 def test_columns_and_clashes(spark):
     got = collocations(crowded(spark), 2)
     assert got.columns == COLUMNS
