@@ -8,33 +8,41 @@ from collections import defaultdict
 GENERATOR = (9301, 49297, 233280, 42)
 
 
-def shuffled(items: list[str], seed: int) -> list[str]:
-    """Exchanges from the end, with places drawn by the linear congruential generator."""
+def shuffled(n: int, seed: int) -> list[int]:
+    """0 to n - 1 by exchanges from the end, with places drawn by the linear congruential generator."""
     a, c, m, _ = GENERATOR
-    out = list(items)
-    for left in range(len(out), 1, -1):
+    out = list(range(n))
+    for left in range(n, 1, -1):
         seed = (seed * a + c) % m
         pick = seed * left // m
         out[left - 1], out[pick] = out[pick], out[left - 1]
     return out
 
 
-def propagated(nodes: list[str], links: list[tuple[str, str, int]], rounds: int = 10) -> dict[str, str]:
-    """A label for each node: again and again, the one of greatest weight around it; of equals the least."""
+def places(n: int, round_: int) -> list[int]:
+    """Where each of n sorted nodes comes in a round."""
+    out = [0] * n
+    for place, i in enumerate(shuffled(n, GENERATOR[3] + round_)):
+        out[i] = place
+    return out
+
+
+def propagated(order: dict[str, list[int]], links: list[tuple[str, str, int]]) -> dict[str, str]:
+    """A label for each node: again and again, the one of greatest weight around it; of equals the least. order: the
+    nodes, with their places in each round. Where nothing changes in a round, nothing does later."""
     near: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    label = {n: n for n in nodes}
+    label = {n: n for n in order}
     for u, v, w in links:
         if u in label and v in label:
             near[u][v] += w
             near[v][u] += w
-    for k in range(rounds):
+    for k in range(max(map(len, order.values()), default=0)):
         before = dict(label)
-        for n in shuffled(nodes, GENERATOR[3] + k):
+        for n in sorted(near, key=lambda n: order[n][k]):
             votes: dict[str, int] = defaultdict(int)
-            for v, w in near[n].items() if n in near else ():
+            for v, w in near[n].items():
                 votes[label[v]] += w
-            if votes:
-                label[n] = min(votes, key=lambda x: (-votes[x], x))
+            label[n] = min(votes, key=lambda x: (-votes[x], x))
         if label == before:
             break
     return label

@@ -6,8 +6,10 @@ was seen keeps cycles from growing. Iterations cut lineage in the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import Rounds, bucketed, cut, dropped, numbered
@@ -455,22 +457,72 @@ def community_sync(edges: DataFrame, files: DataFrame, rounds: int = 5) -> DataF
     return labels
 
 
+def connected(links: DataFrame, *key: str) -> DataFrame:
+    """key, node, component: the least node that links (key, a, b) connect each node with. Each round takes the least label
+    around a node, then the label of that label, so rounds grow with the logarithm of a component's width."""
+    both = cut(links.select(*key, "a", "b").union(links.select(*key, "b", "a")).distinct())
+    labels = cut(both.groupBy(*key, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    while True:
+        around = both.join(labels.select(*key, F.col("node").alias("b"), F.col("component").alias("near")), [*key, "b"]).groupBy(*key, F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        least = cut(labels.join(around, [*key, "node"]).select(*key, "node", "component", F.least("component", "near").alias("near")))
+        jump = least.select(*key, F.col("node").alias("near"), F.col("near").alias("further"))
+        new = cut(least.join(jump, [*key, "near"]).select(*key, "node", F.least("near", "further").alias("label"), (F.least("near", "further") != F.col("component")).alias("moved")))
+        done = new.where("moved").isEmpty()
+        dropped(labels, least)
+        labels = new.select(*key, "node", F.col("label").alias("component"))
+        labels.written_at = new.written_at
+        if done:
+            return labels
+
+
+#: Files of components that one task takes together; a larger component is a task of its own.
+PACK_FILES = 20_000
+
+
 def community_exact(edges: DataFrame, files: DataFrame, rounds: int = 10) -> DataFrame:
-    """repo, path, label by sequential label propagation in a fixed shuffled order, one repo to a task.
+    """repo, path, label by sequential label propagation in a fixed shuffled order of each repository's files.
 
-    Sequential by definition; a repo must fit one worker.
+    Labels never leave a connected component, so each component is propagated by itself, in the order that its files have
+    among all of the repository. That order depends on the number of files alone; a task draws it. Small components are packed
+    to tasks together; the largest task is the largest component.
     """
-    ship(edges.sparkSession)
-    e = edges.where("source_file <> target_file").groupBy(F.col("repo").alias("edge_repo"), "source_file", "target_file").agg(F.count("*").alias("w"))
-
-    def one(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    spark = edges.sparkSession
+    ship(spark)
+    own = cut(files.select("repo", "path").distinct().withColumn("i", F.row_number().over(Window.partitionBy("repo").orderBy("path")) - 1))
+    known = lambda c: own.select("repo", F.col("path").alias(c))
+    e = edges.where("source_file <> target_file").groupBy("repo", "source_file", "target_file").agg(F.count("*").alias("w"))
+    e = cut(e.join(known("source_file"), ["repo", "source_file"], "left_semi").join(known("target_file"), ["repo", "target_file"], "left_semi"))
+    parts = connected(e.select("repo", F.col("source_file").alias("a"), F.col("target_file").alias("b")), "repo")
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from cartomill.functions.communities import places
+
+        for frame in frames:
+            for repo, n in frame.itertuples(index=False):
+                orders = [places(n, k) for k in range(rounds)]
+                for a in range(0, n, 50_000):
+                    yield pd.DataFrame({"repo": repo, "i": range(a, min(n, a + 50_000)), "places": list(zip(*(o[a : a + 50_000] for o in orders)))})
+
+    order = own.groupBy("repo").agg(F.count("*").alias("n")).repartition("repo").mapInPandas(drawn, "repo string, i int, places array<int>")
+    sizes = parts.groupBy("repo", "component").agg(F.count("*").alias("size"))
+    small = F.col("size") <= PACK_FILES // 10
+    many = sizes.groupBy("repo").agg(F.ceil(F.sum(F.when(small, F.col("size")).otherwise(0)) / PACK_FILES).alias("packs"))
+    number = F.pmod(F.xxhash64("component"), F.greatest("packs", F.lit(1))).cast("string")
+    packs = sizes.join(many, "repo").select("repo", "component", F.when(small, F.concat(F.lit("p"), number)).otherwise(F.concat(F.lit("c"), "component")).alias("pack"))
+    placed = cut(own.join(order, ["repo", "i"]).join(parts.withColumnRenamed("node", "path"), ["repo", "path"]).join(packs, ["repo", "component"]).select("repo", "path", "places", "pack"))
+    links = e.join(placed.select("repo", F.col("path").alias("source_file"), "pack"), ["repo", "source_file"]).select(F.col("repo").alias("link_repo"), F.col("pack").alias("link_pack"), "source_file", "target_file", "w")
+
+    def one(nodes: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         from cartomill.functions.communities import propagated
 
-        repo = own["repo"].iloc[0] if len(own) else None
-        labels = propagated(sorted(own["path"]), list(links[["source_file", "target_file", "w"]].itertuples(index=False)), rounds)
-        return pd.DataFrame({"repo": repo, "path": list(labels), "label": list(labels.values())})
+        if not len(nodes):
+            return pd.DataFrame({"repo": [], "path": [], "label": []})
+        labels = propagated({p: list(o) for p, o in zip(nodes["path"], nodes["places"])}, list(near[["source_file", "target_file", "w"]].itertuples(index=False)))
+        return pd.DataFrame({"repo": nodes["repo"].iloc[0], "path": list(labels), "label": list(labels.values())})
 
-    return files.select("repo", "path").groupBy("repo").cogroup(e.groupBy("edge_repo")).applyInPandas(one, "repo string, path string, label string")
+    found = placed.groupBy("repo", "pack").cogroup(links.groupBy("link_repo", "link_pack")).applyInPandas(one, "repo string, path string, label string")
+    alone = own.join(placed.select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "path", F.col("path").alias("label"))
+    return found.unionByName(alone)
 
 
 def numbered_communities(labels: DataFrame, existing: DataFrame, least: int = 3) -> DataFrame:

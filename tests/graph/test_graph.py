@@ -3,7 +3,7 @@ from collections import deque
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from cartomill.functions.communities import propagated, shuffled
+from cartomill.functions.communities import places, propagated, shuffled
 from cartomill.operators import graph as G
 
 from .fixtures import SYMBOLS, graph
@@ -89,10 +89,23 @@ def test_distances_against_a_queue(spark, pairs):
 
 def test_communities(spark):
     links = [("a", "b", 2), ("b", "c", 2), ("a", "c", 2), ("x", "y", 1), ("y", "z", 1), ("x", "z", 1), ("c", "x", 1)]
-    label = propagated(list("abcxyz"), links)
+    order = [places(6, k) for k in range(10)]
+    label = propagated({n: [o[i] for o in order] for i, n in enumerate("abcxyz")}, links)
     assert len({label[n] for n in "abc"}) == 1 and label["x"] == label["z"]
-    orders = [shuffled(list("abcdef"), seed) for seed in range(42, 52)]
-    assert len(set(map(tuple, orders))) > 5 and all(sorted(o) == list("abcdef") for o in orders)
+    orders = [shuffled(6, seed) for seed in range(42, 52)]
+    assert len(set(map(tuple, orders))) > 5 and all(sorted(o) == list(range(6)) for o in orders)
+    # a part of a graph gets the labels that it has in the whole, where a part's nodes keep their places
+    far = [("p", "q", 3), ("q", "r", 1), ("m", "p", 2)]
+    names = sorted("abcxyz" + "mpqr" + "uv")
+    order = [places(len(names), k) for k in range(10)]
+    whole = propagated({n: [o[i] for o in order] for i, n in enumerate(names)}, links + far)
+    part = propagated({n: [o[names.index(n)] for o in order] for n in "mpqr"}, far)
+    assert {n: whole[n] for n in "mpqr"} == part and (whole["u"], whole["v"]) == ("u", "v")
+    g = graph(spark, [(u, v) for u, v, w in links + far for _ in range(w)])
+    both = sorted({n for u, v, _ in links + far for n in (u, v)})
+    order = [places(len(both), k) for k in range(10)]
+    want = propagated({n: [o[i] for o in order] for i, n in enumerate(both)}, links + far)
+    assert {r.path: r.label for r in G.community_exact(g.edges, g.files).collect()} == want
     g = graph(spark, [(u, v) for u, v, w in links for _ in range(w)])
     got = {r.path: r.label for r in G.community_exact(g.edges, g.files).collect()}
     assert got == label
