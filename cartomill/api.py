@@ -83,7 +83,7 @@ class CodeGraph(Graph):
             "dot": lambda: exports.export_dot(self),
             "svg": lambda: exports.export_svg(self, files),
             "llm": lambda: exports.export_llm(self, files, budget),
-            "toon": lambda: exports.export_toon(self, graph.ranked_symbols(self, self.ranks), budget),
+            "toon": lambda: exports.export_toon(self, graph.ranked_files(self, self.ranks), graph.ranked_symbols(self, self.ranks), budget=budget),
         }[format]()
 
     def status(self) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import numbered
+from ..functions.lineage import cut, numbered
 from ..sources.graph_tables import EDGE_ORDER, Graph
 from .relational import first_per_key, llm_file_summary
 
@@ -97,14 +99,115 @@ def fitted(lines: DataFrame, budget: int, *order) -> DataFrame:
     return lines.orderBy(*order).limit(4 * max(0, budget)).withColumn("__n", size).where(F.ceil(F.col("__n") / 4) <= budget).drop("__n")
 
 
-def export_toon(g: Graph, ranks: DataFrame, budget: int = 8192, delimiter: str = ",") -> DataFrame:
-    """section, line: files, then edges, then as many symbols, by rank (file_path, name, pagerank), as the budget allows.
-    When not even the edges fit, they are cut, in order."""
-    row = lambda *cols: F.concat(F.lit("  "), F.array_join(F.array(*(toon_quoted(F.col(c).cast("string"), delimiter) for c in cols)), delimiter))
-    files = g.files.select(F.lit(0).alias("section"), F.lit(0.0).alias("key"), row("path", "language", "lines").alias("line"))
-    edges = g.edges.select("source_file", "target_file", "edge_type").distinct().select(F.lit(1), F.lit(0.0), row("source_file", "target_file", "edge_type"))
-    symbols = g.symbols.join(ranks.select("file_path", "name", "pagerank"), ["file_path", "name"], "left").select(F.lit(2), -F.coalesce("pagerank", F.lit(0.0)), row("name", "kind", "file_path", "start_line"))
-    return fitted(files.union(edges).union(symbols), budget, "section", "key", "line").select("section", "line")
+def plain_number(value: Column) -> Column:
+    """At most six digits after the point, without zeros at the end."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def toon_rows(delimiter: str, *columns: Column) -> Column:
+    return F.concat(F.lit("  "), F.array_join(F.array(*columns), delimiter))
+
+
+def toon_parts(g: Graph, file_ranks: DataFrame, symbol_ranks: DataFrame, clusters: DataFrame | None, delimiter: str) -> dict[str, DataFrame]:
+    """files, symbols and clusters as place (from 0), line; edges as need, place, line, where need is how many symbols must
+    be there for both its ends (null: no number is enough)."""
+    quoted = lambda c: toon_quoted(F.coalesce(F.col(c).cast("string"), F.lit("")), delimiter)
+    many = g.symbols.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n"))
+    files = g.files.join(file_ranks.select("path", "pagerank"), "path", "left").join(many, "path", "left").na.fill(0.0, ["pagerank"])
+    files = numbered(files.select("path", "language", F.coalesce("n", F.lit(0)).alias("n"), "pagerank"), "place", F.desc("pagerank"), "path")
+    files = files.select("place", toon_rows(delimiter, quoted("path"), quoted("language"), F.col("n").cast("string"), plain_number(F.col("pagerank"))).alias("line"))
+    symbols = g.symbols.join(symbol_ranks.groupBy("file_path", "name").agg(F.max("pagerank").alias("pagerank")), ["file_path", "name"], "left").na.fill(0.0, ["pagerank"])
+    symbols = numbered(symbols.select("file_path", "name", "kind", "scope", "start_line", "pagerank"), "place", F.desc("pagerank"), "file_path", "name", "start_line", "kind")
+    named = symbols.select(F.col("file_path").alias("file"), F.explode(F.array_compact(F.array("name", F.concat("scope", F.lit("::"), "name")))).alias("symbol"), "place").groupBy("file", "symbol").agg(F.min("place").alias("at"))
+    ends = numbered(g.edges.select(*EDGE_ORDER), "place", *EDGE_ORDER)
+    for side in ("source", "target"):
+        own = named.select(F.col("file").alias(f"{side}_file"), F.col("symbol").alias(f"{side}_symbol"), (F.col("at") + 1).alias(f"{side}_need"))
+        ends = ends.join(own, [f"{side}_file", f"{side}_symbol"], "left")
+        ends = ends.withColumn(f"{side}_need", F.when(F.coalesce(F.col(f"{side}_symbol"), F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.col(f"{side}_need")))
+    edges = ends.select(
+        F.when(F.col("source_need").isNotNull() & F.col("target_need").isNotNull(), F.greatest("source_need", "target_need")).alias("need"), "place",
+        toon_rows(delimiter, *map(quoted, ("source_file", "target_file", "edge_type", "source_symbol", "target_symbol")), plain_number(F.coalesce("weight", F.lit(1.0)))).alias("line"),
+    )
+    parts = {"files": files, "symbols": symbols.select("place", toon_rows(delimiter, *map(quoted, ("name", "kind", "file_path", "scope")), plain_number(F.col("pagerank"))).alias("line")), "edges": edges}
+    if clusters is not None:
+        own = numbered(clusters, "place", "source", "name")
+        parts["clusters"] = own.select("place", toon_rows(delimiter, *map(quoted, ("name", "source", "parent_name")), F.col("depth").cast("string"), F.col("file_count").cast("string")).alias("line"))
+    return {k: cut(d) for k, d in parts.items()}
+
+
+def export_toon(g: Graph, file_ranks: DataFrame, symbol_ranks: DataFrame, clusters: DataFrame | None = None, budget: int = 8192, delimiter: str = ",", repo: str = "all", generated: str = "") -> DataFrame:
+    """section, place, line: a document within a budget of tokens of four bytes: a header, counts and languages, files by
+    rank, as many symbols by rank as fit, the edges whose symbols are there, clusters (name, source, parent_name, depth,
+    file_count), and what was cut. If it does not fit without any symbol, edges are cut; if not without these, all goes.
+
+    The size of a document is a function of the cut: of prefix sums of bytes, and the digits of counts. It is searched by
+    halving, each time with one sum over narrow tables of sizes.
+    """
+    parts = toon_parts(g, file_ranks, symbol_ranks, clusters, delimiter)
+    spark = g.files.sparkSession
+    size = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0))).first())
+    all_ = {k: size(d) for k, d in parts.items()}
+    n_symbols, n_edges = all_["symbols"][0], all_["edges"][0]
+    # a language is one of a fixed table
+    languages = [r[0] for r in g.files.where("language <> ''").select("language").distinct().orderBy("language").select(toon_quoted("language", delimiter)).collect()]
+
+    def lines(kept: dict[str, tuple[int, int]], edges: int, cut_symbols: bool, cut_edges: bool) -> dict[str, list[str]]:
+        """All lines of a document but those of the tables."""
+        out = {"head": ["version: 1", f"generated: {generated}", f"repo: {repo}", f"tokenBudget: {budget}", "", "summary:", f"  files: {kept['files'][0]}", f"  symbols: {n_symbols}", f"  edges: {edges}"], "foot": []}
+        if kept["files"][0] and languages:
+            out["head"].append(f"  languages[{len(languages)}]: {delimiter.join(languages)}")
+        out["head"].append("")
+        for name, columns in TOON_COLUMNS.items():
+            if kept.get(name, (0,))[0]:
+                out[name] = [f"{name}[{kept[name][0]}]{{{columns}}}:", ""]
+        if cut_symbols:
+            out["foot"] = ["truncated: true", "truncatedAt: symbols", f"includedSymbols: {kept['symbols'][0]}", f"totalSymbols: {n_symbols}"]
+            if cut_edges:
+                out["foot"] += ["edgesTruncated: true", f"includedEdges: {kept['edges'][0]}", f"totalEdges: {edges}"]
+        return out
+
+    def fits(kept: dict[str, tuple[int, int]], *what) -> bool:
+        own = sum(len(x.encode()) + 1 for part in lines(kept, *what).values() for x in part)
+        return -(-(own + sum(b for _, b in kept.values()) - 1) // 4) <= budget
+
+    def most(upper: int, kept: Callable[[int], dict], what: Callable[[int], tuple]) -> int | None:
+        low, high, best = 0, upper, None
+        while low <= high:
+            m = (low + high) // 2
+            if fits(kept(m), *what(m)):
+                low, best = m + 1, m
+            else:
+                high = m - 1
+        return best
+
+    whole = {k: v for k, v in all_.items() if k in ("files", "clusters")}
+    some_symbols = lambda m: whole | {"symbols": size(parts["symbols"].where(F.col("place") < m)), "edges": size(parts["edges"].where(F.col("need") <= m))}
+    some_edges = lambda k: whole | {"symbols": (0, 0), "edges": size(parts["edges"].where((F.col("need") == 0) & (F.col("place") < k)))}
+    rows = {k: parts[k] for k in whole}
+    if (m := most(n_symbols, some_symbols, lambda m: (n_edges, m < n_symbols, False))) is not None:
+        fixed = lines(some_symbols(m), n_edges, m < n_symbols, False)
+        rows |= {"symbols": parts["symbols"].where(F.col("place") < m), "edges": parts["edges"].where(F.col("need") <= m)}
+    elif (k := most(n_edges, some_edges, lambda k: (k, True, k < n_edges))) is not None:
+        fixed = lines(some_edges(k), k, True, k < n_edges)
+        rows["edges"] = parts["edges"].where((F.col("need") == 0) & (F.col("place") < k))
+    else:
+        fixed, rows = lines({"files": (0, 0), "symbols": (0, 0), "edges": (0, 0)}, 0, True, False), {}
+    order = ["head", *TOON_COLUMNS, "foot"]
+    own = []
+    for name, part in fixed.items():
+        ends = [(order.index(name), -1, part[0]), (order.index(name), 1 << 62, part[1])] if name in TOON_COLUMNS else [(order.index(name), i, x) for i, x in enumerate(part)]
+        own += ends
+    last = max(own)
+    if last[2] == "":
+        own.remove(last)  # no line end at the document's
+    out = spark.createDataFrame(own, "section int, place long, line string")
+    for name, part in rows.items():
+        out = out.unionByName(part.select(F.lit(order.index(name)).alias("section"), F.col("place").cast("long").alias("place"), "line"))
+    return out.orderBy("section", "place")
+
+
+# The tables of a document, and their columns.
+TOON_COLUMNS = {"files": "path,language,symbols,pagerank", "symbols": "name,kind,file,scope,pagerank", "edges": "sourceFile,targetFile,edgeType,sourceSymbol,targetSymbol,weight", "clusters": "name,source,parentName,depth,fileCount"}
 
 
 def llm_dependencies(edges: DataFrame) -> DataFrame:

@@ -102,7 +102,48 @@ g_(
     lambda g: E.export_dot(g, R.primary_memberships(g.files), 2, g.files.where("repo = 'repo_0'").select("path")),
 )
 g_("export_llm", None, lambda g: E.export_llm(g, G.ranked_files(g, _ranks(g)), 4096))
-g_("export_toon", None, lambda g: E.export_toon(g, G.ranked_symbols(g, _ranks(g)), 4096))
+#: Values need quotes nowhere in the derived graph but for a pair of colons. Sizes for each number of symbols are laid out, then halved.
+_Q = lambda c: f"CASE WHEN {c} IS NULL THEN '' WHEN contains({c}, ':') THEN '\"' || {c} || '\"' ELSE {c} END"
+_EMPTY = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN '\"\"' ELSE {_Q(c)} END"
+_N = lambda c: f"regexp_replace(regexp_replace(printf('%.6f', CAST({c} AS DOUBLE)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+_DIGITS = lambda c: f"strlen(CAST({c} AS VARCHAR))"
+
+
+def _toon_sql(budget: int) -> str:
+    return f"""WITH f AS (SELECT row_number() OVER (ORDER BY lines / 1000.0 DESC, path) - 1 AS place, '  ' || path || ',' || language || ',' || (SELECT count(*) FROM g_symbols WHERE file_path = path) || ',' || {_N('lines / 1000.0')} AS line FROM g_files),
+s0 AS (SELECT s.*, (f.lines + s.start_line) / 1000.0 AS rank, row_number() OVER (ORDER BY (f.lines + s.start_line) / 1000.0 DESC, file_path, name, start_line, kind) - 1 AS place FROM g_symbols s JOIN g_files f ON f.path = s.file_path),
+s AS MATERIALIZED (SELECT place, '  ' || name || ',' || kind || ',' || file_path || ',' || {_EMPTY('scope')} || ',' || {_N('rank')} AS line FROM s0),
+named AS MATERIALIZED (SELECT file, symbol, min(place) AS at FROM (SELECT file_path AS file, name AS symbol, place FROM s0 UNION ALL SELECT file_path, scope || '::' || name, place FROM s0 WHERE scope IS NOT NULL) GROUP BY ALL),
+e AS MATERIALIZED (SELECT greatest(x.at, y.at) + 1 AS need, row_number() OVER (ORDER BY {', '.join(f'g.{c}' for c in EDGE_ORDER)}) - 1 AS place, '  ' || g.source_file || ',' || g.target_file || ',' || edge_type || ',' || {_EMPTY('g.source_symbol')} || ',' || {_EMPTY('g.target_symbol')} || ',' || {_N('weight')} AS line
+ FROM g_edges g LEFT JOIN named x ON x.file = g.source_file AND x.symbol = g.source_symbol LEFT JOIN named y ON y.file = g.target_file AND y.symbol = g.target_symbol WHERE x.at IS NOT NULL AND y.at IS NOT NULL),
+c AS (SELECT row_number() OVER (ORDER BY name) - 1 AS place, '  ' || name || ',repo,"",0,' || n AS line FROM (SELECT repo AS name, count(*) AS n FROM g_files GROUP BY repo)),
+t AS MATERIALIZED (SELECT (SELECT count(*) FROM f) AS nf, (SELECT sum(strlen(line) + 1) FROM f) AS bf, (SELECT count(*) FROM s) AS ns, (SELECT count(*) FROM g_edges) AS ne, (SELECT count(*) FROM c) AS nc, (SELECT sum(strlen(line) + 1) FROM c) AS bc, (SELECT string_agg(DISTINCT language, ',' ORDER BY language) FROM g_files) AS langs, (SELECT count(DISTINCT language) FROM g_files) AS nl),
+ms AS (SELECT unnest(range(0, ns + 1)) AS m FROM t),
+sizes AS MATERIALIZED (SELECT m, sum(coalesce(strlen(s.line) + 1, 0)) OVER w AS bs, CAST(sum(coalesce(g.n, 0)) OVER w AS BIGINT) AS ke, sum(coalesce(g.b, 0)) OVER w AS be FROM ms LEFT JOIN s ON s.place = m - 1 LEFT JOIN (SELECT need, count(*) AS n, sum(strlen(line) + 1) AS b FROM e GROUP BY need) g ON g.need = m WINDOW w AS (ORDER BY m)),
+tokens AS MATERIALIZED (SELECT m, ke, ceil((bs + be + bf + bc - 1
+ + strlen('version: 1') + 1 + strlen('generated: ') + 1 + strlen('repo: all') + 1 + strlen('tokenBudget: {budget}') + 1 + 1 + strlen('summary:') + 1 + strlen('  files: ') + {_DIGITS('nf')} + 1 + strlen('  symbols: ') + {_DIGITS('ns')} + 1 + strlen('  edges: ') + {_DIGITS('ne')} + 1 + strlen('  languages[]: ') + {_DIGITS('nl')} + strlen(langs) + 1 + 1
+ + strlen('files[]{{path,language,symbols,pagerank}}:') + {_DIGITS('nf')} + 2 + CASE WHEN m > 0 THEN strlen('symbols[]{{name,kind,file,scope,pagerank}}:') + {_DIGITS('m')} + 2 ELSE 0 END + CASE WHEN ke > 0 THEN strlen('edges[]{{sourceFile,targetFile,edgeType,sourceSymbol,targetSymbol,weight}}:') + {_DIGITS('ke')} + 2 ELSE 0 END
+ + strlen('clusters[]{{name,source,parentName,depth,fileCount}}:') + {_DIGITS('nc')} + 2 + CASE WHEN m < ns THEN strlen('truncated: true') + 1 + strlen('truncatedAt: symbols') + 1 + strlen('includedSymbols: ') + {_DIGITS('m')} + 1 + strlen('totalSymbols: ') + {_DIGITS('ns')} + 1 ELSE 0 END) / 4.0) AS n FROM sizes, t),
+search(low, high, best) AS (SELECT 0::BIGINT, ns, -1::BIGINT FROM t UNION ALL SELECT CASE WHEN n <= {budget} THEN m + 1 ELSE low END, CASE WHEN n <= {budget} THEN high ELSE m - 1 END, CASE WHEN n <= {budget} THEN m ELSE best END FROM search JOIN tokens ON m = (low + high) // 2 WHERE low <= high),
+cut AS (SELECT best AS m, ke FROM search JOIN tokens ON m = best WHERE low > high),
+doc AS (SELECT 0 AS section, unnest(range(0, 11)) AS place, unnest(['version: 1', 'generated: ', 'repo: all', 'tokenBudget: {budget}', '', 'summary:', '  files: ' || nf, '  symbols: ' || ns, '  edges: ' || ne, '  languages[' || nl || ']: ' || langs, '']) AS line FROM t
+ UNION ALL SELECT 1, -1, 'files[' || nf || ']{{path,language,symbols,pagerank}}:' FROM t UNION ALL SELECT 1, place, line FROM f UNION ALL SELECT 1, 4611686018427387904, ''
+ UNION ALL SELECT 2, -1, 'symbols[' || m || ']{{name,kind,file,scope,pagerank}}:' FROM cut WHERE m > 0 UNION ALL SELECT 2, place, line FROM s, cut WHERE place < m UNION ALL SELECT 2, 4611686018427387904, '' FROM cut WHERE m > 0
+ UNION ALL SELECT 3, -1, 'edges[' || ke || ']{{sourceFile,targetFile,edgeType,sourceSymbol,targetSymbol,weight}}:' FROM cut WHERE ke > 0 UNION ALL SELECT 3, place, line FROM e, cut WHERE need <= m UNION ALL SELECT 3, 4611686018427387904, '' FROM cut WHERE ke > 0
+ UNION ALL SELECT 4, -1, 'clusters[' || nc || ']{{name,source,parentName,depth,fileCount}}:' FROM t UNION ALL SELECT 4, place, line FROM c UNION ALL SELECT 4, 4611686018427387904, '' FROM cut, t WHERE m < ns
+ UNION ALL SELECT 5, unnest([0, 1, 2, 3]), unnest(['truncated: true', 'truncatedAt: symbols', 'includedSymbols: ' || m, 'totalSymbols: ' || ns]) FROM cut, t WHERE m < ns)
+SELECT section, place, line FROM doc"""
+
+
+def _toon(g: Graph, budget: int) -> DataFrame:
+    ranks = g.files.select("path", (F.col("lines") / 1000).alias("pagerank"))
+    symbols = g.symbols.join(g.files.select(F.col("path").alias("file_path"), "lines"), "file_path").select("file_path", "name", ((F.col("lines") + F.col("start_line")) / 1000).alias("pagerank"))
+    clusters = g.files.groupBy(F.col("repo").alias("name")).agg(F.count("*").alias("file_count")).withColumns({"source": F.lit("repo"), "parent_name": F.lit(""), "depth": F.lit(0)})
+    return E.export_toon(g, ranks, symbols, clusters, budget)
+
+
+g_("export_toon", _toon_sql(100_000), lambda g: _toon(g, 100_000))
+g_("export_toon_whole", _toon_sql(100_000_000), lambda g: _toon(g, 100_000_000))
 g_("export_svg", None, lambda g: E.export_svg(g, G.ranked_files(g, _ranks(g))))
 g_("toon_budget", "WITH l AS (SELECT path AS line, sum(strlen(path) + 1) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) AS n FROM g_files) SELECT line FROM l WHERE ceil(n / 4.0) <= 500", lambda g: E.fitted(g.files.select(F.col("path").alias("line")), 500, "line"))
 g_("llm_file_section", f"SELECT source_file AS file, string_agg(target_file || ' (' || edge_type || ')' || CASE WHEN verifiability = 'inferred' THEN ' [inferred]' ELSE '' END, ', ' ORDER BY target_file || ' (' || edge_type || ')' || CASE WHEN verifiability = 'inferred' THEN ' [inferred]' ELSE '' END) AS line FROM {_FIRST} GROUP BY source_file", lambda g: E.llm_dependencies(g.edges))

@@ -15,6 +15,7 @@ from cartomill.operators import context as C
 from cartomill.operators import exports as E
 from cartomill.operators import graph as G
 from cartomill.sources import workspace as S
+from cartomill.sources.graph_tables import Graph
 from cartomill.streaming import incremental, logs
 
 from .fixtures import graph, oracle
@@ -282,3 +283,31 @@ def test_against_sql(spark, name):
     tidy = lambda v: round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
     got = sorted((tuple(tidy(r[c]) for c in names) for r in df.collect()), key=str)
     assert got == sorted((tuple(map(tidy, r)) for r in cur.fetchall()), key=str)
+
+
+def test_toon_documents(spark):
+    """The largest document within a budget, found among all cuts; what happens when nothing fits."""
+    files = spark.createDataFrame([(f"f{i}.ts", "typescript" if i % 2 else "go") for i in range(3)], "path string, language string")
+    symbols = spark.createDataFrame([(f"f{i % 3}.ts", f"s{i}", "function", None, i) for i in range(12)], "file_path string, name string, kind string, scope string, start_line int")
+    edges = spark.createDataFrame([("f0.ts", "f1.ts", "s0" if i else None, f"s{i}" if i else None, "call", float(i), "verified") for i in range(9)] + [("f1.ts", "f2.ts", None, None, "import", 0.5, "verified")] * 3, "source_file string, target_file string, source_symbol string, target_symbol string, edge_type string, weight double, verifiability string")
+    g = Graph(files, symbols, edges)
+    ranks, own = files.select("path", F.lit(0.25).alias("pagerank")), symbols.select("file_path", "name", (1 / (F.col("start_line") + 1)).alias("pagerank"))
+
+    def document(budget):
+        return "\n".join(r.line for r in E.export_toon(g, ranks, own, None, budget).collect())
+
+    whole = document(10_000)
+    assert "symbols: 12" in whole and "truncated" not in whole and whole.endswith(",0.5") and "  languages[2]: go,typescript" in whole
+    assert "  f0.ts,f1.ts,call,\"\",\"\",0" in whole and "  s1,function,f1.ts,\"\",0.5" in whole
+    tokens = -(-len(whole.encode()) // 4)
+    before = 0
+    for budget in (tokens - 20, tokens - 60, 150):
+        text = document(budget)
+        kept = int(text.split("includedSymbols: ")[1].split("\n")[0])
+        assert len(text.encode()) <= 4 * budget and 0 < kept < 12 and text.count(",function,") == kept
+        assert f"edges[{text.count(',call,') + text.count(',import,')}]" in text and all(f"  s{i},function" in text for i in range(kept))
+        before = before or kept
+    assert before >= kept
+    least = document(105)  # not even without symbols, but without some edges
+    assert "includedSymbols: 0" in least and "edgesTruncated: true" in least and ",function," not in least
+    assert document(1) == "version: 1\ngenerated: \nrepo: all\ntokenBudget: 1\n\nsummary:\n  files: 0\n  symbols: 12\n  edges: 0\n\ntruncated: true\ntruncatedAt: symbols\nincludedSymbols: 0\ntotalSymbols: 12"
