@@ -6,6 +6,7 @@ windows have equal anchors at equal places. The windows that hang on one occurre
 stretch of text and its signature represent them all.
 
 * An anchor that occurs once has no repeated window; its text is never moved.
+* In a text with a period, a stretch recurs at even distances; these are one row with a step and a number of times.
 * A stretch that occurs twice or more is repeated whole. Anchors only find candidates; equal is what has equal
   signatures, 128 bits of the BLAKE2b of a stretch's bytes, for which different bytes cannot be built.
 * The different stretches of one anchor may still share windows. One text of each goes to a shard by the anchor's hash;
@@ -19,7 +20,8 @@ A common passage has few different stretches, so it is sorted once, however many
 
 Edge cases: a null text is empty; texts under WINDOW bytes lose nothing; rows that repeat are occurrences of their own,
 so they lose all their bytes from WINDOW on; a null doc_id is as any other, and rows of one doc_id are told apart by 128
-bits of their text's SHA-256; very long texts are cut into blocks of windows, so memory does not grow with a text's anchors;
+bits of their text's SHA-256; very long texts are cut into blocks of windows; a text's removed ranges are one
+row, some 30 bytes for each 70 of a text that is repeated without a period, and a few numbers for one that has one;
 no documents give no rows; other columns are ignored.
 """
 
@@ -50,11 +52,38 @@ HOT_BYTES = 8 << 20
 BUCKET_WINDOWS = 2 << 20
 
 
+def periodic(data: np.ndarray, who: np.ndarray, gram: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which stretches to keep, and how many each stands for: stretches in a row with one anchor hash and n, each n bytes
+    after the other, are one if their text has period n; a text of one letter has a stretch for each byte."""
+    alike = (who[1:] == who[:-1]) & (gram[1:] == gram[:-1]) & (n[1:] == n[:-1]) & (first[1:] - first[:-1] == n[1:])
+    keep, times = np.ones(len(first), dtype=bool), np.ones(len(first), dtype=np.int64)
+    for a, b in zip(*runs(alike)):
+        begin, end, step = first[a], first[b] + n[b] + WINDOW - 1, n[a]
+        if np.array_equal(data[begin : end - step], data[begin + step : end]):
+            keep[a + 1 : b + 1] = False
+            times[a] = b - a + 1
+    return keep, times
+
+
+def progressions(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """text, hash, s1, s2, first, n, step, times: rows alike in all but `first`, whose places are step apart, are one."""
+    rows = tuple(c[np.lexsort((rows[4], rows[7], rows[6], rows[5], *rows[:4]))] for c in rows)
+    who, gram, s1, s2, first, n, step, times = rows
+    same = np.append(False, (who[1:] == who[:-1]) & (gram[1:] == gram[:-1]) & (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1]) & (n[1:] == n[:-1]) & (times[1:] == 1) & (times[:-1] == 1))
+    gap = np.append(0, np.diff(first))
+    even = same & np.append(False, same[:-1] & (gap[1:] == gap[:-1]))  # the third and later of a row of places
+    head = ~(even | (same & np.append(even[1:], False)))
+    size = np.diff(np.append(np.flatnonzero(head), len(head)))
+    second = np.minimum(np.flatnonzero(head) + 1, len(head) - 1)
+    return who[head], gram[head], s1[head], s2[head], first[head], n[head], np.where(size > 1, gap[second], step[head]), np.where(size > 1, size, times[head])
+
+
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """text, hash, s1, s2, first, n of each stretch: n windows of a text from byte `first` on that hang on one anchor."""
+    """text, hash, s1, s2, first, n, step, times of each stretch: n windows of a text from byte `first` on that hang on one
+    anchor, and so often again, each time `step` bytes on."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    none = tuple(np.empty(0, dtype=np.int64) for _ in range(6))
+    none = tuple(np.empty(0, dtype=np.int64) for _ in range(8))
     if len(data) < WINDOW:
         return none
     h, at = PrefixHash(data), np.arange(len(data) - GRAM + 1)
@@ -68,16 +97,18 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     anchor = anchor[window]
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
     first, n = window[new], np.diff(np.append(np.flatnonzero(new), len(window)))
+    who, gram = owner[first], grams[anchor[new]].view(np.int64)
+    keep, times = periodic(data, who, gram, first, n)
+    who, gram, first, n, times = who[keep], gram[keep], first[keep], n[keep], times[keep]
     sig = digests(data, first, first + n + WINDOW - 1)
-    who = owner[first]
-    return who, grams[anchor[new]].view(np.int64), sig[:, 0], sig[:, 1], first - (ends - lengths)[who], n
+    return progressions((who, gram, sig[:, 0], sig[:, 1], first - (ends - lengths)[who], n, n, times))
 
 
 def long_stretches(text: bytes, block: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
     """stretches() of one text, a block of windows at a time; a stretch over an edge is two."""
     for a in range(0, len(text) - WINDOW + 1, block):
-        who, h, s1, s2, first, n = stretches([text[a : a + block + WINDOW - 1]])
-        yield who, h, s1, s2, first + a, n
+        who, h, s1, s2, first, *rest = stretches([text[a : a + block + WINDOW - 1]])
+        yield who, h, s1, s2, first + a, *rest
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -87,16 +118,16 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 
 
 def stretch_rows(docs: DataFrame) -> DataFrame:
-    """d, t, hash, s1, s2, first, n."""
+    """d, t, hash, s1, s2, first, n, step, times."""
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = text_bytes(batch["text"]), (batch["d"], batch["t"])
             for a, b in chunks(list(map(len, texts))):
-                for who, gram, s1, s2, first, n in long_stretches(texts[a]) if b == a + 1 else [stretches(texts[a:b])]:
+                for who, gram, s1, s2, *places in long_stretches(texts[a]) if b == a + 1 else [stretches(texts[a:b])]:
                     own = pa.array(who + a)
-                    yield pa.RecordBatch.from_arrays([*(k.take(own) for k in keys), pa.array(gram), pa.array(s1), pa.array(s2), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["d", "t", "hash", "s1", "s2", "first", "n"])
+                    yield pa.RecordBatch.from_arrays([*(k.take(own) for k in keys), pa.array(gram), pa.array(s1), pa.array(s2), *(pa.array(c.astype(np.int32)) for c in places)], names=["d", "t", "hash", "s1", "s2", "first", "n", "step", "times"])
 
-    return map_arrow(docs.select("d", "t", "text"), f, "d long, t binary, hash long, s1 long, s2 long, first int, n int")
+    return map_arrow(docs.select("d", "t", "text"), f, "d long, t binary, hash long, s1 long, s2 long, first int, n int, step int, times int")
 
 
 def stretch_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,26 +300,40 @@ def sorted_shards(bodies: DataFrame, memory: int = QUEUE_MEMORY, hot: int = HOT_
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """kd, kt (a row's d and t), spans: the byte ranges (a, b) that it loses."""
+    """kd, kt (a row's d and t), spans: the byte ranges that it loses, each (a, b) and so often again, step bytes on."""
     rows = written(stretch_rows(docs), "stretches")
     differ = (F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))
-    shared = written(rows.groupBy("hash").agg(F.count("*").alias("c"), differ.alias("several")).where("c > 1").select("hash", "several"), "anchors")
+    shared = written(rows.groupBy("hash").agg(F.sum("times").alias("c"), differ.alias("several")).where("c > 1").select("hash", "several"), "anchors")
     cand = written(rows.join(shared, "hash"), "shared")
     forgotten(rows)
     one = F.min(F.struct("d", "t", "first", "n")).alias("o")
-    sigs = written(cand.groupBy("hash", "s1", "s2").agg(F.count("*").alias("c"), F.first("several").alias("several"), one).select("hash", "s1", "s2", "c", "several", "o.*"), "signatures")
+    sigs = written(cand.groupBy("hash", "s1", "s2").agg(F.sum("times").alias("c"), F.first("several").alias("several"), one).select("hash", "s1", "s2", "c", "several", "o.*"), "signatures")
     found = written(sorted_shards(stretch_texts(docs, sigs.where("several").select("d", "t", "hash", "s1", "s2", "first", "n"))), "repeated")
     whole = sigs.where("c > 1").select("s1", "s2", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
     some = found.select("s1", "s2", "spans").join(whole.select("s1", "s2"), ["s1", "s2"], "left_anti")
     lost = written(whole.unionByName(some), "lost")
-    joined = cand.select("d", "t", "s1", "s2", "first", "n").join(lost, ["s1", "s2"])
-    own = F.transform(F.coalesce("spans", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))), lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"] + WINDOW - 1).alias("b")))
+    joined = cand.select("d", "t", "s1", "s2", "first", "n", "step", "times").join(lost, ["s1", "s2"])
+    own = F.transform(F.coalesce("spans", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))), lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"] + WINDOW - 1).alias("b"), F.col("step").alias("step"), F.col("times").alias("times")))
     per = joined.select(F.col("d").alias("kd"), F.col("t").alias("kt"), own.alias("s")).groupBy("kd", "kt").agg(F.flatten(F.collect_list("s")).alias("spans"))
     out = written(per, "spans")
     forgotten(shared, cand, sigs, found, lost)
     return out
 
 
+def merged(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal byte ranges that spans (a, b, step, times) cover."""
+    a, b, step, times = (spans.field(c).to_numpy().astype(np.int64) for c in ("a", "b", "step", "times"))
+    joint = step <= b - a
+    b = np.where(joint, b + (times - 1) * step, b)
+    times = np.where(joint, 1, times)
+    k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    a, b = (np.repeat(x, times) + k * np.repeat(step, times) for x in (a, b))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.append(True, a[1:] > b[:-1])
+    return a[new], b[np.append(new[1:], True)]
+
+
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with_text adds the bytes that stay."""
     docs = with_row_key(docs)
@@ -297,15 +342,12 @@ def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, own in zip(text_bytes(batch["text"]), batch["spans"].to_pylist()):
+            for text, own in zip(text_bytes(batch["text"]), batch["spans"]):
                 rest, n_spans = text, 0
-                if own:
-                    edge = np.zeros(len(text) + 1, dtype=np.int64)
-                    np.add.at(edge, [s["a"] for s in own], 1)
-                    np.add.at(edge, [s["b"] for s in own], -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    n_spans = len(runs(gone)[0])
-                    rest = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+                if own.is_valid and len(own.values):
+                    starts, ends = merged(own.values)
+                    n_spans = len(starts)
+                    rest = b"".join([text[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)])])
                 out.append((len(text), len(text) - len(rest), n_spans, hashlib.sha256(rest).hexdigest()) + ((rest,) if with_text else ()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_text]
             columns = list(zip(*out)) or [()] * len(types)

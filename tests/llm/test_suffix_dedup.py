@@ -78,9 +78,45 @@ def test_bytes_whose_polynomial_hashes_are_equal(spark):
 def test_long_texts_are_cut_into_blocks():
     body = bytes(random.Random(6).choices(range(97, 100), k=3000))
     seen = []
-    for _, _, _, _, first, n in long_stretches(body, block=700):
-        seen += [i for f, k in zip(first.tolist(), n.tolist()) for i in range(f, f + k)]
-    assert seen == list(range(3000 - WIDTH + 1))
+    for _, _, _, _, *places in long_stretches(body, block=700):
+        seen += [i + m * step for f, k, step, times in zip(*(c.tolist() for c in places)) for m in range(times) for i in range(f, f + k)]
+    assert sorted(seen) == list(range(3000 - WIDTH + 1))
+
+
+def periodic_texts():
+    rng = random.Random(3)
+    unit = lambda p: "".join(rng.choices("abcdef", k=p))
+    data = []
+    for p in (1, 2, 3, 63, 64, 65, 136, 137, 138, 150, 199, 200, 201, 290):
+        body = unit(p) * (2400 // p)
+        at = rng.randrange(len(body))
+        data += [unit(30) + body + unit(40), body[:at] + "#" + body[at + 1 :], body[:330], unit(5) + body[: 200 + p // 2], body[7 : 7 + 199]]
+    data += ["x" * 330, "x" * 201, "x" * 200 + "y", "ab" * 120 + "ba" * 120, (unit(90) + "z" * 300) * 4]
+    return [(i, t, None, None, None) for i, t in enumerate(data)]
+
+
+def test_periodic_texts(spark):
+    data = periodic_texts()
+    assert sorted(map(tuple, deduplicated(crowded(spark, data)).collect()), key=str) == brute(data)
+
+
+def test_periodic_texts_one_at_a_time():
+    """The places of all windows are there, whatever is joined, and joined ones are equal."""
+    for _, t, *_ in periodic_texts():
+        body = t.encode()
+        for block in (500, 1 << 20):
+            places, texts = [], {}
+            for who, h, s1, s2, *rest in long_stretches(body, block):
+                for key, f, k, step, times in zip(zip(h.tolist(), s1.tolist(), s2.tolist()), *(c.tolist() for c in rest)):
+                    for m in range(times):
+                        places += range(f + m * step, f + m * step + k)
+                        assert texts.setdefault(key, body[f + m * step : f + m * step + k + WIDTH - 1]) == body[f + m * step : f + m * step + k + WIDTH - 1]
+            assert sorted(places) == list(range(len(body) - WIDTH + 1))
+
+
+def test_long_repetitive_text_has_few_rows():
+    for body in (b"a" * (8 << 20), bytes(random.Random(1).choices(range(97, 123), k=150)) * 55_000):
+        assert sum(len(part[0]) for part in long_stretches(body)) < 200
 
 
 def batches_of(rows):
