@@ -380,64 +380,55 @@ def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
             return found
 
 
-def trace(g: Graph, start: str, symbol: str | None = None, depth: int = 3, up: bool = False, structural: bool = False) -> dict:
-    """Paths, cycles and sizes by depth-first search, each node visited once.
+TRACES = "file string, symbol string, paths array<array<struct<file:string,symbol:string>>>, cycles array<struct<from:string,to:string,type:string,length:int>>, nodes int, edges int, max_depth_reached boolean"
 
-    The order of the search decides the result, so it runs on the driver, over the edges of the files within `depth`
-    steps of the start, which is what Spark selects.
-    """
-    near = trace_bfs(g.edges, start, depth, up, structural).select("file")
-    side = "target_file" if up else "source_file"
-    from .relational import scoped_name
 
-    rows = data_edges(g.edges, structural).join(near, F.col(side) == F.col("file"), "left_semi")
-    nxt_file, nxt_symbol = ("source_file", "source_symbol") if up else ("target_file", "target_symbol")
+def traces(g: Graph, starts: DataFrame, depth: int = 3, up: bool = False, structural: bool = False) -> DataFrame:
+    """TRACES of each start (file, symbol): paths, cycles and sizes by depth-first search, each node visited once.
+
+    What all starts reach within the depth is found together, a level a round; then the edges around each start meet it in one
+    group, where the order of the search decides. A group is the neighbourhood of one start, and nothing else is collected.
+    """
+    ship(g.edges.sparkSession)
+    side, other = ("target", "source") if up else ("source", "target")
+    rows = data_edges(g.edges, structural)
     if not up:
+        from .relational import scoped_name
+
         rows = scoped_name(rows, g.symbols)
-        nxt_symbol = "scoped"
-    own_symbol = "target_symbol" if up else "source_symbol"
-    local = sorted(rows.collect(), key=lambda r: tuple(str(r[c]) for c in EDGE_ORDER))
-    by: dict[str, list] = {}
-    for r in local:
-        by.setdefault(r[side], []).append(r)
-    paths, found_cycles, seen, deep = [], [], {(start, symbol)}, False
-
-    def matches(node: str | None, edge: str | None) -> bool:
-        return node is None or edge is None or node == edge or (node.split("::")[1:2] or [""])[0] == edge or edge.split("::")[-1] == node
-
-    stack = [(start, symbol)]
-    work = [(start, symbol, 0, None)]
-    while work:
-        file, sym, level, pending = work.pop()
-        if pending is None:
-            valid = []
-            for r in by.get(file, []):
-                if not matches(sym, r[own_symbol]):
-                    continue
-                key = (r[nxt_file], r[nxt_symbol])
-                if key in stack:
-                    found_cycles.append({"from": file, "to": key[0], "type": r["edge_type"], "length": len(stack) - stack.index(key)})
-                else:
-                    valid.append(key)
-            if not valid or level >= depth:
-                paths.append(list(stack))
-                deep |= level >= depth and bool(valid)
-                continue
-            pending = iter(valid)
-        for key in pending:
-            if key not in seen:
-                seen.add(key)
-                work.append((file, sym, level, pending))
-                del stack[level + 1 :]
-                stack.append(key)
-                work.append((*key, level + 1, None))
-                break
-        else:
-            del stack[level + 1 :]
-        if work:
-            del stack[work[-1][2] + 1 :]
-    edges = {(a[0], b[0]) for p in paths for a, b in zip(p, p[1:])}
-    return {"paths": paths, "cycles": found_cycles, "nodes": len({n for p in paths for n in p}), "edges": len(edges), "max_depth_reached": deep}
+    edges = rows.select(
+        F.col(f"{side}_file").alias("file"), F.col(f"{side}_symbol").alias("symbol"), F.col(f"{other}_file").alias("to_file"), F.col("source_symbol" if up else "scoped").alias("to_symbol"), "edge_type",
+        F.array(*(F.col(c).cast("string") for c in EDGE_ORDER)).alias("order"),
+    )
+    steps = edges.select("file", F.col("to_file").alias("to"))
+    own = starts.select("file").distinct()
+    near = Rounds(g.edges.sparkSession, "start string, file string")
+    near.add(own.select(F.col("file").alias("start"), "file"))
+    for _ in range(depth):
+        if not near.add(steps.join(near.last(), "file").select("start", F.col("to").alias("file")).distinct().join(near.all(), ["start", "file"], "left_anti")):
+            break
+    around = near.all().select("start", "file").join(edges, "file").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("order", "file", "symbol", "to_file", "to_symbol", "edge_type"))).alias("around"))
+    asked = starts.select("file", "symbol").join(around, F.col("file") == F.col("start"), "left").select("file", "symbol", "around")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from cartomill.functions.tracing import EDGE, searched
+
+        for frame in frames:
+            out = []
+            for file, symbol, near in frame.itertuples(index=False):
+                found = searched(file, symbol, [tuple(e[c] for c in EDGE) for e in (near if near is not None else ())], depth)
+                found["paths"] = [[{"file": f, "symbol": s} for f, s in p] for p in found["paths"]]
+                out.append((file, symbol, *found.values()))
+            yield pd.DataFrame(out, columns=["file", "symbol", "paths", "cycles", "nodes", "edges", "max_depth_reached"])
+
+    return asked.mapInPandas(search, TRACES)
+
+
+def trace(g: Graph, start: str, symbol: str | None = None, depth: int = 3, up: bool = False, structural: bool = False) -> dict:
+    """traces() of one start."""
+    starts = g.edges.sparkSession.createDataFrame([(start, symbol)], "file string, symbol string")
+    r = traces(g, starts, depth, up, structural).first().asDict(recursive=True)
+    return {"paths": [[(n["file"], n["symbol"]) for n in p] for p in r["paths"]], "cycles": r["cycles"], "nodes": r["nodes"], "edges": r["edges"], "max_depth_reached": r["max_depth_reached"]}
 
 
 # --- communities

@@ -96,7 +96,24 @@ q("trace_down", _trace_sql(False), lambda g: G.trace_bfs(g.edges, _first(g, "sou
 q("trace_up", _trace_sql(True), lambda g: G.trace_bfs(g.edges, _first(g, "target_file"), 2, up=True))
 q("trace_both", f"SELECT file, min(depth) AS depth FROM (SELECT * FROM ({_trace_sql(False)}) UNION ALL SELECT * FROM ({_trace_sql(True).replace('min(b)', 'min(a)')})) GROUP BY file", lambda g: (lambda s: G.trace_bfs(g.edges, s, 2).unionByName(G.trace_bfs(g.edges, s, 2, up=True)).groupBy("file").agg(F.min("depth").alias("depth")))(_first(g, "source_file")))
 q("union_trace", f"SELECT count(DISTINCT file) AS files FROM (SELECT * FROM ({_trace_sql(False)}) UNION ALL SELECT * FROM ({_trace_sql(True).replace('min(b)', 'min(a)')}))", lambda g: (lambda s: G.trace_bfs(g.edges, s, 2).unionByName(G.trace_bfs(g.edges, s, 2, up=True)).agg(F.countDistinct("file").alias("files")))(_first(g, "source_file")))
-q("trace_exact", None, lambda g: (lambda t: g.files.sparkSession.createDataFrame([([f"{f}::{s or ''}" for f, s in p],) for p in t["paths"]], "path array<string>"))(G.trace(g, _first(g, "source_file"), depth=2)))
+def _traces(g: Graph, up: bool) -> DataFrame:
+    """Of all files that data leaves or reaches, one row each."""
+    column = "target_file" if up else "source_file"
+    starts = g.edges.where("edge_type = 'call'").select(F.col(column).alias("file"), F.lit(None).cast("string").alias("symbol")).distinct()
+    return G.traces(g, starts, 1, up)
+
+
+def _traces_sql(up: bool) -> str:
+    """One step deep, a trace has a path for each different node around the start but itself; an edge to itself is a cycle."""
+    own, other = ("target", "source") if up else ("source", "target")
+    to = "source_symbol" if up else "CASE WHEN t.scope IS NOT NULL THEN t.scope || '::' || target_symbol ELSE target_symbol END"
+    joined = "" if up else " LEFT JOIN (SELECT file_path, name, min(scope) AS scope FROM g_symbols GROUP BY ALL) t ON t.file_path = e.target_file AND t.name = e.target_symbol"
+    return f"WITH c AS (SELECT {own}_file AS file, {other}_file AS to_file, {to} AS to_symbol FROM g_edges e{joined} WHERE edge_type = 'call') SELECT file, CAST(count(DISTINCT to_file || '|' || to_symbol) AS INTEGER) AS paths, CAST(count(DISTINCT to_file || '|' || to_symbol) + 1 AS INTEGER) AS nodes, CAST(count(DISTINCT to_file) AS INTEGER) AS edges FROM c GROUP BY file"
+
+
+q("traces_down", _traces_sql(False), lambda g: _traces(g, False).select("file", F.size("paths").alias("paths"), "nodes", "edges"))
+q("traces_up", _traces_sql(True), lambda g: _traces(g, True).select("file", F.size("paths").alias("paths"), "nodes", "edges"))
+q("trace_exact", None, lambda g: (lambda t: t.select(F.explode("paths").alias("p")).select(F.transform("p", lambda n: F.concat(n["file"], F.lit("::"), F.coalesce(n["symbol"], F.lit("")))).alias("path")))(G.traces(g, g.edges.sparkSession.createDataFrame([(_first(g, "source_file"), None)], "file string, symbol string"), 2)))
 q("cycle_detect", f"WITH s AS (SELECT * FROM {_STEP} WHERE a <> b) SELECT x.a || '>' || x.b AS path, 2 AS length FROM s x JOIN s y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b UNION ALL SELECT x.a || '>' || x.b || '>' || y.b, 3 FROM s x JOIN s y ON y.a = x.b JOIN s z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND y.b <> x.b", lambda g: G.cycles(g.edges, 3).select(F.array_join("path", ">").alias("path"), "length"))
 #: Reachability outright: all pairs of a small graph. far is where the longest of the shortest ways from the first file ends.
 _STEPS = f"s AS MATERIALIZED (SELECT * FROM {_STEP} WHERE a <> b)"
