@@ -48,7 +48,8 @@ def resolve_symbol(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     by_short = best(rest.where(F.col("symbol").contains("\\")), "__short")
     rest = rest.join(by_short, ["source_file", "symbol"], "left_anti")
     # a method named with its class: where that class has it, else where the class is
-    members = symbols.where("scope IS NOT NULL").select(F.concat("scope", F.lit("::"), "name").alias("name"), F.col("file_path").alias("__f"), "kind", "start_line").join(lang, F.col("__f") == F.col("__p"))
+    scoped = symbols if "scope" in symbols.columns else symbols.withColumn("scope", F.lit(None).cast("string"))
+    members = scoped.where("scope IS NOT NULL").select(F.concat("scope", F.lit("::"), "name").alias("name"), F.col("file_path").alias("__f"), "kind", "start_line").join(lang, F.col("__f") == F.col("__p"))
     member = members.groupBy("name", F.col("__g")).agg(F.min(order).alias("o"))
     asked = rest.where(F.col("__short").contains("::"))
     typed = asked.join(member, (F.col("__short") == F.col("name")) & (F.col("__sg") == F.col("__g"))).groupBy("source_file", "symbol").agg(F.min("o").alias("o")).select("source_file", "symbol", F.col("o.__f").alias("target"))
