@@ -17,7 +17,7 @@ folder; a round's least neighbours are a table of their own, so a join can split
 Edge cases: a null, empty or blank text has fingerprint zero and links like any other; fewer than four words are one
 shingle; very long texts count whole; a bit set in exactly half the shingles is 0; rows that repeat are returned each; a null doc_id never is a component's id unless all its doc_ids are null;
 rows of one doc_id with different texts are rows of their own, and one_of_each() drops one only for another row of its
-component; no documents give no rows; other columns are ignored by near_duplicates() and kept by one_of_each().
+component, with or without a doc_id; no documents give no rows; other columns are ignored by near_duplicates() and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forgotten, map_arrow, text_bytes, written
+from .common import documents, forgotten, map_arrow, text_bytes, text_digest, written
 
 SHINGLE = 4
 SEED = 42
@@ -58,15 +58,15 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), and the long columns named in more."""
+def fingerprints(docs: DataFrame, **more: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the columns named in more, with their types."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(b) for b in text_bytes(batch["text"])], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), *(batch[c] for c in more)], names=["doc_id", "fp", *more])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more), f, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in more)]))
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more), f, ", ".join(["doc_id long", "fp long", *(f"{c} {t}" for c, t in more.items())]))
 
 
 def grouped_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -234,16 +234,20 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """docs, of each component only its least row by doc_id and 128 bits of the row's hash; rows without a doc_id stay."""
-    rest = [f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString()]
-    keyed = docs.where("doc_id IS NOT NULL").withColumns({"__h": F.xxhash64("text"), "__g": F.xxhash64(F.lit(1), "text", *rest)})
-    key = ["doc_id", "__h", "__g"]
-    fps = written(fingerprints(keyed, "__h", "__g"), "fingerprints")
+    """docs, of each component only its least row by doc_id (nulls last) and 128 bits of the text's SHA-256; of rows that
+    have both in common one, by their other columns.
+
+    The row travels in a struct, so no name of it can clash.
+    """
+    rest = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    key = {"none": "boolean", "id": "long", "digest": "binary"}
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(*rest).alias("tie")
+    ).withColumn("digest", F.coalesce(text_digest(), text_digest(F.lit(""))))
+    fps = written(fingerprints(rows, **key), "fingerprints")
     keep = classified(fps, F.struct(*key), tau).groupBy("comp").agg(F.min("first").alias("first")).select("first.*")
-    keep = keep.select(*(F.col(c).alias(f"__keep{i}") for i, c in enumerate(key)))
-    same = [keyed[c] == keep[f"__keep{i}"] for i, c in enumerate(key)]
-    kept = keyed.join(keep, same, "left_semi").dropDuplicates(key).drop("__h", "__g")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    kept = rows.select("row", "tie", *key).join(keep, list(key), "left_semi")
+    return kept.groupBy(*key).agg(F.min_by("row", "tie").alias("row")).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,4 +41,4 @@ def crowded(spark, data=None):
     """frame() with further columns whose names clash with those that operators add."""
     from pyspark.sql import functions as F
 
-    return frame(spark, data).withColumns({c: F.lit("clash") for c in ("fp", "comp", "fingerprint", "component_id", "ids", "part", "score", "spans", "start", "length", "n_words", "kept", "hash", "bucket", "windows")})
+    return frame(spark, data).withColumns({c: F.lit("clash") for c in ("fp", "comp", "fingerprint", "component_id", "ids", "part", "score", "spans", "start", "length", "n_words", "kept", "hash", "bucket", "windows", "__h", "__g", "__keep0", "Row", "tie", "None", "ID", "digest", "first", "a.b")})

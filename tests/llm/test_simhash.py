@@ -109,11 +109,12 @@ def test_components_of_a_path(spark):
 
 def test_one_of_each(spark):
     data = [r for r in rows() if r[0] is not None]
-    docs = crowded(spark, data + [(None, "no id", None, None, None)])
+    alone = "no id and like none of the others at all in any of its words"
+    docs = crowded(spark, data + [(None, alone, None, None, None)] * 2 + [(None, data[0][1], None, None, None), (None, "", "en", None, None)])
     got = one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.where("doc_id is not null").collect()) == sorted({c for _, _, c in brute(data)})
-    assert got.where(F.col("doc_id").isNull()).count() == 1
+    assert [r.text for r in got.where(F.col("doc_id").isNull()).collect()] == [alone]  # the others have a row with an id
 
 
 def test_one_of_each_keeps_different_texts_of_a_doc_id(spark):
