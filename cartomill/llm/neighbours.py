@@ -187,12 +187,14 @@ def upper_levels(classes: DataFrame) -> dict[int, Tree]:
     if not n:
         return {}
     most = max(64, SAMPLE_BYTES // (8 * widest))
+    # keys are hashes, so those under a bound are a sample, of about nine tenths of what is allowed
+    share = 1.0 if n <= most else 0.9 * most / n
     by_dim: dict[int, list[bytes]] = {}
-    for r in classes.orderBy("key").limit(most).select("dim", "vec").collect():  # keys are hashes
+    for r in classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(share * (1 << 40))).select("dim", "vec").toLocalIterator():
         by_dim.setdefault(r["dim"], []).append(bytes(r["vec"]))
     trees = {}
     for dim, found in by_dim.items():
-        expected = n * len(found) / min(n, most) * 8 * dim / SHARD_BYTES
+        expected = len(found) / share * 8 * dim / SHARD_BYTES
         leaves = 1 << max(0, min(LEAVES, len(found) // 32, int(expected)).bit_length() - 1)
         if leaves > 1:
             tree, _ = Tree.built(units(np.frombuffer(b"".join(found), dtype=np.float64).reshape(-1, dim)), leaves)
