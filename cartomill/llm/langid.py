@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import CHUNK_BYTES, chunks, crc_mod, documents, map_arrow, mixed
 
@@ -180,10 +181,13 @@ def identified(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
         for batch in batches:
-            names, _ = predicted(batch["text"].to_pylist(), langs, table)
+            names, _ = predicted(batch[at].cast(pa.string()).to_pylist(), langs, table)
             yield batch.filter(pa.array([n != UNKNOWN for n in names], type=pa.bool_()))
 
-    return map_arrow(docs, keep, docs.schema)
+    # by place: a column's name may hold a dot
+    at, plain = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
+    schema = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in zip(plain, docs.schema)])
+    return map_arrow(docs.toDF(*plain), keep, schema).toDF(*docs.columns)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
