@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import extract, frameworks
+from .functions import extract, frameworks, laravel
 from .functions.languages import EXTENSIONS
 from .functions.lineage import cut
 from .operators import context, exports, graph, relational, resolve
@@ -32,6 +32,9 @@ class CodeGraph(Graph):
         edges = found.select("source_file", F.col("target").alias("target_file"), "source_symbol", F.when(F.col("how") == "member", F.substring_index("symbol", "::", -1)).otherwise(F.col("symbol")).alias("target_symbol"), "edge_type", "repo", F.lit(1.0).alias("weight"), F.when(F.col("how") == "contains", "inferred").otherwise(F.col("verifiability")).alias("verifiability"), F.lit(None).cast("string").alias("target_repo"), "line")
         if used:
             edges = edges.unionByName(cls._routed(files, symbols, repo, used).select(edges.columns))
+        if "laravel" in used:
+            more = laravel.edges(cut(laravel.facts(files.select("repo", "path", "text"))))
+            edges = edges.unionByName(more.select(*(F.col(c) if c in more.columns else F.lit(1.0).alias(c) if c == "weight" else F.lit("verified").alias(c) if c == "verifiability" else F.lit(None).cast("string").alias(c) for c in edges.columns)))
         out = cls(files.join(extract.namespaces_of(rows), "path", "left"), symbols, cut(edges))
         out.texts = files.select("path", "text")
         return out

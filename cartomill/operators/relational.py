@@ -238,14 +238,15 @@ def workspace_list(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> Da
 
 
 def file_coupling(files: DataFrame, edges: DataFrame, language: str | None = None, verified_only: bool = False) -> DataFrame:
-    """path, language, afferent, efferent, instability; neighbours are counted once, loops do not count."""
+    """path, language, afferent, efferent, instability; neighbours are counted once, loops do not count. Equal files are in
+    the order of their paths as a reader expects it, by Unicode collation: a, A, b, e, É, Z."""
     e = edges.where("verifiability <> 'inferred'") if verified_only else edges
     pairs = e.where("source_file <> target_file").select("source_file", "target_file").distinct()
     ca = pairs.groupBy(F.col("target_file").alias("path")).agg(F.count("*").alias("afferent"))
     ce = pairs.groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("efferent"))
     own = files.where(same("language", language)) if language else files
     joined = own.select("path", "language").join(ca, "path", "left").join(ce, "path", "left").na.fill(0, ["afferent", "efferent"])
-    return joined.withColumn("instability", F.when(F.expr("afferent + efferent > 0"), F.expr("efferent / (afferent + efferent)")).otherwise(F.lit(0.0))).orderBy(F.desc("instability"), F.desc("afferent"), "path")
+    return joined.withColumn("instability", F.when(F.expr("afferent + efferent > 0"), F.expr("efferent / (afferent + efferent)")).otherwise(F.lit(0.0))).orderBy(F.desc("instability"), F.desc("afferent"), F.collate("path", "UNICODE"), "path")
 
 
 def graph_density(files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -137,6 +137,9 @@ def test_scan_a_project_with_routes(spark, tmp_path):
         "artisan": "#!/usr/bin/env php",
         "routes/web.php": "<?php\nRoute::get('/users', [UserController::class, 'index']);\n",
         "app/UserController.php": "<?php\nnamespace App\\Http;\nclass UserController {\n    public function index() {\n        return 1;\n    }\n}\n",
+        "app/Kernel.php": "<?php\nnamespace App\\Http;\nclass Kernel {\n    protected $middlewareAliases = ['auth' => Auth::class];\n}\n",
+        "app/Auth.php": "<?php\nnamespace App\\Http;\nclass Auth {}\n",
+        "routes/api.php": "<?php\nRoute::get('/x', fn () => 1)->middleware('auth:api');\n",
     }.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
@@ -144,7 +147,8 @@ def test_scan_a_project_with_routes(spark, tmp_path):
     (root / "web" / "package.json").write_text('{"dependencies": {"express": "4"}}')
     assert {r.framework for r in W.active_frameworks(S.project_files(spark, f"file://{root}", "shop")).collect()} == {"laravel", "express"}
     g = CodeGraph.scan(spark, f"file://{root}", "shop")
-    assert {r.path: r.namespace for r in g.files.collect()} == {"routes/web.php": None, "app/UserController.php": "App\\Http"}
+    assert {r.path: r.namespace for r in g.files.collect()} == {"routes/web.php": None, "routes/api.php": None} | dict.fromkeys(("app/UserController.php", "app/Kernel.php", "app/Auth.php"), "App\\Http")
+    assert [(r.source_file, r.target_file, r.target_symbol) for r in g.edges.where("edge_type = 'middleware'").collect()] == [("routes/api.php", "app/Auth.php", "Auth")]
     assert g.clusters("namespace").count() == 2
     routes = g.edges.where("edge_type = 'route'").collect()
     assert [(r.source_file, r.target_file, r.target_symbol, r.line, r.verifiability) for r in routes] == [("routes/web.php", "app/UserController.php", "index", 2, "verified")]
@@ -311,3 +315,26 @@ def test_toon_documents(spark):
     least = document(105)  # not even without symbols, but without some edges
     assert "includedSymbols: 0" in least and "edgesTruncated: true" in least and ",function," not in least
     assert document(1) == "version: 1\ngenerated: \nrepo: all\ntokenBudget: 1\n\nsummary:\n  files: 0\n  symbols: 12\n  edges: 0\n\ntruncated: true\ntruncatedAt: symbols\nincludedSymbols: 0\ntotalSymbols: 12"
+
+
+def test_metrics_in_the_order_of_a_reader(spark):
+    paths = ["b.ts", "Z.ts", "É.ts", "a.ts", "e.ts", "A.ts", "_x.ts"]
+    files = spark.createDataFrame([(p, "typescript") for p in paths], "path string, language string")
+    edges = spark.createDataFrame([], "source_file string, target_file string, verifiability string")
+    from cartomill.operators.relational import file_coupling
+
+    assert [r.path for r in file_coupling(files, edges).collect()] == ["_x.ts", "a.ts", "A.ts", "b.ts", "e.ts", "É.ts", "Z.ts"]
+
+
+def test_listing_sees_all_names_and_reads_only_what_stays(spark, tmp_path):
+    for name in ("pkg/__init__.py", "_app.tsx", "_private/b.py", "a.py", "node_modules/x.ts", "inner/.git/HEAD", "inner/deep/c.py", "own/.git/HEAD", "own/d.py", ".h/e.py", "big.bin"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text("x = 1\n")
+    (tmp_path / "t" / "loop").symlink_to(tmp_path / "t")
+    root = f"file://{tmp_path}/t"
+    config = S.Config([S.Repo("own", "own")])
+    got = S.walk_files(spark, root, "r", config)
+    assert {r.path for r in got.collect()} == {"pkg/__init__.py", "_app.tsx", "_private/b.py", "a.py", "own/d.py"}
+    assert {r.path for r in S.project_files(spark, root, "r", S.Config()).collect()} == {"pkg/__init__.py", "_app.tsx", "_private/b.py", "a.py", "big.bin"}
+    (tmp_path / "t" / "big.bin").chmod(0)  # never opened, nor what is excluded
+    assert {r.path for r in S.walk_files(spark, root, "r", S.Config(exclude=["_private", "**/*.tsx"])).collect()} == {"pkg/__init__.py", "a.py"}
