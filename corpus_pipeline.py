@@ -1,6 +1,8 @@
 """The corpus pipeline: STAGES in order, and run() over the documents of a folder.
 
-Every stage takes whole documents and returns them with the same columns, but for the last, which returns pieces.
+Every stage takes whole documents and returns them with the same columns, but for the last, which returns pieces. Columns
+of any other name, in any case and with dots, are carried along; an empty table gives an empty table of the same columns;
+texts of any length are read whole; a null in any column but text changes nothing that a stage decides.
 """
 
 from __future__ import annotations
@@ -18,27 +20,29 @@ from cartomill.llm.simhash import one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
+    """Documents without a language go: null and empty texts and texts without a letter. Repeated rows all stay."""
     return identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of least doc_id."""
+    """One document of each group of near-duplicates stays, the one of least doc_id, of equal ids that of least text digest;
+    rows without a doc_id come last. Null, empty and blank texts are one group; of repeated rows one stays."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; others lose long passages of the benchmark."""
+    """Contaminated documents go; others lose long passages of the benchmark. Null and empty texts stay, and so does all
+    against an empty benchmark."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and what discloses it are taken out of the texts; all documents stay."""
+    """Personal data and what discloses it are taken out of the texts; all documents stay, null texts as null."""
     return sanitised(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences; see the operator for the columns."""
+    """Token sequences; see the operator for the columns. A null text is empty: one end token."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
