@@ -6,7 +6,8 @@ totals are the partitions' global offsets. Pass two adds the two and cuts at mul
 document over a boundary gives one boundary record for each sequence it touches. Nothing is shuffled or sorted.
 
 Edge cases: a null or empty text is the end id alone; no documents give no pieces; repeated rows and equal doc_ids are
-packed each; other columns are ignored. The order of the documents in the sequences is that of the written partitions.
+packed each, in no particular order among them; a very long text is encoded whole and cut like any other; other columns,
+of whatever name, are ignored. The order of the documents in the sequences is that of the written partitions.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ documents, or the metadata without the ids.
 The order comes from a range partitioning: Spark samples the keys, a shuffle brings each range of doc_ids to one task,
 and that task sorts it. A doc_id that many rows share is spread by the rows' places in the input.
 
-Edge cases: a null or empty text is the end id alone; rows that repeat are written each; null doc_ids come first; no
-documents give an empty table; other columns are ignored.
+Edge cases: a null or empty text is the end id alone; rows that repeat are written each; null doc_ids come first, rows
+of one doc_id in the order of their places in the input; a very long text is one row, whole; no documents give an empty
+table; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
