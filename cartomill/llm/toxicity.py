@@ -84,6 +84,10 @@ def units(text: str) -> set[str]:
     return {BEGIN + w for w in found if len(w) >= N}
 
 
+#: Of a table of this size, the places that a landmark's combinations fall on are marked.
+SIEVE_BITS = 18
+
+
 class Landmarks:
     """The kernel of strings with some fixed strings, by the subsequences that these have.
 
@@ -95,7 +99,6 @@ class Landmarks:
     def __init__(self, strings: list[str]):
         self.number = {c: i for i, c in enumerate(sorted(set("".join(strings))), 1)}
         self.base = len(self.number) + 1
-        self.row = np.zeros(self.base**N, dtype=np.int32)
         found: dict[int, dict[int, float]] = {}
         for k, z in enumerate(strings):
             codes, weights = self._combinations([z])
@@ -103,9 +106,25 @@ class Landmarks:
                 own = found.setdefault(c, {})
                 own[k] = own.get(k, 0.0) + w
         self.weights = np.zeros((len(found) + 1, len(strings)), dtype=np.float32)
-        for r, (c, own) in enumerate(sorted(found.items()), 1):
-            self.row[c] = r
+        for r, (_, own) in enumerate(sorted(found.items()), 1):
             self.weights[r, list(own)] = list(own.values())
+        self.codes = np.array(sorted(found), dtype=np.int64)
+        self.sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
+        self.sieve[self._sieved(self.codes)] = True
+
+    @staticmethod
+    def _sieved(codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIEVE_BITS)
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """The row of weights of each code; 0 for those of no landmark, most of which the sieve keeps from the search."""
+        out = np.zeros(codes.size, dtype=np.int32)
+        at = np.flatnonzero(self.sieve[self._sieved(codes.ravel())])
+        asked = codes.ravel()[at]
+        place = np.minimum(np.searchsorted(self.codes, asked), max(0, len(self.codes) - 1))
+        ok = self.codes[place] == asked if len(self.codes) else np.zeros(len(at), dtype=bool)
+        out[at[ok]] = place[ok] + 1
+        return out.reshape(codes.shape)
 
     def _combinations(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of strings of one length: the codes of their combinations (0: with a foreign character), and the weights."""
@@ -127,7 +146,7 @@ class Landmarks:
         out = np.zeros((len(strings), self.weights.shape[1]), dtype=np.float32)
         for part in by_length(strings):
             codes, weights = self._combinations([strings[i] for i in part])
-            hits = self.row[codes]
+            hits = self.rows(codes)
             who, where = np.nonzero(hits)
             if len(who):
                 starts = np.flatnonzero(np.diff(who, prepend=-1))

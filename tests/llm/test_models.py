@@ -114,3 +114,32 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
     by = {r.doc_id: r for r in got}
     assert by[9002].predicted == 1 and by[9000].predicted == by[9001].predicted == 0
+
+
+def test_large_alphabets_take_little_memory():
+    """Landmarks of a thousand different characters; the kernel by its definition."""
+    import itertools
+    import tracemalloc
+
+    from cartomill.llm.toxicity import DECAY, SPAN, Landmarks
+
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(1000)]
+    strings = ["".join(letters[(13 * i + k) % 1000] for k in range(13)) for i in range(77)]
+    tracemalloc.start()
+    marks = Landmarks(strings)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(marks.number) == 1000 and peak < 50 << 20
+
+    def weights(s):
+        out = {}
+        for c in itertools.combinations(range(len(s)), 3):
+            if c[-1] - c[0] < SPAN:
+                key = "".join(s[i] for i in c)
+                out[key] = out.get(key, 0.0) + DECAY ** (c[-1] - c[0] + 1)
+        return out
+
+    asked = [strings[5][2:9], "".join(rng.choices(letters, k=9)), strings[7][:4] + "x" + strings[7][4:8], "abc"]
+    want = [[sum(w * b.get(k, 0.0) for k, w in weights(s).items()) for b in map(weights, strings)] for s in asked]
+    assert np.allclose(marks.kernel(asked), want, rtol=1e-4) and marks.kernel(asked)[0, 5] > 0
