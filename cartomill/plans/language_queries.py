@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions import laravel
-from ..functions.lineage import cut
+from ..functions.lineage import cut, spread
 from ..registry import query
 from ..sources.graph_tables import table
 from .source_queries import filled, in_sql
@@ -19,10 +19,14 @@ from .source_queries import filled, in_sql
 PARTS = "WITH names AS (SELECT replace(p_name, ' ', '') || p_partkey AS k, upper(left(p_name, 1)) || substr(replace(p_name, ' ', ''), 2) || p_partkey AS c FROM part)"
 
 
-def _files(s: SparkSession, d: str, path: str, text: str, language: str) -> DataFrame:
+def _names(s: SparkSession, d: str) -> DataFrame:
+    """k, c of each part, spread: a text is long work."""
     k = F.replace("p_name", F.lit(" "), F.lit(""))
-    names = table(s, d, "part").select(F.concat(k, F.col("p_partkey").cast("string")).alias("k"), F.concat(F.upper(F.substring(k, 1, 1)), F.expr("substr(replace(p_name, ' ', ''), 2)"), F.col("p_partkey").cast("string")).alias("c"))
-    return names.select(filled(path).alias("path"), F.lit("r").alias("repo"), F.lit(language).alias("language"), filled(text).alias("text"))
+    return spread(table(s, d, "part").select(F.concat(k, F.col("p_partkey").cast("string")).alias("k"), F.concat(F.upper(F.substring(k, 1, 1)), F.expr("substr(replace(p_name, ' ', ''), 2)"), F.col("p_partkey").cast("string")).alias("c")))
+
+
+def _files(s: SparkSession, d: str, path: str, text: str, language: str) -> DataFrame:
+    return _names(s, d).select(filled(path).alias("path"), F.lit("r").alias("repo"), F.lit(language).alias("language"), filled(text).alias("text"))
 
 
 #: language: extension, text, symbols (name, kind, scope, first and last line), references (name, kind, line).
@@ -507,11 +511,13 @@ LARAVEL_EDGES = [
 ]
 
 
-def _laravel(s: SparkSession, d: str) -> DataFrame:
-    k = F.replace("p_name", F.lit(" "), F.lit(""))
-    names = table(s, d, "part").select(F.concat(k, F.col("p_partkey").cast("string")).alias("k"), F.concat(F.upper(F.substring(k, 1, 1)), F.expr("substr(replace(p_name, ' ', ''), 2)"), F.col("p_partkey").cast("string")).alias("c"))
+def _laravel_files(s: SparkSession, d: str) -> DataFrame:
     files = F.explode(F.array(*(F.struct(filled(path).alias("path"), filled(text).alias("text")) for path, text in LARAVEL.items())))
-    return cut(laravel.facts(names.select(F.col("k").alias("repo"), files.alias("f")).select("repo", "f.path", "f.text")))
+    return _names(s, d).select(F.col("k").alias("repo"), files.alias("f")).select("repo", "f.path", "f.text")
+
+
+def _laravel(s: SparkSession, d: str) -> DataFrame:
+    return cut(laravel.facts(_laravel_files(s, d)))
 
 
 query("laravel_edges", _rows_sql("repo source_file target_file target_symbol edge_type detail", [("%k", *row) for row in LARAVEL_EDGES]), lambda s, d: laravel.edges(_laravel(s, d)).select("repo", "source_file", "target_file", "target_symbol", "edge_type", "detail"))

@@ -59,3 +59,24 @@ def test_work_grows_with_the_text(language):
         list(found(text * times, language))
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 0.1  # four times the text
+
+
+def test_texts_are_dealt_to_all_cores(spark, tmp_path):
+    """A table in one file and one row group is one task to read, but its texts are many tasks' work."""
+    from cartomill.plans.language_queries import _files, _laravel_files
+
+    spark.range(40).selectExpr("id AS p_partkey", "'red box' AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for files in (_files(spark, str(tmp_path), "src/%k.go", "package main\n", "go"), _laravel_files(spark, str(tmp_path))):
+        sizes = files.rdd.glom().map(len).collect()
+        assert sum(size > 0 for size in sizes) == spark.sparkContext.defaultParallelism
+
+
+def test_only_laravel_files_with_typed_calls_are_followed():
+    from cartomill.functions.laravel import _File
+
+    plain = _File("<?php\nclass A { public function b($c) { $c->d(); } }\n", "app/A.php").read()
+    assert not plain.rows and [f[:2] for f in plain.facts()] == [("class", "A")]
+    sent = _File("<?php\nclass A { public function b() { event(new C()); } }\n", "app/A.php").read()
+    assert ("dispatch", "event", "C") in [f[:3] for f in sent.facts()]
+    heard = _File("<?php\nclass A { public function handle(C $c) {} }\n", "app/Listeners/A.php").read()
+    assert ("listen", "C", "A") in [f[:3] for f in heard.facts()]
