@@ -338,3 +338,18 @@ def test_listing_sees_all_names_and_reads_only_what_stays(spark, tmp_path):
     assert {r.path for r in S.project_files(spark, root, "r", S.Config()).collect()} == {"pkg/__init__.py", "_app.tsx", "_private/b.py", "a.py", "big.bin"}
     (tmp_path / "t" / "big.bin").chmod(0)  # never opened, nor what is excluded
     assert {r.path for r in S.walk_files(spark, root, "r", S.Config(exclude=["_private", "**/*.tsx"])).collect()} == {"pkg/__init__.py", "a.py"}
+
+
+def test_toon_document_over_its_budget_as_in_sql(spark, tmp_path):
+    """Where not even the files fit, the query lists them all, as its SQL does."""
+    import duckdb
+
+    from cartomill.plans.other_queries import _toon, _toon_sql
+    from cartomill.sources.graph_tables import WITH, derived
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    rows = con.execute(WITH + "," + _toon_sql(100).lstrip()[4:]).fetchall()
+    assert len(rows) > 100 and sorted(rows) == sorted(tuple(r) for r in _toon(derived(spark, d), 100).collect())
