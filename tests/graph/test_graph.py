@@ -112,3 +112,24 @@ def test_communities(spark):
     none = spark.createDataFrame([], "cluster_name string, file_path string")
     numbered = G.numbered_communities(G.community_exact(g.edges, g.files).select("path", "label"), none)
     assert {r.cluster_name for r in numbered.collect()} <= {"community_1", "community_2"}
+
+
+def test_a_large_component_is_propagated_in_numbers():
+    """What a task holds is a few numbers a link, not names in dictionaries."""
+    import tracemalloc
+
+    import numpy as np
+
+    from cartomill.functions.communities import drawn, labelled
+
+    n, m, rng = 2_000, 100_000, np.random.default_rng(1)
+    u, v, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(1, 4, m)
+    order = [drawn(n, k) for k in range(2)]
+    tracemalloc.start()
+    found = labelled(order, u, v, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * m
+    names = [f"{i:05d}" for i in range(n)]
+    want = propagated({x: [int(o[i]) for o in order] for i, x in enumerate(names)}, [(names[a], names[b], int(c)) for a, b, c in zip(u, v, w)])
+    assert [names[x] for x in found] == list(want.values())
