@@ -133,3 +133,21 @@ def test_a_large_component_is_propagated_in_numbers():
     names = [f"{i:05d}" for i in range(n)]
     want = propagated({x: [int(o[i]) for o in order] for i, x in enumerate(names)}, [(names[a], names[b], int(c)) for a, b, c in zip(u, v, w)])
     assert [names[x] for x in found] == list(want.values())
+
+
+def test_rounds_leave_only_their_result(spark, tmp_path):
+    """PageRank and label propagation delete what they wrote on the way."""
+    import os
+
+    from cartomill.functions.lineage import shared_dir
+    from cartomill.operators import graph as O
+
+    place = shared_dir(spark).removeprefix("file://")
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    links = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "d", 1.0)], "src string, dst string, weight double")
+    before = set(os.listdir(place))
+    ranks = O.pagerank(nodes, links)
+    assert len(set(os.listdir(place)) - before) == 1 and abs(sum(r["rank"] for r in ranks.collect()) - 1) < 1e-3
+    before = set(os.listdir(place))
+    labels = O.community_sync(links.selectExpr("src AS source_file", "dst AS target_file"), nodes.selectExpr("id AS path"))
+    assert len(set(os.listdir(place)) - before) == 1 and labels.count() == 4
