@@ -12,7 +12,9 @@ shard of their own leaf, which bounds their k-th angle, then to all others that
 holds a shard and a block of queries. The scores returned are computed on the vectors themselves, in order, in double
 precision; equal scores are ranked by id.
 
-On the driver: the sample (SAMPLE_BYTES at most) and the upper levels, which also go to the tasks.
+On the driver: the sample (SAMPLE_BYTES at most) and the upper levels, which also go to the tasks, and two counts for each
+leaf. Spark cannot know that a query's row becomes one for each leaf it goes to, so the joins of what grows with the queries
+say that they are by sorting: by its estimates Spark would take all queries of all leaves through the driver.
 
 Edge cases: vectors that are null, zero or empty, or hold null or non-finite components, take no part, nor do queries that
 hold such; vectors of different lengths are never near each other; repeated rows are candidates each, a query's own row
@@ -205,7 +207,7 @@ def upper_levels(classes: DataFrame) -> dict[int, Tree]:
 
 
 def routed(rows: DataFrame, trees: dict[int, Tree], factor: float | None) -> DataFrame:
-    """rows (key, dim, vec, near) with leaf: of factor None the own one, else each that near does not rule out; and home, whether it is the own one."""
+    """rows (dim, vec, and near unless factor is None) with leaf: of factor None the own one, else each that near does not rule out; and home, whether it is the own one."""
     shared = rows.sparkSession.sparkContext.broadcast(trees)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,26 +215,26 @@ def routed(rows: DataFrame, trees: dict[int, Tree], factor: float | None) -> Dat
             dims = batch["dim"].to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                tree, near = shared.value.get(dim), part["near"].to_numpy(zero_copy_only=False)
-                row, leaf, home = np.arange(len(near)), np.zeros(len(near), dtype=np.int64), np.ones(len(near), dtype=bool)
+                tree, n = shared.value.get(dim), part.num_rows
+                row, leaf, home = np.arange(n), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
                 if tree:
                     unit = units(doubles(part["vec"], dim))
                     own = tree.homes(unit)
                     if factor is None:
                         leaf = own
                     else:
-                        row, leaf, _ = tree.reached(unit, near, factor)
+                        row, leaf, _ = tree.reached(unit, part["near"].to_numpy(zero_copy_only=False), factor)
                         home = leaf == own[row]
-                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(leaf.astype(np.int32)), pa.array(home)], names=["key", "dim", "vec", "near", "leaf", "home"])
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(leaf.astype(np.int32)), pa.array(home)], names=[*part.schema.names, "leaf", "home"])
 
-    return map_arrow(rows.select("key", "dim", "vec", "near"), f, "key binary, dim int, vec binary, near double, leaf int, home boolean")
+    return map_arrow(rows, f, ", ".join([*(f"{c} {kind}" for c, kind in rows.dtypes), "leaf int, home boolean"]))
 
 
 def index(classes: DataFrame, trees: dict[int, Tree]) -> DataFrame:
     """dim, leaf, shard, keys, members, points (in the tree's order), vantage, medians, ranges, starts: one tree a row, written."""
-    placed = written(routed(classes.withColumn("near", F.lit(0.0)), trees, None).select("key", "dim", "leaf").join(classes.drop("dim"), "key"), "placed")
+    placed = written(routed(classes, trees, None).drop("home"), "placed")
     sizes = placed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") * F.lit(8) * F.first("dim") / SHARD_BYTES).alias("shards"))
-    shards = placed.join(sizes, ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("key"), "shards").cast("int"))
+    shards = placed.join(F.broadcast(sizes), ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("key"), "shards").cast("int"))
     grouped = shards.groupBy("dim", "leaf", "shard").agg(F.collect_list(F.struct("key", "vec", F.col("members").alias("member"))).alias("rows")).select("dim", "leaf", "shard", *(F.col(f"rows.{c}").alias(f"{c}s") for c in ("key", "vec", "member")))
     members = "array<array<struct<vec_id:bigint,n:bigint>>>"
 
@@ -253,12 +255,12 @@ def answered(asked: DataFrame, trees: DataFrame, first: bool, factor: float, k:
     all but that."""
     parts = asked.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
     blocks = (
-        asked.join(parts, ["dim", "leaf"])
+        asked.join(F.broadcast(parts), ["dim", "leaf"])
         .groupBy("dim", "leaf", F.pmod(F.xxhash64("key"), "parts").alias("part"))
         .agg(F.collect_list(F.struct("key", "vec", "near", "home")).alias("q"))
         .select("dim", "leaf", F.col("q.key").alias("asked"), F.col("q.vec").alias("vecs"), F.col("q.near").alias("nears"), F.col("q.home").alias("homes"))
     )
-    both = blocks.join(trees.where("shard = 0") if first else trees, ["dim", "leaf"])
+    both = blocks.hint("merge").join(trees.where("shard = 0") if first else trees, ["dim", "leaf"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,16 +294,18 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, factor: float = FACTOR
     trees = upper_levels(classes)
     shards = index(classes, trees)
     rows = written(found.where(queries).groupBy("key", "vec_id").agg(F.count("*").alias("n")), "queries")
-    asked = written(classes.join(rows.select("key").distinct(), "key", "left_semi").select("key", "dim", "vec"), "asked")
+    asked = written(found.where(queries).groupBy("key").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec")), "asked")
     own = routed(asked.withColumn("near", F.lit(10.0)), trees, None)
     begun = written(answered(own, shards, True, factor, k + 1), "begun")
     bound = begun.groupBy("key").agg(F.min("score").alias("s"), F.count("*").alias("c")).where(F.col("c") > k).select("key", F.acos(F.least(F.greatest("s", F.lit(-1.0)), F.lit(1.0))).alias("near"))
-    wide = routed(asked.join(bound, "key", "left").withColumn("near", F.coalesce("near", F.lit(10.0))), trees, factor)
+    # dealt to all tasks, as the rows that one query becomes are many
+    dealt = asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    wide = routed(dealt.hint("merge").join(bound, "key", "left").withColumn("near", F.coalesce("near", F.lit(10.0))), trees, factor)
     both = begun.unionByName(answered(wide, shards, False, factor, k + 1))
     best = W.partitionBy("key").orderBy(F.desc("score"), F.asc_nulls_last(F.col("members")[0]["vec_id"]))
     top = both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).select("key", "score", "found", F.explode("members").alias("m")).select("key", "score", "found", "m.vec_id", "m.n")
     near = top.groupBy("key").agg(F.collect_list(F.struct("score", "found", "vec_id", "n")).alias("near"))
-    return ranked(rows.select("key", F.col("vec_id").alias("query_id"), F.col("n").alias("copies")).join(near, "key"), k)
+    return ranked(rows.select("key", F.col("vec_id").alias("query_id"), F.col("n").alias("copies")).hint("merge").join(near, "key"), k)
 
 
 def ranked(rows: DataFrame, k: int) -> DataFrame:

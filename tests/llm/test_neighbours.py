@@ -1,6 +1,7 @@
 """Nearest neighbours against all pairs; recall and work by the pruning factor."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -64,6 +65,16 @@ def test_large_doubles(spark):
     assert [(r["vec_id"], round(r["score"], 12)) for r in got] == [(1, 1.0), (2, 0.0)]
 
 
+def test_what_grows_with_the_queries_is_not_broadcast(spark, monkeypatch):
+    plans, write = [], neighbours.written
+    kept = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(neighbours, "written", lambda df, *a, **b: write(kept(df), *a, **b))
+    kept(nearest(spark.createDataFrame(vectors(2), SCHEMA), F.col("vec_id") % 50 == 0))
+    joins = [re.sub(r"#\d+L?", "", x) for plan in plans for x in re.findall(r"\w+Join \[.*", plan)]
+    assert all(re.match(r"BroadcastHashJoin \[dim, leaf\], \[dim, leaf\], Inner, BuildRight|SortMergeJoin", x) for x in joins), joins
+    assert sum(x.startswith("SortMergeJoin [dim, leaf], [dim, leaf]") for x in joins) == 2  # blocks of queries, and trees
+
+
 def test_factor_trades_recall_for_work(monkeypatch):
     rng = np.random.default_rng(5)
     points = np.repeat(rng.normal(size=(40, 16)), 100, axis=0) + 0.3 * rng.normal(size=(4000, 16))
