@@ -12,8 +12,8 @@ shard of their own leaf, which bounds their k-th angle, then to all others that
 holds a shard and a block of queries. The scores returned are computed on the vectors themselves, in order, in double
 precision; equal scores are ranked by id.
 
-On the driver: the sample (SAMPLE_BYTES at most) and the upper levels, which also go to the tasks, and two counts for each
-leaf. Spark cannot know that a query's row becomes one for each leaf it goes to, so the joins of what grows with the queries
+On the driver: the sample (SAMPLE_BYTES at most) and the upper levels, which also go to the tasks, and a count for each
+leaf. Spark cannot know that a query comes out of a task once for each leaf it goes to, so the joins of what grows with the queries
 say that they are by sorting: by its estimates Spark would take all queries of all leaves through the driver.
 
 Edge cases: vectors that are null, zero or empty, or hold null or non-finite components, take no part, nor do queries that
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import forgotten, map_arrow, shuffles_collected, written
 
 K = 5
 #: Of the query's k-th best angle; one searches exactly.
@@ -44,6 +44,8 @@ LEAVES = 256
 SHARD_BYTES = 2 << 20
 SAMPLE_BYTES = 8 << 20
 QUERY_BLOCK = 512
+#: Queries that a task deals to leaves, in blocks for each.
+TASK_QUERIES = 4 * QUERY_BLOCK
 #: Points at the end of a tree's branch.
 BUCKET = 64
 #: Beyond the rounding of angles.
@@ -206,33 +208,61 @@ def upper_levels(classes: DataFrame) -> dict[int, Tree]:
     return trees
 
 
-def routed(rows: DataFrame, trees: dict[int, Tree], factor: float | None) -> DataFrame:
-    """rows (dim, vec, and near unless factor is None) with leaf: of factor None the own one, else each that near does not rule out; and home, whether it is the own one."""
+def leaves(tree: Tree | None, part: pa.RecordBatch, dim: int, factor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of part (vec, and near unless factor is None), a leaf of each: of factor None the own one, else each that near
+    does not rule out; and whether it is the own one."""
+    n = part.num_rows
+    if not tree:
+        return np.arange(n), np.zeros(n, dtype=np.int32), np.ones(n, dtype=bool)
+    unit = units(doubles(part["vec"], dim))
+    own = tree.homes(unit).astype(np.int32)
+    if factor is None:
+        return np.arange(n), own, np.ones(n, dtype=bool)
+    row, leaf, _ = tree.reached(unit, part["near"].to_numpy(zero_copy_only=False), factor)
+    return row, leaf.astype(np.int32), leaf == own[row]
+
+
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = batch["dim"].to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, batch.take(pa.array(np.flatnonzero(dims == dim)))
+
+
+def housed(rows: DataFrame, trees: dict[int, Tree]) -> DataFrame:
+    """rows (dim, vec and others) with their own leaf."""
     shared = rows.sparkSession.sparkContext.broadcast(trees)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch["dim"].to_numpy()
-            for dim in np.unique(dims).tolist():
-                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                tree, n = shared.value.get(dim), part.num_rows
-                row, leaf, home = np.arange(n), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-                if tree:
-                    unit = units(doubles(part["vec"], dim))
-                    own = tree.homes(unit)
-                    if factor is None:
-                        leaf = own
-                    else:
-                        row, leaf, _ = tree.reached(unit, part["near"].to_numpy(zero_copy_only=False), factor)
-                        home = leaf == own[row]
-                yield pa.RecordBatch.from_arrays([*part.take(pa.array(row)).columns, pa.array(leaf.astype(np.int32)), pa.array(home)], names=[*part.schema.names, "leaf", "home"])
-
-    return map_arrow(rows, f, ", ".join([*(f"{c} {kind}" for c, kind in rows.dtypes), "leaf int, home boolean"]))
+            for dim, part in by_length(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves(shared.value.get(dim), part, dim, None)[1])], names=[*part.schema.names, "leaf"])
+
+    return map_arrow(rows, f, ", ".join([*(f"{c} {kind}" for c, kind in rows.dtypes), "leaf int"]))
+
+
+def blocks(asked: DataFrame, trees: dict[int, Tree], factor: float | None) -> DataFrame:
+    """dim, leaf, asked, vecs, nears, homes: a task's queries (key, dim, vec, near) in lists of at most QUERY_BLOCK for each of
+    their leaves, as leaves() has them."""
+    shared = asked.sparkSession.sparkContext.broadcast(trees)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part in by_length(batch):
+                row, leaf, home = leaves(shared.value.get(dim), part, dim, factor)
+                order = np.argsort(leaf, kind="stable")
+                for group in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+                    for i in range(0, len(group), QUERY_BLOCK):
+                        some = group[i : i + QUERY_BLOCK]
+                        taken, ends = part.take(pa.array(row[some])), pa.array([0, len(some)], pa.int32())
+                        lists = [pa.ListArray.from_arrays(ends, x) for x in (taken["key"], taken["vec"], taken["near"], pa.array(home[some]))]
+                        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array(leaf[some[:1]]), *lists], names=["dim", "leaf", "asked", "vecs", "nears", "homes"])
+
+    return map_arrow(asked.select("key", "dim", "vec", "near"), f, "dim int, leaf int, asked array<binary>, vecs array<binary>, nears array<double>, homes array<boolean>")
 
 
 def index(classes: DataFrame, trees: dict[int, Tree]) -> DataFrame:
     """dim, leaf, shard, keys, members, points (in the tree's order), vantage, medians, ranges, starts: one tree a row, written."""
-    placed = written(routed(classes, trees, None).drop("home"), "placed")
+    placed = written(housed(classes, trees), "placed")
     sizes = placed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") * F.lit(8) * F.first("dim") / SHARD_BYTES).alias("shards"))
     shards = placed.join(F.broadcast(sizes), ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("key"), "shards").cast("int"))
     grouped = shards.groupBy("dim", "leaf", "shard").agg(F.collect_list(F.struct("key", "vec", F.col("members").alias("member"))).alias("rows")).select("dim", "leaf", "shard", *(F.col(f"rows.{c}").alias(f"{c}s") for c in ("key", "vec", "member")))
@@ -247,20 +277,15 @@ def index(classes: DataFrame, trees: dict[int, Tree]) -> DataFrame:
                 arrays = [pa.array([x.tobytes()], pa.binary()) for x in (points[order], tree.vantage, tree.medians, tree.ranges, tree.starts.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, 1) for c in ("dim", "leaf", "shard")), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in listed), *arrays], names=["dim", "leaf", "shard", "keys", "members", "points", "vantage", "medians", "ranges", "starts"])
 
-    return written(map_arrow(grouped, f, f"dim int, leaf int, shard int, keys array<binary>, members {members}, points binary, vantage binary, medians binary, ranges binary, starts binary"), "trees", **_LARGE_ROWS)
+    built = written(map_arrow(grouped, f, f"dim int, leaf int, shard int, keys array<binary>, members {members}, points binary, vantage binary, medians binary, ranges binary, starts binary"), "trees", **_LARGE_ROWS)
+    forgotten(placed)
+    return built
 
 
 def answered(asked: DataFrame, trees: DataFrame, first: bool, factor: float, k: int) -> DataFrame:
-    """key, score, found, members: what each query's shards hold nearest, k of each. first: only shard 0 of the own leaf; else
-    all but that."""
-    parts = asked.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
-    blocks = (
-        asked.join(F.broadcast(parts), ["dim", "leaf"])
-        .groupBy("dim", "leaf", F.pmod(F.xxhash64("key"), "parts").alias("part"))
-        .agg(F.collect_list(F.struct("key", "vec", "near", "home")).alias("q"))
-        .select("dim", "leaf", F.col("q.key").alias("asked"), F.col("q.vec").alias("vecs"), F.col("q.near").alias("nears"), F.col("q.home").alias("homes"))
-    )
-    both = blocks.hint("merge").join(trees.where("shard = 0") if first else trees, ["dim", "leaf"])
+    """key, score, found, members: what the shards of blocks() of queries hold nearest, k of each query. first: only shard 0 of
+    the own leaf; else all but that."""
+    both = asked.hint("merge").join(trees.where("shard = 0") if first else trees, ["dim", "leaf"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,19 +313,22 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, factor: float = FACTOR
     found = written(vectors(rows), "vectors")
     by_id = W.partitionBy("key").orderBy(F.asc_nulls_last("vec_id"))
     # of a class, k + 1 ids are enough: the own one and k others
-    least = found.groupBy("key", "vec_id").agg(F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec")).withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
+    least = found.groupBy("key", "vec_id").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
     members = F.transform(F.sort_array(F.collect_list(F.struct("place", "vec_id", "n"))), lambda m: F.struct(m["vec_id"].alias("vec_id"), m["n"].alias("n")))
-    classes = written(least.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), members.alias("members")), "classes")
+    one = (F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    classes = written(found.groupBy("key").agg(*one).hint("merge").join(least.groupBy("key").agg(members.alias("members")), "key"), "classes")
+    rows = written(found.where(queries).groupBy("key", "vec_id").agg(F.count("*").alias("n")), "queries")
+    asked = written(found.where(queries).groupBy("key").agg(*one), "asked")
+    forgotten(found)
     trees = upper_levels(classes)
     shards = index(classes, trees)
-    rows = written(found.where(queries).groupBy("key", "vec_id").agg(F.count("*").alias("n")), "queries")
-    asked = written(found.where(queries).groupBy("key").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec")), "asked")
-    own = routed(asked.withColumn("near", F.lit(10.0)), trees, None)
+    forgotten(classes)
+    shuffles_collected(found.sparkSession)
+    own = blocks(housed(asked, trees).repartition("dim", "leaf").withColumn("near", F.lit(10.0)), trees, None)
     begun = written(answered(own, shards, True, factor, k + 1), "begun")
     bound = begun.groupBy("key").agg(F.min("score").alias("s"), F.count("*").alias("c")).where(F.col("c") > k).select("key", F.acos(F.least(F.greatest("s", F.lit(-1.0)), F.lit(1.0))).alias("near"))
-    # dealt to all tasks, as the rows that one query becomes are many
-    dealt = asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    wide = routed(dealt.hint("merge").join(bound, "key", "left").withColumn("near", F.coalesce("near", F.lit(10.0))), trees, factor)
+    known = asked.hint("merge").join(bound, "key", "left").withColumn("near", F.coalesce("near", F.lit(10.0)))
+    wide = blocks(known.repartition(-(-asked.count() // TASK_QUERIES) or 1, "key"), trees, factor)
     both = begun.unionByName(answered(wide, shards, False, factor, k + 1))
     best = W.partitionBy("key").orderBy(F.desc("score"), F.asc_nulls_last(F.col("members")[0]["vec_id"]))
     top = both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).select("key", "score", "found", F.explode("members").alias("m")).select("key", "score", "found", "m.vec_id", "m.n")

@@ -1,6 +1,7 @@
 """Nearest neighbours against all pairs; recall and work by the pruning factor."""
 
 import math
+import os
 import re
 
 import numpy as np
@@ -75,6 +76,20 @@ def test_what_grows_with_the_queries_is_not_broadcast(spark, monkeypatch):
     assert sum(x.startswith("SortMergeJoin [dim, leaf], [dim, leaf]") for x in joins) == 2  # blocks of queries, and trees
 
 
+def test_queries_share_blocks_and_tables_go(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", 4096)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 5)
+    tables, write = {}, neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, name, **b: tables.setdefault(name, write(df, name, **b)))
+    got = nearest(spark.createDataFrame(vectors(3), SCHEMA), F.col("vec_id") % 10 == 0)
+    assert sorted(n for n, df in tables.items() if not os.path.exists(df.written_at.removeprefix("file://"))) == ["classes", "placed", "vectors"]
+    assert sorted(map(tuple, got.collect()), key=repr) == plain(vectors(3), every=10)
+    trees = neighbours.upper_levels(tables["asked"].select("key", "dim", "vec"))
+    lists = neighbours.blocks(tables["asked"].coalesce(1).withColumn("near", F.lit(0.3)), trees, 1.0).collect()
+    assert all(1 <= len(r["asked"]) == len(r["vecs"]) == len(r["nears"]) == len(r["homes"]) <= 5 for r in lists)
+    assert sorted(key for r in lists for key, home in zip(r["asked"], r["homes"]) if home) == sorted(r["key"] for r in tables["asked"].collect())
+
+
 def test_factor_trades_recall_for_work(monkeypatch):
     rng = np.random.default_rng(5)
     points = np.repeat(rng.normal(size=(40, 16)), 100, axis=0) + 0.3 * rng.normal(size=(4000, 16))
