@@ -151,3 +151,63 @@ def test_rounds_leave_only_their_result(spark, tmp_path):
     before = set(os.listdir(place))
     labels = O.community_sync(links.selectExpr("src AS source_file", "dst AS target_file"), nodes.selectExpr("id AS path"))
     assert len(set(os.listdir(place)) - before) == 1 and labels.count() == 4
+
+
+def test_community_sync_on_odd_files_and_edges(spark):
+    """A path listed twice votes twice, one without edges keeps its label, null has none, unknown files have no vote."""
+    links = [("a", "b"), ("b", "a"), ("c", "b"), ("c", "d"), ("d", "d"), ("e", "zz"), ("zz", "a"), (None, "a"), ("b", "f"), ("f", "g")]
+    names = ["a", "b", "c", "c", "d", "e", "f", "g", "lone", None]
+    edges = spark.createDataFrame(links, "source_file string, target_file string")
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    label = {n: n for n in names if n}
+    for _ in range(5):
+        new = dict(label)
+        for n in label:
+            votes = {}
+            for x, y in [(x, y) for u, v in links if u != v for x, y in ((u, v), (v, u))]:
+                if x == n and y in label:
+                    votes[label[y]] = votes.get(label[y], 0) + names.count(y)
+            if votes:
+                new[n] = min(votes, key=lambda x: (-votes[x], x))
+        label = new
+    got = sorted(((r.path, r.label) for r in G.community_sync(edges, files).collect()), key=str)
+    assert got == sorted(((n, label.get(n)) for n in names), key=str)
+
+
+def test_shuffles_go_with_what_they_were_for(spark):
+    """Label propagation and the derived edges leave no shuffle files, which at size are most of the disk."""
+    import time
+
+    from cartomill.sources.graph_tables import G_FILES, derived_edges
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {b for b in blocks.split() if b.startswith("shuffle_")}
+
+    part, lineitem = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("part", "lineitem"))
+    files = spark.sql(G_FILES.replace("FROM part", "FROM {part}"), part=part)
+    before = shuffles()
+    edges = derived_edges(part, lineitem, files)
+    labels = G.community_sync(edges, files)
+    left = time.time() + 20
+    while shuffles() - before and time.time() < left:
+        time.sleep(0.2)
+    assert not shuffles() - before and labels.columns == ["path", "label"]
+
+
+def test_derived_edges_are_those_of_their_sql(spark):
+    """Also for lines without keys, of one number, with gaps between, and parts listed twice."""
+    from cartomill.sources.graph_tables import G_EDGES, G_FILES, derived_edges
+
+    lines = [(1, 1, 1, 3.0, "A", "F"), (1, 2, 2, 4.0, "N", "O"), (1, 2, 3, 5.0, None, "F"), (1, 3, 2, None, "R", None), (2, 1, 1, 1.0, "A", "F"), (2, 3, 2, 1.0, "A", "F"), (None, 1, 1, 1.0, "A", "F"), (None, 2, 2, 1.0, "A", "F"), (3, None, 1, 1.0, "A", "F"), (3, 1, None, 1.0, "A", "F"), (3, 1, 3, 1.0, "A", "F"), (3, 2, 9, 1.0, "A", "F"), (4, 1, 3, 1.0, "N", "F"), (4, 2, 4, 1.0, "N", "F")]
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string")
+    parts = [(1, "red bolt", "Brand#1", "SMALL"), (2, "blue ring", "Brand#2", "LARGE"), (3, "hot nut", "Brand#3", "LARGE"), (3, "hot pin", "Brand#3", "SMALL"), (4, None, "Brand#3", None), (None, "x", "y", "z")]
+    part = spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").selectExpr("*", "1 AS p_size", "900.0D AS p_retailprice")
+    files = spark.sql(G_FILES.replace("FROM part", "FROM {part}"), part=part)
+    for name, df in (("part", part), ("lineitem", lineitem), ("g_files", files)):
+        df.createOrReplaceTempView(name)
+    want = spark.sql(G_EDGES)
+    got = derived_edges(part, lineitem, files)
+    assert got.dtypes == want.dtypes and want.count() > 10 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    for name in ("part", "lineitem", "g_files"):
+        spark.catalog.dropTempView(name)
